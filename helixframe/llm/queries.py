@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontaminate
+from helixframe.llm import decontaminate, linedup, mixing, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_mixing": mixing.op2_mixing,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_linededup": linedup.op10_linededup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": mixing.OP2_SQL,
         "op3_decontaminate": decontaminate.OP3_SQL,
+        "op10_linededup": linedup.OP10_SQL,
     }
