@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontaminate, linedup, mixing, simhash
+from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, tokencount, topk
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_mixing": mixing.op2_mixing,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_tokencount": tokencount.op4_tokencount,
+        "op5_licenses": licenses.op5_licenses,
+        "op6_langid": langid.op6_langid,
+        "op7_secrets": secrets.op7_secrets,
+        "op8_topk": topk.op8_topk,
         "op9_simhash": simhash.op9_simhash,
         "op10_linededup": linedup.op10_linededup,
     }
@@ -18,5 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.OP2_SQL,
         "op3_decontaminate": decontaminate.OP3_SQL,
+        "op7_secrets": secrets.OP7_SQL,
+        "op8_topk": topk.OP8_SQL,
         "op10_linededup": linedup.OP10_SQL,
     }
