@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one numpy pass works on. A longer document is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 #: Words of contracts 3 and 5: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z. Bytes from 0x80 belong to
 #: letters outside ASCII, which that class takes whole.

@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index for each shard of the training texts.
 
-A shard is a run of whole documents (about 4 MB of text) that one task has at hand. Its words become symbols of the
+A shard is a run of whole documents (about 2 MB of text) that one task has at hand. Its words become symbols of the
 benchmark's vocabulary; words that no benchmark item has can be in no match and stand as borders. Over that sequence an
 FM-index is built (fmindex.py), every benchmark window is searched backward through its wavelet-tree ranks, occurrences
 are located by sampled suffix positions, and hit words are merged into removal spans. Nothing is shuffled: training
@@ -22,6 +22,8 @@ from helixframe.llm.fmindex import FMIndex
 
 #: Words in a window; benchmark text that one broadcast block holds.
 WINDOW, BLOCK_BYTES = 10, 16 << 20
+#: Text in a shard, about.
+SHARD_BYTES = 2 << 20
 
 
 @dataclass
@@ -133,7 +135,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     def scan(batches):
         indexes = [HashIndex(b.value.vocabulary) for b in sent]
         for batch in batches:
-            for part, data, at in pieces(batch):
+            for part, data, at in pieces(batch, limit=SHARD_BYTES):
                 words = Words(data, at)
                 hashes = words.hashes()
                 marks, items = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(part.num_rows)]
