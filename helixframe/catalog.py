@@ -1,11 +1,211 @@
-"""Every registered query of the encoder, and the SQL that should give the same rows."""
+"""Every registered query of the encoder, and the SQL that should give the same rows.
+
+Encoder queries take documents as payloads. Comparison queries need two tables of runs, which the reporting side of an
+encoder would read from CSV; here they are made from lineitem, so that their work grows with the tables: a supplier is a
+dataset, returned lines are one implementation and the others the other one.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from helixframe.constants import PAYLOAD_NT
+from helixframe.functions import bits, dna
+from helixframe.operators import compare, segments
+from helixframe.plans import encode
+
+KEY = ["doc_id"]
+
+
+def table(spark, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def payloads(spark, sf: str) -> DataFrame:
+    return encode.payload_of(table(spark, sf, "documents"), KEY)
+
+
+def segs(spark, sf: str) -> DataFrame:
+    return segments.segments(payloads(spark, sf), KEY)
+
+
+def reps(spark, sf: str) -> DataFrame:
+    return segments.repeats(segs(spark, sf))
+
+
+def freq(spark, sf: str) -> DataFrame:
+    return segments.frequencies(segments.candidates(reps(spark, sf), []), [])
+
+
+def encoding(spark, sf: str) -> encode.Encoding:
+    return encode.encode(table(spark, sf, "documents"), KEY)
+
+
+def tiles(spark, sf: str) -> DataFrame:
+    """Blocks of the plain two-bit encoding: the same layout, from SQL that needs no code table."""
+    plain = payloads(spark, sf).where(F.length("payload") > 0).select(*KEY, bits.quaternary(F.col("payload")).alias("dna"))
+    return encode.blocks(plain, KEY)
+
+
+def runs(spark, sf: str, returned: bool) -> DataFrame:
+    lines = table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") == returned)
+    one = lambda c, n=4: F.round(F.sum(c), n)
+    return lines.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dataset")).agg(
+        one(F.col("l_extendedprice"), 2).alias("total_ms"), one(F.col("l_quantity")).alias("lsbm_ms"), one(F.col("l_tax")).alias("huffman_ms"), one(F.col("l_discount")).alias("encode_ms"),
+        (F.count(F.lit(1)) * 1024).alias("file_size_bytes"), F.sha2(F.max("l_linenumber").cast("string"), 256).alias("dna_hash_payload"),
+    )
+
+
+def pairs(spark, sf: str) -> DataFrame:
+    return compare.joined(runs(spark, sf, False), runs(spark, sf, True), ["dataset"], ("_seq", "_cuda"))
+
+
+FASTER = {"speedup_total": ("total_ms_seq", "total_ms_cuda"), "speedup_lsbm": ("lsbm_ms_seq", "lsbm_ms_cuda"), "speedup_encode": ("encode_ms_seq", "encode_ms_cuda")}
+LABELS = {"MAIL": "by mail", "click": "Clicked", "view": "Viewed"}
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def encode_metrics(spark, sf):
+    m = encoding(spark, sf).metrics
+    return m.select(*KEY, "n_bytes", "n_bits", "segments", "nt", "storage_seq_count", "rll_max", "rll_violations", "end_violations", *[r6(F.col(c)).alias(c) for c in ("gc_mean", "gc_var", "encoding_rate_bits_per_nt", "gross_rate_bits_per_nt", "avg_best_lsbm_len")])
+
 
 def queries() -> dict:
-    return {}
+    doc = F.col("doc_id")
+    q = {}
+    q["bytes_to_bits"] = lambda s, d: payloads(s, d).select("doc_id", bits.bytes_to_bits(F.col("payload")).alias("bits"))
+    q["segments"] = lambda s, d: segs(s, d)
+    q["nonoverlap_count"] = lambda s, d: segs(s, d).select("doc_id", "seg_id", bits.nonoverlap_count(F.col("s"), F.left("s", F.lit(5))).alias("n"))
+    q["lsbm_prefix"] = lambda s, d: reps(s, d).select("doc_id", "seg_id", "lp")
+    q["lsbm_suffix"] = lambda s, d: reps(s, d).select("doc_id", "seg_id", "ls")
+    q["lsbm_profile"] = lambda s, d: segments.profile(reps(s, d)).select("doc_id", "seg_id", "best_len", "best_hits")
+    q["map1_candidates"] = lambda s, d: segments.candidates(reps(s, d), KEY)
+    q["map1_freq"] = freq
+    q["map1_ranked"] = lambda s, d: segments.ranked(freq(s, d), [])
+    q["map1_kept"] = lambda s, d: segments.kept(freq(s, d), [])
+    q["huffman_codes"] = lambda s, d: encoding(s, d).codebook.select("doc_id", F.inline(F.arrays_zip("keys", "codes")))
+    q["payload_dna"] = lambda s, d: encoding(s, d).payload
+    q["storage_strands"] = lambda s, d: encoding(s, d).strands
+    q["dna_fingerprint"] = lambda s, d: encode.fingerprints(encoding(s, d).payload, KEY)
+    q["encode_metrics"] = encode_metrics
+    q["encode_corpus"] = lambda s, d: encode.encode(table(s, d, "documents"), KEY, scope="corpus", by=["source"]).payload
+    q["fallback_encode"] = lambda s, d: encode.codebook.encoded(payloads(s, d).withColumn("keys", F.lit(None).cast("array<string>")).drop("keys"), s.createDataFrame([], "doc_id long, keys array<string>, codes array<string>"), KEY).select("doc_id", F.array_join("seg_dna", "").alias("dna"))
+    q["quaternary_dna"] = lambda s, d: payloads(s, d).select("doc_id", bits.quaternary(F.col("payload")).alias("dna"))
+    q["payload_blocks"] = lambda s, d: tiles(s, d)
+    q["strand_address"] = lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", dna.address(F.col("l_orderkey") * 7).alias("address"))
+    q["strands_plain"] = lambda s, d: tiles(s, d).select("doc_id", "block_id", dna.strand(F.col("block_id"), F.col("block")).alias("strand"))
+    q["block_constraints"] = lambda s, d: encode.constraints(tiles(s, d)).select("doc_id", "block_id", "gc", "rll", "endgc")
+    q["block_summary"] = lambda s, d: encode.block_summary(encode.constraints(tiles(s, d)), KEY).select("doc_id", r6(F.col("gc_mean")).alias("gc_mean"), r6(F.col("gc_var")).alias("gc_var"), "rll_max", "rll_violations", "end_violations", "storage_seq_count", "nt")
+    q["fingerprint_plain"] = lambda s, d: table(s, d, "customer").select("c_custkey", dna.fingerprint(F.col("c_name")).alias("h"))
+    q["run_timing_stats"] = lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), r6(F.avg("value")).alias("mean_ms"), r6(F.stddev_pop("value")).alias("std_ms"))
+    q["compare_runs"] = pairs
+    q["compare_runs_two_keys"] = lambda s, d: compare.joined(*[table(s, d, "lineitem").where(F.col("l_returnflag") == f).groupBy("l_suppkey", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("q")) for f in "RN"], ["l_suppkey", "l_linestatus"], ("_r", "_n"))
+    q["speedup_ratios"] = lambda s, d: compare.speedups(pairs(s, d), FASTER).select("dataset", *[r6(F.col(c)).alias(c) for c in FASTER])
+    q["hash_parity"] = lambda s, d: pairs(s, d).select("dataset", compare.parity("dna_hash_payload_seq", "dna_hash_payload_cuda").alias("match"))
+    q["speedup_summary"] = lambda s, d: compare.speedups(pairs(s, d), FASTER).agg(*[r6(F.avg(c)).alias(c) for c in FASTER], F.count_if(compare.parity("dna_hash_payload_seq", "dna_hash_payload_cuda")).alias("matches"))
+    q["rounded_summary"] = lambda s, d: pairs(s, d).select("dataset", F.round(F.col("file_size_bytes_seq") / 1024, 1).alias("kb"), F.round("total_ms_seq", 1).alias("seq"), F.format_string("%.2f", "lsbm_ms_cuda").alias("lsbm"))
+    q["phase_breakdown"] = lambda s, d: compare.phases(runs(s, d, False), ["dataset"])
+    q["phase_sum"] = lambda s, d: runs(s, d, False).select("dataset", F.round(sum((F.col(c) for c in compare.PHASES[1:]), F.col(compare.PHASES[0])), 3).alias("phase_sum_ms"))
+    q["phase_means"] = lambda s, d: table(s, d, "lineitem").groupBy("l_shipdate").agg(*[r6(F.avg(c)).alias(c) for c in ("l_quantity", "l_tax", "l_discount")]).orderBy("l_shipdate")
+    q["bottleneck_phase"] = lambda s, d: compare.bottleneck(runs(s, d, True), ["dataset"]).withColumn("share", r6(F.col("share")))
+    q["common_datasets"] = lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("k")).intersect(table(s, d, "customer").select(F.col("c_custkey").alias("k"))).orderBy("k")
+    q["tagged_union"] = lambda s, d: compare.tagged({"SEQ": runs(s, d, False), "CUDA": runs(s, d, True).drop("huffman_ms")})
+    q["lenient_cast"] = lambda s, d: compare.lenient(table(s, d, "customer").select("c_custkey", F.replace("c_name", F.lit("Customer#0000000"), F.lit("")).alias("x")), ["x"])
+    q["label_map"] = lambda s, d: compare.labelled(table(s, d, "events").select("event_id", "event_type"), "event_type", LABELS)
+    q["dim_lookup_join"] = lambda s, d: table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "l_quantity")
+    q["grouped_transfer"] = lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("bytes"), F.round(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))), 2).alias("open_bytes"))
+    q["transfer_bandwidth"] = lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", r6(compare.bandwidth(F.col("l_extendedprice") * 1e6, F.col("l_tax") * 1000)).alias("gbs"))
+    q["row_wise_least"] = lambda s, d: table(s, d, "part").select("p_partkey", r6(compare.occupancy(F.col("p_size"), (F.col("p_retailprice") * 10).cast("bigint"), F.col("p_size") * 8)).alias("occupancy"))
+    q["first_row"] = lambda s, d: table(s, d, "supplier").orderBy("s_suppkey").limit(1)
+    del doc
+    return q
+
+
+#: A document's bits, segments and repeats, by DuckDB's bit strings and linear searches: other algorithms than ours.
+BITS = "d AS (SELECT doc_id, encode(text)::BIT::VARCHAR AS bits FROM documents WHERE len(text) > 0)"
+SEGS = f"{BITS}, g AS (SELECT doc_id, i::INT AS seg_id, bits[i * 500 + 1 : i * 500 + 500] AS s FROM (SELECT doc_id, bits, unnest(range(0, (len(bits) + 499) // 500)) AS i FROM d))"
+REPS = f"""{SEGS}, r AS (SELECT *, coalesce(list_max(list_filter(range(3, len(s) // 2 + 1), lambda n: contains(s[n + 1 :], s[1 : n]))), 0)::INT AS lp,
+coalesce(list_max(list_filter(range(3, len(s) // 2 + 1), lambda n: contains(s[1 : len(s) - n], s[len(s) - n + 1 :]))), 0)::INT AS ls FROM g)"""
+
+
+def count_sql(s: str, p: str) -> str:
+    return f"((len({s}) - len(replace({s}, {p}, ''))) // len({p}))"
+
+
+CANDS = f"""{REPS}, c AS (SELECT doc_id, substr, {count_sql('s', 'substr')} AS hits FROM (
+SELECT doc_id, s, s[1 : lp] AS substr FROM r WHERE len(s) > 3 AND lp >= 3
+UNION ALL SELECT doc_id, s, s[len(s) - ls + 1 :] FROM r WHERE len(s) > 3 AND ls >= 3 AND NOT (ls <= lp AND s[len(s) - ls + 1 :] = s[1 : ls])))"""
+FREQ = f"{CANDS}, f AS (SELECT substr, sum(hits)::BIGINT AS freq FROM c GROUP BY substr)"
+RANKED = f"{FREQ}, k AS (SELECT *, row_number() OVER (ORDER BY len(substr) DESC, freq DESC, substr)::INT AS rank FROM f)"
+QUAT = "string_agg(CASE p WHEN '00' THEN 'T' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'A' END, '' ORDER BY i)"
+PLAIN = f"{BITS}, n AS (SELECT doc_id, {QUAT} AS dna FROM (SELECT doc_id, i, bits[2 * i + 1 : 2 * i + 2] AS p FROM (SELECT doc_id, bits, unnest(range(0, len(bits) // 2)) AS i FROM d)) GROUP BY doc_id), b AS (SELECT doc_id, i::INT AS block_id, dna[i * 120 + 1 : i * 120 + 120] AS block FROM (SELECT doc_id, dna, unnest(range(0, (len(dna) + 119) // 120)) AS i FROM n))"
+CHECKED = f"""{PLAIN}, x AS (SELECT doc_id, block_id, block, len(regexp_replace(block, '[AT]', '', 'g'))::INT AS gc, list_max(list_transform(regexp_extract_all(block, 'A+|C+|G+|T+'), lambda z: len(z)))::INT AS rll, len(regexp_replace(right(block, 5), '[AT]', '', 'g'))::INT AS endgc FROM b)"""
+
+
+def digits_sql(n: str) -> str:
+    return " || ".join(f"'ACGT'[((({n}) >> {2 * k}) & 3)::INT + 1]" for k in range(8, -1, -1))
+
+
+def runs_sql(returned: bool) -> str:
+    return f"""SELECT 's' || l_suppkey AS dataset, round(sum(l_extendedprice), 2) AS total_ms, round(sum(l_quantity), 4) AS lsbm_ms, round(sum(l_tax), 4) AS huffman_ms, round(sum(l_discount), 4) AS encode_ms,
+count(*) * 1024 AS file_size_bytes, sha256(max(l_linenumber)::VARCHAR) AS dna_hash_payload FROM lineitem WHERE {'' if returned else 'NOT '}(l_returnflag = 'R') GROUP BY l_suppkey"""
+
+
+_RUN = ("total_ms", "lsbm_ms", "huffman_ms", "encode_ms", "file_size_bytes", "dna_hash_payload")
+PAIRS = f"a AS ({runs_sql(False)}), b AS ({runs_sql(True)}), p AS (SELECT dataset, {', '.join(f'a.{c} AS {c}_seq, b.{c} AS {c}_cuda' for c in _RUN)} FROM a JOIN b USING (dataset))"
+
+
+def quotient(n: str) -> str:
+    a, b = FASTER[n]
+    return f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    o = {}
+    o["bytes_to_bits"] = "SELECT doc_id, CASE WHEN len(text) > 0 THEN encode(text)::BIT::VARCHAR ELSE text END AS bits FROM documents"
+    o["segments"] = f"WITH {SEGS} SELECT * FROM g"
+    o["nonoverlap_count"] = f"WITH {SEGS} SELECT doc_id, seg_id, {count_sql('s', 's[1:5]')} AS n FROM g"
+    o["lsbm_prefix"] = f"WITH {REPS} SELECT doc_id, seg_id, lp FROM r"
+    o["lsbm_suffix"] = f"WITH {REPS} SELECT doc_id, seg_id, ls FROM r"
+    o["lsbm_profile"] = f"""WITH {REPS}, m AS (SELECT *, CASE WHEN len(s) < 4 THEN 0 ELSE greatest(lp, ls) END AS best_len FROM r)
+SELECT doc_id, seg_id, best_len, CASE WHEN best_len = 0 THEN 0 ELSE greatest({count_sql('s', 's[1 : best_len]')}, {count_sql('s', 's[len(s) - best_len + 1 :]')}) END AS best_hits FROM m"""
+    o["map1_candidates"] = f"WITH {CANDS} SELECT * FROM c"
+    o["map1_freq"] = f"WITH {FREQ} SELECT * FROM f"
+    o["map1_ranked"] = f"WITH {RANKED} SELECT * FROM k WHERE rank <= 512"
+    o["map1_kept"] = f"""WITH {RANKED}, t AS (SELECT * FROM k WHERE rank <= 512), n AS (SELECT count(*) AS n0 FROM t), z AS (SELECT n0, (SELECT count(*) FROM t WHERE len(substr) >= 2 * (SELECT min(e) FROM range(0, 11) y(e) WHERE (1 << e) >= n0) + 1) AS m FROM n)
+SELECT k.* FROM k, z WHERE CASE WHEN n0 <= 1 THEN rank <= n0 WHEN m > 0 THEN rank <= m ELSE true END"""
+    o["fallback_encode"] = f"""WITH {BITS} SELECT doc_id, string_agg(CASE p WHEN '00' THEN 'GA' WHEN '01' THEN 'GT' WHEN '10' THEN 'CA' ELSE 'CT' END, '' ORDER BY i) AS dna FROM (SELECT doc_id, i, bits[2 * i + 1 : 2 * i + 2] AS p FROM (SELECT doc_id, bits, unnest(range(0, len(bits) // 2)) AS i FROM d)) GROUP BY doc_id"""
+    o["quaternary_dna"] = f"WITH {PLAIN} SELECT documents.doc_id, CASE WHEN len(text) > 0 THEN dna ELSE text END AS dna FROM documents LEFT JOIN n USING (doc_id)"
+    o["payload_blocks"] = f"WITH {PLAIN} SELECT * FROM b"
+    o["strand_address"] = f"SELECT l_orderkey, l_linenumber, {digits_sql('l_orderkey * 7')} AS address FROM lineitem"
+    o["strands_plain"] = f"WITH {PLAIN} SELECT doc_id, block_id, 'ACGTTGCATGTCAGTACGTA' || {digits_sql('block_id::BIGINT')} || rpad(block, {PAYLOAD_NT}, 'A') || 'TACGACTGACATGCAACGTT' AS strand FROM b"
+    o["block_constraints"] = f"WITH {CHECKED} SELECT doc_id, block_id, gc, rll, endgc FROM x"
+    o["block_summary"] = f"""WITH {CHECKED} SELECT doc_id, round(avg(gc / 120.0::DOUBLE), 6) AS gc_mean, round(var_pop(gc / 120.0::DOUBLE), 6) AS gc_var, max(rll)::BIGINT AS rll_max, count(*) FILTER (WHERE rll > 2) AS rll_violations,
+count(*) FILTER (WHERE endgc > 3) AS end_violations, count(*) AS storage_seq_count, sum(len(block))::BIGINT AS nt FROM x GROUP BY doc_id"""
+    o["fingerprint_plain"] = "SELECT c_custkey, lower(lpad(printf('%x', list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(string_split(c_name, ''), lambda z: ascii(z)::UHUGEINT)), lambda h, z: (xor(h, z) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0')) AS h FROM customer"
+    o["run_timing_stats"] = "SELECT event_type, count(*) AS runs, round(avg(value), 6) AS mean_ms, round(stddev_pop(value), 6) AS std_ms FROM events GROUP BY event_type"
+    o["compare_runs"] = f"WITH {PAIRS} SELECT * FROM p"
+    o["compare_runs_two_keys"] = "WITH g AS (SELECT l_suppkey, l_linestatus, l_returnflag AS f, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ALL) SELECT a.l_suppkey, a.l_linestatus, a.q AS q_r, b.q AS q_n FROM g a JOIN g b ON a.l_suppkey = b.l_suppkey AND a.l_linestatus = b.l_linestatus AND a.f = 'R' AND b.f = 'N'"
+    o["speedup_ratios"] = f"WITH {PAIRS} SELECT dataset, {', '.join(f'round({quotient(n)}, 6) AS {n}' for n in FASTER)} FROM p"
+    o["hash_parity"] = f"WITH {PAIRS} SELECT dataset, dna_hash_payload_seq = dna_hash_payload_cuda AND len(dna_hash_payload_seq) > 0 AS match FROM p"
+    o["speedup_summary"] = f"WITH {PAIRS} SELECT {', '.join(f'round(avg({quotient(n)}), 6) AS {n}' for n in FASTER)}, count(*) FILTER (WHERE dna_hash_payload_seq = dna_hash_payload_cuda) AS matches FROM p"
+    o["rounded_summary"] = f"WITH {PAIRS} SELECT dataset, round(file_size_bytes_seq / 1024, 1) AS kb, round(total_ms_seq, 1) AS seq, printf('%.2f', lsbm_ms_cuda) AS lsbm FROM p"
+    o["phase_breakdown"] = f"WITH a AS ({runs_sql(False)}) SELECT dataset, phase, ms FROM (SELECT dataset, lsbm_ms, huffman_ms, encode_ms FROM a) UNPIVOT (ms FOR phase IN (lsbm_ms, huffman_ms, encode_ms))"
+    o["phase_sum"] = f"WITH a AS ({runs_sql(False)}) SELECT dataset, round(lsbm_ms + huffman_ms + encode_ms, 3) AS phase_sum_ms FROM a"
+    o["phase_means"] = "SELECT l_shipdate, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_tax), 6) AS l_tax, round(avg(l_discount), 6) AS l_discount FROM lineitem GROUP BY l_shipdate"
+    o["bottleneck_phase"] = f"WITH a AS ({runs_sql(True)}), u AS (SELECT dataset, phase, ms FROM (SELECT dataset, lsbm_ms, huffman_ms, encode_ms FROM a) UNPIVOT (ms FOR phase IN (lsbm_ms, huffman_ms, encode_ms))) SELECT dataset, phase, ms, round(ms / total, 6) AS share FROM (SELECT *, sum(ms) OVER (PARTITION BY dataset) AS total, row_number() OVER (PARTITION BY dataset ORDER BY ms DESC, phase) AS k FROM u) WHERE k = 1"
+    o["common_datasets"] = "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer"
+    o["tagged_union"] = f"SELECT *, 'SEQ' AS impl FROM ({runs_sql(False)}) UNION ALL BY NAME SELECT * EXCLUDE (huffman_ms), 'CUDA' AS impl FROM ({runs_sql(True)})"
+    o["lenient_cast"] = "SELECT c_custkey, try_cast(replace(c_name, 'Customer#0000000', '') AS DOUBLE) AS x FROM customer"
+    o["label_map"] = "SELECT event_id, event_type, " + "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LABELS.items()) + " ELSE event_type END AS label FROM events"
+    o["dim_lookup_join"] = "SELECT l_orderkey, l_linenumber, p_name, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey"
+    o["grouped_transfer"] = "SELECT l_returnflag, round(sum(l_quantity), 2) AS bytes, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 2) AS open_bytes FROM lineitem GROUP BY l_returnflag"
+    o["transfer_bandwidth"] = "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax > 0 THEN l_extendedprice * 1e6 / 1e9 / (l_tax * 1000 / 1e3) ELSE 0 END, 6) AS gbs FROM lineitem"
+    o["row_wise_least"] = """SELECT p_partkey, round(least(48, CASE WHEN r > 0 THEN 65536 // (r * 32) ELSE 48 END, least(32, 102400 // CASE WHEN s > 0 THEN s ELSE 1 END) * CASE WHEN b >= 32 THEN b // 32 ELSE 1 END) / 48.0::DOUBLE * 100, 6) AS occupancy
+FROM (SELECT p_partkey, p_size AS r, trunc(p_retailprice * 10)::BIGINT AS s, p_size * 8 AS b FROM part)"""
+    o["first_row"] = "SELECT * FROM supplier ORDER BY s_suppkey LIMIT 1"
+    return o
