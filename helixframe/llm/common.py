@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.sources.shared import cut as cut
+
 #: Text that one numpy pass works on. A longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
 
@@ -25,24 +25,6 @@ SOLID_BYTE = np.ones(256, bool)
 SOLID_BYTE[[9, 10, 11, 12, 13, 32]] = False
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only where that is unset (tests, one machine), a local one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_helix_checkpoints", None)
-    if not root:
-        root = spark._helix_checkpoints = tempfile.mkdtemp(prefix="helixframe-")
-    return f"{root}/cut-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -136,14 +136,14 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     return train({lang: [x for _, x in sorted(x)[:rows]] for lang, x in texts.items() if x})
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score: the likeliest learned language and its probability.
 
     Null texts and those without a letter are `und` with score 0, as is everything if nothing was learned. Long texts
     are read whole; evidence is weighed by the byte, so that a score isn't 1 for length alone. Ties go to the language
-    first by name. Other columns pass through.
+    first by name. Other columns pass through; `names` are those of the two new ones.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     letter = "_helix_letter"
 
@@ -153,16 +153,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             for part, data, at in pieces(batch):
                 has = np.asarray(part.column(letter).fill_null(False))
                 if scorer is None:
-                    names, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
+                    found, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 else:
                     bits = scorer.costs(data, at)
                     best = bits.argmin(1)
                     size = np.maximum(1, np.diff(at))
                     gap = (bits - bits.min(1, keepdims=True)) * np.minimum(1, EVIDENCE_BYTES / size)[:, None]
                     score = np.where(has, 1 / np.exp2(-np.minimum(gap, 1000)).sum(1), 0.0)
-                    names = [scorer.model.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+                    found = [scorer.model.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
                 own = [c for c in part.schema.names if c != letter]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(names), pa.array(score)], [*own, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(found, pa.string()), pa.array(score)], [*own, *names])
 
     return docs.withColumn(letter, F.col("text").rlike(r"\p{L}")).mapInArrow(scan, schema)
 
@@ -171,8 +171,8 @@ def keep_known(docs: DataFrame, languages: list[str] | None = None, least: float
     """Documents in a learned language (one of `languages`, if given) with a score of at least `least`; others go.
     Learns from the rows of docs that have a lang, as op6 does."""
     model = fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
-    found = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return (found if languages is None else found.where(F.col("lang_pred").isin(languages))).select(*docs.columns)
+    found = predict(docs, model, ("_helix_lang", "_helix_score")).where((F.col("_helix_lang") != "und") & (F.col("_helix_score") >= least))
+    return (found if languages is None else found.where(F.col("_helix_lang").isin(languages))).select(*docs.columns)
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:

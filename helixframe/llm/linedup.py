@@ -86,21 +86,24 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINE
     and its text are one document and share its outcome; they don't make each other's lines copies. A null text stays
     null; an empty text, or one all of whose lines go, is empty. All rows stay. Names in docs may be any.
     """
-    gone = dropped(docs, min_chars, min_lines).select(F.col("none").alias("_k1"), F.col("doc").alias("_k2"), F.col("mark").alias("_k3"), F.col("gone").alias("_gone"))
-    on = (F.col("d.doc_id").isNull() == F.col("g._k1")) & (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == F.col("g._k2")) & (F.xxhash64("d.text") == F.col("g._k3"))
-    both = docs.alias("d").join(gone.alias("g"), on, "left")
-    split = F.split(F.col("d.text"), "\n")
-    # array_except hashes; adjacent numbers are one run.
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    made = both.withColumn("_text", text)
-    size = F.when(F.col("_gone").isNull(), F.col("d.n_chars")).otherwise(F.length("_text")) if "n_chars" in docs.columns else None
-    columns = [F.col("_text").alias(c) if c == "text" else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c in docs.columns]
+    # Rows travel as one struct, so that no name in docs meets one of ours.
+    gone = dropped(docs, min_chars, min_lines)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    old = F.col("d").getField("text")
+    on = (F.col("d.doc_id").isNull() == gone.none) & (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == gone.doc) & (F.xxhash64(old) == gone.mark)
+    both = rows.join(gone, on, "left").select("d", "gone")
+    split, untouched = F.split(old, "\n"), F.col("gone").isNull()
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))  # by hashing
+    text = F.when(untouched, old).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
+    made = both.select("d", "gone", F.inline(F.array(F.struct(text.alias("text")))))
+    own = {c: F.col("d").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(untouched, own["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     if report:
-        n = F.coalesce(F.size("_gone"), F.lit(0))
-        heads = F.size(F.array_except("_gone", F.transform("_gone", lambda i: i + 1)))
-        columns += [F.when(F.col("d.text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), n.cast("long").alias("n_dropped"), F.coalesce(heads, F.lit(0)).cast("long").alias("n_runs")]
-    return made.select(*columns)
+        heads = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))  # adjacent numbers are one run
+        own["n_lines"] = F.when(old.isNull(), 0).otherwise(F.size(split)).cast("long")
+        own |= {c: F.when(untouched, 0).otherwise(n).cast("long") for c, n in (("n_dropped", F.size("gone")), ("n_runs", heads))}
+    return made.select(*[x.alias(c) for c, x in own.items()])
 
 
 def op10_linededup(spark, sf_dir: str) -> DataFrame:

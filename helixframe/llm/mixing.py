@@ -61,11 +61,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     r = r.select("mix_source", cdf(F.col("rate")).alias("mix_cdf")).where(F.col("rate") > 0)
     # One row for each source: a broadcast if there are few, counted beforehand; else Spark's own (skew-split) join.
     few = known.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = known.join(F.broadcast(r) if few else r, known.source.eqNullSafe(r.mix_source)).drop("mix_source")
-    counted = joined.withColumn("mix_u", uniform(F.col("doc_id"))).withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
-    copies = counted.where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))).drop("mix_cdf", "mix_u", "mix_n")
-    keyed = copies.withColumn("mix_key", uniform(F.col("doc_id"), F.col("mix_copy")))
-    return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    # Rows travel as one struct, so that no name in docs meets one of ours.
+    rows = known.select(F.struct(*[F.col(f"`{c}`") for c in known.columns]).alias("d"))
+    joined = rows.join(F.broadcast(r) if few else r, F.col("d.source").eqNullSafe(r.mix_source))
+    counted = joined.select("d", "mix_cdf", uniform(F.col("d.doc_id")).alias("u")).select("d", F.size(F.filter("mix_cdf", lambda c: c <= F.col("u"))).alias("n"))
+    copies = counted.where("n > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("mix_copy"))
+    keyed = copies.withColumn("mix_key", uniform(F.col("d.doc_id"), F.col("mix_copy")))
+    dealt = keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    return dealt.select(*[F.col("d").getField(c).alias(c) for c in known.columns], "mix_copy", "mix_key")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

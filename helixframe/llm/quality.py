@@ -127,7 +127,8 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             for part, data, at in pieces(batch):
                 p = probability(net, pooled(net, *chunks(data, at))) if net else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.astype(np.float64))], [*part.schema.names, "score"])
+                p = np.round(p.astype(np.float64), 6)  # last digits depend on what else is in the piece
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "score"])
 
     return docs.mapInArrow(scan, schema)
 

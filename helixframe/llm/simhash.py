@@ -151,9 +151,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id (nulls last; among rows of that id the one of
     the smallest fingerprint and text hash; exact repeats of a row count as one). Columns are those of docs."""
-    held = fingerprints(docs.select(*docs.columns))
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    marked = cut(held.select("doc_id", "text", "fp").select("doc_id", "fp", F.xxhash64("text").alias("text_hash")))
+    marked = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp", F.xxhash64("text").alias("text_hash")))
     groups = classes(marked)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.col("fp").alias("f")))
     first = marked.groupBy("fp").agg(best.alias("best")).join(groups, "fp").groupBy("group").agg(F.min("best").alias("best"))
