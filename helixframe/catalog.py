@@ -128,10 +128,19 @@ def queries() -> dict:
 #: A document's bits, segments and repeats, by DuckDB's bit strings and linear searches: other algorithms than ours.
 BITS = "d AS (SELECT doc_id, encode(text)::BIT::VARCHAR AS bits FROM documents WHERE len(text) > 0)"
 SEGS = f"{BITS}, g AS (SELECT doc_id, i::INT AS seg_id, bits[i * 500 + 1 : i * 500 + 500] AS s FROM (SELECT doc_id, bits, unnest(range(0, (len(bits) + 499) // 500)) AS i FROM d))"
-REPS = f"""{SEGS}, r AS (SELECT *, coalesce(list_max(list_filter(range(3, len(s) // 2 + 1), lambda n: contains(s[n + 1 :], s[1 : n]))), 0)::INT AS lp,
+LINEAR = f"""{SEGS}, r AS (SELECT *, coalesce(list_max(list_filter(range(3, len(s) // 2 + 1), lambda n: contains(s[n + 1 :], s[1 : n]))), 0)::INT AS lp,
 coalesce(list_max(list_filter(range(3, len(s) // 2 + 1), lambda n: contains(s[1 : len(s) - n], s[len(s) - n + 1 :]))), 0)::INT AS ls FROM g)"""
 
 
+def halved_sql(test: str) -> str:
+    """By binary search, where many queries need the lengths."""
+    m = "((a[1] + a[2]) // 2)"
+    return f"list_reduce(list_concat([[3, len(s) // 2, 0]], [[0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0]]), lambda a, x: CASE WHEN a[1] > a[2] THEN a WHEN {test.format(m=m)} THEN [{m} + 1, a[2], {m}] ELSE [a[1], {m} - 1, a[3]] END)[3]::INT"
+
+
+REPS = f"{SEGS}, r AS (SELECT *, {halved_sql('contains(s[{m} + 1 :], s[1 : {m}])')} AS lp, {halved_sql('contains(s[1 : len(s) - {m}], s[len(s) - {m} + 1 :])')} AS ls FROM g)"
+
+
 def count_sql(s: str, p: str) -> str:
     return f"((len({s}) - len(replace({s}, {p}, ''))) // len({p}))"
 
@@ -169,8 +178,8 @@ def oracle_sql() -> dict[str, str]:
     o["bytes_to_bits"] = "SELECT doc_id, CASE WHEN len(text) > 0 THEN encode(text)::BIT::VARCHAR ELSE text END AS bits FROM documents"
     o["segments"] = f"WITH {SEGS} SELECT * FROM g"
     o["nonoverlap_count"] = f"WITH {SEGS} SELECT doc_id, seg_id, {count_sql('s', 's[1:5]')} AS n FROM g"
-    o["lsbm_prefix"] = f"WITH {REPS} SELECT doc_id, seg_id, lp FROM r"
-    o["lsbm_suffix"] = f"WITH {REPS} SELECT doc_id, seg_id, ls FROM r"
+    o["lsbm_prefix"] = f"WITH {LINEAR} SELECT doc_id, seg_id, lp FROM r"
+    o["lsbm_suffix"] = f"WITH {LINEAR} SELECT doc_id, seg_id, ls FROM r"
     o["lsbm_profile"] = f"""WITH {REPS}, m AS (SELECT *, CASE WHEN len(s) < 4 THEN 0 ELSE greatest(lp, ls) END AS best_len FROM r)
 SELECT doc_id, seg_id, best_len, CASE WHEN best_len = 0 THEN 0 ELSE greatest({count_sql('s', 's[1 : best_len]')}, {count_sql('s', 's[len(s) - best_len + 1 :]')}) END AS best_hits FROM m"""
     o["map1_candidates"] = f"WITH {CANDS} SELECT * FROM c"
