@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.constants import PAYLOAD_NT
+from helixframe.constants import FALLBACK, PAYLOAD_NT, QUATERNARY
 from helixframe.functions import bits, dna
 from helixframe.operators import compare, segments
 from helixframe.plans import encode
@@ -150,8 +150,15 @@ SELECT doc_id, s, s[1 : lp] AS substr FROM r WHERE len(s) > 3 AND lp >= 3
 UNION ALL SELECT doc_id, s, s[len(s) - ls + 1 :] FROM r WHERE len(s) > 3 AND ls >= 3 AND NOT (ls <= lp AND s[len(s) - ls + 1 :] = s[1 : ls])))"""
 FREQ = f"{CANDS}, f AS (SELECT substr, sum(hits)::BIGINT AS freq FROM c GROUP BY substr)"
 RANKED = f"{FREQ}, k AS (SELECT *, row_number() OVER (ORDER BY len(substr) DESC, freq DESC, substr)::INT AS rank FROM f)"
-QUAT = "string_agg(CASE p WHEN '00' THEN 'T' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'A' END, '' ORDER BY i)"
-PLAIN = f"{BITS}, n AS (SELECT doc_id, {QUAT} AS dna FROM (SELECT doc_id, i, bits[2 * i + 1 : 2 * i + 2] AS p FROM (SELECT doc_id, bits, unnest(range(0, len(bits) // 2)) AS i FROM d)) GROUP BY doc_id), b AS (SELECT doc_id, i::INT AS block_id, dna[i * 120 + 1 : i * 120 + 120] AS block FROM (SELECT doc_id, dna, unnest(range(0, (len(dna) + 119) // 120)) AS i FROM n))"
+
+
+def spelled_sql(pairs: dict[str, str]) -> str:
+    """Each hexadecimal digit of a text's bytes as the words of its two bit pairs."""
+    words = ", ".join(f"'{pairs[f'{k:04b}'[:2]]}{pairs[f'{k:04b}'[2:]]}'" for k in range(16))
+    return f"array_to_string(list_transform(string_split(hex(encode(text)), ''), lambda h: ([{words}])[strpos('0123456789ABCDEF', h)]), '')"
+
+
+PLAIN = f"n AS (SELECT doc_id, {spelled_sql(QUATERNARY)} AS dna FROM documents WHERE len(text) > 0), b AS (SELECT doc_id, i::INT AS block_id, dna[i * 120 + 1 : i * 120 + 120] AS block FROM (SELECT doc_id, dna, unnest(range(0, (len(dna) + 119) // 120)) AS i FROM n))"
 CHECKED = f"""{PLAIN}, x AS (SELECT doc_id, block_id, block, len(regexp_replace(block, '[AT]', '', 'g'))::INT AS gc, list_max(list_transform(regexp_extract_all(block, 'A+|C+|G+|T+'), lambda z: len(z)))::INT AS rll, len(regexp_replace(right(block, 5), '[AT]', '', 'g'))::INT AS endgc FROM b)"""
 
 
@@ -187,7 +194,7 @@ SELECT doc_id, seg_id, best_len, CASE WHEN best_len = 0 THEN 0 ELSE greatest({co
     o["map1_ranked"] = f"WITH {RANKED} SELECT * FROM k WHERE rank <= 512"
     o["map1_kept"] = f"""WITH {RANKED}, t AS (SELECT * FROM k WHERE rank <= 512), n AS (SELECT count(*) AS n0 FROM t), z AS (SELECT n0, (SELECT count(*) FROM t WHERE len(substr) >= 2 * (SELECT min(e) FROM range(0, 11) y(e) WHERE (1 << e) >= n0) + 1) AS m FROM n)
 SELECT k.* FROM k, z WHERE CASE WHEN n0 <= 1 THEN rank <= n0 WHEN m > 0 THEN rank <= m ELSE true END"""
-    o["fallback_encode"] = f"""WITH {BITS} SELECT doc_id, string_agg(CASE p WHEN '00' THEN 'GA' WHEN '01' THEN 'GT' WHEN '10' THEN 'CA' ELSE 'CT' END, '' ORDER BY i) AS dna FROM (SELECT doc_id, i, bits[2 * i + 1 : 2 * i + 2] AS p FROM (SELECT doc_id, bits, unnest(range(0, len(bits) // 2)) AS i FROM d)) GROUP BY doc_id"""
+    o["fallback_encode"] = f"SELECT doc_id, {spelled_sql(FALLBACK)} AS dna FROM documents WHERE len(text) > 0"
     o["quaternary_dna"] = f"WITH {PLAIN} SELECT documents.doc_id, CASE WHEN len(text) > 0 THEN dna ELSE text END AS dna FROM documents LEFT JOIN n USING (doc_id)"
     o["payload_blocks"] = f"WITH {PLAIN} SELECT * FROM b"
     o["strand_address"] = f"SELECT l_orderkey, l_linenumber, {digits_sql('l_orderkey * 7')} AS address FROM lineitem"

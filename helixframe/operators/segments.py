@@ -71,15 +71,14 @@ def kept(freq: DataFrame, by: list[str], cap: int = TABLE_CAP) -> DataFrame:
     """(by, substr, freq, rank) of the rows that enter the code: of n rows under the cap, those of at least
     2 * ceil(log2 n) + 1 bits; if there is none, all rows of the group, the cap undone."""
     top = ranked(freq, by, cap)
-    sizes = top.groupBy(*by).agg(F.count(F.lit(1)).alias("n0"))
-    floor = 2 * F.length(F.bin((F.col("n0") - 1).cast("bigint"))) + 1  # bits of n - 1 are ceil(log2 n)
+    sizes = top.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    floor = 2 * F.length(F.bin((F.col("_rows") - 1).cast("bigint"))) + 1  # bits of n - 1 are ceil(log2 n)
     deep = top.join(sizes, by) if by else top.crossJoin(F.broadcast(sizes))  # one row
-    cuts = deep.groupBy(*by).agg(F.max("n0").alias("n0"), F.count_if(F.length("substr") >= floor).alias("k"))
-    limit = F.when(F.col("n0") <= 1, F.col("n0")).otherwise(F.col("k"))
-    whole = cuts.select(*by, limit.alias("limit"))
-    first = (top.join(whole, by) if by else top.crossJoin(F.broadcast(whole))).where(F.col("rank") <= F.col("limit"))
+    cuts = deep.groupBy(*by).agg(F.max("_rows").alias("_rows"), F.count_if(F.length("substr") >= floor).alias("_deep"))
+    whole = cuts.select(*by, F.when(F.col("_rows") <= 1, F.col("_rows")).otherwise(F.col("_deep")).alias("_limit"))
+    first = (top.join(whole, by) if by else top.crossJoin(F.broadcast(whole))).where(F.col("rank") <= F.col("_limit"))
     # Groups without a deep row: keys there are short, so that distinct ones are few.
-    shallow = whole.where("limit = 0")
+    shallow = whole.where("_limit = 0")
     rest = freq.join(shallow, by) if by else freq.crossJoin(F.broadcast(shallow))
     rest = rest.withColumn("rank", F.row_number().over(_order(by)))
     return first.select(*by, "substr", "freq", "rank").unionByName(rest.select(*by, "substr", "freq", "rank"))

@@ -26,16 +26,12 @@ def basename(path):
 
 def payload_files(spark: SparkSession, path: str, glob: str = "*.{txt,pdf,jpg}") -> DataFrame:
     """(path, dataset, file_name, file_size_bytes, payload) of a folder's files; the tag is the name with _ for -.
-    Empty files are there too: empty_files() names those that an encoding leaves out."""
+    Empty files, which no encoding takes, are left out by Spark's reader."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = basename(F.col("path"))
     return found.select("path", F.replace(name, F.lit("-"), F.lit("_")).alias("dataset"), name.alias("file_name"), F.col("length").alias("file_size_bytes"), F.col("content").alias("payload"))
 
 
-def empty_files(files: DataFrame) -> DataFrame:
-    return files.where(F.col("file_size_bytes") == 0).select("path", "file_name")
-
-
 def read_metrics(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """All CSV files of a folder or glob, with an explicit schema."""
     return spark.read.schema(schema).option("header", True).csv(path)

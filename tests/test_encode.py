@@ -87,8 +87,7 @@ def test_files_and_metrics(spark, tmp_path):
     (tmp_path / "f" / "e.pdf").write_bytes(b"")
     (tmp_path / "f" / "no.csv").write_bytes(b"x")
     found = files.payload_files(spark, str(tmp_path / "f"))
-    assert sorted((r["dataset"], r["file_size_bytes"]) for r in found.collect()) == [("a_b.txt", 5), ("e.pdf", 0)]
-    assert [r["file_name"] for r in files.empty_files(found).collect()] == ["e.pdf"]
+    assert sorted((r["dataset"], r["file_size_bytes"]) for r in found.collect()) == [("a_b.txt", 5)]
     m = spark.createDataFrame([("d", 1, "1e5")], "dataset string, runs int, dna_hash_payload string")
     for _ in range(2):
         files.append_metrics(m, str(tmp_path / "m"))
