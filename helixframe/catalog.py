@@ -75,7 +75,6 @@ def encode_metrics(spark, sf):
 
 
 def queries() -> dict:
-    doc = F.col("doc_id")
     q = {}
     q["bytes_to_bits"] = lambda s, d: payloads(s, d).select("doc_id", bits.bytes_to_bits(F.col("payload")).alias("bits"))
     q["segments"] = lambda s, d: segs(s, d)
@@ -121,7 +120,6 @@ def queries() -> dict:
     q["transfer_bandwidth"] = lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", r6(compare.bandwidth(F.col("l_extendedprice") * 1e6, F.col("l_tax") * 1000)).alias("gbs"))
     q["row_wise_least"] = lambda s, d: table(s, d, "part").select("p_partkey", r6(compare.occupancy(F.col("p_size"), (F.col("p_retailprice") * 10).cast("bigint"), F.col("p_size") * 8)).alias("occupancy"))
     q["first_row"] = lambda s, d: table(s, d, "supplier").orderBy("s_suppkey").limit(1)
-    del doc
     return q
 
 
