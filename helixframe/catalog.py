@@ -44,7 +44,7 @@ def encoding(spark, sf: str) -> encode.Encoding:
 
 def tiles(spark, sf: str) -> DataFrame:
     """Blocks of the plain two-bit encoding: the same layout, from SQL that needs no code table."""
-    plain = payloads(spark, sf).where(F.length("payload") > 0).select(*KEY, bits.quaternary(F.col("payload")).alias("dna"))
+    plain = payloads(spark, sf).where(F.length("payload") > 0).select(*KEY, segments.once(bits.quaternary(F.col("payload")).alias("dna")))
     return encode.blocks(plain, KEY)
 
 

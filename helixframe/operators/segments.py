@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.constants import MIN_KEY_LEN, SEGMENT_HEX, TABLE_CAP
-from helixframe.functions.bits import hex_bits, longest_prefix, longest_suffix, nonoverlap_count
+from helixframe.functions.bits import longest_prefix, longest_suffix, nonoverlap_count, segment_bits
 
 
 def segments(payloads: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
     """(keys, seg_id, s): tiles of 500 bits, the last one may be short. Empty and null payloads have none. Tiles are cut
     from hexadecimal text and spelled out as bits afterwards, so that no row holds all bits of a payload."""
-    digits = F.hex(payload)
+    digits = F.col("_digits")
     tiles = F.transform(F.sequence(F.lit(0), F.ceil(F.length(digits) / SEGMENT_HEX).cast("int") - 1), lambda i: F.substring(digits, i * SEGMENT_HEX + 1, F.lit(SEGMENT_HEX)))
-    cut = payloads.where(F.length(payload) > 0).select(*keys, F.posexplode(tiles).alias("seg_id", "h"))
-    return cut.select(*keys, "seg_id", once(hex_bits(F.col("h")).alias("s")))
+    cut = payloads.where(F.length(payload) > 0).select(*keys, once(F.hex(payload).alias("_digits"))).select(*keys, F.posexplode(tiles).alias("seg_id", "h"))
+    return cut.select(*keys, "seg_id", once(segment_bits(F.col("h")).alias("s")))
 
 
 def once(*columns):
@@ -82,3 +82,13 @@ def kept(freq: DataFrame, by: list[str], cap: int = TABLE_CAP) -> DataFrame:
     rest = freq.join(shallow, by) if by else freq.crossJoin(F.broadcast(shallow))
     rest = rest.withColumn("rank", F.row_number().over(_order(by)))
     return first.select(*by, "substr", "freq", "rank").unionByName(rest.select(*by, "substr", "freq", "rank"))
+
+
+def kept_in_place(freq: DataFrame, by: list[str], cap: int = TABLE_CAP) -> DataFrame:
+    """kept(), by windows alone: for groups that are one payload each and already lie together, so that nothing moves."""
+    group = Window.partitionBy(*by)
+    rows = freq.withColumn("rank", F.row_number().over(_order(by))).withColumn("_rows", F.least(F.count(F.lit(1)).over(group), F.lit(cap)))
+    floor = 2 * F.length(F.bin((F.col("_rows") - 1).cast("bigint"))) + 1
+    deep = F.sum(((F.col("rank") <= cap) & (F.length("substr") >= floor)).cast("int")).over(group)
+    limit = F.when(F.col("_rows") <= 1, F.col("_rows")).otherwise(F.col("_deep"))
+    return rows.withColumn("_deep", deep).where((limit == 0) | (F.col("rank") <= limit)).select(*by, "substr", "freq", "rank")

@@ -66,7 +66,7 @@ def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str =
     if scope == "doc":
         found = found.repartition(*by)  # all that follows groups by the key: one shuffle serves all of it
     freq = segments.frequencies(found, by)
-    table = segments.kept(freq, by)
+    table = segments.kept_in_place(freq, by) if scope == "doc" else segments.kept(freq, by)
     books = codebook.codebooks(table, by)
     done = codebook.encoded(payloads, books, by) if by else codebook.encoded(payloads.withColumn("_all", F.lit(0)), books.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     payload = cut(done.select(*keys, F.octet_length("payload").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"), F.array_join("seg_dna", "").alias("dna")))
