@@ -13,7 +13,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     borders = int(border.sum())
     key = np.where(border, np.cumsum(border) - 1, borders - 1 + symbols).astype(np.uint64)
     bits = max(1, int(key.max()).bit_length())
-    depth = max(1, 63 // bits)
+    depth = min(n, max(1, 63 // bits))
     packed = np.zeros(n, np.uint64)
     for j in range(depth):
         packed <<= np.uint64(bits)
