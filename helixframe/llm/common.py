@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.sources.shared import cut as cut
 
@@ -34,6 +35,24 @@ def remainder(column, n: int):
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without columns of these names in any case: an operator's new columns take the place of such."""
+    taken = {n.lower() for n in names}
+    own = [c for c in docs.columns if c.lower() not in taken]
+    return docs if len(own) == len(docs.columns) else docs.select(*[F.col(f"`{c}`") for c in own])
+
+
+def map_batches(docs: DataFrame, scan, schema: T.StructType) -> DataFrame:
+    """docs.mapInArrow(scan, schema), also where a name has a dot, which that method would take for a field's."""
+    if not any("." in c for c in docs.columns):
+        return docs.mapInArrow(scan, schema)
+    plain = [f.name.replace(".", f"_dot{k}_") for k, f in enumerate(schema)]
+    kinds = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(plain, schema, strict=True)])
+    place = {f.name: c for f, c in zip(schema, plain, strict=True)}
+    renamed = docs.toDF(*[place.get(c, c) for c in docs.columns])
+    return renamed.mapInArrow(scan, kinds).toDF(*[f.name for f in schema])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without copying, and where each row's begin (one more entry than rows)."""
     if isinstance(column, pa.ChunkedArray):

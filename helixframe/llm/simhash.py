@@ -3,14 +3,16 @@
 Fingerprints are made in one pass over the texts, without a shuffle. Equal fingerprints are put together first, so that
 copies never meet as pairs. Each distinct fingerprint then gets its table of Hamming distances to reference
 fingerprints. Two fingerprints within 4 bits agree on at least two of six blocks, so they are dealt by each pair of
-blocks (15 keys of about 21 bits) and meet by an equi-join, which Spark can split where a key is frequent; a pair is
-discarded if any coordinate of its tables differs by more than 4, then verified, and kept only under the first pair of
-blocks that it shares. Links become components by contraction, each round written to the shared folder.
+blocks (15 keys of 21 bits or more) and meet by an equi-join, which Spark can split where a key is frequent. The more
+fingerprints there are, the more blocks (three of seven, four of eight, ...: longer keys), so that as few share a key.
+A pair is discarded if any coordinate of its tables differs by more than 4, then verified, and kept only under the first
+key that it shares. Links become components by contraction, each round written to the shared folder.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import SOLID_BYTE, Words, cut, pieces
+from helixframe.llm.common import SOLID_BYTE, Words, cut, map_batches, pieces
 
 SHINGLE, DISTANCE, SEED, PIVOTS = 4, 4, 42, 16
-#: First bit and width of each block.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Fingerprints that share a key, about, before keys are made longer.
+CROWD = 32
 
 
 def row_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -70,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 fp = pa.array(row_fingerprints(data, at, shingle).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, fp], [*part.schema.names, "fp"])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -78,28 +80,49 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(str(i), SEED)).astype(np.int64)) for i in range(n)]
 
 
-def block(fp, k: int):
-    first, width = BLOCKS[k]
+def layout(blocks: int) -> list[tuple[int, int]]:
+    """First bit and width of each block."""
+    widths = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """Blocks for n fingerprints: the fewest by which a key has about CROWD of them or fewer, if they are spread evenly.
+    Any number finds the same pairs; more blocks make more, and longer, keys."""
+    blocks = distance + 2
+    while n > CROWD << sum(w for _, w in layout(blocks)[distance:]) and comb(blocks + 1, distance) <= 256:
+        blocks += 1
+    return blocks
+
+
+def block(fp, place: tuple[int, int]):
+    first, width = place
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column fp) that differ in 1..distance bits, each once."""
-    if distance > 4:
-        raise ValueError("six blocks find pairs of at most 4 differing bits")
+    places = layout(blocks or blocks_for(distinct.count(), distance))
     table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(block(F.col("fp"), i), 16).bitwiseOR(block(F.col("fp"), j)).alias("key")) for k, (i, j) in enumerate(pairs)])
-    dealt = distinct.select("fp", table.alias("d"), F.explode(keys).alias("x")).select("fp", "d", F.shiftleft(F.col("x.key"), 8).bitwiseOR(F.col("x.k")).alias("key"))
+    chosen = list(combinations(range(len(places)), len(places) - distance))
+    if len(chosen) > 256:
+        raise ValueError("a key's number has 8 bits: too many blocks for this distance")
+    keys = []
+    for k, own in enumerate(chosen):
+        key = F.lit(0).cast("long")
+        for i in own:
+            key = F.shiftleft(key, places[i][1]).bitwiseOR(block(F.col("fp"), places[i]))
+        keys.append(F.shiftleft(key, 8).bitwiseOR(F.lit(k)))
+    dealt = distinct.select("fp", table.alias("d"), F.explode(F.array(*keys)).alias("key"))
     a, b = dealt.alias("a"), dealt.alias("b")
     near = F.lit(True)
     for i in range(PIVOTS):
         near &= F.abs(F.col("a.d")[i].cast("int") - F.col("b.d")[i].cast("int")) <= distance
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    shared = F.lit(len(pairs))
-    for k in range(len(pairs) - 1, -1, -1):
-        shared = F.when((block(differ, pairs[k][0]) == 0) & (block(differ, pairs[k][1]) == 0), k).otherwise(shared)
-    first = shared == F.col("a.key").bitwiseAND(F.lit(255))
+    # A pair counts under its first key alone: no equal block stands before the key's last one but those of the key.
+    equal = sum((F.when(block(differ, p) == 0, 1 << i).otherwise(0) for i, p in enumerate(places)), F.lit(0))
+    skipped = F.array(*[F.lit(sum(1 << i for i in range(own[-1]) if i not in own)) for own in chosen])
+    first = equal.bitwiseAND(skipped[F.col("a.key").bitwiseAND(F.lit(255)).cast("int")]) == 0
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near & (F.bit_count(differ) <= distance) & first
     return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
