@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import HashIndex, Words, pieces, word_lists
+from helixframe.llm.common import HashIndex, Words, map_batches, pieces, without, word_lists
 from helixframe.llm.fmindex import FMIndex
 
 #: Words in a window; benchmark text that one broadcast block holds.
@@ -125,9 +125,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     clean: text loses its spans instead (each leaves one line break), and n_chars, if there, is the new length; the
     result then has the columns of docs alone. A null text has no words and stays null. An item without words has no
     window; one without an item_id hits words but is named nowhere. Rows that repeat, and doc_ids that do, are each
-    judged by their own text. Without items nothing is hit. Other columns are passed through by position, so that their
-    names may be any; docs must not already have the four new names.
+    judged by their own text. Without items nothing is hit. Other columns pass through; unless texts are cleaned, those that
+    have one of the four new names are replaced.
     """
+    docs = docs if clean else without(docs, "n_words", "n_hit", "items", "spans")
     sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, block_bytes)]
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     schema = docs.schema if clean else T.StructType(docs.schema.fields + new)
@@ -153,7 +154,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
                 columns = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "n_words", "n_hit", "items", "spans"])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def cleaned(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import HashIndex, pieces, remainder, text_bytes
+from helixframe.llm.common import HashIndex, map_batches, pieces, remainder, text_bytes, without
 
 #: Longest context; labelled rows that each language learns from at most, and the longest of them, in characters.
 ORDER, SAMPLE_ROWS, SAMPLE_CHARS = 4, 300, 20_000
@@ -141,8 +141,10 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
 
     Null texts and those without a letter are `und` with score 0, as is everything if nothing was learned. Long texts
     are read whole; evidence is weighed by the byte, so that a score isn't 1 for length alone. Ties go to the language
-    first by name. Other columns pass through; `names` are those of the two new ones.
+    first by name. Other columns pass through, but for those that have one of `names`, the two new ones,
+    which are replaced.
     """
+    docs = without(docs, *names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     letter = "_helix_letter"
@@ -164,7 +166,7 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
                 own = [c for c in part.schema.names if c != letter]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(found, pa.string()), pa.array(score)], [*own, *names])
 
-    return docs.withColumn(letter, F.col("text").rlike(r"\p{L}")).mapInArrow(scan, schema)
+    return map_batches(docs.withColumn(letter, F.col("text").rlike(r"\p{L}")), scan, schema)
 
 
 def keep_known(docs: DataFrame, languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
@@ -172,7 +174,7 @@ def keep_known(docs: DataFrame, languages: list[str] | None = None, least: float
     Learns from the rows of docs that have a lang, as op6 does."""
     model = fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
     found = predict(docs, model, ("_helix_lang", "_helix_score")).where((F.col("_helix_lang") != "und") & (F.col("_helix_score") >= least))
-    return (found if languages is None else found.where(F.col("_helix_lang").isin(languages))).select(*docs.columns)
+    return (found if languages is None else found.where(F.col("_helix_lang").isin(languages))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import HashIndex, Words, pieces, word_lists
+from helixframe.llm.common import HashIndex, Words, map_batches, pieces, without, word_lists
 
 #: Base phrases and their labels (fixed values).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -149,8 +149,10 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """docs with n_words, places (start, label: base phrases, words from 0), spans (start, end, label: covered template
     spans, end exclusive) and score (the largest share of a template or phrase that was covered; 0 without any).
 
-    Null and empty texts have no words. Rows that repeat are each scanned; other columns pass through.
+    Null and empty texts have no words. Rows that repeat are each scanned; other columns pass through, but for
+    those that have one of the four names, which are replaced.
     """
+    docs = without(docs, "n_words", "places", "spans", "score")
     place = T.StructType([T.StructField("start", T.LongType()), T.StructField("label", T.StringType())])
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("label", T.StringType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("places", T.ArrayType(place)), T.StructField("spans", T.ArrayType(span)), T.StructField("score", T.DoubleType())])
@@ -181,7 +183,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "n_words", "places", "spans", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import without
+
 #: Without given weights, shares are as n ** ALPHA: large sources are held down and small ones raised.
 ALPHA, SEED = 0.5, "mix-1"
 #: Rates are known for so many sources by one broadcast; more are joined by shuffle.
@@ -56,7 +58,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     Columns of docs pass through (those two names are replaced if docs has them). Rows that repeat a doc_id draw the same
     count; null ids draw one count for all of them. Null and empty texts are documents like others. No rows: no rows.
     """
-    known = docs.select(*[c for c in docs.columns if c not in ("mix_copy", "mix_key")])
+    known = without(docs, "mix_copy", "mix_key")
     r = rates(known, weights, total, alpha)
     r = r.select("mix_source", cdf(F.col("rate")).alias("mix_cdf")).where(F.col("rate") > 0)
     # One row for each source: a broadcast if there are few, counted beforehand; else Spark's own (skew-split) join.

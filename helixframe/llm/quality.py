@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import pieces, remainder, text_bytes
+from helixframe.llm.common import map_batches, pieces, remainder, text_bytes, without
 
 STEP, WIDTH, FILTERS = 8, 8, 24
 #: Labelled documents that training reads at most, and the longest of them, in characters.
@@ -117,8 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with score, the probability of good quality, from the text alone; 0.5 if nothing was learned.
 
-    Null and empty texts score as one chunk without bytes. Rows that repeat score alike; other columns pass through.
+    Null and empty texts score as one chunk without bytes. Rows that repeat score alike; other columns pass through, but for
+    one named score, which is replaced.
     """
+    docs = without(docs, "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -130,7 +132,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                 p = np.round(p.astype(np.float64), 6)  # last digits depend on what else is in the piece
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "score"])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

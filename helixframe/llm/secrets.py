@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import LOWER, pieces
+from helixframe.llm.common import LOWER, map_batches, pieces, without
 
 
 @dataclass(frozen=True)
@@ -143,8 +143,9 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with spans: array of (kind, start, end), in code points, end exclusive, by start, then rule as listed.
 
     Leftmost, non-overlapping matches of each rule, those whose group is too short dropped. Null and empty texts have
-    none; rows that repeat are each scanned. Other columns pass through.
+    none; rows that repeat are each scanned. Other columns pass through, but for one named spans, which is replaced.
     """
+    docs = without(docs, "spans")
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(span))])
 
@@ -166,7 +167,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(x)] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [*part.schema.names, "spans"])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def joined(spans):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from helixframe.llm.common import SOLID_BYTE, HashIndex, pieces, runs, span_hashes
+from helixframe.llm.common import SOLID_BYTE, HashIndex, map_batches, pieces, runs, span_hashes, without
 
 #: A file of "base64 rank" lines; read on the driver and sent to tasks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -119,8 +119,10 @@ def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def count(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
     """docs with n_units, n_tokens and n_bytes of whole texts; 0 for null and empty ones.
 
-    Rows that repeat are each counted; other columns pass through. The automaton is broadcast: a vocabulary is bounded.
+    Rows that repeat are each counted; other columns pass through, but for those that have one of the three names,
+    which are replaced. The automaton is broadcast: a vocabulary is bounded.
     """
+    docs = without(docs, "n_units", "n_tokens", "n_bytes")
     sent = docs.sparkSession.sparkContext.broadcast(Automaton(load() if vocabulary is None else vocabulary))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_units", "n_tokens", "n_bytes")]])
 
@@ -135,7 +137,7 @@ def count(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
                 columns = [np.diff(first), n[first[1:]] - n[first[:-1]], np.diff(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.int64()) for c in columns]], [*part.schema.names, "n_units", "n_tokens", "n_bytes"])
 
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def op4_tokencount(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Each operator against a brute-force version, on small tables with every awkward case."""
 
+import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -48,6 +51,13 @@ def test_fm_index_counts_and_locates():
         assert sorted(fm.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_fm_index_of_a_short_text():
+    for text in ([0, 0], [0, 1, 0], [0, 1, 1, 0], [0, 1, 0, 2, 0]):
+        fm = FMIndex(np.array(text, np.int64), 2)
+        low, high = fm.search(np.array([[1], [2]]), np.array([1, 1]))
+        assert (high - low).tolist() == [text.count(1), text.count(2)]
+
+
 def brute_hits(text, items, window=10):
     w, hit, found = words(text), set(), set()
     for i, x in items:
@@ -78,22 +88,28 @@ def test_decontamination(spark, texts, block):
     assert none.where("n_hit > 0").count() == 0 and decontaminate.find(table(spark, []), bench).count() == 0
 
 
-def test_simhash_components(spark, texts):
-    ids = [k if k % 7 else None if k == 14 else k for k in range(len(texts))]
-    ids[3] = ids[2]
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+    s = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    def fingerprint(text):
-        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
-        s = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
-        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    fp = [fingerprint(x) for x in texts]
-    group = list(range(len(texts)))
-    for a in range(len(texts)):
+def brute_groups(fp):
+    group = list(range(len(fp)))
+    for a in range(len(fp)):
         for b in range(a):
             if (fp[a] ^ fp[b]).bit_count() <= 4:
                 group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def test_simhash_components(spark, texts):
+    ids = [k if k % 7 else None if k == 14 else k for k in range(len(texts))]
+    ids[3] = ids[2]
+
+    fp = [brute_fingerprint(x) for x in texts]
+    group = brute_groups(fp)
     least = {g: min((i for i, h in zip(ids, group, strict=True) if h == g and i is not None), default=None) for g in group}
     got = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in simhash.near_duplicates(table(spark, texts, ids)).collect())
     assert got == sorted((str(i), f, str(least[g])) for i, f, g in zip(ids, fp, group, strict=True))
@@ -107,9 +123,12 @@ def test_links_are_all_pairs_within_four_bits(spark):
     base = [rng.getrandbits(64) for _ in range(40)]
     all_fp = {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for x in base for _ in range(8)} | {0, (1 << 64) - 1}
     signed = [x - (1 << 64) if x >> 63 else x for x in all_fp]
-    got = {tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert got == want
+    for blocks in (None, 7, 8, 10):
+        found = [tuple(r) for r in simhash.links(frame, blocks=blocks).collect()]
+        assert set(found) == want and len(found) == len(want)
+    assert [simhash.blocks_for(n) for n in (10**3, 10**7, 10**8, 10**10)] == [6, 6, 7, 8]
     chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(1, 61)} | {(101, 100)}
 
@@ -327,3 +346,128 @@ def test_pipeline_stages(spark, texts, tmp_path):
         empty = stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path))
         assert empty.count() == 0
     assert docs.count() >= 0
+
+
+def brute_language(texts, langs, ids, order=4):
+    """(language, score) of each text by context trees walked one byte at a time."""
+
+    def folded(text):
+        return [32] * order + [b if b > 127 else b | 32 if chr(b).isalpha() else 32 for b in text.encode()]
+
+    trees = {}
+    for x, lang, i in zip(texts, langs, ids, strict=True):
+        if lang is not None and x and zlib.crc32(str(i).encode()) % 3 != 1:
+            raw, tree = folded(x), trees.setdefault(lang, {})
+            for at in range(order, len(raw)):
+                for k in range(order + 1):
+                    seen = tree.setdefault(tuple(raw[at - k : at]), {})
+                    seen[raw[at]] = seen.get(raw[at], 0) + 1
+    out = []
+    for x in texts:
+        if not re.search(r"[^\W\d_]", x or ""):
+            out.append(("und", 0.0))
+            continue
+        raw, bits = folded(x), {}
+        for lang, tree in trees.items():
+            total = 0.0
+            for at in range(order, len(raw)):
+                for k in range(order, -1, -1):
+                    seen = tree.get(tuple(raw[at - k : at]), {})
+                    if raw[at] in seen:
+                        total -= math.log2(seen[raw[at]] / (sum(seen.values()) + len(seen)))
+                        break
+                    total -= math.log2(len(seen) / (sum(seen.values()) + len(seen))) if seen else 0
+                else:
+                    total += 8
+            bits[lang] = total
+        best = min(sorted(bits), key=bits.get)
+        weight = min(1, langid.EVIDENCE_BYTES / (len(raw) - order))
+        out.append((best, 1 / sum(2 ** -((b - bits[best]) * weight) for b in bits.values())))
+    return out
+
+
+def brute_cut(text, items):
+    """The text without its words in benchmark windows: each stretch of them leaves a line break."""
+    found, w, hit = list(re.finditer(WORD, text.translate(FOLD))), words(text), set()
+    for x in items:
+        v = words(x)
+        n = min(10, len(v))
+        for k in range(len(v) - n + 1 if n else 0):
+            for j in range(len(w) - n + 1):
+                if w[j : j + n] == v[k : k + n]:
+                    hit.update(range(j, j + n))
+    out, done = [], 0
+    for k in sorted(hit):
+        if k - 1 not in hit:
+            out.append(text[done : found[k].start()])
+        done = found[k].end()
+    return "\n".join([*out, text[done:]])
+
+
+def brute_mix(rows):
+    """(row, copy) of rows (doc_id, source, ...): each source's share is the square root of its size."""
+    n = {s: sum(r[1] == s for r in rows) for s in {r[1] for r in rows}}
+    share = {s: math.sqrt(k) / sum(map(math.sqrt, n.values())) for s, k in n.items()}
+    out = []
+    for r in rows:
+        rate, k = share[r[1]] * len(rows) / n[r[1]], 0
+        u = int(hashlib.md5(f"mix-1|{r[0]}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        term = total = math.exp(-rate)
+        while total <= u:
+            k += 1
+            term *= rate / k
+            total += term
+        out += [(r, c + 1) for c in range(k)]
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    make = lambda syllables, n=40: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
+    one, two = ["ka", "ro", "mi", "to"], ["sch", "üb", "en", "ß"]
+    lines = [make(one, 9) for _ in range(6)]
+    texts = [make(one if k % 2 else two) for k in range(24)]
+    texts += ["\n".join([make(one, 12), *rng.sample(lines, 3), make(two, 3), "short", make(one, 20)]) for _ in range(10)]
+    texts += [texts[3].replace(" ", "  "), texts[5].upper(), texts[7] + "\n", None, "", "4711 !", "Ka"]
+    items = [" ".join(texts[2].split()[5:25]), " ".join(texts[9].split()[:12]).upper() + "!", texts[11].split()[4] + " " + texts[11].split()[5], None, ""]
+    texts += [make(one, 15) + " -- " + items[0].replace(" ", ", ") + "; " + make(two, 15)]
+    ids = [3 * k + 1 for k in range(len(texts))]
+    langs = [None if k % 6 == 5 else "xx" if k % 2 else "yy" for k in range(len(texts))]
+    sources = [None if k % 9 == 8 else "big" if k % 3 else "small" for k in range(len(texts))]
+    docs = [(i, x, g, s, None if x is None else len(x)) for i, x, g, s in zip(ids, texts, langs, sources, strict=True)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    known = [d for d, (lang, score) in zip(docs, brute_language(texts, langs, ids), strict=True) if lang != "und" and score >= 0.5]
+    kept = brute_lines([(d[0], d[1]) for d in known])
+    less = [(d[0], kept[d[0]]) for d in known]
+    group, first = brute_groups([brute_fingerprint(x) for _, x in less]), {}
+    for (i, _), g in zip(less, group, strict=True):
+        first[g] = min(i, first.get(g, i))
+    unique = [(i, x) for i, x in less if i in first.values()]
+    clean = {i: brute_cut(x, [y for y in items if y]) for i, x in unique}
+    assert len(known) < len(docs) and less != [d[:2] for d in known] and len(unique) < len(less) and clean != dict(unique)
+    rest = {d[0]: d for d in docs}
+    want = [(i, clean[i], rest[i][2], s, len(clean[i]), copy) for (i, s), copy in brute_mix([(i, rest[i][3]) for i in clean])]
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).drop("mix_key").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_clashing_names_are_replaced(spark):
+    rows = [(1, "ka ro mi token=abcdefgh", "xx", 7)]
+    names = ["score", "Spans", "n_words", "n_hit", "items", "places", "n_units", "n_tokens", "N_BYTES", "lang_pred", "a.b", "mix_copy", "mix_key", "n_lines", "fp", "component_id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int").select("*", F.lit("s").alias("source"), *[F.lit("old").alias(c) for c in names])
+    bench = spark.createDataFrame([(1, "ka ro")], "item_id long, text string")
+    made = {
+        quality.score: (None,), licenses.scan: (), secrets.find: (), tokencount.count: (), decontaminate.find: (bench,), langid.predict: (langid.fit(docs),), langid.keep_known: (),
+        linedup.dedup: (), simhash.keep_first: (), mixing.mix: (),
+    }
+    for operator, arguments in made.items():
+        out = operator(docs, *arguments)
+        lower = [c.lower() for c in out.columns]
+        assert len(set(lower)) == len(lower) and "a.b" in lower and {c.lower() for c in docs.columns} <= set(lower)
+        assert len(out.collect()) <= 3
+    assert simhash.near_duplicates(docs).count() == 1
+    assert secrets.find(docs).first()["spans"][0]["kind"] == "assign" and decontaminate.find(docs, bench).first()["n_hit"] == 2
