@@ -45,7 +45,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url", r"[a-z]+://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@"),
+    Rule("url", r"[a-z]{1,12}://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@"),
 )
 
 #: Strings that a part of an expression may expand to at most; beyond, it counts as unknown.
