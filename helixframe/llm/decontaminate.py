@@ -122,8 +122,8 @@ def spans_of(marks: np.ndarray, words: Words, at: np.ndarray) -> tuple[np.ndarra
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """docs with n_words, n_hit, items (strings, sorted, distinct) and spans (start, end: UTF-8 bytes of the text).
 
-    clean: text loses its spans instead (each leaves one line break), and n_chars, if there, is the new length; the
-    result then has the columns of docs alone. A null text has no words and stays null. An item without words has no
+    clean: text loses its spans instead (each leaves one line break), until no window is left even across cuts, and
+    n_chars, if there, is the new length; the result then has the columns of docs alone. A null text has no words and stays null. An item without words has no
     window; one without an item_id hits words but is named nowhere. Rows that repeat, and doc_ids that do, are each
     judged by their own text. Without items nothing is hit. Other columns pass through; unless texts are cleaned, those that
     have one of the four new names are replaced.
@@ -135,20 +135,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
     def scan(batches):
         indexes = [HashIndex(b.value.vocabulary) for b in sent]
+
+        def search(data, at):
+            words = Words(data, at)
+            hashes = words.hashes()
+            marks, items = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(len(at) - 1)]
+            for b, index in zip(sent, indexes, strict=True):
+                more, rows, found = search_block(words, hashes, b.value, index)
+                marks += more
+                for r, i in zip(rows.tolist(), found.tolist(), strict=True):
+                    items[r].add(b.value.names[i])
+            return words, items, *spans_of(marks, words, at)
+
         for batch in batches:
             for part, data, at in pieces(batch, limit=SHARD_BYTES):
-                words = Words(data, at)
-                hashes = words.hashes()
-                marks, items = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(part.num_rows)]
-                for b, index in zip(sent, indexes, strict=True):
-                    more, rows, found = search_block(words, hashes, b.value, index)
-                    marks += more
-                    for r, i in zip(rows.tolist(), found.tolist(), strict=True):
-                        items[r].add(b.value.names[i])
-                n_hit, row, start, end = spans_of(marks, words, at)
                 if clean:
-                    yield cleaned(part, data, at, row, start, end)
+                    yield cleaned(part, data, at, lambda data, at: search(data, at)[3:])
                     continue
+                words, items, n_hit, row, start, end = search(data, at)
                 spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 columns = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans)]
@@ -157,21 +161,35 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     return map_batches(docs, scan, schema)
 
 
-def cleaned(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    texts, columns = None, list(part.columns)
-    names = part.schema.names
-    for r in np.unique(row).tolist():
-        texts = columns[names.index("text")].to_pylist() if texts is None else texts
-        whole, kept, done = data[at[r] : at[r + 1]].tobytes(), [], 0
-        for k in np.flatnonzero(row == r).tolist():
-            kept.append(whole[done : start[k]])
-            done = end[k]
-        texts[r] = b"\n".join([*kept, whole[done:]]).decode("utf-8", "replace")
-    if texts is not None:
-        columns[names.index("text")] = pa.array(texts, part.schema.field("text").type)
-        if "n_chars" in names:
-            lengths, changed = columns[names.index("n_chars")].to_pylist(), set(np.unique(row).tolist())
-            columns[names.index("n_chars")] = pa.array([len(texts[k]) if k in changed else x for k, x in enumerate(lengths)], part.schema.field("n_chars").type)
+def cleaned(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, search) -> pa.RecordBatch:
+    """part without the spans that search(bytes, offsets) gives (row, start, end). A cut brings words together that may
+    be a window again, so changed texts are searched anew until nothing is hit; each round takes words away."""
+    number, new = np.arange(part.num_rows), {}
+    row, start, end = search(data, at)
+    while len(row):
+        changed = np.unique(row)
+        for r, a, b in zip(changed.tolist(), np.searchsorted(row, changed).tolist(), np.searchsorted(row, changed, "right").tolist(), strict=True):
+            whole, kept, done = data[at[r] : at[r + 1]].tobytes(), [], 0
+            for k in range(a, b):
+                kept.append(whole[done : start[k]])
+                done = end[k]
+            new[int(number[r])] = b"\n".join([*kept, whole[done:]])
+        number = number[changed]
+        left = [new[k] for k in number.tolist()]
+        data, at = np.frombuffer(b"".join(left), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in left])))
+        row, start, end = search(data, at)
+    if not new:
+        return part
+    columns, names = list(part.columns), part.schema.names
+    texts = columns[names.index("text")].to_pylist()
+    for k, x in new.items():
+        texts[k] = x.decode("utf-8", "replace")
+    columns[names.index("text")] = pa.array(texts, part.schema.field("text").type)
+    if "n_chars" in names:
+        lengths = columns[names.index("n_chars")].to_pylist()
+        for k in new:
+            lengths[k] = len(texts[k])
+        columns[names.index("n_chars")] = pa.array(lengths, part.schema.field("n_chars").type)
     return pa.RecordBatch.from_arrays(columns, names)
 
 
