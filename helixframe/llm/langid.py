@@ -119,11 +119,12 @@ class Scorer:
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
     """A model of up to `rows` rows of each language, of at most `chars` characters, first by a hash of the text.
 
-    Only text and lang are read. None if no row has both. Hashes below a limit are taken, which the languages' counts
-    give, so that neither sort nor shuffle touches texts; what reaches the driver is bounded by rows x chars x languages.
+    Only text and lang are read; a text that repeats counts once. None if no row has both. Hashes below a limit are
+    taken, which the languages' numbers of different texts give, so that only the sample is shuffled, copies put together
+    first; what reaches the driver is bounded by rows x chars x languages, however many copies a text has.
     """
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= chars)).select("lang", "text")
-    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}  # a row a language
     if not n:
         return None
     draw = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)).alias("draw")
@@ -131,7 +132,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     for lang, count in n.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, 1.3 * rows / count + 30 / count) * (1 << 30))).otherwise(share)
     texts: dict[str, list] = {lang: [] for lang in n}
-    for r in usable.select("lang", "text", draw).where(F.col("draw") < share).toLocalIterator():
+    for r in usable.select("lang", "text", draw).where(F.col("draw") < share).distinct().toLocalIterator():
         texts[r["lang"]].append((r["draw"], r["text"]))
     return train({lang: [x for _, x in sorted(x)[:rows]] for lang, x in texts.items() if x})
 
