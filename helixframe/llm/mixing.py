@@ -69,7 +69,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     counted = joined.select("d", "mix_cdf", uniform(F.col("d.doc_id")).alias("u")).select("d", F.size(F.filter("mix_cdf", lambda c: c <= F.col("u"))).alias("n"))
     copies = counted.where("n > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("mix_copy"))
     keyed = copies.withColumn("mix_key", uniform(F.col("d.doc_id"), F.col("mix_copy")))
-    dealt = keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    # Rows without an id, and those that repeat one, share keys: their texts tell them apart.
+    dealt = keyed.repartition(F.col("mix_key"), *[F.xxhash64("d.text")] * ("text" in known.columns)).sortWithinPartitions("mix_key")
     return dealt.select(*[F.col("d").getField(c).alias(c) for c in known.columns], "mix_copy", "mix_key")
 
 
