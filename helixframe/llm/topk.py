@@ -5,7 +5,7 @@ Queries are cut into blocks. In the first round each pair of shard and block fol
 over all shards, this gives a true lower bound of each query's kth score. In the second round each pair searches its
 tree from that bound: nodes come in order of the largest inner product that their ball allows, and the kth score so far
 (the better of the shared bound and the shard's own) prunes the rest. Each pair returns k rows for a query at most, which
-are ranked once more. Shards and blocks have bounded sizes, so no task holds more than one of each.
+are ranked once more. Shards and blocks have bounded sizes, so no task holds more than a few of each.
 """
 
 from __future__ import annotations
@@ -19,15 +19,23 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import cut
 
-K, SHARD_ROWS, BLOCK_ROWS, LEAF = 5, 2048, 1024, 128
+K, SHARD_ROWS, BLOCK_ROWS, LEAF = 5, 8192, 2048, 128
+#: Tasks that pairs of shard and block are spread over at most; a task takes its pairs one after the other.
+TASKS = 20_000
+
+
+def narrow(whole: np.ndarray) -> np.ndarray:
+    """Whole numbers in 16 bits if they fit: a quarter of what is sent about."""
+    return whole.astype(np.int16) if not whole.size or np.abs(whole).max() < 1 << 15 else whole
 
 
 class BallTree:
-    """Rows in tree order; nodes as (start, end, centre, radius, left, right)."""
+    """Rows in tree order; nodes as [start, end, left, right], their centres and radii as arrays."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
         by = np.arange(len(ids))
-        self.nodes: list[tuple] = []
+        self.nodes: list[list[int]] = []
+        centres, radii = [], []
         stack = [(0, len(ids), -1, 0)]
         while stack:
             a, b, parent, side = stack.pop()
@@ -35,9 +43,11 @@ class BallTree:
             centre = own.mean(0)
             far = np.sqrt(((own - centre) ** 2).sum(1))
             here = len(self.nodes)
-            self.nodes.append([a, b, centre, float(far.max()), -1, -1])
+            self.nodes.append([a, b, -1, -1])
+            centres.append(centre)
+            radii.append(float(far.max()))
             if parent >= 0:
-                self.nodes[parent][4 + side] = here
+                self.nodes[parent][2 + side] = here
             if b - a > leaf and far.max() > 0:
                 one = own[far.argmax()]
                 two = own[((own - one) ** 2).sum(1).argmax()]
@@ -46,13 +56,18 @@ class BallTree:
                 middle = a + (b - a) // 2
                 stack += [(a, middle, here, 0), (middle, b, here, 1)]
         self.ids, self.rows = ids[by], rows[by]
-        self.centres = np.array([n[2] for n in self.nodes])
-        self.radii = np.array([n[3] for n in self.nodes])
+        self.centres, self.radii = np.array(centres), np.array(radii)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": narrow(self.rows)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"rows": state["rows"].astype(np.float64)}
 
     def leaf_of(self, bounds: np.ndarray) -> int:
         node = 0
-        while self.nodes[node][4] >= 0:
-            left, right = self.nodes[node][4:]
+        while self.nodes[node][2] >= 0:
+            left, right = self.nodes[node][2:]
             node = left if bounds[left] >= bounds[right] else right
         return node
 
@@ -67,7 +82,7 @@ class BallTree:
         todo = [self.leaf_of(bounds)] if first_leaf else [0]
         while todo:
             node = todo.pop()
-            a, b, _, _, left, right = self.nodes[node]
+            a, b, left, right = self.nodes[node]
             if bounds[node] < floor:
                 continue
             if left >= 0:
@@ -125,7 +140,7 @@ def search(own: DataFrame, rows: int, every: int, k: int, shard_rows: int, block
     blocks = max(1, -(-n_queries // block_rows))
     # `own` is a written table: its row numbers are the same in every attempt, and rows of one id don't crowd a shard.
     trees = cut(packed(own, F.pmod(F.monotonically_increasing_id(), F.lit(shards)), BallTree, "shard"))
-    asked = cut(packed(queries, F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)), lambda ids, v: (ids, v), "block"))
+    asked = cut(packed(queries, F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)), lambda ids, v: (ids, narrow(v)), "block"))
     # Every shard meets every block, by equi-joins on their numbers; the pairs are spread evenly over tasks.
     pairs = spark.range(shards * blocks).select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).cast("int").alias("block"))
     met = pairs.join(trees.withColumnRenamed("data", "tree"), "shard").join(asked.withColumnRenamed("data", "queries"), "block")
@@ -135,6 +150,7 @@ def search(own: DataFrame, rows: int, every: int, k: int, shard_rows: int, block
             for pdf in frames:
                 for tree, queries, floors in zip(pdf["tree"], pdf["queries"], pdf["floors"], strict=True):
                     tree, (ids, v) = pickle.loads(tree), pickle.loads(queries)
+                    v = v.astype(np.float64)
                     known = dict(pickle.loads(floors)) if floors is not None else {}
                     found = [tree.search(q, i, k, known.get(i, -np.inf), first) for i, q in zip(ids.tolist(), v, strict=True)]
                     sizes = [len(s) for s, _ in found]
@@ -143,7 +159,7 @@ def search(own: DataFrame, rows: int, every: int, k: int, shard_rows: int, block
         return each
 
     out = "query_id long, vec_id long, score long, copy int"
-    spread = met.repartition(max(1, shards * blocks), "shard", "block")
+    spread = met.repartition(max(1, min(TASKS, shards * blocks)), "shard", "block")
     seeds = spread.withColumn("floors", F.lit(None).cast("binary")).mapInPandas(run(True), out)
     nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
     bound = seeds.withColumn("n", F.row_number().over(nth)).where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
