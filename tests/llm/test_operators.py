@@ -88,6 +88,17 @@ def test_decontamination(spark, texts, block):
     assert none.where("n_hit > 0").count() == 0 and decontaminate.find(table(spark, []), bench).count() == 0
 
 
+def test_no_window_is_left_across_cuts(spark):
+    item = " ".join(f"w{k}" for k in range(10))
+    texts = [f"a w0 w1 w2 w3 w4 {item} w5 w6 w7 w8 w9 b", f"w0 w1 {item} w2 w3 {item}, w4 w5 w6 w7 w8 w9", "w0 w1 clean", f"é{item}é", ""]
+    bench = spark.createDataFrame([(1, item), (2, "b c")], "item_id long, text string")
+    clean = decontaminate.find(table(spark, [*texts, "a b b c c d", None]), bench, clean=True)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean.collect()}
+    assert decontaminate.find(clean, bench).where("n_hit > 0").count() == 0
+    assert [words(got[k][0]) for k in range(7)] == [["a", "b"], [], ["w0", "w1", "clean"], words(texts[3]), [], ["a", "d"], []]
+    assert got[2][0] == texts[2] and got[6][0] is None and all(x is None or n == len(x) for x, n in got.values())
+
+
 def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
     s = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
@@ -248,6 +259,18 @@ def test_language_id(spark):
     assert langid.keep_known(docs).columns == docs.columns and langid.keep_known(table(spark, [])).count() == 0
 
 
+def test_copies_do_not_grow_what_training_reads(spark):
+    texts = ["ka ro mi"] * 400 + [f"sch üb {k}" for k in range(30)]
+    docs = table(spark, texts, ids=[1] * 400 + list(range(2, 32)), langs=["xx"] * 400 + ["yy"] * 30)
+    once = langid.train({"xx": texts[:1], "yy": sorted(texts[400:])})
+    model = langid.fit(docs)
+    for (k, c), (k1, c1) in zip(model.strings, once.strings, strict=True):
+        assert (k == k1).all() and c == pytest.approx(c1)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(32)], "doc_id long, quality int")
+    own = quality.train(["ka ro mi", *texts[400:]], [k % 2 for k in range(1, 32)])
+    assert all((a == b).all() for a, b in zip(quality.fit(docs, labels).parts(), own.parts(), strict=True))
+
+
 def test_code_lengths_follow_the_tree():
     model = langid.train({"a": ["abab abac"], "b": ["zz"]}, order=2)
 
