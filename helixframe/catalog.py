@@ -87,6 +87,7 @@ def queries() -> dict:
     q["map1_ranked"] = lambda s, d: segments.ranked(freq(s, d), [])
     q["map1_kept"] = lambda s, d: segments.kept(freq(s, d), [])
     q["huffman_codes"] = lambda s, d: encoding(s, d).codebook.select("doc_id", F.inline(F.arrays_zip("keys", "codes")))
+    q["encode_segments"] = lambda s, d: encoding(s, d).coded
     q["payload_dna"] = lambda s, d: encoding(s, d).payload
     q["storage_strands"] = lambda s, d: encoding(s, d).strands
     q["dna_fingerprint"] = lambda s, d: encode.fingerprints(encoding(s, d).payload, KEY)

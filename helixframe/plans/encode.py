@@ -18,6 +18,7 @@ class Encoding:
     segments: DataFrame
     map1: DataFrame
     codebook: DataFrame
+    coded: DataFrame
     payload: DataFrame
     strands: DataFrame
     block_metrics: DataFrame
@@ -70,6 +71,7 @@ def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str =
     books = codebook.codebooks(table, by)
     done = codebook.encoded(payloads, books, by) if by else codebook.encoded(payloads.withColumn("_all", F.lit(0)), books.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     payload = cut(done.select(*keys, F.octet_length("payload").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"), F.array_join("seg_dna", "").alias("dna")))
+    coded = done.select(*keys, F.posexplode("seg_dna").alias("seg_id", "dna"))
     tiles = blocks(payload, keys)
     strands = tiles.select(*keys, "block_id", strand(F.col("block_id"), F.col("block")).alias("strand"))
     checked = constraints(tiles)
@@ -80,7 +82,7 @@ def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str =
         .withColumn("n_bits", bits).withColumn("encoding_rate_bits_per_nt", bits / F.greatest(F.lit(1), F.col("nt")))
         .withColumn("gross_rate_bits_per_nt", bits / (F.col("storage_seq_count") * STRAND_NT))
     )
-    return Encoding(reps, freq, books, payload, strands, checked, metrics)
+    return Encoding(reps, freq, books, coded, payload, strands, checked, metrics)
 
 
 def fingerprints(payload: DataFrame, keys: list[str]) -> DataFrame:

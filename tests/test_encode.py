@@ -44,6 +44,8 @@ def test_against_the_model(spark):
         book = model.codes(model.table(segs))
         assert books.get(k, {}) == book
         assert got[k] == model.encode(segs, book)
+    coded = {(r["k"], r["seg_id"]): r["dna"] for r in done.coded.collect()}
+    assert coded == {(k, n): model.encode([x], books.get(k, {})) for k, raw in enumerate(payloads) for n, x in enumerate(model.segments(raw))}
 
 
 def test_corpus_scope_shares_one_table(spark):
