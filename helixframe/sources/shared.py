@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Only where that is unset (tests, one machine), a local one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_helix_checkpoints", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         root = spark._helix_checkpoints = tempfile.mkdtemp(prefix="helixframe-")
     return f"{root}/cut-{uuid.uuid4().hex}"
 
