@@ -7,6 +7,14 @@ interval of the suffix array whose longest common prefix is h lines or more, tha
 their interval leave at once. Doubling stops at the depth that decisions need (MIN_LINES), or, with depth=None, when
 no interval is left. In each interval all but the first suffix, by document and line, begin a later copy.
 
+Two rules say what goes. With min_lines a number: one line of min_chars, or so many lines that have min_chars together
+(op10_linededup). With min_lines=None: every run of whole lines, of any number, that has min_chars and an earlier copy,
+that is, the longest repeated run at each suffix if that is long enough (op10_linededup_runs, the pipeline). Any such run
+is covered by its shortest parts of min_chars: from each of its lines on, the fewest lines that have them, and where the
+run ends before, the fewest up to its end. Those parts have min_chars + 1 lines at most, each line but one having its
+break; so doubling ends there and no run is missed, however long. A part of n lines, h < n < 2 h, is the pair of the
+ranks of its first and its last h lines.
+
 Only (document key, line number, rank) is ever shuffled here, and pairs are pre-aggregated before they are, so a line
 of very many copies weighs little; ranks go back by an equi-join that Spark can split. Texts are shuffled once at most,
 to meet the numbers of their dropped lines.
@@ -35,6 +43,25 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("none", "doc", "mark", "i", F.xxhash64("line").alias("id"), F.length("line").cast("long").alias("chars"))
 
 
+def fewest(chars, i, min_chars: int):
+    """How many lines from line i on have min_chars together, given each line's characters; min_chars + 2 if the text ends before."""
+    add = lambda s, x: F.when(s["sum"] >= min_chars, s).otherwise(F.struct((s["sum"] + 1 + x).alias("sum"), (s["n"] + 1).alias("n")))
+    start = F.struct(F.lit(-1).alias("sum"), F.lit(0).alias("n"))
+    some = F.aggregate(F.slice(chars, i + 1, min_chars + 1), start, add, lambda s: F.when(s["sum"] >= min_chars, s["n"]).otherwise(min_chars + 2))
+    return F.when(F.get(chars, i) >= min_chars, 1).otherwise(some)
+
+
+def bounded_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """lines with low and high: the parts that begin at a line have low to high lines (see above)."""
+    split = keyed(docs).where("text is not null").select("none", "doc", "mark", F.split("text", "\n").alias("all"))
+    chars = F.transform("all", lambda x: F.least(F.length(x), F.lit(min_chars)))
+    # An array of one binds the lengths to a name, so that they are taken once a text.
+    bounds = F.transform(F.array(chars), lambda c: F.transform(c, lambda x, i: F.struct(fewest(c, i, min_chars).alias("low"), fewest(c, i + 1, min_chars).alias("next"))))
+    both = split.select("none", "doc", "mark", F.posexplode(F.arrays_zip(F.col("all").alias("line"), F.get(bounds, F.lit(0)).alias("b"))).alias("i", "x"))
+    high = F.least(F.greatest("x.b.low", "x.b.next"), F.lit(min_chars + 1))
+    return both.select("none", "doc", "mark", "i", F.xxhash64("x.line").alias("id"), F.length("x.line").cast("long").alias("chars"), F.col("x.b.low").alias("low"), high.alias("high"))
+
+
 def intervals(suffixes: DataFrame, *key: str) -> DataFrame:
     """(key..., first, rank) of each interval of two suffixes or more; ranks follow the order of the keys."""
     first = F.min(F.struct("none", "doc", "mark", "i")).alias("first")
@@ -43,14 +70,15 @@ def intervals(suffixes: DataFrame, *key: str) -> DataFrame:
 
 
 def ranked(suffixes: DataFrame, found: DataFrame, *key: str) -> DataFrame:
-    return suffixes.join(found, list(key)).select("none", "doc", "mark", "i", "chars", "rank", "first")
+    return suffixes.join(found, list(key)).select(*[c for c in suffixes.columns if c not in key], "rank", "first")
 
 
 def doubled(level: DataFrame, h: int) -> DataFrame:
     """Suffixes of a level of depth h, with the rank h lines on (those without one are no longer repeated)."""
     on = Window.partitionBy("none", "doc", "mark").orderBy("i").rangeBetween(h, h)
     after = F.max(F.struct("rank", "chars")).over(on)
-    return level.withColumn("after", after).where("after is not null").select("none", "doc", "mark", "i", (F.col("chars") + F.lit(1) + F.col("after.chars")).alias("chars"), F.col("rank").alias("r1"), F.col("after.rank").alias("r2"))
+    own = [c for c in ("low", "high") if c in level.columns]
+    return level.withColumn("after", after).where("after is not null").select("none", "doc", "mark", "i", *own, (F.col("chars") + F.lit(1) + F.col("after.chars")).alias("chars"), F.col("rank").alias("r1"), F.col("after.rank").alias("r2"))
 
 
 def levels(docs: DataFrame, depth: int | None = MIN_LINES):
@@ -65,8 +93,47 @@ def levels(docs: DataFrame, depth: int | None = MIN_LINES):
         level, h = cut(ranked(pairs, intervals(pairs, "r1", "r2"), "r1", "r2")), 2 * h
 
 
-def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES) -> DataFrame:
+def run_levels(docs: DataFrame, min_chars: int):
+    """Yields (h, suffixes in intervals of h shared lines, of those that a part of h lines or more can have)."""
+    suffixes, h = bounded_lines(docs, min_chars), 1
+    level = cut(ranked(suffixes, intervals(suffixes, "id"), "id"))
+    while True:
+        yield h, level
+        if 2 * h > min_chars + 1 or level.isEmpty():
+            return
+        # Whether a suffix stays hangs on its 2 h lines alone, so that an interval stays or leaves as a whole.
+        pairs = cut(doubled(level, h).where(F.col("high") >= 2 * h))
+        level, h = cut(ranked(pairs, intervals(pairs, "r1", "r2"), "r1", "r2")), 2 * h
+
+
+def parts(level: DataFrame, h: int) -> DataFrame:
+    """(none, doc, mark, i, n, r1, r2) of the parts of n lines, h < n < 2 h, whose first and last h lines are repeated."""
+    ahead = Window.partitionBy("none", "doc", "mark").orderBy("i").rangeBetween(1, h - 1)
+    ends = level.withColumn("ends", F.collect_set(F.struct(F.col("i").alias("at"), "rank")).over(ahead)).where(F.col("low") < 2 * h)
+    pairs = ends.withColumn("end", F.explode("ends")).withColumn("n", F.col("end.at") - F.col("i") + F.lit(h)).where("n between low and high")
+    return pairs.select("none", "doc", "mark", "i", "n", F.col("rank").alias("r1"), F.col("end.rank").alias("r2"))
+
+
+def dropped_runs(docs: DataFrame, min_chars: int) -> DataFrame:
+    """dropped for runs of any number of lines."""
+    here, out = F.struct("none", "doc", "mark", "i"), None
+    for h, level in run_levels(docs, min_chars):
+        found = [level.where(F.col("low") <= h).withColumn("n", F.lit(h))]
+        if h > 1:
+            pairs = cut(parts(level, h))
+            many = pairs.groupBy("n", "r1", "r2").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("first")).where("copies > 1")
+            found.append(pairs.join(many, ["n", "r1", "r2"]))
+        for copies in found:
+            later = copies.where(here > F.col("first"))
+            more = later.select("none", "doc", "mark", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
+            out = more if out is None else out.union(more)
+    return out.groupBy("none", "doc", "mark").agg(F.array_sort(F.collect_set("i")).alias("gone"))
+
+
+def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int | None = MIN_LINES) -> DataFrame:
     """(none, doc, mark, gone): the numbers of the lines that go, for each document that loses some."""
+    if min_lines is None:
+        return dropped_runs(docs, min_chars)
     if min_lines < 2 or min_lines & min_lines - 1:
         raise ValueError("min_lines is a power of two")
     out = None
@@ -78,8 +145,8 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LI
     return out.groupBy("none", "doc", "mark").agg(F.array_sort(F.collect_set("i")).alias("gone"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES, report: bool = False) -> DataFrame:
-    """docs without later copies of repeated line runs; n_chars, if there, follows the text. report: adds n_lines,
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int | None = MIN_LINES, report: bool = False) -> DataFrame:
+    """docs without later copies of repeated line runs (min_lines=None: runs of any number of lines); n_chars, if there, follows the text. report: adds n_lines,
     n_dropped and n_runs (stretches of dropped lines).
 
     The first copy is that of the smallest doc_id (null ids last), then text hash, then line. Rows that repeat a doc_id
@@ -110,6 +177,10 @@ def op10_linededup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), report=True)
 
 
+def op10_linededup_runs(spark, sf_dir: str) -> DataFrame:
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_lines=None, report=True)
+
+
 #: Runs as joined texts in windows over each document, first copies by grouping them.
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, i, t, len(t) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
@@ -123,3 +194,17 @@ c AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_runs, 0) AS n_runs
 FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+#: Runs of any number of lines: the shortest parts of 30 characters, forward from each line and backward, as substrings.
+OP10_RUNS_SQL = r"""
+WITH l AS (SELECT doc_id, i, t, sum(len(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(t) - 1 AS a, sum(len(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS z FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, i AS s, i + count(*) OVER (PARTITION BY doc_id ORDER BY a RANGE BETWEEN CURRENT ROW AND 30 FOLLOWING) - 1 AS e FROM l
+UNION SELECT doc_id, i - count(*) OVER (PARTITION BY doc_id ORDER BY z RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) + 1 AS s, i AS e FROM l),
+r AS (SELECT w.doc_id, s, e, substr(d.text, x.a::BIGINT + 1, (y.z - x.a)::BIGINT) AS run FROM w JOIN l x ON w.doc_id = x.doc_id AND w.s = x.i JOIN l y ON w.doc_id = y.doc_id AND w.e = y.i JOIN documents d ON w.doc_id = d.doc_id WHERE y.z - x.a >= 30),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM (SELECT doc_id, s, e, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM r) WHERE k > 1),
+g AS (SELECT doc_id, count(*) AS n_dropped, count(*) FILTER (WHERE before IS NULL OR before < i - 1) AS n_runs FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
+k AS (SELECT l.doc_id, string_agg(t, chr(10) ORDER BY l.i) AS kept FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id),
+c AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_runs, 0) AS n_runs
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

@@ -178,6 +178,44 @@ def test_line_dedup(spark, texts):
     assert linedup.dedup(table(spark, [])).count() == 0
 
 
+def brute_runs(rows, min_chars=30):
+    """brute_lines for runs of any number of lines: the longest run at each line that has an earlier copy."""
+    places, out = [(key, i, text.split("\n")) for key, text in sorted(rows) for i in range(text.count("\n") + 1)], {}
+    gone = set()
+    for at, (key, i, own) in enumerate(places):
+        longest = 0
+        for _, j, other in places[:at]:
+            n = 0
+            while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                n += 1
+            longest = max(longest, n)
+        if longest and len("\n".join(own[i : i + longest])) >= min_chars:
+            gone |= {(key, k) for k in range(i, i + longest)}
+    for key, text in rows:
+        out[key] = "\n".join(x for i, x in enumerate(text.split("\n")) if (key, i) not in gone)
+    return out
+
+
+def test_line_dedup_of_maximal_runs(spark, texts):
+    two = "\n".join("p" * 29 + str(k) for k in range(2)) + "\nshort"
+    three = "\n".join(f"{k}" + "q" * 28 for k in range(3))
+    words_ = "\n".join(f"w{k:02}" for k in range(60))
+    rows = ["\n".join([f"head {k}", x, f"tail {k}"]) for x in (two, three, words_) for k in range(2)]
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup(table(spark, rows), min_lines=None).collect()}
+    assert [got[k] for k in range(6)] == [rows[0], "head 1\ntail 1", rows[2], "head 1\ntail 1", rows[4], "head 1\ntail 1"]
+    rng = random.Random(8)
+    pool = [f"{k}" + "x" * rng.choice([0, 3, 8, 17, 40]) for k in range(7)] + ["", "", "a"]
+    docs = ["\n".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(60)]
+    docs += ["\n" * k for k in (3, 29, 30, 31, 70)] + ["\n".join(rng.choices(["", "a"], k=60)) for _ in range(6)]
+    docs += ["\n".join(["z", docs[-1], "y"]), "\n".join(["y", *docs[-2].split("\n")[20:], "v"]), *texts]
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup(table(spark, docs), min_lines=None).collect()}
+    want = brute_runs([(k, x) for k, x in enumerate(docs) if x is not None])
+    assert got == {k: want.get(k) for k in range(len(docs))}
+    again = linedup.dedup(table(spark, ["m" * 40, "m" * 40, "m" * 40 + "\nq"], [1, 1, None]), min_lines=None).collect()
+    assert sorted(r["text"] for r in again) == ["m" * 40, "m" * 40, "q"]
+    assert linedup.dedup(table(spark, []), min_lines=None).count() == 0
+
+
 def test_suffix_ranks_to_full_depth(spark):
     docs = ["a\nb\nc\nd\ne\na\nb\nc\nd\nz", "q\nb\nc\nd\ne\na"]
     suffixes = [(k, i) for k, x in enumerate(docs) for i in range(len(x.split("\n")))]
