@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs leave their texts; every document stays."""
-    return linedup.dedup(docs)
+    """Later copies of repeated runs of any number of lines leave their texts; every document stays."""
+    return linedup.dedup(docs, min_lines=None)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

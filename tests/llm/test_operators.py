@@ -409,6 +409,15 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert docs.count() >= 0
 
 
+def test_pipeline_drops_runs_of_any_length(spark):
+    import corpus_pipeline
+
+    three, list_ = "\n".join(f"{k}" + "q" * 28 for k in range(3)), "\n".join(f"w{k:02}" for k in range(60))
+    docs = table(spark, [f"one\n{three}\n{list_}\nend 1", f"two\n{list_}\n-\n{three}\nend 2"])
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, "").collect()}
+    assert got == {0: f"one\n{three}\n{list_}\nend 1", 1: "two\n-\nend 2"}
+
+
 def brute_language(texts, langs, ids, order=4):
     """(language, score) of each text by context trees walked one byte at a time."""
 
