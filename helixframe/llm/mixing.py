@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions alone.
 
 A source of n documents and target share w of a total of T gets the mean repetition rate w * T / n. A document's count
-is the inverse of that Poisson distribution at a uniform number hashed from seed and doc_id, so that a rerun, or a lost
-executor, gives the same copies. Each copy goes to a partition by a hash of its own, and partitions are ordered by it.
+is the inverse of that Poisson distribution at a uniform number hashed from seed and doc_id (where that is null, from
+the text's MD5), so that a rerun, or a lost executor, gives the same copies. Each copy goes to a partition by a hash of its own, and partitions are ordered by it.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     """docs, each as often as its Poisson count says, with mix_copy (from 1) and mix_key, in random order.
 
     Columns of docs pass through (those two names are replaced if docs has them). Rows that repeat a doc_id draw the same
-    count; null ids draw one count for all of them. Null and empty texts are documents like others. No rows: no rows.
+    count, and so do rows without an id that repeat a text (or have none). Null and empty texts are documents like others. No rows: no rows.
     """
     known = without(docs, "mix_copy", "mix_key")
     r = rates(known, weights, total, alpha)
@@ -65,11 +65,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     few = known.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     # Rows travel as one struct, so that no name in docs meets one of ours.
     rows = known.select(F.struct(*[F.col(f"`{c}`") for c in known.columns]).alias("d"))
+    name = F.coalesce(F.col("d.doc_id").cast("string"), *[F.md5(F.col("d.text"))] * ("text" in known.columns))
     joined = rows.join(F.broadcast(r) if few else r, F.col("d.source").eqNullSafe(r.mix_source))
-    counted = joined.select("d", "mix_cdf", uniform(F.col("d.doc_id")).alias("u")).select("d", F.size(F.filter("mix_cdf", lambda c: c <= F.col("u"))).alias("n"))
+    counted = joined.select("d", "mix_cdf", uniform(name).alias("u")).select("d", F.size(F.filter("mix_cdf", lambda c: c <= F.col("u"))).alias("n"))
     copies = counted.where("n > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("mix_copy"))
-    keyed = copies.withColumn("mix_key", uniform(F.col("d.doc_id"), F.col("mix_copy")))
-    # Rows without an id, and those that repeat one, share keys: their texts tell them apart.
+    keyed = copies.withColumn("mix_key", uniform(name, F.col("mix_copy")))
+    # Rows that repeat an id share keys: their texts tell them apart.
     dealt = keyed.repartition(F.col("mix_key"), *[F.xxhash64("d.text")] * ("text" in known.columns)).sortWithinPartitions("mix_key")
     return dealt.select(*[F.col("d").getField(c).alias(c) for c in known.columns], "mix_copy", "mix_key")
 

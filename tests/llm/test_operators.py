@@ -240,6 +240,14 @@ def test_mixing(spark):
     assert cdf[-1] == pytest.approx(1.0) and sum(1 - c for c in cdf) == pytest.approx(1500, rel=1e-6)
 
 
+def test_mixing_draws_for_each_text_without_an_id(spark):
+    docs = table(spark, [f"t{k}" for k in range(400)], [None] * 400, sources=["a"] * 300 + ["b"] * 100)
+    rows = mixing.mix(docs, {"a": 1.0, "b": 1.0}).collect()
+    n = {s: sum(r["source"] == s for r in rows) for s in "ab"}
+    assert abs(n["a"] - 200) < 60 and abs(n["b"] - 200) < 60  # rates 2/3 and 2
+    assert len({r["mix_key"] for r in rows}) == len(rows)
+
+
 def test_token_counts(spark, texts):
     vocabulary = [x.encode() for x in ("al", "alp", "alpha", " alpha", " b", "beta", "ta", "et", "pha b", "zz", "lta d", "aaaa", "aaa")]
     held, longest = {*vocabulary, *(bytes([b]) for b in range(256))}, max(map(len, vocabulary))
