@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -93,32 +94,60 @@ def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i below n; kept for the next piece."""
-    if len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + (64 << 10)) if n <= PIECE_BYTES + (64 << 10) else n
-        for k, b in enumerate((BASE, INVERSE)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial from prefix sums, then mixed with the length."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h ^= (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+#: The lowest 0 to 8 bytes of a number.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans longer than this are hashed and compared one by one, by C code of their own.
+LONG_SPAN = 512
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as a number; behind the end stand zeros."""
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, eight bytes at a time. Each step is one-to-one, so that spans of eight bytes
+    or fewer never collide with others of their length; users verify the rest by same_spans()."""
+    size, eight = ends - starts, eights(data)
+    h = (size.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    live, k = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        x = h[live] ^ (eight[starts[live] + k] & MASKS[np.minimum(size[live] - k, 8)])
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        h[live] = x ^ (x >> np.uint64(32))
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each span of `a` holds the bytes of that of `b`; both have the sizes given."""
+    out, one, two = np.ones(len(size), bool), eights(a), eights(b)
+    live, k = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        same = (one[a_starts[live] + k] ^ two[b_starts[live] + k]) & MASKS[np.minimum(size[live] - k, 8)] == 0
+        out[live[~same]] = False
+        k += 8
+        live = live[same & (size[live] > k)]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = bool((a[a_starts[i] : a_starts[i] + size[i]] == b[b_starts[i] : b_starts[i] + size[i]]).all())
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """One span of each text, and each span's number among those; equal texts by their bytes, not by their hashes alone.
+    The third is a seed under which no two of the texts share a hash."""
+    seed = 0
+    while True:
+        _, one, number = np.unique(span_hashes(data, starts, ends, seed), return_index=True, return_inverse=True)
+        like = one[number]
+        if len(starts) == 0 or ((ends - starts == (ends - starts)[like]) & same_spans(data, starts, data, starts[like], np.minimum(ends - starts, (ends - starts)[like]))).all():
+            return one, number, seed
+        seed += 1
 
 
 class Words:
@@ -131,16 +160,45 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(at) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
 
+def words_of(texts: list[str | None]) -> Words:
+    return Words(*text_bytes(pa.array([x or "" for x in texts], pa.large_string())))
+
+
+class Vocabulary:
+    """Distinct words, numbered. They are found by hash and verified by their bytes."""
 
-def word_lists(texts: list[str | None]) -> list[np.ndarray]:
-    """Word hashes of each of some texts."""
-    column = pa.array([x or "" for x in texts], pa.large_string())
-    data, at = text_bytes(column)
-    words = Words(data, at)
-    return np.split(words.hashes(), words.first[1:-1]) if len(texts) else []
+    def __init__(self, words: Words):
+        """numbers: that of each of the words."""
+        one, self.numbers, self.seed = distinct_spans(words.data, words.starts, words.ends)
+        self.sizes = words.ends[one] - words.starts[one]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = words.data[np.repeat(words.starts[one] - self.starts, self.sizes) + np.arange(int(self.sizes.sum()))]
+        self._index()
+
+    def _index(self) -> None:
+        self.index = HashIndex(span_hashes(self.data, self.starts, self.starts + self.sizes, self.seed))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "numbers")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self._index()
+
+    def find(self, words: Words) -> np.ndarray:
+        """The number of each word, or -1."""
+        out, size = self.index.find(span_hashes(words.data, words.starts, words.ends, self.seed)), words.ends - words.starts
+        found = np.flatnonzero(out >= 0)
+        fit = size[found] == self.sizes[out[found]]
+        out[found[~fit]] = -1
+        found = found[fit]
+        same = same_spans(words.data, words.starts[found], self.data, self.starts[out[found]], size[found])
+        out[found[~same]] = -1
+        return out
 
 
 class HashIndex:

@@ -2,87 +2,93 @@
 
 A shard is a run of whole documents (about 2 MB of text) that one task has at hand. Its words become symbols of the
 benchmark's vocabulary; words that no benchmark item has can be in no match and stand as borders. Over that sequence an
-FM-index is built (fmindex.py), every benchmark window is searched backward through its wavelet-tree ranks, occurrences
-are located by sampled suffix positions, and hit words are merged into removal spans. Nothing is shuffled: training
-texts are read once, and only the benchmark is sent about, in blocks of bounded size.
+FM-index is built (fmindex.py), every benchmark window whose words the shard has is searched backward through its
+wavelet-tree ranks, occurrences are located by sampled suffix positions, and hit words are merged into removal spans.
+Training texts are not shuffled. The benchmark is cut into blocks of bounded size by Spark, each packed by a task and
+written to the shared folder; the driver and the workers hold one block at a time. A benchmark of one block (16 MB of
+text) takes one pass over the texts, a larger one a pass for each block.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import HashIndex, Words, map_batches, pieces, without, word_lists
+from helixframe.llm.common import Vocabulary, Words, cut, map_batches, pieces, without, words_of
 from helixframe.llm.fmindex import FMIndex
 
-#: Words in a window; benchmark text that one broadcast block holds.
+#: Words in a window; benchmark text in a block, about.
 WINDOW, BLOCK_BYTES = 10, 16 << 20
-#: Text in a shard, about.
-SHARD_BYTES = 2 << 20
+#: Text in a shard, about; windows that are searched side by side.
+SHARD_BYTES, TOGETHER = 2 << 20, 1 << 16
+NEW = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+])
 
 
 @dataclass
 class Block:
-    """Windows of some benchmark items: vocabulary, window matrix, and the items (by number) of each window."""
+    """Some benchmark items: their words as symbols (from 1), and each window's first word, length and item's name (-1: none)."""
 
-    vocabulary: np.ndarray
-    windows: np.ndarray
+    vocabulary: Vocabulary
+    symbols: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
-    item_first: np.ndarray
     items: np.ndarray
-    names: list[str | None]
-
-
-def block_of(rows: list[tuple], window: int) -> Block:
-    lists = word_lists([text for _, text in rows])
-    vocabulary = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]))
-    names = sorted({str(i) for i, _ in rows if i is not None})
-    number = {x: k for k, x in enumerate(names)}
-    made: dict[bytes, set[int]] = {}
-    for (item, _), words in zip(rows, lists, strict=True):
-        symbols = (np.searchsorted(vocabulary, words) + 1).astype(np.int64)
-        size = min(window, len(symbols))
-        for k in range(len(symbols) - size + 1 if size else 0):
-            made.setdefault(symbols[k : k + size].tobytes(), set()).update([] if item is None else [number[str(item)]])
-    windows = np.zeros((len(made), window), np.int64)
-    for k, x in enumerate(made):
-        windows[k, : len(x) // 8] = np.frombuffer(x, np.int64)
-    sizes = np.array([len(x) for x in made.values()], np.int64)
-    items = np.array([i for x in made.values() for i in sorted(x)], np.int64)
-    return Block(vocabulary, windows, (windows > 0).sum(1), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), items, names)
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> list[Block]:
-    """Reads the benchmark a partition at a time and packs it into blocks of at most block_bytes (or one item)."""
-    out, rows, held = [], [], 0
-    for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
-        size = len(r["text"].encode())
-        if rows and held + size > block_bytes:
-            out.append(block_of(rows, window))
-            rows, held = [], 0
-        rows.append((r["item_id"], r["text"]))
-        held += size
-    return out + ([block_of(rows, window)] if rows else [])
-
-
-def search_block(words: Words, hashes: np.ndarray, block: Block, index: HashIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names: list[str]
+
+
+def block_of(items: list[str | None], texts: list[str], window: int) -> Block:
+    words = words_of(texts)
+    names = sorted({x for x in items if x is not None})
+    number = {x: k for k, x in enumerate(names)} | {None: -1}
+    size = np.minimum(window, words.counts)
+    n = np.where(size > 0, words.counts - size + 1, 0)
+    starts = np.repeat(words.first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    vocabulary = Vocabulary(words)
+    return Block(vocabulary, (vocabulary.numbers + 1).astype(np.int32), starts, np.repeat(size, n).astype(np.int32), np.repeat(np.array([number[x] for x in items], np.int32), n), names)
+
+
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(block, data): items dealt to blocks of about block_bytes of text each, and packed there. An item is in one block."""
+    given = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    total = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // block_bytes))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["text", "item"], na_position="first")
+        items = [None if pd.isna(x) else x for x in rows["item"]]
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "data": [pickle.dumps(block_of(items, rows["text"].tolist(), window), 5)]})
+
+    dealt = given.withColumn("block", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(blocks)).cast("int"))
+    return cut(dealt.groupBy("block").applyInPandas(pack, "block int, data binary"))
+
+
+def search_block(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hit marks (+1 and -1 at word borders) and the pairs (row, item) found in a shard."""
-    marks = np.zeros(len(hashes) + 1, np.int64)
+    marks = np.zeros(len(words.starts) + 1, np.int64)
     none = np.zeros(0, np.int64)
-    known = index.find(hashes) + 1
+    known = block.vocabulary.find(words).astype(np.int64) + 1
     # A border before the first word of each row and one for each run of unknown words; known words stay as they are.
     new_row = np.zeros(len(known), bool)
     new_row[words.first[:-1][words.counts > 0]] = True
     after_gap = np.concatenate(([True], known[:-1] == 0)) | new_row
-    take = known > 0
-    if not take.any() or not len(block.windows):
+    word = np.flatnonzero(known)
+    # A window one of whose words the shard lacks can't be there.
+    here = np.zeros(len(block.vocabulary) + 1, bool)
+    here[known[word]] = True
+    lacks = np.concatenate(([0], np.cumsum(~here[block.symbols], dtype=np.int32)))
+    asked = np.flatnonzero(lacks[block.starts + block.lengths] == lacks[block.starts])
+    if not len(asked):
         return marks, none, none
-    word = np.flatnonzero(take)
     gap = after_gap[word]
     place = np.arange(len(word)) + np.cumsum(gap)
     symbols = np.zeros(int(place[-1]) + 2, np.int64)
@@ -90,19 +96,22 @@ def search_block(words: Words, hashes: np.ndarray, block: Block, index: HashInde
     word_at = np.full(len(symbols), -1, np.int64)
     word_at[place] = word
     fm = FMIndex(symbols, len(block.vocabulary))
-    low, high = fm.search(block.windows, block.lengths)
-    found = high - low
-    pattern = np.repeat(np.arange(len(found)), found)
-    rows = np.arange(int(found.sum())) + np.repeat(low - np.concatenate(([0], np.cumsum(found)[:-1])), found)
-    start = word_at[fm.locate(rows)]
-    np.add.at(marks, start, 1)
-    np.add.at(marks, start + block.lengths[pattern], -1)
-    pair = np.unique(words.row[start] * np.int64(len(found)) + pattern)  # one row and window, however often
-    row, pattern = np.divmod(pair, max(1, len(found)))
-    sizes = np.diff(block.item_first)[pattern]
-    item = block.items[np.repeat(block.item_first[pattern] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))]
-    pair = np.unique(np.repeat(row, sizes) * np.int64(max(1, len(block.names))) + item)
-    return marks, *np.divmod(pair, max(1, len(block.names)))
+    pairs, names = [none], max(1, len(block.names))
+    for k in range(0, len(asked), TOGETHER):
+        some = asked[k : k + TOGETHER]
+        lengths = block.lengths[some]
+        column = np.arange(int(lengths.max()))
+        inside = column < lengths[:, None]
+        patterns = np.where(inside, block.symbols[np.where(inside, block.starts[some][:, None] + column, 0)], 0).astype(np.int64)
+        low, high = fm.search(patterns, lengths)
+        found = high - low
+        pattern = np.repeat(np.arange(len(found)), found)
+        start = word_at[fm.locate(np.arange(int(found.sum())) + np.repeat(low - (np.cumsum(found) - found), found))]
+        np.add.at(marks, start, 1)
+        np.add.at(marks, start + lengths[pattern], -1)
+        item = block.items[some[pattern]].astype(np.int64)
+        pairs.append(np.unique(words.row[start][item >= 0] * names + item[item >= 0]))  # one row and item, however often
+    return marks, *np.divmod(np.unique(np.concatenate(pairs)), names)
 
 
 def spans_of(marks: np.ndarray, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,35 +137,58 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     judged by their own text. Without items nothing is hit. Other columns pass through; unless texts are cleaned, those that
     have one of the four new names are replaced.
     """
-    docs = docs if clean else without(docs, "n_words", "n_hit", "items", "spans")
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, block_bytes)]
-    new = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
-    schema = docs.schema if clean else T.StructType(docs.schema.fields + new)
+    sc = docs.sparkSession.sparkContext
+    docs = docs if clean else without(docs, *NEW.names)
+    blocks = blocks_of(benchmark, window, block_bytes)
+    numbers = sorted(r["block"] for r in blocks.select("block").collect()) or [None]  # one for each block_bytes of benchmark
+    while True:
+        changed = sc.accumulator(0)
+        for k, b in enumerate(numbers):
+            rows = blocks.where(F.col("block") == b).select("data").collect()  # one block
+            sent = sc.broadcast(bytes(rows[0]["data"]) if rows else pickle.dumps(block_of([], [], window), 5))
+            docs = one_pass(docs, sent, clean, k > 0, changed)
+            if len(numbers) > 1:
+                docs = cut(docs)
+        # A cut for one block may bring together a window of another: all blocks are gone through until none finds any.
+        if not clean or len(numbers) == 1 or not changed.value:
+            return docs
+
+
+def one_pass(docs: DataFrame, sent, clean: bool, again: bool, changed) -> DataFrame:
+    """find() for one block. again: docs has the columns of find() already, and hits are added to those."""
+    schema = docs.schema if clean or again else T.StructType([*docs.schema.fields, *NEW.fields])
 
     def scan(batches):
-        indexes = [HashIndex(b.value.vocabulary) for b in sent]
+        block = pickle.loads(sent.value)
 
-        def search(data, at):
+        def search(data, at, before=None):
             words = Words(data, at)
-            hashes = words.hashes()
-            marks, items = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(len(at) - 1)]
-            for b, index in zip(sent, indexes, strict=True):
-                more, rows, found = search_block(words, hashes, b.value, index)
-                marks += more
-                for r, i in zip(rows.tolist(), found.tolist(), strict=True):
-                    items[r].add(b.value.names[i])
+            marks, rows, found = search_block(words, block)
+            items: list[set] = [set() for _ in range(len(at) - 1)]
+            for r, i in zip(rows.tolist(), found.tolist(), strict=True):
+                items[r].add(block.names[i])
+            if before is not None:
+                for r, (spans, names) in enumerate(zip(before.column("spans").to_pylist(), before.column("items").to_pylist(), strict=True)):
+                    items[r] |= set(names)
+                    for s in spans:
+                        marks[np.searchsorted(words.starts, at[r] + s["start"])] += 1
+                        marks[np.searchsorted(words.ends, at[r] + s["end"]) + 1] -= 1
             return words, items, *spans_of(marks, words, at)
 
         for batch in batches:
             for part, data, at in pieces(batch, limit=SHARD_BYTES):
                 if clean:
-                    yield cleaned(part, data, at, lambda data, at: search(data, at)[3:])
+                    out = cleaned(part, data, at, lambda data, at: search(data, at)[3:])
+                    if out is not part:
+                        changed.add(1)
+                    yield out
                     continue
-                words, items, n_hit, row, start, end = search(data, at)
+                words, items, n_hit, row, start, end = search(data, at, part if again else None)
                 spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 columns = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "n_words", "n_hit", "items", "spans"])
+                own = [c for c in part.schema.names if not again or c not in NEW.names]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *columns], [*own, *NEW.names])
 
     return map_batches(docs, scan, schema)
 

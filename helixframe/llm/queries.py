@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_tokencount": tokencount.op4_tokencount,
         "op5_licenses": licenses.op5_licenses,
+        "op5_licenses_base": licenses.op5_licenses_base,
         "op6_langid": langid.op6_langid,
         "op7_secrets": secrets.op7_secrets,
         "op8_topk": topk.op8_topk,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.OP2_SQL,
         "op3_decontaminate": decontaminate.OP3_SQL,
+        "op5_licenses_base": licenses.OP5_BASE_SQL,
         "op7_secrets": secrets.OP7_SQL,
         "op8_topk": topk.OP8_SQL,
         "op10_linededup": linedup.OP10_SQL,

@@ -4,7 +4,7 @@ The vocabulary's pieces form a trie over bytes. Each node has a failure link and
 pops, both worked out beforehand (the LinMaxMatch rules of Song et al., 2021, with counts for lists of pieces), so that
 the greedy longest-match length of a unit comes from one pass over its bytes, and no piece is ever built. A unit is a
 run of bytes other than white space, with the one space before it, if any; other white space is units of its own.
-Equal units of a piece of text are counted once, and all of them step through the automaton together.
+Units of a piece of text that have the same bytes are counted once, and all of them step through the automaton together.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from helixframe.llm.common import SOLID_BYTE, HashIndex, map_batches, pieces, runs, span_hashes, without
+from helixframe.llm.common import SOLID_BYTE, HashIndex, distinct_spans, map_batches, pieces, runs, without
 
-#: A file of "base64 rank" lines; read on the driver and sent to tasks.
+#: A file of "base64 rank" lines; read on the driver and sent to tasks. Without it count() needs a vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def load(path: str = VOCABULARY) -> list[bytes]:
-    """Pieces of a vocabulary file: lines of base64 and a rank, or a JSON list of strings."""
+    """Pieces of a vocabulary file: lines of base64 and a rank, or a JSON list of strings. A path where no file is raises
+    FileNotFoundError, before any job runs."""
     with open(path, "rb") as f:
         raw = f.read()
     if raw.lstrip()[:1] == b"[":
@@ -131,7 +132,7 @@ def count(docs: DataFrame, vocabulary: list[bytes] | None = None) -> DataFrame:
         for batch in batches:
             for part, data, at in pieces(batch):
                 starts, ends = units(data, at)
-                _, one, same = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                one, same, _ = distinct_spans(data, starts, ends)
                 n = np.concatenate(([0], np.cumsum(automaton.counts(data, starts[one], ends[one])[same])))
                 first = np.searchsorted(starts, at)
                 columns = [np.diff(first), n[first[1:]] - n[first[:-1]], np.diff(at)]
