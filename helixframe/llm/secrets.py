@@ -26,15 +26,27 @@ from helixframe.llm.common import LOWER, map_batches, pieces, without
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: an expression (in syntax that RE2 shares), and the least length of one of its groups."""
+    """A kind of secret: an expression (in syntax that RE2 shares), and the least length of one of its groups. linear:
+    where a backtracking engine would scan a long run anew from each of its places, an expression whose last group
+    gives the same matches and that begins in a run once."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     base: bool = False
+    linear: str | None = None
 
+    def matches(self, text: str):
+        """(start, end, length of the group) of each match, from the left without overlap."""
+        expression, group = re.compile(self.linear or self.pattern, re.ASCII), self.group
+        if self.linear:
+            return [(*m.span(m.re.groups), m.end(m.re.groups) - m.start(m.re.groups)) for m in expression.finditer(text)]
+        return [(m.start(), m.end(), m.end(group) - m.start(group)) for m in expression.finditer(text)]
 
+
+JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+URL = r"[A-Za-z0-9+.-]+://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@"
 #: Base rules first, as listed; the others are the method's own. Public formats of keys and tokens.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8, True),
@@ -43,9 +55,10 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Of a run the first eyJ with enough behind it: whether more follows doesn't hang on where the match begins.
+    Rule("jwt", JWT, linear=rf"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ[A-Za-z0-9_-]{{8}}))({JWT})"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url", r"[a-z]{1,12}://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@"),
+    Rule("url", URL, linear=r"(?<![A-Za-z0-9+.-])([A-Za-z0-9+.-]++://[^\x00-\x20:@/]++:[^\x00-\x20:@/]++@)"),
 )
 
 #: Strings that a part of an expression may expand to at most; beyond, it counts as unknown.
@@ -150,20 +163,20 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(span))])
 
     def scan(batches):
-        compiled = [(r, re.compile(r.pattern, re.ASCII), literals(r.pattern)) for r in rules]
+        compiled = [(r, literals(r.pattern)) for r in rules]
         asked = np.zeros(1 << 24, bool)
-        for _, _, query in compiled:
+        for _, query in compiled:
             asked[[g for options in query for x in options for g in trigrams(x)]] = True
         for batch in batches:
             for part, data, at in pieces(batch):
                 index, texts = Index(data, at, asked), part.column("text")
                 found: list[list] = [[] for _ in range(part.num_rows)]
                 decoded: dict[int, str] = {}
-                for k, (rule, expression, query) in enumerate(compiled):
+                for k, (rule, query) in enumerate(compiled):
                     for r in index.holding(query).tolist():
                         if r not in decoded:
                             decoded[r] = texts[r].as_py() or ""
-                        found[r] += [(m.start(), k, m.end()) for m in expression.finditer(decoded[r]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                        found[r] += [(a, k, b) for a, b, n in rule.matches(decoded[r]) if n >= rule.least]
                 spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(x)] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [*part.schema.names, "spans"])
 
