@@ -18,11 +18,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/cut-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path and the path: Spark's readers and writers know no deleting."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. What
+    forget() hasn't deleted goes when the session ends."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, folder = _hadoop(spark, path)
+    system.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._helix_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote. To be called when all that was made from them is written itself."""
+    for t in tables:
+        path = t.__dict__.pop("_helix_path", None)
+        if path:
+            system, folder = _hadoop(t.sparkSession, path)
+            system.delete(folder, True)
