@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.sources.shared import cut as cut
+from helixframe.sources.shared import forget as forget
 
 #: Text that one numpy pass works on. A longer document is a piece of its own.
 PIECE_BYTES = 1 << 20

@@ -1,23 +1,20 @@
 """Line dedup by a suffix array over line IDs: prefix doubling in DataFrame functions alone.
 
-Every line is an ID (its 64-bit hash), every document a sequence of them, every line the start of a suffix. Suffixes are
+Every line is an ID (two 64-bit hashes), every document a sequence of them, every line the start of a suffix. Suffixes are
 ranked by their first line, then by the first 2, 4, ... lines: the pair of ranks (here, h lines on) is grouped, distinct
 pairs are sorted, and their order gives the ranks of twice the depth. Suffixes that share a rank at depth h are an
 interval of the suffix array whose longest common prefix is h lines or more, that is, a repeated run; suffixes alone in
-their interval leave at once. Doubling stops at the depth that decisions need (MIN_LINES), or, with depth=None, when
-no interval is left. In each interval all but the first suffix, by document and line, begin a later copy.
+their interval leave at once. Doubling goes on until no interval is left.
 
-Two rules say what goes. With min_lines a number: one line of min_chars, or so many lines that have min_chars together
-(op10_linededup). With min_lines=None: every run of whole lines, of any number, that has min_chars and an earlier copy,
-that is, the longest repeated run at each suffix if that is long enough (op10_linededup_runs, the pipeline). Any such run
-is covered by its shortest parts of min_chars: from each of its lines on, the fewest lines that have them, and where the
-run ends before, the fewest up to its end. Those parts have min_chars + 1 lines at most, each line but one having its
-break; so doubling ends there and no run is missed, however long. A part of n lines, h < n < 2 h, is the pair of the
-ranks of its first and its last h lines.
+The intervals of depth h and 2 h say only that some suffixes share between h and 2 h lines. How many exactly comes from
+going down again: in each interval of depth h one suffix stands for each interval of depth 2 h inside it, and those are
+told apart by the ranks of h / 2, h / 4, ..., 1 further lines. At the end all suffixes of a group share exactly its depth,
+a node of the suffix tree, and each of them but the first, by document and line, is named once: its longest run that has
+an earlier copy. Runs of min_chars characters that no run before them covers are the maximal ones, and go.
 
 Only (document key, line number, rank) is ever shuffled here, and pairs are pre-aggregated before they are, so a line
 of very many copies weighs little; ranks go back by an equi-join that Spark can split. Texts are shuffled once at most,
-to meet the numbers of their dropped lines.
+to meet the numbers of their dropped lines. Tables of a round are deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -25,178 +22,158 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut
+from helixframe.llm.common import cut, forget
 
-#: A later copy of a run goes if the run is one line of MIN_CHARS characters, or MIN_LINES lines (a power of two) that
-#: have MIN_CHARS together, line breaks counted.
-MIN_CHARS, MIN_LINES = 30, 4
+#: A later copy of a run of lines goes if it has so many characters, line breaks between its lines counted.
+MIN_CHARS = 30
+#: What names a line: its document and its number.
+HERE = ("none", "doc", "mark", "i")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """A document is named by its doc_id and a hash of its text: rows that repeat both are one document."""
-    return docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
+def hashes(column):
+    """Two 64-bit hashes of a text, of different seeds."""
+    return F.xxhash64(column), F.xxhash64(F.lit(1), column)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(none, doc, mark, i, id, chars) of each line; a null text has none, an empty one has one, of 0 characters."""
-    split = keyed(docs).where("text is not null").select("none", "doc", "mark", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return split.select("none", "doc", "mark", "i", F.xxhash64("line").alias("id"), F.length("line").cast("long").alias("chars"))
-
-
-def fewest(chars, i, min_chars: int):
-    """How many lines from line i on have min_chars together, given each line's characters; min_chars + 2 if the text ends before."""
-    add = lambda s, x: F.when(s["sum"] >= min_chars, s).otherwise(F.struct((s["sum"] + 1 + x).alias("sum"), (s["n"] + 1).alias("n")))
-    start = F.struct(F.lit(-1).alias("sum"), F.lit(0).alias("n"))
-    some = F.aggregate(F.slice(chars, i + 1, min_chars + 1), start, add, lambda s: F.when(s["sum"] >= min_chars, s["n"]).otherwise(min_chars + 2))
-    return F.when(F.get(chars, i) >= min_chars, 1).otherwise(some)
+def document_key(doc_id, text):
+    """(none, doc, mark): a document is named by its doc_id and a hash of its text, without an id by two hashes: rows that
+    repeat both are one document."""
+    one, two = hashes(text)
+    return doc_id.isNull(), F.coalesce(doc_id.cast("long"), two), one
 
 
-def bounded_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """lines with low and high: the parts that begin at a line have low to high lines (see above)."""
-    split = keyed(docs).where("text is not null").select("none", "doc", "mark", F.split("text", "\n").alias("all"))
-    chars = F.transform("all", lambda x: F.least(F.length(x), F.lit(min_chars)))
-    # An array of one binds the lengths to a name, so that they are taken once a text.
-    bounds = F.transform(F.array(chars), lambda c: F.transform(c, lambda x, i: F.struct(fewest(c, i, min_chars).alias("low"), fewest(c, i + 1, min_chars).alias("next"))))
-    both = split.select("none", "doc", "mark", F.posexplode(F.arrays_zip(F.col("all").alias("line"), F.get(bounds, F.lit(0)).alias("b"))).alias("i", "x"))
-    high = F.least(F.greatest("x.b.low", "x.b.next"), F.lit(min_chars + 1))
-    return both.select("none", "doc", "mark", "i", F.xxhash64("x.line").alias("id"), F.length("x.line").cast("long").alias("chars"), F.col("x.b.low").alias("low"), high.alias("high"))
+def lines(docs: DataFrame) -> DataFrame:
+    """(none, doc, mark, i, id, more, chars) of each line; a null text has none, an empty one has one, of 0 characters."""
+    none, doc, mark = document_key(F.col("doc_id"), F.col("text"))
+    split = docs.where("text is not null").select(none.alias("none"), doc.alias("doc"), mark.alias("mark"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    one, two = hashes(F.col("line"))
+    return split.select(*HERE, one.alias("id"), two.alias("more"), F.length("line").cast("long").alias("chars"))
 
 
 def intervals(suffixes: DataFrame, *key: str) -> DataFrame:
-    """(key..., first, rank) of each interval of two suffixes or more; ranks follow the order of the keys."""
-    first = F.min(F.struct("none", "doc", "mark", "i")).alias("first")
-    many = suffixes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n")
-    return cut(many.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id()))
-
-
-def ranked(suffixes: DataFrame, found: DataFrame, *key: str) -> DataFrame:
-    return suffixes.join(found, list(key)).select(*[c for c in suffixes.columns if c not in key], "rank", "first")
-
-
-def doubled(level: DataFrame, h: int) -> DataFrame:
-    """Suffixes of a level of depth h, with the rank h lines on (those without one are no longer repeated)."""
-    on = Window.partitionBy("none", "doc", "mark").orderBy("i").rangeBetween(h, h)
-    after = F.max(F.struct("rank", "chars")).over(on)
-    own = [c for c in ("low", "high") if c in level.columns]
-    return level.withColumn("after", after).where("after is not null").select("none", "doc", "mark", "i", *own, (F.col("chars") + F.lit(1) + F.col("after.chars")).alias("chars"), F.col("rank").alias("r1"), F.col("after.rank").alias("r2"))
-
-
-def levels(docs: DataFrame, depth: int | None = MIN_LINES):
-    """Yields (h, suffixes in intervals of h shared lines) for h = 1, 2, 4, ... up to depth, or until none is left."""
-    suffixes, h = lines(docs), 1
-    level = cut(ranked(suffixes, intervals(suffixes, "id"), "id"))
+    """(key..., copies, first, next) of each interval of two suffixes or more; ranks (next) follow the order of the keys."""
+    many = suffixes.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1")
+    return cut(many.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("next", F.monotonically_increasing_id()))
+
+
+def levels(docs: DataFrame, depth: int | None = None):
+    """Yields (h, table) for h = 1, 2, 4, ... until no interval is left, or up to depth. A table has the suffixes in
+    intervals of h shared lines: none, doc, mark, i, chars (of the h lines), n and rank (of the interval); next_chars,
+    next_n and next (of the one of 2 h lines; null if there is none) and stands (whether the suffix stands for it, or for
+    itself, among others of its interval)."""
+    every = lines(docs)
+    found = intervals(every, "id", "more")
+    level, h = every.join(found, ["id", "more"]).select(*HERE, "chars", F.col("copies").alias("n"), F.col("next").alias("rank")), 1
+    old = [found]
     while True:
-        yield h, level
-        if depth is not None and h >= depth or depth is None and level.isEmpty():
+        own = Window.partitionBy("none", "doc", "mark").orderBy("i")
+        after = F.max(F.struct("rank", "chars")).over(own.rangeBetween(h, h))
+        # A document that is there twice has each line twice up to here.
+        pairs = level.withColumn("after", after).withColumn("before", F.lag("i").over(own)).where("before is null or before < i")
+        pairs = cut(pairs.select(*HERE, "chars", "n", "rank", F.col("after.rank").alias("then"), (F.col("chars") + F.lit(1) + F.col("after.chars")).alias("next_chars")))
+        found = intervals(pairs.where("then is not null"), "rank", "then")
+        joined = pairs.join(found, ["rank", "then"], "left")
+        alone = F.col("next").isNull()
+        stands = alone | (F.struct(*HERE) == F.col("first")) & (F.col("copies") < F.col("n"))
+        level = cut(joined.select(*HERE, "chars", "n", "rank", F.when(~alone, F.col("next_chars")).alias("next_chars"), F.col("copies").alias("next_n"), "next", stands.alias("stands")))
+        forget(pairs, found, *old)
+        old = []
+        if level.isEmpty():
+            forget(level)
             return
-        pairs = cut(doubled(level, h))
-        level, h = cut(ranked(pairs, intervals(pairs, "r1", "r2"), "r1", "r2")), 2 * h
-
-
-def run_levels(docs: DataFrame, min_chars: int):
-    """Yields (h, suffixes in intervals of h shared lines, of those that a part of h lines or more can have)."""
-    suffixes, h = bounded_lines(docs, min_chars), 1
-    level = cut(ranked(suffixes, intervals(suffixes, "id"), "id"))
-    while True:
         yield h, level
-        if 2 * h > min_chars + 1 or level.isEmpty():
+        if depth is not None and h >= depth:
             return
-        # Whether a suffix stays hangs on its 2 h lines alone, so that an interval stays or leaves as a whole.
-        pairs = cut(doubled(level, h).where(F.col("high") >= 2 * h))
-        level, h = cut(ranked(pairs, intervals(pairs, "r1", "r2"), "r1", "r2")), 2 * h
-
-
-def parts(level: DataFrame, h: int) -> DataFrame:
-    """(none, doc, mark, i, n, r1, r2) of the parts of n lines, h < n < 2 h, whose first and last h lines are repeated."""
-    ahead = Window.partitionBy("none", "doc", "mark").orderBy("i").rangeBetween(1, h - 1)
-    ends = level.withColumn("ends", F.collect_set(F.struct(F.col("i").alias("at"), "rank")).over(ahead)).where(F.col("low") < 2 * h)
-    pairs = ends.withColumn("end", F.explode("ends")).withColumn("n", F.col("end.at") - F.col("i") + F.lit(h)).where("n between low and high")
-    return pairs.select("none", "doc", "mark", "i", "n", F.col("rank").alias("r1"), F.col("end.rank").alias("r2"))
-
-
-def dropped_runs(docs: DataFrame, min_chars: int) -> DataFrame:
-    """dropped for runs of any number of lines."""
-    here, out = F.struct("none", "doc", "mark", "i"), None
-    for h, level in run_levels(docs, min_chars):
-        found = [level.where(F.col("low") <= h).withColumn("n", F.lit(h))]
-        if h > 1:
-            pairs = cut(parts(level, h))
-            many = pairs.groupBy("n", "r1", "r2").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("first")).where("copies > 1")
-            found.append(pairs.join(many, ["n", "r1", "r2"]))
-        for copies in found:
-            later = copies.where(here > F.col("first"))
-            more = later.select("none", "doc", "mark", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
-            out = more if out is None else out.union(more)
-    return out.groupBy("none", "doc", "mark").agg(F.array_sort(F.collect_set("i")).alias("gone"))
-
-
-def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int | None = MIN_LINES) -> DataFrame:
-    """(none, doc, mark, gone): the numbers of the lines that go, for each document that loses some."""
-    if min_lines is None:
-        return dropped_runs(docs, min_chars)
-    if min_lines < 2 or min_lines & min_lines - 1:
-        raise ValueError("min_lines is a power of two")
-    out = None
-    for h, level in levels(docs, min_lines):
-        if h in (1, min_lines):
-            later = level.where((F.struct("none", "doc", "mark", "i") > F.col("first")) & (F.col("chars") >= min_chars))
-            more = later.select("none", "doc", "mark", F.explode(F.sequence("i", F.col("i") + F.lit(h - 1))).alias("i"))
-            out = more if out is None else out.union(more)
-    return out.groupBy("none", "doc", "mark").agg(F.array_sort(F.collect_set("i")).alias("gone"))
-
-
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int | None = MIN_LINES, report: bool = False) -> DataFrame:
-    """docs without later copies of repeated line runs (min_lines=None: runs of any number of lines); n_chars, if there, follows the text. report: adds n_lines,
-    n_dropped and n_runs (stretches of dropped lines).
-
-    The first copy is that of the smallest doc_id (null ids last), then text hash, then line. Rows that repeat a doc_id
-    and its text are one document and share its outcome; they don't make each other's lines copies. A null text stays
+        level = level.where("next is not null").select(*HERE, F.col("next_chars").alias("chars"), F.col("next_n").alias("n"), F.col("next").alias("rank"))
+        h *= 2
+
+
+def longest_runs(docs: DataFrame) -> DataFrame:
+    """(none, doc, mark, i, n, chars): for each line that begins a run with an earlier copy the longest such run, in lines
+    and characters."""
+    tables, group = dict(levels(docs)), None
+    if not tables:
+        return lines(docs).select(*HERE, F.lit(1).alias("n"), "chars").limit(0)
+    entering = lambda h, tag: tables[h].where("stands").select(*HERE, (F.col("rank") * 64 + F.lit(32 + tag)).alias("grp"), F.lit(h).alias("n"), "chars")
+    old = []
+    for tag in range(len(tables) - 1, -1, -1):
+        h = 1 << tag
+        if group is not None:
+            step = tables[h].select("none", "doc", "mark", F.col("i").alias("at"), F.col("rank").alias("then"), F.col("chars").alias("more"))
+            known = cut(group.withColumn("at", F.col("i") + F.col("n")).join(step, ["none", "doc", "mark", "at"], "left").drop("at"))
+            forget(*old)
+            shared = known.where("then is not null").groupBy("grp", "then").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1")
+            shared = cut(shared.withColumn("into", F.monotonically_increasing_id() * 64 + F.lit(tag)).drop("copies"))
+            both = known.join(shared, ["grp", "then"], "left")
+            deeper = F.struct(F.col("into").alias("grp"), (F.col("n") + h).alias("n"), (F.col("chars") + F.lit(1) + F.col("more")).alias("chars"))
+            stays = F.when(F.col("into").isNull() | (F.struct(*HERE) == F.col("first")), F.struct("grp", "n", "chars"))
+            group = both.select(*HERE, F.inline(F.array_compact(F.array(F.when(F.col("into").isNotNull(), deeper), stays))))
+            old = [known, shared]
+        fresh = entering(h, tag)
+        group = fresh if group is None else group.union(fresh)
+    group = cut(group)
+    forget(*old, *tables.values())
+    first = group.groupBy("grp").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1")
+    return group.join(first, "grp").where(F.struct(*HERE) > F.col("first")).select(*HERE, "n", "chars")
+
+
+def maximal_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(none, doc, mark, i, n, chars, done): runs of min_chars or more with an earlier copy that no such run before
+    them covers; done: where the one before ends, which may be behind i."""
+    runs = longest_runs(docs).where(F.col("chars") >= min_chars)
+    before = Window.partitionBy("none", "doc", "mark").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("done", F.coalesce(F.max(F.col("i") + F.col("n")).over(before), F.lit(0))).where("i + n > done")
+
+
+def dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(none, doc, mark, gone, runs): the numbers of the lines that go, in order, and how many maximal runs they are, for each
+    document that loses some."""
+    part = F.struct(F.greatest("i", "done").alias("a"), (F.col("i") + F.col("n") - 1).alias("b"))
+    parts = maximal_runs(docs, min_chars).groupBy("none", "doc", "mark").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    gone = F.flatten(F.transform("parts", lambda p: F.sequence(p["a"], p["b"])))
+    return parts.select("none", "doc", "mark", gone.alias("gone"), F.size("parts").alias("runs"))
+
+
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:
+    """docs without later copies of repeated line runs of any number of lines; n_chars, if there, follows the text. report:
+    adds n_lines, n_dropped, n_runs (stretches of dropped lines) and n_maximal (maximal repeated runs, which may overlap).
+
+    The first copy is that of the smallest doc_id (null ids last, by hashes of their texts), then text hash, then line.
+    Rows that repeat a doc_id and its text are one document and share its outcome; they don't make each other's lines copies. A null text stays
     null; an empty text, or one all of whose lines go, is empty. All rows stay. Names in docs may be any.
     """
     # Rows travel as one struct, so that no name in docs meets one of ours.
-    gone = dropped(docs, min_chars, min_lines)
+    gone = dropped(docs, min_chars)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     old = F.col("d").getField("text")
-    on = (F.col("d.doc_id").isNull() == gone.none) & (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(0)) == gone.doc) & (F.xxhash64(old) == gone.mark)
-    both = rows.join(gone, on, "left").select("d", "gone")
+    none, doc, mark = document_key(F.col("d.doc_id"), old)
+    both = rows.join(gone, (none == gone.none) & (doc == gone.doc) & (mark == gone.mark), "left").select("d", "gone", "runs")
     split, untouched = F.split(old, "\n"), F.col("gone").isNull()
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))  # by hashing
     text = F.when(untouched, old).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    made = both.select("d", "gone", F.inline(F.array(F.struct(text.alias("text")))))
+    made = both.select("d", "gone", "runs", F.inline(F.array(F.struct(text.alias("text")))))
     own = {c: F.col("d").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in own:
         own["n_chars"] = F.when(untouched, own["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     if report:
         heads = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))  # adjacent numbers are one run
         own["n_lines"] = F.when(old.isNull(), 0).otherwise(F.size(split)).cast("long")
-        own |= {c: F.when(untouched, 0).otherwise(n).cast("long") for c, n in (("n_dropped", F.size("gone")), ("n_runs", heads))}
+        own |= {c: F.when(untouched, 0).otherwise(n).cast("long") for c, n in (("n_dropped", F.size("gone")), ("n_runs", heads), ("n_maximal", F.col("runs")))}
     return made.select(*[x.alias(c) for c, x in own.items()])
 
 
 def op10_linededup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), report=True)
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), report=True).drop("n_maximal")
 
 
-def op10_linededup_runs(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_lines=None, report=True)
+def op10_linededup_maximal(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, first_line, n_lines, n_chars) of each maximal repeated run that goes, lines from 0."""
+    runs = maximal_runs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return runs.select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.col("i").cast("long").alias("first_line"), F.col("n").cast("long").alias("n_lines"), F.col("chars").alias("n_chars"))
 
 
-#: Runs as joined texts in windows over each document, first copies by grouping them.
-OP10_SQL = r"""
-WITH l AS (SELECT doc_id, i, t, len(t) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
-w AS (SELECT doc_id, i, t, n, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2, lead(t, 3) OVER o AS t3 FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-one AS (SELECT doc_id, i FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM l) WHERE k > 1 AND n >= 30),
-four AS (SELECT doc_id, unnest(range(i, i + 4)) AS i FROM (SELECT doc_id, i, len(t) + len(t1) + len(t2) + len(t3) + 3 AS n, row_number() OVER (PARTITION BY t, t1, t2, t3 ORDER BY doc_id, i) AS k FROM w WHERE t3 IS NOT NULL) WHERE k > 1 AND n >= 30),
-gone AS (SELECT doc_id, i FROM one UNION SELECT doc_id, i FROM four),
-g AS (SELECT doc_id, count(*) AS n_dropped, count(*) FILTER (WHERE before IS NULL OR before < i - 1) AS n_runs FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
-k AS (SELECT l.doc_id, string_agg(t, chr(10) ORDER BY l.i) AS kept FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id),
-c AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_runs, 0) AS n_runs
-FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
-"""
-
 #: Runs of any number of lines: the shortest parts of 30 characters, forward from each line and backward, as substrings.
-OP10_RUNS_SQL = r"""
+OP10_SQL = r"""
 WITH l AS (SELECT doc_id, i, t, sum(len(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(t) - 1 AS a, sum(len(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS z FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT doc_id, i AS s, i + count(*) OVER (PARTITION BY doc_id ORDER BY a RANGE BETWEEN CURRENT ROW AND 30 FOLLOWING) - 1 AS e FROM l
 UNION SELECT doc_id, i - count(*) OVER (PARTITION BY doc_id ORDER BY z RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) + 1 AS s, i AS e FROM l),

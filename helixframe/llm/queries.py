@@ -18,7 +18,8 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_simhash": simhash.op9_simhash,
         "op10_linededup": linedup.op10_linededup,
-        "op10_linededup_runs": linedup.op10_linededup_runs,
+        "op10_linededup_runs": linedup.op10_linededup,
+        "op10_linededup_maximal": linedup.op10_linededup_maximal,
     }
 
 
@@ -30,5 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_secrets": secrets.OP7_SQL,
         "op8_topk": topk.OP8_SQL,
         "op10_linededup": linedup.OP10_SQL,
-        "op10_linededup_runs": linedup.OP10_RUNS_SQL,
+        "op10_linededup_runs": linedup.OP10_SQL,
     }

@@ -144,44 +144,11 @@ def test_links_are_all_pairs_within_four_bits(spark):
     assert {tuple(r) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(1, 61)} | {(101, 100)}
 
 
-def brute_lines(rows, min_chars=30, min_lines=4):
-    """rows: (order key, text) of distinct documents; gives each one's kept lines."""
-    first, out = {}, {}
-    for key, text in sorted(rows):
-        for i, x in enumerate(lines := text.split("\n")):
-            for n in (1, min_lines):
-                run = tuple(lines[i : i + n])
-                if len(run) == n:
-                    first.setdefault((n, run), (key, i))
-    for key, text in rows:
-        lines, gone = text.split("\n"), set()
-        for i in range(len(lines)):
-            for n in (1, min_lines):
-                run = tuple(lines[i : i + n])
-                if len(run) == n and len("\n".join(run)) >= min_chars and first[n, run] < (key, i):
-                    gone |= set(range(i, i + n))
-        out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return out
-
-
-def test_line_dedup(spark, texts):
-    rng = random.Random(4)
-    pool = [f"line {k} " + "x" * rng.choice([0, 3, 40]) for k in range(12)] + [""]
-    docs = ["\n".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(40)] + texts
-    got = {r["doc_id"]: r for r in linedup.dedup(table(spark, docs), report=True).collect()}
-    want = brute_lines([(k, x) for k, x in enumerate(docs) if x is not None])
-    assert {k: r["text"] for k, r in got.items()} == {k: want.get(k) for k in range(len(docs))}
-    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.values())
-    # Rows that repeat are one document; of two texts of one id, and of null ids, each is its own.
-    again = linedup.dedup(table(spark, ["m" * 40, "m" * 40, "m" * 40 + "\nq"], [1, 1, None])).collect()
-    assert sorted(r["text"] for r in again) == ["m" * 40, "m" * 40, "q"]
-    assert linedup.dedup(table(spark, [])).count() == 0
-
-
 def brute_runs(rows, min_chars=30):
-    """brute_lines for runs of any number of lines: the longest run at each line that has an earlier copy."""
+    """(texts, runs): texts without the longest run at each line that has an earlier copy, and those runs that no other
+    one of their text covers. rows: (order key, text) of distinct documents."""
     places, out = [(key, i, text.split("\n")) for key, text in sorted(rows) for i in range(text.count("\n") + 1)], {}
-    gone = set()
+    gone, runs, done = set(), set(), {}
     for at, (key, i, own) in enumerate(places):
         longest = 0
         for _, j, other in places[:at]:
@@ -189,11 +156,14 @@ def brute_runs(rows, min_chars=30):
             while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
                 n += 1
             longest = max(longest, n)
-        if longest and len("\n".join(own[i : i + longest])) >= min_chars:
+        if longest and len(run := "\n".join(own[i : i + longest])) >= min_chars:
             gone |= {(key, k) for k in range(i, i + longest)}
+            if i + longest > done.get(key, 0):
+                done[key] = i + longest
+                runs.add((key, i, longest, len(run)))
     for key, text in rows:
         out[key] = "\n".join(x for i, x in enumerate(text.split("\n")) if (key, i) not in gone)
-    return out
+    return out, runs
 
 
 def test_line_dedup_of_maximal_runs(spark, texts):
@@ -201,31 +171,45 @@ def test_line_dedup_of_maximal_runs(spark, texts):
     three = "\n".join(f"{k}" + "q" * 28 for k in range(3))
     words_ = "\n".join(f"w{k:02}" for k in range(60))
     rows = ["\n".join([f"head {k}", x, f"tail {k}"]) for x in (two, three, words_) for k in range(2)]
-    got = {r["doc_id"]: r["text"] for r in linedup.dedup(table(spark, rows), min_lines=None).collect()}
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup(table(spark, rows), report=True).collect()}
     assert [got[k] for k in range(6)] == [rows[0], "head 1\ntail 1", rows[2], "head 1\ntail 1", rows[4], "head 1\ntail 1"]
     rng = random.Random(8)
     pool = [f"{k}" + "x" * rng.choice([0, 3, 8, 17, 40]) for k in range(7)] + ["", "", "a"]
     docs = ["\n".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(60)]
     docs += ["\n" * k for k in (3, 29, 30, 31, 70)] + ["\n".join(rng.choices(["", "a"], k=60)) for _ in range(6)]
     docs += ["\n".join(["z", docs[-1], "y"]), "\n".join(["y", *docs[-2].split("\n")[20:], "v"]), *texts]
-    got = {r["doc_id"]: r["text"] for r in linedup.dedup(table(spark, docs), min_lines=None).collect()}
-    want = brute_runs([(k, x) for k, x in enumerate(docs) if x is not None])
+    frame = table(spark, docs)
+    done = linedup.dedup(frame, report=True).collect()
+    got = {r["doc_id"]: r["text"] for r in done}
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in done)
+    want, runs = brute_runs([(k, x) for k, x in enumerate(docs) if x is not None])
     assert got == {k: want.get(k) for k in range(len(docs))}
-    again = linedup.dedup(table(spark, ["m" * 40, "m" * 40, "m" * 40 + "\nq"], [1, 1, None]), min_lines=None).collect()
+    assert {(r["doc"], r["i"], r["n"], r["chars"]) for r in linedup.maximal_runs(frame).collect()} == runs
+    assert sum(r["n_maximal"] for r in done) == len(runs)
+    # Rows that repeat are one document; of two texts of one id, and of null ids, each is its own.
+    again = linedup.dedup(table(spark, ["m" * 40, "m" * 40, "m" * 40 + "\nq"], [1, 1, None])).collect()
     assert sorted(r["text"] for r in again) == ["m" * 40, "m" * 40, "q"]
-    assert linedup.dedup(table(spark, []), min_lines=None).count() == 0
+    assert linedup.dedup(table(spark, [])).count() == 0
 
 
 def test_suffix_ranks_to_full_depth(spark):
-    docs = ["a\nb\nc\nd\ne\na\nb\nc\nd\nz", "q\nb\nc\nd\ne\na"]
-    suffixes = [(k, i) for k, x in enumerate(docs) for i in range(len(x.split("\n")))]
-    for h, level in linedup.levels(table(spark, docs), None):
+    docs = ["a\nb\nc\nd\ne\na\nb\nc\nd\nz", "q\nb\nc\nd\ne\na", *["\n".join(f"{k % 5}" for k in range(23))] * 2]
+    suffixes, deepest = [(k, i) for k, x in enumerate(docs) for i in range(len(x.split("\n")))], 0
+    for h, level in linedup.levels(table(spark, docs)):
         got = {(r["doc"], r["i"]): r["rank"] for r in level.collect()}
         run = {(k, i): tuple(docs[k].split("\n")[i : i + h]) for k, i in suffixes}
         full = {s: r for s, r in run.items() if len(r) == h}
         repeated = {s: r for s, r in full.items() if list(full.values()).count(r) > 1}
         assert set(got) == set(repeated)
         assert all((got[a] == got[b]) == (repeated[a] == repeated[b]) for a in got for b in got)
+        deepest = h
+    assert deepest == 16
+
+
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    docs = table(spark, ["a" * 40 + "\n" + "b" * 40, "c" * 40, "a" * 40])
+    monkeypatch.setattr(linedup, "hashes", lambda c: (F.lit(7).cast("long"), F.xxhash64(F.lit(1), c)))
+    assert [r["text"] for r in linedup.dedup(docs).orderBy("doc_id").collect()] == ["a" * 40 + "\n" + "b" * 40, "c" * 40, ""]
 
 
 def test_mixing(spark):
@@ -519,7 +503,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
 
     known = [d for d, (lang, score) in zip(docs, brute_language(texts, langs, ids), strict=True) if lang != "und" and score >= 0.5]
-    kept = brute_lines([(d[0], d[1]) for d in known])
+    kept, _ = brute_runs([(d[0], d[1]) for d in known])
     less = [(d[0], kept[d[0]]) for d in known]
     group, first = brute_groups([brute_fingerprint(x) for _, x in less]), {}
     for (i, _), g in zip(less, group, strict=True):
