@@ -44,6 +44,18 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
     return docs if len(own) == len(docs.columns) else docs.select(*[F.col(f"`{c}`") for c in own])
 
 
+def hashes(column):
+    """Two 64-bit hashes of a text, of different seeds."""
+    return F.xxhash64(column), F.xxhash64(F.lit(1), column)
+
+
+def document_key(doc_id, text):
+    """(none, doc, mark), none of them null: a document is named by its doc_id and a hash of its text, without an id by two
+    hashes. Rows that repeat both are one document; in order of these keys null ids come last."""
+    one, two = hashes(text)
+    return doc_id.isNull(), F.coalesce(doc_id.cast("long"), two), one
+
+
 def map_batches(docs: DataFrame, scan, schema: T.StructType) -> DataFrame:
     """docs.mapInArrow(scan, schema), also where a name has a dot, which that method would take for a field's."""
     if not any("." in c for c in docs.columns):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, forget
+from helixframe.llm.common import cut, document_key, forget, hashes
 
 #: A later copy of a run of lines goes if it has so many characters, line breaks between its lines counted.
 MIN_CHARS = 30
@@ -30,18 +30,6 @@ MIN_CHARS = 30
 HERE = ("none", "doc", "mark", "i")
 
 
-def hashes(column):
-    """Two 64-bit hashes of a text, of different seeds."""
-    return F.xxhash64(column), F.xxhash64(F.lit(1), column)
-
-
-def document_key(doc_id, text):
-    """(none, doc, mark): a document is named by its doc_id and a hash of its text, without an id by two hashes: rows that
-    repeat both are one document."""
-    one, two = hashes(text)
-    return doc_id.isNull(), F.coalesce(doc_id.cast("long"), two), one
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """(none, doc, mark, i, id, more, chars) of each line; a null text has none, an empty one has one, of 0 characters."""
     none, doc, mark = document_key(F.col("doc_id"), F.col("text"))

@@ -2,7 +2,8 @@
 
 A source of n documents and target share w of a total of T gets the mean repetition rate w * T / n. A document's count
 is the inverse of that Poisson distribution at a uniform number hashed from seed and doc_id (where that is null, from
-the text's MD5), so that a rerun, or a lost executor, gives the same copies. Each copy goes to a partition by a hash of its own, and partitions are ordered by it.
+the text's MD5), so that a rerun, or a lost executor, gives the same copies. Each copy goes to a partition by a hash of its
+own, and partitions are ordered by it.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import without
+from helixframe.llm.common import cut, without
 
 #: Without given weights, shares are as n ** ALPHA: large sources are held down and small ones raised.
 ALPHA, SEED = 0.5, "mix-1"
-#: Rates are known for so many sources by one broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Bytes of source names and rates that are broadcast at most; more are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def uniform(*parts):
@@ -24,24 +25,32 @@ def uniform(*parts):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def cdf(rate):
-    """The Poisson distribution function at 0, 1, ... until past the last double below 1; terms in logarithms, so that
-    no rate is too large."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
+def start(rate):
+    """(low, high, log): the numbers outside of which a Poisson distribution has less than a double can tell, and the
+    logarithm of its probability at low, by Stirling's series where low isn't 0. Worked out once a source."""
+    wide = 12 * F.sqrt(rate) + 30
+    low = F.greatest(F.lit(0.0), F.floor(rate - wide))
+    factorial = (low + 0.5) * F.log(low) - low + 0.5 * F.log(F.lit(2) * F.pi()) + 1 / (12 * low) - 1 / (360 * low * low * low) + 1 / (1260 * F.pow(low, F.lit(5)))
+    log = F.when(low == 0, -rate).otherwise(low * F.log(rate) - rate - factorial)
+    return F.struct(low.cast("long").alias("low"), F.ceil(rate + wide).cast("long").alias("high"), log.alias("log"))
+
+
+def inverse(u, rate, place):
+    """The Poisson count at the uniform number u: how many of the distribution function's values are u or less. Terms are
+    summed in logarithms from low on, so that no rate is too large, and a row costs time by the root of the rate."""
+    begin = F.struct(place["low"].alias("n"), F.exp(place["log"]).alias("sum"), place["log"].alias("log"))
 
     def more(s, k):
         log = s["log"] + F.log(rate / k)
-        total = s["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(s["all"], F.array(total)).alias("all"))
+        return F.when(s["sum"] > u, s).otherwise(F.struct(k.alias("n"), (s["sum"] + F.exp(log)).alias("sum"), log.alias("log")))
 
-    return F.aggregate(F.sequence(F.lit(1), top), start, more, lambda s: s["all"])
+    return F.aggregate(F.sequence(place["low"] + 1, place["high"]), begin, more, lambda s: F.when(s["sum"] > u, s["n"]).otherwise(s["n"] + 1).cast("int"))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, alpha: float = ALPHA) -> DataFrame:
     """(mix_source, n, rate) of each source; total: documents wanted, all of docs if None. Null is a source of its own.
     weights: shares, normalised over the sources that docs has; a source that they don't name gets 0."""
-    n = docs.groupBy(F.col("source").alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+    n = cut(docs.groupBy(F.col("source").alias("mix_source")).agg(F.count(F.lit(1)).alias("n")))
     if weights is None:
         n = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     else:
@@ -60,14 +69,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     """
     known = without(docs, "mix_copy", "mix_key")
     r = rates(known, weights, total, alpha)
-    r = r.select("mix_source", cdf(F.col("rate")).alias("mix_cdf")).where(F.col("rate") > 0)
-    # One row for each source: a broadcast if there are few, counted beforehand; else Spark's own (skew-split) join.
-    few = known.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    r = r.where(F.col("rate") > 0).select("mix_source", F.struct("rate", start(F.col("rate")).alias("start")).alias("mix_rate"))
+    # One row for each source: a broadcast if they are small, measured beforehand; else Spark's own (skew-split) join.
+    size = r.agg(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 64).alias("bytes")).first()["bytes"] or 0
+    few = size <= BROADCAST_BYTES
     # Rows travel as one struct, so that no name in docs meets one of ours.
     rows = known.select(F.struct(*[F.col(f"`{c}`") for c in known.columns]).alias("d"))
     name = F.coalesce(F.col("d.doc_id").cast("string"), *[F.md5(F.col("d.text"))] * ("text" in known.columns))
     joined = rows.join(F.broadcast(r) if few else r, F.col("d.source").eqNullSafe(r.mix_source))
-    counted = joined.select("d", "mix_cdf", uniform(name).alias("u")).select("d", F.size(F.filter("mix_cdf", lambda c: c <= F.col("u"))).alias("n"))
+    drawn = joined.select("d", "mix_rate", F.inline(F.array(F.struct(uniform(name).alias("u")))))  # once a row
+    counted = drawn.select("d", F.inline(F.array(F.struct(inverse(F.col("u"), F.col("mix_rate.rate"), F.col("mix_rate.start")).alias("n")))))
     copies = counted.where("n > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("mix_copy"))
     keyed = copies.withColumn("mix_key", uniform(name, F.col("mix_copy")))
     # Rows that repeat an id share keys: their texts tell them apart.

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import SOLID_BYTE, Words, cut, map_batches, pieces
+from helixframe.llm.common import SOLID_BYTE, Words, cut, document_key, forget, map_batches, pieces
 
 SHINGLE, DISTANCE, SEED, PIVOTS = 4, 4, 42, 16
 #: Fingerprints that share a key, about, before keys are made longer.
 CROWD = 32
+#: Rows of three numbers that are broadcast at most (about 50 MB); more are joined by shuffle, and Spark splits a frequent key.
+BROADCAST_ROWS = 500_000
 
 
 def row_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -144,17 +146,36 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         # Done when each node has one link and no target has a link of its own: stars.
         unsettled = after.groupBy("a").count().where("count > 1").limit(1).count() or after.select("a").intersect(after.select("b")).limit(1).count()
+        forget(now, large)
         now = after
         if not unsettled:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def classes(marked: DataFrame) -> DataFrame:
-    """(fp, group): the component of every distinct fingerprint of marked (fp, ...), named by its smallest fingerprint."""
-    distinct = cut(marked.select("fp").distinct())
+def few(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def classes(distinct: DataFrame) -> DataFrame:
+    """(fp, group) of the fingerprints of distinct (fp, ...) that have links: the component's smallest fingerprint."""
     roots = components(links(distinct))
-    return cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("group")))
+    return cut(roots.select(F.col("node").alias("fp"), F.col("root").alias("group")).union(roots.select("root", "root").distinct()))
+
+
+def shared(marked: DataFrame, best, name: str) -> DataFrame:
+    """(fp, name) of the fingerprints that several rows have or that have links: the least of `best` over the component."""
+    own = cut(marked.groupBy("fp").agg(F.min(best).alias(name), F.count(F.lit(1)).alias("rows")))
+    members = classes(own)
+    linked = cut(members.join(own, "fp").select("fp", "group", name))
+    # A component may hold very many fingerprints: what it is named by goes to them by broadcast, or by a join Spark can split.
+    names = cut(linked.groupBy("group").agg(F.min(name).alias(name)))
+    named = linked.drop(name).join(few(names), "group").select("fp", name)
+    alone = own.where("rows > 1").join(few(members.select("fp")), "fp", "left_anti").select("fp", name)
+    out = cut(named.union(alone))
+    forget(own, members, linked, names)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -164,25 +185,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows and doc_ids are rows of their own. Other columns of docs are not read.
     """
     marked = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    groups = classes(marked)
-    ids = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
-    names = ids.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = cut(groups.join(names, "group").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = shared(marked, F.col("doc_id"), "component_id")
+    # A row that shares its fingerprint with none and has no link is a component by itself.
+    return marked.join(few(named), "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that of the smallest doc_id (nulls last; among rows of that id the one of
-    the smallest fingerprint and text hash; exact repeats of a row count as one). Columns are those of docs."""
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    marked = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp", F.xxhash64("text").alias("text_hash")))
-    groups = classes(marked)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.col("fp").alias("f")))
-    first = marked.groupBy("fp").agg(best.alias("best")).join(groups, "fp").groupBy("group").agg(F.min("best").alias("best"))
-    first = cut(first.select("best.n", "best.i", "best.h").distinct())
-    k = docs.withColumn("_helix_key", key)
-    kept = k.join(first, (F.col("_helix_key.n") == first.n) & F.col("_helix_key.i").eqNullSafe(first.i) & (F.col("_helix_key.h") == first.h), "left_semi")
-    return kept.dropDuplicates(["_helix_key"]).drop("_helix_key")
+    """One document of each component stays: that of the smallest doc_id (nulls last, by hashes of their texts; among rows
+    of that id the one of the smallest text hash; exact repeats of a row count as one). Columns are those of docs. Texts
+    are shuffled only if documents that go are too many to broadcast, or to leave one of exact repeats."""
+    key = ("none", "doc", "mark")
+    named = [c.alias(n) for c, n in zip(document_key(F.col("doc_id"), F.col("text")), key, strict=True)]
+    marked = cut(fingerprints(docs.select("doc_id", "text")).select("fp", *named))
+    winners = shared(marked, F.struct(*key), "first")
+    rows = marked.join(few(winners), "fp").groupBy(*key).agg(F.min(F.struct(*key) == F.col("first")).alias("wins"), F.count(F.lit(1)).alias("rows"))
+    rows = cut(rows.where("rows > 1 or not wins"))
+    forget(marked, winners)
+    gone, repeated = rows.where("not wins").select(*key), rows.where("wins").select(*key)
+    # Rows travel as one struct, so that no name in docs meets one of ours.
+    own = docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    kept = own.join(few(gone), list(key), "left_anti")
+    if not repeated.isEmpty():
+        some = few(repeated)
+        kept = kept.join(some, list(key), "left_anti").unionByName(kept.join(some, list(key), "left_semi").dropDuplicates(list(key)))
+    return kept.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def brute_groups(fp):
     return group
 
 
-def test_simhash_components(spark, texts):
+def test_simhash_components(spark, texts, monkeypatch):
     ids = [k if k % 7 else None if k == 14 else k for k in range(len(texts))]
     ids[3] = ids[2]
 
@@ -124,8 +124,15 @@ def test_simhash_components(spark, texts):
     least = {g: min((i for i, h in zip(ids, group, strict=True) if h == g and i is not None), default=None) for g in group}
     got = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in simhash.near_duplicates(table(spark, texts, ids)).collect())
     assert got == sorted((str(i), f, str(least[g])) for i, f, g in zip(ids, fp, group, strict=True))
-    kept = simhash.keep_first(table(spark, texts, ids))
-    assert kept.count() == len(set(group)) and kept.columns == SCHEMA.replace(",", "").split()[::2]
+    order = lambda k: (ids[k] is None, ids[k] or 0)
+    for limit in (simhash.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+        kept = simhash.keep_first(table(spark, texts, ids).union(table(spark, texts[:3], ids[:3])))
+        assert kept.columns == SCHEMA.replace(",", "").split()[::2]
+        rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        places = [min(k for k in range(len(texts)) if (ids[k], texts[k]) == r) for r in rows]
+        assert sorted(group[k] for k in places) == sorted(set(group))
+        assert all(order(k)[0] == min(map(order, same := [j for j in range(len(texts)) if group[j] == group[k]]))[0] and (ids[k] is None or ids[k] == min(ids[j] for j in same if ids[j] is not None)) for k in places)
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
@@ -220,8 +227,22 @@ def test_mixing(spark):
     assert out.where("mix_copy < 1").count() == 0 and out.select("doc_id", "mix_copy").distinct().count() == out.count()
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7), {"a": 1.0, "b": 3.0, None: 1.0}, total=3000).collect()), key=str)
     assert mixing.mix(docs, {"zzz": 1.0}).count() == 0 and mixing.mix(table(spark, [])).count() == 0
-    cdf = spark.range(1).select(mixing.cdf(F.lit(1500.0)).alias("c")).first()["c"]
-    assert cdf[-1] == pytest.approx(1.0) and sum(1 - c for c in cdf) == pytest.approx(1500, rel=1e-6)
+
+
+@pytest.mark.parametrize("rate", [0.001, 0.7, 3.0, 150.0, 250.0, 1500.0, 1e5])
+def test_poisson_counts(spark, rate):
+    us = [0.0, 1e-9, *np.linspace(0.001, 0.999, 23).tolist(), 1 - 1e-9, 1 - 2**-52]
+    frame = spark.createDataFrame([(u, rate) for u in us], "u double, rate double").withColumn("start", mixing.start(F.col("rate")))
+    got = {r["u"]: r["n"] for r in frame.select("u", mixing.inverse(F.col("u"), F.col("rate"), F.col("start")).alias("n")).collect()}
+    logs, total, k, want = math.lgamma, 0.0, 0, {}
+    left = sorted(us)
+    while left and k < rate + 12 * math.sqrt(rate) + 31:
+        total += math.exp(-rate + k * math.log(rate) - logs(k + 1))
+        while left and total > left[0]:
+            want[left.pop(0)] = k
+        k += 1
+    assert all(got[u] == n for u, n in want.items() if rate < 200 or 1e-12 < u < 1 - 1e-12)
+    assert all(got[u] >= rate for u in left)
 
 
 def test_mixing_draws_for_each_text_without_an_id(spark):
