@@ -241,7 +241,7 @@ def test_poisson_counts(spark, rate):
         while left and total > left[0]:
             want[left.pop(0)] = k
         k += 1
-    assert all(abs(got[u] - n) <= (rate > 1e4) for u, n in want.items() if rate < 200 or 1e-12 < u < 1 - 1e-12)
+    assert all(got[u] == n for u, n in want.items() if rate < 200 or 1e-12 < u < 1 - 1e-6)  # further out sums round
     assert all(got[u] >= rate for u in left)
 
 
