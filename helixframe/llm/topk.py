@@ -1,15 +1,17 @@
 """Exact top-k by inner product: a ball tree for each shard, searched by branch and bound.
 
-Vectors are dealt to shards evenly, and each shard's ball tree is built once and written as one row.
-Queries are cut into blocks. In the first round each pair of shard and block follows every query to one leaf; merged
-over all shards, this gives a true lower bound of each query's kth score. In the second round each pair searches its
-tree from that bound: nodes come in order of the largest inner product that their ball allows, and the kth score so far
-(the better of the shared bound and the shard's own) prunes the rest. Each pair returns k rows for a query at most, which
-are ranked once more. Shards and blocks have bounded sizes, so no task holds more than a few of each.
+A shard is a run of rows that one task has at hand: each task builds the ball trees of its own rows, so that vectors are
+never shuffled, and trees are written once. Queries are taken in blocks of bounded bytes, one after the other; a block is
+broadcast, and all trees stream past it where they lie. In the first round every query is followed to one leaf of each
+tree; merged over all shards, this gives a true lower bound of its kth score, which is broadcast with the block for the
+second round. There a tree's root drops the queries that it has nothing for, and for the others nodes are taken from a heap
+in order of the largest inner product that their ball allows, until that is below the kth score so far (the better of the
+shared bound and the shard's own). Each shard returns k rows for a query at most, which are ranked once more.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
 
 import numpy as np
@@ -17,16 +19,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut
+from helixframe.llm.common import cut, forget
 
-K, SHARD_ROWS, BLOCK_ROWS, LEAF = 5, 8192, 2048, 128
-#: Tasks that pairs of shard and block are spread over at most; a task takes its pairs one after the other.
-TASKS = 20_000
+K, SHARD_ROWS, LEAF = 5, 8192, 128
+#: Bytes of queries in a block, eight a component; it is broadcast.
+BLOCK_BYTES = 32 << 20
+#: Whole numbers below this are exact in doubles; scores that may pass it are summed in 64-bit or Python numbers.
+EXACT, LONG = 1 << 53, (1 << 63) - 1
 
 
-def narrow(whole: np.ndarray) -> np.ndarray:
-    """Whole numbers in 16 bits if they fit: a quarter of what is sent about."""
-    return whole.astype(np.int16) if not whole.size or np.abs(whole).max() < 1 << 15 else whole
+def exactly(numbers: np.ndarray, limit: float) -> np.ndarray:
+    """Whole numbers held in doubles, as numbers in which sums of products up to `limit` are exact: doubles, 64 bits, or
+    Python's own."""
+    if limit < EXACT:
+        return numbers
+    if limit < LONG:
+        return numbers.astype(np.int64)
+    return np.array([int(x) for x in numbers.ravel().tolist()], object).reshape(numbers.shape)
+
+
+def narrow(rows: np.ndarray) -> np.ndarray:
+    """Doubles in 16 bits if they fit: a quarter of what is written and sent about."""
+    return rows.astype(np.int16) if not rows.size or np.abs(rows).max() < 1 << 15 else rows
 
 
 class BallTree:
@@ -64,35 +78,37 @@ class BallTree:
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state | {"rows": state["rows"].astype(np.float64)}
 
-    def leaf_of(self, bounds: np.ndarray) -> int:
-        node = 0
-        while self.nodes[node][2] >= 0:
-            left, right = self.nodes[node][2:]
-            node = left if bounds[left] >= bounds[right] else right
-        return node
-
-    def search(self, query: np.ndarray, own: int, k: int, floor: float, first_leaf: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of up to k rows that score `floor` or more, the query's own id apart; ties to smaller ids."""
-        if not len(self.ids):
-            return np.zeros(0), np.zeros(0, np.int64)
-        # A node's upper bound; a little is added, as centres and radii are rounded.
-        bounds = self.centres @ query + self.radii * np.sqrt(query @ query)
-        bounds += 1e-9 * np.abs(bounds) + 1e-6
-        scores, ids = np.zeros(0), np.zeros(0, np.int64)
-        todo = [self.leaf_of(bounds)] if first_leaf else [0]
-        while todo:
-            node = todo.pop()
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The largest inner product that each node's ball allows with each query (queries x nodes); a little is added, as
+        centres, radii and products are rounded."""
+        length = np.sqrt((queries**2).sum(1))
+        reach = self.radii + np.sqrt((self.centres**2).sum(1))
+        out = queries @ self.centres.T + np.outer(length, self.radii)
+        out += 1e-9 * np.outer(length, reach) + 1e-6
+        return np.where(np.isnan(out), np.inf, out)  # sums beyond a double
+
+    def search(self, exact: np.ndarray, query: np.ndarray, bounds: np.ndarray, own: int, k: int, floor: float, first_leaf: bool = False):
+        """Scores and ids of up to k rows that score `floor` or more, the query's own id apart; ties to smaller ids. exact,
+        query: the rows and the query as numbers in which scores are exact."""
+        scores, ids = exact[:0] @ query, np.zeros(0, np.int64)
+        heap = [(-bounds[0], 0)]
+        while heap:
+            bound, node = heapq.heappop(heap)
+            if -bound < floor:
+                break  # no node left allows more
             a, b, left, right = self.nodes[node]
-            if bounds[node] < floor:
-                continue
             if left >= 0:
-                todo += sorted((left, right), key=lambda x: bounds[x])  # the larger bound is taken first
+                if first_leaf:
+                    heap = []
+                    left = right = left if bounds[left] >= bounds[right] else right
+                for child in {left, right}:
+                    heapq.heappush(heap, (-bounds[child], child))
                 continue
-            s = self.rows[a:b] @ query
+            s = exact[a:b] @ query
             take = (s >= floor) & (self.ids[a:b] != own)
             scores, ids = np.concatenate((scores, s[take])), np.concatenate((ids, self.ids[a:b][take]))
             if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
+                best = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k] if scores.dtype == object else np.lexsort((ids, -scores))[:k]
                 scores, ids = scores[best], ids[best]
             if len(ids) == k:
                 floor = max(floor, scores.min())
@@ -100,75 +116,102 @@ class BallTree:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): components as floor(256 * x) in doubles; rows without a full finite vector or an id take no part.
-    All sums stay below 2 ** 53, so that doubles are exact, while components stay below 2 ** 20."""
-    whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x))
-    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double")).alias("v"))
-
-
-def packed(rows: DataFrame, group, build, name: str) -> DataFrame:
-    """One row (name, data) for each group of rows."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({name: [int(pdf["g"].iloc[0])], "data": [pickle.dumps(build(pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy())), 5)]})
-
-    return rows.withColumn("g", group.cast("int")).groupBy("g").applyInPandas(pack, f"{name} int, data binary")
-
-
-def top_k(vectors: DataFrame, every: int, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(vec_id, v): components as floor(256 * x) in doubles; rows without an id or a vector, and vectors that hold null or
+    non-finite numbers (or such whose product with 256 is), take no part. An empty vector does: its product with another one is 0."""
+    scaled = lambda x: F.lit(256.0) * x.cast("double")
+    given = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(scaled(x)) < float("inf")) & ~F.isnan(x))
+    # floor() gives 64-bit numbers; from 2 ** 52 on a double has no fraction, so that it stands as it is.
+    floor = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    return vectors.where(given).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: floor(scaled(x))).alias("v"))
+
+
+def by_length(ids: list[int], vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out: dict[int, tuple[list, list]] = {}
+    for i, v in zip(ids, vectors, strict=True):
+        own = out.setdefault(len(v), ([], []))
+        own[0].append(i)
+        own[1].append(v)
+    return {n: (np.array(i, np.int64), np.array(v, np.float64).reshape(len(i), n)) for n, (i, v) in out.items()}
+
+
+def trees(vectors: DataFrame, shard_rows: int) -> DataFrame:
+    """(length, data): the ball trees of each task's rows, one for each shard_rows rows and each length of vectors there."""
+
+    def build(frames):
+        held_ids: list[int] = []
+        held: list = []
+
+        def made():
+            for n, (ids, rows) in by_length(held_ids, held).items():
+                for k in range(0, len(ids), shard_rows):
+                    yield pd.DataFrame({"length": [n], "data": [pickle.dumps(BallTree(ids[k : k + shard_rows], rows[k : k + shard_rows]), 5)]})
+            held_ids.clear()
+            held.clear()
+
+        for pdf in frames:
+            for k in range(0, len(pdf), shard_rows):
+                held_ids += pdf["vec_id"].iloc[k : k + shard_rows].tolist()
+                held += pdf["v"].iloc[k : k + shard_rows].tolist()
+                if len(held_ids) >= shard_rows:
+                    yield from made()
+        yield from made()
+
+    return vectors.mapInPandas(build, "length int, data binary")
+
+
+def top_k(vectors: DataFrame, every: int, k: int = K, shard_rows: int = SHARD_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries whose vec_id is divisible by `every`, against all other rows.
 
     Rows that repeat a vec_id are candidates of their own, and, as queries, one (the smallest vector); a query's
-    candidates never have its id. Vectors of other lengths than the query's never meet it. No rows: no rows.
+    candidates never have its id. Vectors of other lengths than the query's never meet it; empty ones meet with score 0. No rows: no rows.
+    Scores are exact whatever the components; one beyond a long is given as the nearest long, its rank going by that.
     """
-    held = cut(usable(vectors))
+    spark = vectors.sparkSession
+    grown = cut(trees(usable(vectors), shard_rows))
+    # A query's vector counts from 24 bytes on, whatever its length.
+    asked = cut(usable(vectors).where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
+    size = asked.agg(F.sum(F.size("v") * 8 + 24).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // block_bytes))
+    nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
     out = None
-    for r in held.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect():  # a row a length
-        own = held.where(F.size("v") == r["n"]) if out is not None or held.select(F.size("v")).distinct().count() > 1 else held
-        more = search(own, r["rows"], every, k, shard_rows, block_rows)
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)) == b).toArrow()  # a block
+        queries = by_length(rows.column("vec_id").to_pylist(), rows.column("v").to_numpy().tolist())
+        seeds = searched(grown, queries, {}, k, True)
+        bound = seeds.withColumn("n", F.row_number().over(nth)).where(F.col("n") == k).select("query_id", "score")
+        floors = dict(map(tuple, bound.collect()))  # a number for each query of the block
+        found = searched(grown, queries, floors, k, False)
+        more = found.withColumn("rank", F.row_number().over(nth)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        more = cut(more) if blocks > 1 else more
         out = more if out is None else out.union(more)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def search(own: DataFrame, rows: int, every: int, k: int, shard_rows: int, block_rows: int) -> DataFrame:
-    spark = own.sparkSession
-    queries = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    shards, n_queries = -(-rows // shard_rows), queries.count()
-    blocks = max(1, -(-n_queries // block_rows))
-    # `own` is a written table: its row numbers are the same in every attempt, and rows of one id don't crowd a shard.
-    trees = cut(packed(own, F.pmod(F.monotonically_increasing_id(), F.lit(shards)), BallTree, "shard"))
-    asked = cut(packed(queries, F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(blocks)), lambda ids, v: (ids, narrow(v)), "block"))
-    # Every shard meets every block, by equi-joins on their numbers; the pairs are spread evenly over tasks.
-    pairs = spark.range(shards * blocks).select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).cast("int").alias("block"))
-    met = pairs.join(trees.withColumnRenamed("data", "tree"), "shard").join(asked.withColumnRenamed("data", "queries"), "block")
-
-    def run(first: bool):
-        def each(frames):
-            for pdf in frames:
-                for tree, queries, floors in zip(pdf["tree"], pdf["queries"], pdf["floors"], strict=True):
-                    tree, (ids, v) = pickle.loads(tree), pickle.loads(queries)
-                    v = v.astype(np.float64)
-                    known = dict(pickle.loads(floors)) if floors is not None else {}
-                    found = [tree.search(q, i, k, known.get(i, -np.inf), first) for i, q in zip(ids.tolist(), v, strict=True)]
-                    sizes = [len(s) for s, _ in found]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, sizes), "vec_id": np.concatenate([x for _, x in found]), "score": np.concatenate([s for s, _ in found]).astype(np.int64), "copy": np.concatenate([np.arange(n) for n in sizes])}).astype({"vec_id": "int64", "copy": "int32"})
-
-        return each
-
-    out = "query_id long, vec_id long, score long, copy int"
-    spread = met.repartition(max(1, min(TASKS, shards * blocks)), "shard", "block")
-    seeds = spread.withColumn("floors", F.lit(None).cast("binary")).mapInPandas(run(True), out)
-    nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
-    bound = seeds.withColumn("n", F.row_number().over(nth)).where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [int(pdf["g"].iloc[0])], "floors": [pickle.dumps(list(zip(pdf["query_id"].tolist(), pdf["floor"].astype(float).tolist(), strict=True)))]})
-
-    floors = bound.withColumn("g", F.pmod(F.xxhash64("query_id", F.lit(8)), F.lit(blocks)).cast("int")).groupBy("g").applyInPandas(pack, "block int, floors binary")
-    return spread.join(cut(floors), "block", "left").mapInPandas(run(False), out)
+    forget(asked)
+    return out
+
+
+def searched(grown: DataFrame, queries: dict, floors: dict[int, int], k: int, first: bool) -> DataFrame:
+    """(query_id, vec_id, score, copy) of the k best of each tree for each query, those below the query's floor left out."""
+    sent = grown.sparkSession.sparkContext.broadcast((queries, floors))
+
+    def run(frames):
+        queries, floors = sent.value
+        low = {n: np.array([floors.get(i, -np.inf) for i in ids.tolist()], np.float64) for n, (ids, _) in queries.items()}
+        for pdf in frames:
+            for n, data in zip(pdf["length"], pdf["data"], strict=True):
+                if n not in queries:
+                    continue
+                tree, (ids, v) = pickle.loads(data), queries[n]
+                limit = float(np.abs(tree.rows).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, n)
+                exact, found = exactly(tree.rows, limit), ([], [], [], [])
+                for part in range(0, len(ids), 1024):
+                    bounds = tree.bounds(v[part : part + 1024])
+                    for j in np.flatnonzero(bounds[:, 0] >= low[n][part : part + 1024]).tolist():
+                        i = int(ids[part + j])
+                        scores, rows = tree.search(exact, exactly(v[part + j], limit), bounds[j], i, k, floors.get(i, -np.inf), first)
+                        for column, values in zip(found, ([i] * len(rows), rows.tolist(), [min(max(int(s), -LONG - 1), LONG) for s in scores.tolist()], range(len(rows))), strict=True):
+                            column.extend(values)
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.array(x, np.int64) for x in found[:3]), strict=True)) | {"copy": np.array(found[3], np.int32)})
+
+    return grown.mapInPandas(run, "query_id long, vec_id long, score long, copy int")
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:

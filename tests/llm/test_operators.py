@@ -366,20 +366,36 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(0, 1, 8).round(1).tolist(), 0, "x") for k in range(500)]
     rows += [(500, None, 0, "x"), (510, [1.0, None] + [0.0] * 6, 0, "x"), (520, [float("nan")] * 8, 0, "x"), (530, [float("inf")] + [0.0] * 7, 0, "x"), (540, rows[3][1], 0, "x"), (20, rows[7][1], 0, "x")]
+    rows += [(550, [], 0, "x"), (560, [], 0, "x"), (570, [2.0, 3.0], 0, "x"), (571, [1.0, 0.5], 0, "x"), (580, [1.0], 0, "x")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score string").repartition(3)
-    for k, shard, block in ((5, 2048, 1024), (3, 60, 4)):
-        got = {}
-        for r in topk.top_k(frame, 10, k, shard, block).collect():
-            got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
-        good = [(i, np.floor(256 * np.array(v))) for i, v, *_ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-        for q in {i for i, _ in good if i % 10 == 0}:
-            v = min((v.tolist() for i, v in good if i == q))
-            best = sorted(((int(np.dot(v, x)), -i) for i, x in good if i != q), reverse=True)[:k]
-            assert [got[q][n + 1] for n in range(len(best))] == [(s, -i) for s, i in best]
-        assert set(got) == {i for i, _ in good if i % 10 == 0}
+    for k, shard, block in ((5, 2048, 1 << 20), (3, 60, 1500)):
+        assert {(r["query_id"], r["rank"]): (r["score"], r["vec_id"]) for r in topk.top_k(frame, 10, k, shard, block).collect()} == brute_top(rows, 10, k)
     assert topk.top_k(frame.limit(0), 10).count() == 0
 
 
+def brute_top(rows, every, k):
+    """{(query, rank): (score, id)} in Python's own numbers."""
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = {}
+    for q in {i for i, _ in good if i % every == 0}:
+        own = min(v for i, v in good if i == q)
+        best = sorted(((sum(a * b for a, b in zip(own, x)), -i) for i, x in good if i != q and len(x) == len(own)), reverse=True)[:k]
+        out |= {(q, n + 1): (s, -i) for n, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("size", [2.0**12, 2.0**17, 2.0**20])
+def test_top_k_of_large_components(spark, size):
+    """Scores that doubles can't tell apart."""
+    rng = np.random.default_rng(4)
+    rows = [(k, (rng.normal(0, 1, 64) * size).tolist(), 0, "x") for k in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score string").repartition(2)
+    got = {(r["query_id"], r["rank"]): (r["score"], r["vec_id"]) for r in topk.top_k(frame, 20, 4, 100).collect()}
+    assert got == brute_top(rows, 20, 4)
+    huge = spark.createDataFrame([(k, [1e200 * (k + 1), 1.0], 0, "x") for k in range(5)], "vec_id long, embedding array<double>, label int, score string")
+    assert {r["score"] for r in topk.top_k(huge, 2, 2).collect()} == {topk.LONG}
+
+
 def test_quality(spark):
     rng = random.Random(7)
     good = lambda: " ".join(rng.choices(["river", "stone", "cloud", "walks"], k=60))
