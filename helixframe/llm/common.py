@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers that are broadcast at most (about 50 MB); more are joined by shuffle, and Spark splits a frequent key.
+BROADCAST_ROWS = 500_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of numbers, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def remainder(column, n: int):
     """crc32 of the id as text, modulo n: the folds that the contracts of operators 1 and 6 fix."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from helixframe.llm.common import HashIndex, map_batches, pieces, remainder, text_bytes, without
 
-#: Longest context; labelled rows that each language learns from at most, and the longest of them, in characters.
-ORDER, SAMPLE_ROWS, SAMPLE_CHARS = 4, 300, 20_000
+#: Longest context; labelled rows that each language learns from at most, and the longest of them, in characters; languages
+#: learned at most, those of most different texts.
+ORDER, SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 4, 300, 20_000, 256
 #: A score weighs a text's mean evidence as that of so many bytes at most, or every long text would score 1.
 EVIDENCE_BYTES = 100
 
@@ -116,23 +117,26 @@ class Scorer:
         return out
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model of up to `rows` rows of each language, of at most `chars` characters, first by a hash of the text.
+def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Model | None:
+    """A model of up to `rows` rows of each language, of at most `chars` characters, first by a hash of the text. A language
+    all of whose texts are longer learns from its shortest ones.
 
     Only text and lang are read; a text that repeats counts once. None if no row has both. Hashes below a limit are
     taken, which the languages' numbers of different texts give, so that only the sample is shuffled, copies put together
-    first; what reaches the driver is bounded by rows x chars x languages, however many copies a text has.
+    first; what reaches the driver is bounded by rows x chars x languages (or a language's shortest text), however many copies a text has.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= chars)).select("lang", "text")
-    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}  # a row a language
-    if not n:
+    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
+    size, seen = F.length("text"), F.xxhash64("text")
+    n = usable.groupBy("lang").agg(F.approx_count_distinct(F.when(size <= chars, seen)).alias("n"), F.min(size).alias("least"))
+    found = n.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not found:
         return None
+    share = lambda n: int(min(1.0, 1.3 * rows / n + 30 / n) * (1 << 30)) if n else 1 << 30
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], share(r["n"]), max(chars, r["least"])) for r in found], "lang string, share long, longest int")
     draw = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)).alias("draw")
-    share = F.lit(0)
-    for lang, count in n.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, 1.3 * rows / count + 30 / count) * (1 << 30))).otherwise(share)
-    texts: dict[str, list] = {lang: [] for lang in n}
-    for r in usable.select("lang", "text", draw).where(F.col("draw") < share).distinct().toLocalIterator():
+    texts: dict[str, list] = {r["lang"]: [] for r in found}
+    sample = usable.join(F.broadcast(limits), "lang").where(size <= F.col("longest")).select("lang", "text", "share", draw).where("draw < share")  # `languages` rows
+    for r in sample.drop("share").distinct().toLocalIterator():
         texts[r["lang"]].append((r["draw"], r["text"]))
     return train({lang: [x for _, x in sorted(x)[:rows]] for lang, x in texts.items() if x})
 

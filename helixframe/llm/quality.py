@@ -104,13 +104,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Network | None:
     """Trains on up to `rows` labelled documents of at most `chars` characters, first by a hash of the id.
 
-    labels: doc_id, quality (null labels are skipped; of several the largest counts; of several texts of an id the
-    smallest). None if none is usable. What reaches the driver is bounded by rows x chars; only the chosen ids' texts are
-    shuffled, copies put together first, as those ids are few and broadcast.
+    labels: doc_id, quality (null labels are skipped, and labels of documents that docs lacks; of several the largest counts;
+    of several texts of an id the smallest). None if none is usable. What reaches the driver is bounded by rows x chars;
+    only ids, and the chosen ids' texts, are shuffled, copies put together first, as those ids are few and broadcast.
     """
+    usable = docs.where(F.length("text") <= chars)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    joined = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most `rows` ids
+    chosen = known.join(usable.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    joined = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most `rows` ids
     found = sorted((r["doc_id"], r["text"], r["quality"]) for r in joined.toLocalIterator())
     return train([x for _, x, _ in found], [int(q > 0) for *_, q in found]) if found else None
 

@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import SOLID_BYTE, Words, cut, document_key, forget, map_batches, pieces
+from helixframe.llm.common import SOLID_BYTE, Words, cut, document_key, few, forget, map_batches, pieces
 
 SHINGLE, DISTANCE, SEED, PIVOTS = 4, 4, 42, 16
 #: Fingerprints that share a key, about, before keys are made longer.
 CROWD = 32
-#: Rows of three numbers that are broadcast at most (about 50 MB); more are joined by shuffle, and Spark splits a frequent key.
-BROADCAST_ROWS = 500_000
 
 
 def row_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -153,11 +151,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def few(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it is small enough."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
-
 def classes(distinct: DataFrame) -> DataFrame:
     """(fp, group) of the fingerprints of distinct (fp, ...) that have links: the component's smallest fingerprint."""
     roots = components(links(distinct))

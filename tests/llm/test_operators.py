@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, tokencount, topk
+from helixframe.llm import common, decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, tokencount, topk
 from helixframe.llm.fmindex import FMIndex
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,8 +125,8 @@ def test_simhash_components(spark, texts, monkeypatch):
     got = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in simhash.near_duplicates(table(spark, texts, ids)).collect())
     assert got == sorted((str(i), f, str(least[g])) for i, f, g in zip(ids, fp, group, strict=True))
     order = lambda k: (ids[k] is None, ids[k] or 0)
-    for limit in (simhash.BROADCAST_ROWS, 1):
-        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+    for limit in (common.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
         kept = simhash.keep_first(table(spark, texts, ids).union(table(spark, texts[:3], ids[:3])))
         assert kept.columns == SCHEMA.replace(",", "").split()[::2]
         rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
@@ -310,6 +310,15 @@ def test_language_id(spark):
     assert langid.keep_known(docs).columns == docs.columns and langid.keep_known(table(spark, [])).count() == 0
 
 
+def test_languages_of_long_texts_alone_are_learned(spark):
+    texts = ["ka ro mi " * 30] * 3 + ["sch üb en " * 40 + "x" * k for k in range(5)]
+    docs = table(spark, texts, langs=["xx"] * 3 + ["yy"] * 5)
+    model = langid.fit(docs, chars=300)
+    assert model.languages == ["xx", "yy"] and langid.fit(docs, chars=300, languages=1).languages == ["xx"]
+    once = langid.train({"xx": texts[:1], "yy": texts[3:4]})
+    assert all((k == k1).all() and c == pytest.approx(c1) for (k, c), (k1, c1) in zip(model.strings, once.strings, strict=True))
+
+
 def test_copies_do_not_grow_what_training_reads(spark):
     texts = ["ka ro mi"] * 400 + [f"sch üb {k}" for k in range(30)]
     docs = table(spark, texts, ids=[1] * 400 + list(range(2, 32)), langs=["xx"] * 400 + ["yy"] * 30)
@@ -409,6 +418,54 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_labels_of_other_documents_take_no_place(spark):
+    texts = ["good river stone", "bad | river"] * 20
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3000)], "doc_id long, quality int")
+    docs = table(spark, texts, ids=list(range(2000, 2040)))
+    own = quality.train(texts[:1] * 20 + texts[1:2] * 20, [0] * 20 + [1] * 20)
+    assert len(own.parts()) == len(quality.fit(docs, labels, rows=40).parts())
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels, rows=40)).collect()}
+    assert all((got[k] > 0.5) == (k % 2 == 1) for k in got)
+
+
+def test_scores_by_definition(spark, texts):
+    net = quality.train([x for x in texts if x and len(x) < 2000], [k % 2 for k in range(sum(bool(x) and len(x) < 2000 for x in texts))], epochs=2)
+
+    def score(text):
+        raw = list((text or "").encode())
+        raw += [256] * ((-len(raw)) % 8 + (8 if raw else 16))
+        filters = np.concatenate((net.near, net.far)).astype(np.float64)
+        rows = [net.embed[raw[i : i + 16]].reshape(-1) @ filters for i in range(0, len(raw) - 15, 8)]
+        hidden = [max(0.0, max(r[f] for r in rows) + float(net.bias[f])) for f in range(len(net.bias))]
+        return 1 / (1 + math.exp(-(sum(h * float(w) for h, w in zip(hidden, net.out)) + float(net.base[0]))))
+
+    for r in quality.score(table(spark, texts), net).collect():
+        assert r["score"] == pytest.approx(score(texts[r["doc_id"]]), abs=3e-5)
+
+
+def test_gradients_follow_the_loss():
+    """One step of training goes down the loss's slope, as small changes of each weight show."""
+    texts, labels = ["abcdefgh ijkl", "zzzz yyyy xxxx wwww"], [1, 0]
+    before, after = quality.train(texts, labels, epochs=0), quality.train(texts, labels, epochs=1)
+
+    def loss(net):
+        data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, 13, 32])
+        p = quality.probability(net, quality.pooled(net, *quality.chunks(data, at)))
+        return -np.log(p[0]) - np.log(1 - p[1])
+
+    assert loss(after) < loss(before)
+    for k, part in enumerate(before.parts()):
+        moved = (after.parts()[k] - part).ravel()
+        for i in np.argsort(-np.abs(moved))[:5].tolist():
+            base = part.ravel()[i]
+            part.ravel()[i] = base + 1e-3
+            up = loss(before)
+            part.ravel()[i] = base - 1e-3
+            down = loss(before)
+            part.ravel()[i] = base
+            assert abs(up - down) < 1e-6 or (up - down) * moved[i] < 0
+
+
 def test_every_chunk_counts():
     net = quality.Network(*[np.random.default_rng(1).normal(0, 1, s).astype(np.float32) for s in ((257, 8), (64, 24), (64, 24), (24,), (24,), (1,))])
     rows = [b"", b"a", b"12345678", b"x" * 37, bytes(range(200))]
