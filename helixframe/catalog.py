@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe import core_sql
 from helixframe.constants import FALLBACK, PAYLOAD_NT, QUATERNARY
 from helixframe.functions import bits, dna
 from helixframe.operators import compare, segments
@@ -61,7 +62,12 @@ def pairs(spark, sf: str) -> DataFrame:
     return compare.joined(runs(spark, sf, False), runs(spark, sf, True), ["dataset"], ("_seq", "_cuda"))
 
 
-FASTER = {"speedup_total": ("total_ms_seq", "total_ms_cuda"), "speedup_lsbm": ("lsbm_ms_seq", "lsbm_ms_cuda"), "speedup_encode": ("encode_ms_seq", "encode_ms_cuda")}
+def computed(spark, sf: str) -> DataFrame:
+    """pairs() with the time that isn't transfer."""
+    return pairs(spark, sf).withColumns({f"compute_ms_{x}": F.col(f"lsbm_ms_{x}") + F.col(f"encode_ms_{x}") for x in ("seq", "cuda")})
+
+
+FASTER = {"speedup_total": ("total_ms_seq", "total_ms_cuda"), "speedup_lsbm": ("lsbm_ms_seq", "lsbm_ms_cuda"), "speedup_encode": ("encode_ms_seq", "encode_ms_cuda"), "speedup_compute": ("compute_ms_seq", "compute_ms_cuda")}
 LABELS = {"MAIL": "by mail", "click": "Clicked", "view": "Viewed"}
 
 
@@ -92,7 +98,9 @@ def queries() -> dict:
     q["storage_strands"] = lambda s, d: encoding(s, d).strands
     q["dna_fingerprint"] = lambda s, d: encode.fingerprints(encoding(s, d).payload, KEY)
     q["encode_metrics"] = encode_metrics
-    q["encode_corpus"] = lambda s, d: encode.encode(table(s, d, "documents"), KEY, scope="corpus", by=["source"]).payload
+    corpus = lambda s, d: encode.encode(table(s, d, "documents"), KEY, scope="corpus", by=["source"])
+    q["encode_corpus"] = lambda s, d: corpus(s, d).payload
+    q["corpus_codes"] = lambda s, d: corpus(s, d).codebook.select("source", F.inline(F.arrays_zip("keys", "codes")))
     q["fallback_encode"] = lambda s, d: encode.codebook.encoded(payloads(s, d).withColumn("keys", F.lit(None).cast("array<string>")).drop("keys"), s.createDataFrame([], "doc_id long, keys array<string>, codes array<string>"), KEY).select("doc_id", F.array_join("seg_dna", "").alias("dna"))
     q["quaternary_dna"] = lambda s, d: payloads(s, d).select("doc_id", bits.quaternary(F.col("payload")).alias("dna"))
     q["payload_blocks"] = lambda s, d: tiles(s, d)
@@ -104,9 +112,11 @@ def queries() -> dict:
     q["run_timing_stats"] = lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), r6(F.avg("value")).alias("mean_ms"), r6(F.stddev_pop("value")).alias("std_ms"))
     q["compare_runs"] = pairs
     q["compare_runs_two_keys"] = lambda s, d: compare.joined(*[table(s, d, "lineitem").where(F.col("l_returnflag") == f).groupBy("l_suppkey", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("q")) for f in "RN"], ["l_suppkey", "l_linestatus"], ("_r", "_n"))
-    q["speedup_ratios"] = lambda s, d: compare.speedups(pairs(s, d), FASTER).select("dataset", *[r6(F.col(c)).alias(c) for c in FASTER])
+    q["speedup_ratios"] = lambda s, d: compare.speedups(computed(s, d), FASTER).select("dataset", *[r6(F.col(c)).alias(c) for c in FASTER])
     q["hash_parity"] = lambda s, d: pairs(s, d).select("dataset", compare.parity("dna_hash_payload_seq", "dna_hash_payload_cuda").alias("match"))
-    q["speedup_summary"] = lambda s, d: compare.speedups(pairs(s, d), FASTER).agg(*[r6(F.avg(c)).alias(c) for c in FASTER], F.count_if(compare.parity("dna_hash_payload_seq", "dna_hash_payload_cuda")).alias("matches"))
+    q["match_summary"] = lambda s, d: compare.match_summary(pairs(s, d), "dna_hash_payload_seq", "dna_hash_payload_cuda")
+    q["mismatches"] = lambda s, d: compare.mismatches(compare.match_summary(pairs(s, d), "dna_hash_payload_seq", "dna_hash_payload_cuda"))
+    q["speedup_summary"] = lambda s, d: compare.speedups(computed(s, d), FASTER).agg(*[r6(F.avg(c)).alias(c) for c in FASTER], F.count_if(compare.parity("dna_hash_payload_seq", "dna_hash_payload_cuda")).alias("matches"))
     q["rounded_summary"] = lambda s, d: pairs(s, d).select("dataset", F.round(F.col("file_size_bytes_seq") / 1024, 1).alias("kb"), F.round("total_ms_seq", 1).alias("seq"), F.format_string("%.2f", "lsbm_ms_cuda").alias("lsbm"))
     q["phase_breakdown"] = lambda s, d: compare.phases(runs(s, d, False), ["dataset"])
     q["phase_sum"] = lambda s, d: runs(s, d, False).select("dataset", F.round(sum((F.col(c) for c in compare.PHASES[1:]), F.col(compare.PHASES[0])), 3).alias("phase_sum_ms"))
@@ -116,6 +126,7 @@ def queries() -> dict:
     q["tagged_union"] = lambda s, d: compare.tagged({"SEQ": runs(s, d, False), "CUDA": runs(s, d, True).drop("huffman_ms")})
     q["lenient_cast"] = lambda s, d: compare.lenient(table(s, d, "customer").select("c_custkey", F.replace("c_name", F.lit("Customer#0000000"), F.lit("")).alias("x")), ["x"])
     q["label_map"] = lambda s, d: compare.labelled(table(s, d, "events").select("event_id", "event_type"), "event_type", LABELS)
+    q["label_last"] = lambda s, d: compare.last_labelled(table(s, d, "events").select("event_id", "event_type", "ts", "user_id"), "event_type", LABELS, ["ts", "event_id"])
     q["dim_lookup_join"] = lambda s, d: table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "l_quantity")
     q["grouped_transfer"] = lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("bytes"), F.round(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))), 2).alias("open_bytes"))
     q["transfer_bandwidth"] = lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", r6(compare.bandwidth(F.col("l_extendedprice") * 1e6, F.col("l_tax") * 1000)).alias("gbs"))
@@ -174,6 +185,10 @@ _RUN = ("total_ms", "lsbm_ms", "huffman_ms", "encode_ms", "file_size_bytes", "dn
 PAIRS = f"a AS ({runs_sql(False)}), b AS ({runs_sql(True)}), p AS (SELECT dataset, {', '.join(f'a.{c} AS {c}_seq, b.{c} AS {c}_cuda' for c in _RUN)} FROM a JOIN b USING (dataset))"
 
 
+COMPUTED = f"{PAIRS}, v AS (SELECT *, lsbm_ms_seq + encode_ms_seq AS compute_ms_seq, lsbm_ms_cuda + encode_ms_cuda AS compute_ms_cuda FROM p)"
+LABEL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LABELS.items()) + " ELSE event_type END AS label"
+
+
 def quotient(n: str) -> str:
     a, b = FASTER[n]
     return f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
@@ -205,9 +220,12 @@ count(*) FILTER (WHERE endgc > 3) AS end_violations, count(*) AS storage_seq_cou
     o["run_timing_stats"] = "SELECT event_type, count(*) AS runs, round(avg(value), 6) AS mean_ms, round(stddev_pop(value), 6) AS std_ms FROM events GROUP BY event_type"
     o["compare_runs"] = f"WITH {PAIRS} SELECT * FROM p"
     o["compare_runs_two_keys"] = "WITH g AS (SELECT l_suppkey, l_linestatus, l_returnflag AS f, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ALL) SELECT a.l_suppkey, a.l_linestatus, a.q AS q_r, b.q AS q_n FROM g a JOIN g b ON a.l_suppkey = b.l_suppkey AND a.l_linestatus = b.l_linestatus AND a.f = 'R' AND b.f = 'N'"
-    o["speedup_ratios"] = f"WITH {PAIRS} SELECT dataset, {', '.join(f'round({quotient(n)}, 6) AS {n}' for n in FASTER)} FROM p"
+    o["speedup_ratios"] = f"WITH {COMPUTED} SELECT dataset, {', '.join(f'round({quotient(n)}, 6) AS {n}' for n in FASTER)} FROM v"
     o["hash_parity"] = f"WITH {PAIRS} SELECT dataset, dna_hash_payload_seq = dna_hash_payload_cuda AND len(dna_hash_payload_seq) > 0 AS match FROM p"
-    o["speedup_summary"] = f"WITH {PAIRS} SELECT {', '.join(f'round(avg({quotient(n)}), 6) AS {n}' for n in FASTER)}, count(*) FILTER (WHERE dna_hash_payload_seq = dna_hash_payload_cuda) AS matches FROM p"
+    o["speedup_summary"] = f"WITH {COMPUTED} SELECT {', '.join(f'round(avg({quotient(n)}), 6) AS {n}' for n in FASTER)}, count(*) FILTER (WHERE dna_hash_payload_seq = dna_hash_payload_cuda) AS matches FROM v"
+    match = f"WITH {PAIRS}, t AS (SELECT dataset, dna_hash_payload_seq AS hash_seq, dna_hash_payload_cuda AS hash_gpu, dna_hash_payload_seq = dna_hash_payload_cuda AND len(dna_hash_payload_seq) > 0 AS match FROM p)"
+    o["match_summary"] = f"{match} SELECT * FROM t"
+    o["mismatches"] = f"{match} SELECT count(*) AS datasets, count(*) FILTER (WHERE NOT match) AS mismatches FROM t"
     o["rounded_summary"] = f"WITH {PAIRS} SELECT dataset, round(file_size_bytes_seq / 1024, 1) AS kb, round(total_ms_seq, 1) AS seq, printf('%.2f', lsbm_ms_cuda) AS lsbm FROM p"
     o["phase_breakdown"] = f"WITH a AS ({runs_sql(False)}) SELECT dataset, phase, ms FROM (SELECT dataset, lsbm_ms, huffman_ms, encode_ms FROM a) UNPIVOT (ms FOR phase IN (lsbm_ms, huffman_ms, encode_ms))"
     o["phase_sum"] = f"WITH a AS ({runs_sql(False)}) SELECT dataset, round(lsbm_ms + huffman_ms + encode_ms, 3) AS phase_sum_ms FROM a"
@@ -216,11 +234,12 @@ count(*) FILTER (WHERE endgc > 3) AS end_violations, count(*) AS storage_seq_cou
     o["common_datasets"] = "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer"
     o["tagged_union"] = f"SELECT *, 'SEQ' AS impl FROM ({runs_sql(False)}) UNION ALL BY NAME SELECT * EXCLUDE (huffman_ms), 'CUDA' AS impl FROM ({runs_sql(True)})"
     o["lenient_cast"] = "SELECT c_custkey, try_cast(replace(c_name, 'Customer#0000000', '') AS DOUBLE) AS x FROM customer"
-    o["label_map"] = "SELECT event_id, event_type, " + "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LABELS.items()) + " ELSE event_type END AS label FROM events"
+    o["label_map"] = f"SELECT event_id, event_type, {LABEL} FROM events"
+    o["label_last"] = f"SELECT label, event_id, event_type, ts, user_id FROM (SELECT *, {LABEL}, row_number() OVER (PARTITION BY label ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"
     o["dim_lookup_join"] = "SELECT l_orderkey, l_linenumber, p_name, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey"
     o["grouped_transfer"] = "SELECT l_returnflag, round(sum(l_quantity), 2) AS bytes, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 2) AS open_bytes FROM lineitem GROUP BY l_returnflag"
     o["transfer_bandwidth"] = "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax > 0 THEN l_extendedprice * 1e6 / 1e9 / (l_tax * 1000 / 1e3) ELSE 0 END, 6) AS gbs FROM lineitem"
     o["row_wise_least"] = """SELECT p_partkey, round(least(48, CASE WHEN r > 0 THEN 65536 // (r * 32) ELSE 48 END, least(32, 102400 // CASE WHEN s > 0 THEN s ELSE 1 END) * CASE WHEN b >= 32 THEN b // 32 ELSE 1 END) / 48.0::DOUBLE * 100, 6) AS occupancy
 FROM (SELECT p_partkey, p_size AS r, trunc(p_retailprice * 10)::BIGINT AS s, p_size * 8 AS b FROM part)"""
     o["first_row"] = "SELECT * FROM supplier ORDER BY s_suppkey LIMIT 1"
-    return o
+    return o | core_sql.oracle_sql(REPS, count_sql, digits_sql)

@@ -34,19 +34,28 @@ def end_gc(dna: Column) -> Column:
     return gc_count(F.right(dna, F.lit(END_NT)))
 
 
+#: Texts that are folded side by side at least; of fewer, each is folded by itself.
+_TOGETHER = 48
+
+
 @F.pandas_udf(T.StringType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits from the format's own seed, 16 hexadecimal digits. The fold is serial within a text, so that a
-    batch's texts are folded side by side."""
+    batch's texts are folded side by side, as long as there are several of a length."""
     raw = [x.encode() if x is not None else b"" for x in texts]
     size = np.array([len(x) for x in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     order = np.argsort(-size, kind="stable")
     starts, ends = (np.cumsum(size) - size)[order], -size[order]
     state, prime = np.full(len(raw), FNV_SEED, np.uint64), np.uint64(FNV_PRIME)
-    for k in range(int(size.max(initial=0))):
+    alike = int(-ends[_TOGETHER - 1]) if len(raw) >= _TOGETHER else 0
+    for k in range(alike):
         live = int(np.searchsorted(ends, -k, "left"))
         state[:live] = (state[:live] ^ data[starts[:live] + k]) * prime
     out = np.empty(len(raw), object)
-    out[order] = [f"{x:016x}" for x in state.tolist()]
+    for k, i in enumerate(order.tolist()):
+        h = int(state[k])
+        for b in raw[i][alike:]:
+            h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+        out[i] = f"{h:016x}"
     return pd.Series(out).where(texts.notna().to_numpy(), None)

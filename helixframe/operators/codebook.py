@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import heapq
-import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.constants import FALLBACK, SEGMENT_BITS
+from helixframe.functions.kernels import encode_bytes
+from helixframe.operators.segments import meet
 
 
 def tree_codes(freqs: list[int]) -> list[str]:
@@ -49,29 +48,8 @@ def codebooks(table: DataFrame, by: list[str]) -> DataFrame:
     return one.withColumn("pairs", pairs).select(*by, F.col("pairs.substr").alias("keys"), F.col("pairs.code").alias("codes"))
 
 
-def encoder(keys: list[str], values: list[str]):
-    """A function from a segment's bits to nucleotides: the longest key that fits, else two bits at a time."""
-    table = dict(zip(keys, values, strict=True))
-    pattern = re.compile("|".join([*sorted(table, key=len, reverse=True), "[01]{2}", "[01]"]))
-    table |= {k: v for k, v in FALLBACK.items()}
-    return lambda s: "".join([table[x] for x in pattern.findall(s)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def encode_payload(payload: pd.Series, keys: pd.Series, values: pd.Series) -> pd.Series:
-    """Nucleotides of each segment of a payload."""
-    out, last, run = [], None, None
-    for raw, k, v in zip(payload, keys, values, strict=True):
-        book = ([], []) if k is None else (list(k), list(v))
-        if run is None or book != last:
-            run, last = encoder(*book), book
-        bits = (np.unpackbits(np.frombuffer(raw, np.uint8)) + 48).tobytes().decode()
-        out.append([run(bits[i : i + SEGMENT_BITS]) for i in range(0, len(bits), SEGMENT_BITS)])
-    return pd.Series(out)
-
-
 def encoded(payloads: DataFrame, books: DataFrame, by: list[str], payload: str = "payload") -> DataFrame:
     """payloads with seg_dna, the nucleotides of each segment in order. Groups without a code table take pairs of bits.
-    Books are joined by `by`: Spark broadcasts them if they are few, and splits a frequent group if not."""
-    joined = payloads.where(F.length(payload) > 0).join(books, by, "left")
-    return joined.withColumn("seg_dna", encode_payload(F.col(payload), F.col("keys"), F.col("codes"))).drop("keys", "codes")
+    Books are joined by `by`, null as a value: Spark broadcasts them if they are few, and splits a frequent group if not."""
+    joined = meet(payloads.where(F.octet_length(payload) > 0), books, by, "left")
+    return joined.withColumn("seg_dna", encode_bytes(F.col(payload), F.col("keys"), F.col("codes"))).drop("keys", "codes")

@@ -65,6 +65,24 @@ def labelled(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
     return df.withColumn("label", F.coalesce(F.element_at(pairs, F.col(column)) if names else F.lit(None), F.col(column)))
 
 
+def last_labelled(df: DataFrame, column: str, names: dict[str, str], order: list[str]) -> DataFrame:
+    """One row a label: of rows that share one the last by `order` (ties: the largest other columns), as a later launch of
+    a kernel takes the place of an earlier one."""
+    own = labelled(df, column, names)
+    rest = [c for c in own.columns if c != "label" and c not in order]
+    return own.groupBy("label").agg(F.max(F.struct(*order, *rest)).alias("r")).select("label", *[F.col("r").getField(c).alias(c) for c in df.columns])
+
+
+def match_summary(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(dataset, hash_seq, hash_gpu, match): what a comparison of two implementations reports."""
+    return pairs.select("dataset", F.col(a).alias("hash_seq"), F.col(b).alias("hash_gpu"), parity(a, b).alias("match"))
+
+
+def mismatches(summary: DataFrame) -> DataFrame:
+    """(datasets, mismatches): how many were compared and how many differ; a run fails if any does."""
+    return summary.agg(F.count(F.lit(1)).alias("datasets"), F.count_if(~F.col("match")).alias("mismatches"))
+
+
 def bandwidth(size: Column, ms: Column) -> Column:
     """GB/s of bytes in milliseconds, 0 without time."""
     return F.when(ms > 0, size / 1e9 / (ms / 1e3)).otherwise(0.0)

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.constants import MAX_END_GC, MAX_RUN, PAYLOAD_NT, STRAND_NT
-from helixframe.functions.dna import end_gc, fingerprint, gc_count, max_run, strand
+from helixframe.constants import MAX_END_GC, MAX_RUN, PAYLOAD_NT, SEGMENT_BITS, STRAND_NT
+from helixframe.functions import kernels
+from helixframe.functions.dna import fingerprint, strand
 from helixframe.operators import codebook, segments
 from helixframe.sources.shared import cut
 
+#: Segments, and so bytes, of a chunk: what one row holds of a payload. An even number of segments ends with a byte.
+CHUNK_SEGMENTS = 1024
+CHUNK_BYTES = CHUNK_SEGMENTS * SEGMENT_BITS // 8
+#: Payloads of more chunks are ranked by a rank filter before the shuffle, not each by one task.
+LONG_CHUNKS = 64
+
 
 @dataclass
 class Encoding:
@@ -34,16 +41,49 @@ def payload_of(docs: DataFrame, keys: list[str], column: str = "text") -> DataFr
     return own.repartition(cores) if own.rdd.getNumPartitions() < cores else own
 
 
+def chunked(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """(_row, keys, chunk, chunks, bytes): payloads that aren't empty, in chunks of whole segments; _row numbers payloads, so
+    that keys may be null or repeat. Chunks of long payloads are spread over tasks; others stay where they are."""
+    spark = payloads.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = payloads.where(F.octet_length("payload") > 0).withColumn("chunks", F.ceil(F.octet_length("payload") / CHUNK_BYTES).cast("int")).withColumn("_id", F.monotonically_increasing_id() * 2)
+    short = own.where("chunks = 1").select(F.col("_id").alias("_row"), *keys, F.lit(0).alias("chunk"), "chunks", F.col("payload").alias("bytes"))
+    long = own.where("chunks > 1").select((F.col("_id") + 1).alias("_row"), *keys, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks", "payload")
+    long = long.select("_row", *keys, "chunk", "chunks", F.substring("payload", F.col("chunk") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)).alias("bytes"))
+    return cut(short.union(long.repartition(tasks, "_row", "chunk")))
+
+
+def tiles(dna) -> F.Column:
+    """Pieces of 120 nucleotides in order, the last one may be short; in one pass over the text."""
+    return F.regexp_extract_all(dna, F.lit(f".{{1,{PAYLOAD_NT}}}"), F.lit(0))
+
+
 def blocks(payload: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, block_id, block): 120 nucleotides each, the last one may be short."""
-    n = F.ceil(F.length("dna") / PAYLOAD_NT).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("dna", i * PAYLOAD_NT + 1, F.lit(PAYLOAD_NT)))
-    return payload.where(F.length("dna") > 0).select(*keys, F.posexplode(tiles).alias("block_id", "block"))
+    return payload.where(F.length("dna") > 0).select(*keys, F.posexplode(tiles(F.col("dna"))).alias("block_id", "block"))
+
+
+def chunk_blocks(done: DataFrame, keys: list[str]) -> DataFrame:
+    """blocks() of payloads in chunks (_row, keys, chunk, chunks, nt, dna). Where a block lies in two chunks or more its
+    pieces, two a chunk at most, are put together; no payload is."""
+    own = ["_row", *keys]
+    whole = blocks(done.where("chunks = 1"), own)
+    before = Window.partitionBy("_row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    long = done.where("chunks > 1")
+    offsets = long.select("_row", "chunk", F.coalesce(F.sum("nt").over(before), F.lit(0)).alias("at"))
+    rest = F.pmod(-F.col("at"), F.lit(PAYLOAD_NT)).cast("int")  # of a block that an earlier chunk began
+    placed = long.join(offsets, ["_row", "chunk"]).withColumn("rest", rest).withColumn("first", F.ceil(F.col("at") / PAYLOAD_NT).cast("int"))
+    head = F.when(F.col("rest") > 0, F.array(F.struct((F.col("first") - 1).alias("block_id"), F.left("dna", "rest").alias("piece"))))
+    tail = F.transform(tiles(F.substring("dna", F.col("rest") + 1, F.length("dna"))), lambda x, i: F.struct((F.col("first") + i).alias("block_id"), x.alias("piece")))
+    pieces = placed.select(*own, "chunk", F.inline(F.concat(F.coalesce(head, F.expr("CAST(array() AS ARRAY<STRUCT<block_id: INT, piece: STRING>>)")), tail)))
+    full = pieces.where(F.length("piece") == PAYLOAD_NT).select(*own, "block_id", F.col("piece").alias("block"))
+    parts = pieces.where(F.length("piece").between(1, PAYLOAD_NT - 1)).groupBy(*own, "block_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "piece"))).alias("parts"))
+    return whole.union(full).union(parts.select(*own, "block_id", F.array_join(F.col("parts.piece"), "").alias("block")))
 
 
 def constraints(tiles: DataFrame) -> DataFrame:
-    b = F.col("block")
-    return tiles.withColumn("gc", gc_count(b)).withColumn("rll", max_run(b)).withColumn("endgc", end_gc(b))
+    """tiles (block, ...) with gc, rll and endgc."""
+    return tiles.withColumn("_checks", kernels.checks("block")).select(*tiles.columns, "_checks.*")
 
 
 def block_summary(checked: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,38 +95,53 @@ def block_summary(checked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str = "doc", by: list[str] | None = None) -> Encoding:
-    """Encodes one payload a key. scope "doc": a code table for each key; "corpus": one for each value of `by` (columns
-    of docs; none: one for all). Keys name payloads: they should be unique. Empty and null payloads are left out."""
-    by = list(keys) if scope == "doc" else list(by or [])
-    payloads = payload_of(docs, [*keys, *by], column)
-    have = list(dict.fromkeys([*keys, *by]))
-    # What several frames start from is written once: repeats without their bits, and, below, the nucleotides.
-    reps = segments.repeats(segments.segments(payloads, have))
-    marked = cut(segments.profile(reps).select(*have, "best_len", segments.pair().alias("pair")))
-    found = marked.select(*by, F.inline("pair"))
-    if scope == "doc":
-        found = found.repartition(*by)  # all that follows groups by the key: one shuffle serves all of it
-    freq = segments.frequencies(found, by)
-    table = segments.kept_in_place(freq, by) if scope == "doc" else segments.kept(freq, by)
-    books = codebook.codebooks(table, by)
-    done = codebook.encoded(payloads, books, by) if by else codebook.encoded(payloads.withColumn("_all", F.lit(0)), books.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
-    payload = cut(done.select(*keys, F.octet_length("payload").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"), F.array_join("seg_dna", "").alias("dna")))
-    coded = done.select(*keys, F.posexplode("seg_dna").alias("seg_id", "dna"))
-    tiles = blocks(payload, keys)
-    strands = tiles.select(*keys, "block_id", strand(F.col("block_id"), F.col("block")).alias("strand"))
-    checked = constraints(tiles)
-    best = marked.groupBy(*keys).agg(F.avg("best_len").alias("avg_best_lsbm_len"))
+    """Encodes each row's payload. scope "doc": a code table for each payload; "corpus": one for each value of `by` (columns
+    of docs, null a value; none: one for all). Keys name payloads; rows of one key, or of none, are payloads of their own,
+    each with its row in every frame. Empty and null payloads are left out. A payload is worked on in chunks, by as many
+    tasks as there are; only `payload` puts one together, so that its nucleotides must fit in one text there (2 ** 31, of
+    256 MB of payload or more)."""
+    have = list(dict.fromkeys([*keys, *(by or [])]))
+    by = ["_row", *keys] if scope == "doc" else list(by or [])
+    held = chunked(payload_of(docs, have, column), have)
+    # What several frames start from is written once: chunks, their repeats, and the nucleotides.
+    first_segment = F.col("chunk") * CHUNK_SEGMENTS
+    inside = segments.repeats(segments.segments(held, ["_row", *have, "chunk"], "bytes"))
+    reps = inside.select(*have, (first_segment + F.col("seg_id")).alias("seg_id"), "s", "lp", "ls")
+    marked = cut(held.select("_row", *have, "chunks", kernels.chunk_repeats("bytes").alias("r")).select("_row", *have, "chunks", "r.*"))
+    found = marked.select(*by, F.inline("pairs"))
+    if scope == "doc" and marked.where(F.col("chunks") > LONG_CHUNKS).isEmpty():
+        # All that follows groups by the payload: one shuffle serves all of it.
+        freq = segments.frequencies(found.repartition("_row"), by)
+        table = segments.kept_in_place(freq, by)
+    else:
+        freq = segments.frequencies(found, by)
+        table = segments.kept(cut(freq), by)
+    books = cut(codebook.codebooks(table, by))
+    on = ["_row"] if scope == "doc" else by
+    coder = codebook.encoded(held, books.select(*on, "keys", "codes"), on, "bytes")
+    dna = coder.select("_row", *have, "chunk", "chunks", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"), F.array_join("seg_dna", "").alias("dna"))
+    done = cut(dna.withColumn("nt", F.length("dna").cast("bigint")))
+    coded = coder.select(*keys, "chunk", F.posexplode("seg_dna").alias("seg_id", "dna")).select(*keys, (first_segment + F.col("seg_id")).alias("seg_id"), "dna")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "dna")))
+    long = done.where("chunks > 1").groupBy("_row", *keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"), ordered.alias("parts"))
+    payload = done.where("chunks = 1").select(*keys, "n_bytes", "segments", "dna").union(long.select(*keys, "n_bytes", "segments", F.array_join(F.col("parts.dna"), "")))
+    tiled = chunk_blocks(done, keys)
+    strands = tiled.select(*keys, "block_id", strand(F.col("block_id"), F.col("block")).alias("strand"))
+    checked = constraints(tiled)
+    sizes = done.groupBy("_row", *keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"))
+    best = marked.groupBy("_row").agg(F.sum("best_sum").alias("best_sum"))
     bits = F.col("n_bytes") * 8
     metrics = (
-        payload.drop("dna").join(block_summary(checked, keys), keys).join(best, keys)
+        sizes.join(block_summary(checked, ["_row"]), "_row").join(best, "_row")
+        .withColumn("avg_best_lsbm_len", F.col("best_sum") / F.col("segments"))
         .withColumn("n_bits", bits).withColumn("encoding_rate_bits_per_nt", bits / F.greatest(F.lit(1), F.col("nt")))
         .withColumn("gross_rate_bits_per_nt", bits / (F.col("storage_seq_count") * STRAND_NT))
+        .drop("_row", "best_sum")
     )
-    return Encoding(reps, freq, books, coded, payload, strands, checked, metrics)
+    return Encoding(reps, freq.drop("_row"), books.drop("_row"), coded, payload, strands, checked.drop("_row"), metrics)
 
 
 def fingerprints(payload: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, dna_hash_payload, dna_hash_storage): of the nucleotides and of all strands in order."""
-    n = F.ceil(F.length("dna") / PAYLOAD_NT).cast("int")
-    storage = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: strand(i, F.substring("dna", i * PAYLOAD_NT + 1, F.lit(PAYLOAD_NT)))), "")
+    storage = F.array_join(F.transform(tiles(F.col("dna")), lambda x, i: strand(i, x)), "")
     return payload.select(*keys, fingerprint("dna").alias("dna_hash_payload"), fingerprint(storage).alias("dna_hash_storage"))

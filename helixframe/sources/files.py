@@ -32,6 +32,16 @@ def payload_files(spark: SparkSession, path: str, glob: str = "*.{txt,pdf,jpg}")
     return found.select("path", F.replace(name, F.lit("-"), F.lit("_")).alias("dataset"), name.alias("file_name"), F.col("length").alias("file_size_bytes"), F.col("content").alias("payload"))
 
 
+def rejected_files(spark: SparkSession, path: str, glob: str = "*.{txt,pdf,jpg}") -> DataFrame:
+    """(path, reason) of a folder's files that payload_files() leaves out: those without a byte, which Spark's reader lists
+    but doesn't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "listed string")  # the reader's own listing
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    read = found.select(plain(F.col("path")).alias("read"))
+    return listed.select(plain(F.col("listed")).alias("path")).join(read, F.col("path") == F.col("read"), "left_anti").select("path", F.lit("empty").alias("reason"))
+
+
 def read_metrics(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """All CSV files of a folder or glob, with an explicit schema."""
     return spark.read.schema(schema).option("header", True).csv(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.codebook import encode_payload
+from helixframe.functions.kernels import encode_bytes
 
 
 def encode_stream(payloads: DataFrame, keys: list[str], codes: list[str], payload: str = "payload") -> DataFrame:
@@ -13,4 +13,4 @@ def encode_stream(payloads: DataFrame, keys: list[str], codes: list[str], payloa
     if len(keys) > 512:
         raise ValueError("a frozen table has 512 keys at most")
     book = [F.array(*map(F.lit, x)).cast("array<string>") for x in (keys, codes)]
-    return payloads.where(F.length(payload) > 0).withColumn("dna", F.array_join(encode_payload(F.col(payload), *book), ""))
+    return payloads.where(F.length(payload) > 0).withColumn("dna", F.array_join(encode_bytes(F.col(payload), *book), ""))

@@ -55,6 +55,69 @@ def test_corpus_scope_shares_one_table(spark):
     assert {r["k"]: r["dna"] for r in done.payload.collect()} == {k: model.encode(model.segments(x), book) for k, x in enumerate(payloads)}
 
 
+def test_long_payloads_in_chunks(spark, monkeypatch):
+    """Blocks, texts and counts of payloads of several chunks, short and long ones side by side, by either way of ranking."""
+    rng = random.Random(7)
+    words = [rng.randbytes(rng.randint(2, 9)) for _ in range(40)]
+    payloads = [b"".join(rng.choices(words, k=n)) for n in (3, 60, 200, 900)] + [rng.randbytes(n) for n in (124, 125, 126, 250, 251, 999)]
+    monkeypatch.setattr(encode, "CHUNK_SEGMENTS", 2)
+    monkeypatch.setattr(encode, "CHUNK_BYTES", 125)
+    for long in (64, 3):
+        monkeypatch.setattr(encode, "LONG_CHUNKS", long)
+        done = encode.encode(frame(spark, payloads, 2), ["k"], "payload")
+        want = {k: model.encode(model.segments(x), model.codes(model.table(model.segments(x)))) for k, x in enumerate(payloads)}
+        assert {r["k"]: r["dna"] for r in done.payload.collect()} == want
+        strands = {(r["k"], r["block_id"]): r["strand"][29:149] for r in done.strands.collect()}
+        assert strands == {(k, i): x[120 * i : 120 * i + 120].ljust(120, "A") for k, x in want.items() for i in range(-(-len(x) // 120))}
+        metrics = {r["k"]: r for r in done.metrics.collect()}
+        for k, x in enumerate(payloads):
+            segs = model.segments(x)
+            best = [max(model.longest(s, True), model.longest(s, False)) if len(s) > 3 else 0 for s in segs]
+            assert (metrics[k]["n_bytes"], metrics[k]["segments"], metrics[k]["nt"]) == (len(x), len(segs), len(want[k])) and metrics[k]["avg_best_lsbm_len"] == pytest.approx(sum(best) / len(best))
+        assert {(r["k"], r["seg_id"]): r["s"] for r in done.segments.collect()} == {(k, n): x for k, raw in enumerate(payloads) for n, x in enumerate(model.segments(raw))}
+
+
+def test_null_groups_and_keys_that_repeat(spark):
+    rows = [(1, b"abcabcabc" * 40, "x"), (1, b"zyxzyx" * 30, "x"), (None, b"abcabcabc" * 40, None), (None, b"hello hello hello" * 9, None), (2, b"abcabcabc" * 40, None)]
+    docs = spark.createDataFrame([(k, bytearray(x), s) for k, x, s in rows], "k long, payload binary, source string").repartition(2)
+    own = lambda texts: model.codes(model.table([s for x in texts for s in model.segments(x)]))
+    done = encode.encode(docs, ["k"], "payload")
+    want = sorted((str(k), model.encode(model.segments(x), own([x]))) for k, x, _ in rows)
+    assert sorted((str(r["k"]), r["dna"]) for r in done.payload.collect()) == want
+    assert sorted((str(r["k"]), r["nt"], r["n_bytes"]) for r in done.metrics.collect()) == sorted((str(k), len(model.encode(model.segments(x), own([x]))), len(x)) for k, x, _ in rows)
+    assert done.codebook.count() == len(rows)
+    done = encode.encode(docs, ["k"], "payload", scope="corpus", by=["source"])
+    books = {s: own([x for _, x, t in rows if t == s]) for s in ("x", None)}
+    assert sorted((str(r["k"]), r["dna"]) for r in done.payload.collect()) == sorted((str(k), model.encode(model.segments(x), books[s])) for k, x, s in rows)
+    assert done.metrics.count() == len(rows)
+
+
+def test_repeats_by_expressions_and_in_python(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.functions import bits, kernels
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("01", weights=(rng.random(), 0.3), k=rng.randint(0, 500))) for _ in range(60)] + ["", "0", "0" * 500, "01" * 250, "0001000", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "s string").select("s", kernels.repeats("s").alias("r"), bits.longest_prefix("s").alias("p"), bits.longest_suffix("s").alias("q")).collect()
+    for r in rows:
+        if r["s"] is not None:
+            assert (r["r"]["lp"], r["r"]["ls"]) == (r["p"], r["q"]) == (model.longest(r["s"], True), model.longest(r["s"], False))
+    blocks = ["".join(rng.choices("ACGT", k=rng.randint(0, 9))) for _ in range(60)] + ["A", "GGGG", None, ""]
+    for r in spark.createDataFrame([(x,) for x in blocks], "b string").select("b", kernels.checks("b").alias("c"), dna.gc_count(F.col("b")), dna.max_run(F.col("b")), dna.end_gc(F.col("b"))).collect():
+        assert (r["c"] is None) == (r["b"] is None) and (r["c"] is None or tuple(r["c"]) == tuple(r[2:]))
+
+
+def test_keys_of_any_length_in_the_coder():
+    from helixframe.functions import kernels
+
+    rng = random.Random(1)
+    for _ in range(300):
+        raw = bytes(rng.choices(b"ab c", k=rng.randint(1, 400)))
+        book = {"".join(rng.choices("01", k=rng.randint(1, rng.choice([4, 20, 70])))): "G" * (k + 2) for k in range(rng.randint(0, 6))}
+        assert kernels.coder(list(book), list(book.values()))(raw) == [model.encode([s], book) for s in model.segments(raw)]
+
+
 def test_depth_cut():
     assert codebook.tree_codes([]) == [] and codebook.tree_codes([5]) == [""] and codebook.tree_codes([1, 1]) == ["G", "C"]
     assert model.table(["0" * 9]) == [("0000", 2)]
@@ -90,6 +153,9 @@ def test_files_and_metrics(spark, tmp_path):
     (tmp_path / "f" / "no.csv").write_bytes(b"x")
     found = files.payload_files(spark, str(tmp_path / "f"))
     assert sorted((r["dataset"], r["file_size_bytes"]) for r in found.collect()) == [("a_b.txt", 5)]
+    (tmp_path / "f" / "b +c.txt").write_bytes(b"")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in files.rejected_files(spark, str(tmp_path / "f")).collect()) == ["b +c.txt", "e.pdf"]
+    assert files.rejected_files(spark, str(tmp_path / "f"), "*.csv").count() == 0
     m = spark.createDataFrame([("d", 1, "1e5")], "dataset string, runs int, dna_hash_payload string")
     for _ in range(2):
         files.append_metrics(m, str(tmp_path / "m"))
@@ -105,3 +171,13 @@ def test_missing_columns_get_defaults(spark):
     df = spark.createDataFrame([("a", 1.0)], "dataset string, total_ms double")
     assert compare.with_defaults(df, {"phase_sum_ms": F.col("total_ms"), "total_ms": F.lit(0)}).first()["phase_sum_ms"] == 1.0
     assert compare.lenient(spark.createDataFrame([("x",), ("2.5",)], "v string"), ["v"]).collect()[1]["v"] == 2.5
+
+
+def test_functions_in_sql(spark):
+    from helixframe.functions.register import registerFunctions
+
+    assert len(registerFunctions(spark)) == len(set(registerFunctions(spark))) == 11
+    row = spark.sql("""SELECT dna_bits(X'A5') b, dna_address(262145) a, dna_strand(0, 'GAT') s, dna_gc('GATC') g, dna_end_gc('CCAAAAA') e, dna_count('aaaaa', 'aa') n, dna_count('a', '') z,
+    size(dna_blocks(repeat('A', 121))) k, dna_fingerprint('GATC') h, dna_repeats('01100110') r, dna_checks('GGGA') c, dna_encode(X'FF', array('1111'), array('GAG')) d""").first()
+    assert tuple(row)[:9] == ("10100101", "AAAAAAAAC", "ACGTTGCATGTCAGTACGTA" + "A" * 9 + "GAT".ljust(120, "A") + "TACGACTGACATGCAACGTT", 2, 0, 2, 0, 2, "01e4f8bfa83ca06e")
+    assert (tuple(row["r"]), tuple(row["c"]), row["d"]) == ((4, 4), (3, 3, 3), ["GAGGAG"])
