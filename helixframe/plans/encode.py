@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,18 +20,6 @@ CHUNK_BYTES = CHUNK_SEGMENTS * SEGMENT_BITS // 8
 LONG_CHUNKS = 64
 
 
-@dataclass
-class Encoding:
-    segments: DataFrame
-    map1: DataFrame
-    codebook: DataFrame
-    coded: DataFrame
-    payload: DataFrame
-    strands: DataFrame
-    block_metrics: DataFrame
-    metrics: DataFrame
-
-
 def payload_of(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """(keys, payload): a text column's UTF-8 bytes, or a binary column."""
     kind = dict(docs.dtypes)[column]
@@ -94,51 +82,109 @@ def block_summary(checked: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+class Encoding:
+    """The frames of an encoding, each made when it is first asked for. What several start from is written once: chunks,
+    their repeats, code tables and nucleotides."""
+
+    def __init__(self, docs: DataFrame, keys: list[str], column: str, scope: str, by: list[str]):
+        self.keys, self.scope, self.have = keys, scope, list(dict.fromkeys([*keys, *by]))
+        self.by = ["_row", *keys] if scope == "doc" else by
+        self.held = chunked(payload_of(docs, self.have, column), self.have)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        """(keys, by, seg_id, s, lp, ls)"""
+        inside = segments.repeats(segments.segments(self.held, ["_row", *self.have, "chunk"], "bytes"))
+        return inside.select(*self.have, _number("seg_id"), "s", "lp", "ls")
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        return cut(self.held.select("_row", *self.have, "chunks", kernels.chunk_repeats("bytes").alias("r")).select("_row", *self.have, "chunks", "r.*"))
+
+    @cached_property
+    def _frequencies(self) -> tuple[DataFrame, bool]:
+        """Occurrences of each repeat, and whether a group's lie together."""
+        found = self.marked.select(*self.by, F.inline("pairs"))
+        if self.scope == "doc" and self.marked.where(F.col("chunks") > LONG_CHUNKS).isEmpty():
+            # All that follows groups by the payload: one shuffle serves all of it.
+            return segments.frequencies(found.repartition("_row"), self.by), True
+        return cut(segments.frequencies(found, self.by)), False
+
+    @property
+    def map1(self) -> DataFrame:
+        """(keys or by, substr, freq)"""
+        return self._frequencies[0].drop("_row")
+
+    @cached_property
+    def _books(self) -> DataFrame:
+        freq, together = self._frequencies
+        return cut(codebook.codebooks((segments.kept_in_place if together else segments.kept)(freq, self.by), self.by))
+
+    @property
+    def codebook(self) -> DataFrame:
+        """(keys or by, keys, codes)"""
+        return self._books.drop("_row")
+
+    @cached_property
+    def _coder(self) -> DataFrame:
+        on = ["_row"] if self.scope == "doc" else self.by
+        return codebook.encoded(self.held, self._books.select(*on, "keys", "codes"), on, "bytes")
+
+    @cached_property
+    def done(self) -> DataFrame:
+        """(_row, keys, by, chunk, chunks, n_bytes, segments, dna, nt): a chunk's nucleotides."""
+        size = (F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"))
+        return cut(self._coder.select("_row", *self.have, "chunk", "chunks", *size, F.array_join("seg_dna", "").alias("dna")).withColumn("nt", F.length("dna").cast("bigint")))
+
+    @property
+    def coded(self) -> DataFrame:
+        """(keys, seg_id, dna)"""
+        return self._coder.select(*self.keys, "chunk", F.posexplode("seg_dna").alias("seg_id", "dna")).select(*self.keys, _number("seg_id"), "dna")
+
+    @property
+    def payload(self) -> DataFrame:
+        """(keys, n_bytes, segments, dna)"""
+        ordered = F.array_sort(F.collect_list(F.struct("chunk", "dna")))
+        long = self.done.where("chunks > 1").groupBy("_row", *self.keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"), ordered.alias("parts"))
+        return self.done.where("chunks = 1").select(*self.keys, "n_bytes", "segments", "dna").union(long.select(*self.keys, "n_bytes", "segments", F.array_join(F.col("parts.dna"), "")))
+
+    @property
+    def strands(self) -> DataFrame:
+        """(keys, block_id, strand)"""
+        return chunk_blocks(self.done, self.keys).select(*self.keys, "block_id", strand(F.col("block_id"), F.col("block")).alias("strand"))
+
+    @property
+    def block_metrics(self) -> DataFrame:
+        """(keys, block_id, block, gc, rll, endgc)"""
+        return constraints(chunk_blocks(self.done, self.keys)).drop("_row")
+
+    @property
+    def metrics(self) -> DataFrame:
+        """A row for each payload."""
+        done, marked = self.done, self.marked
+        # Counts of both tables in one shuffle, by the same column as the blocks' own.
+        counts = done.select("_row", *self.keys, "n_bytes", "segments", F.lit(0).cast("bigint").alias("best_sum")).union(marked.select("_row", *self.keys, F.lit(0), F.lit(0), "best_sum"))
+        sizes = counts.groupBy("_row").agg(*[F.first(k).alias(k) for k in self.keys], *[F.sum(c).alias(c) for c in ("n_bytes", "segments", "best_sum")])
+        bits = F.col("n_bytes") * 8
+        return (
+            sizes.join(block_summary(constraints(chunk_blocks(done, [])), ["_row"]), "_row")
+            .withColumns({"avg_best_lsbm_len": F.col("best_sum") / F.col("segments"), "n_bits": bits, "encoding_rate_bits_per_nt": bits / F.greatest(F.lit(1), F.col("nt")), "gross_rate_bits_per_nt": bits / (F.col("storage_seq_count") * STRAND_NT)})
+            .drop("_row", "best_sum")
+        )
+
+
+def _number(inside: str) -> F.Column:
+    """A segment's number in its payload, from that in its chunk."""
+    return (F.col("chunk") * CHUNK_SEGMENTS + F.col(inside)).alias("seg_id")
+
+
 def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str = "doc", by: list[str] | None = None) -> Encoding:
     """Encodes each row's payload. scope "doc": a code table for each payload; "corpus": one for each value of `by` (columns
     of docs, null a value; none: one for all). Keys name payloads; rows of one key, or of none, are payloads of their own,
     each with its row in every frame. Empty and null payloads are left out. A payload is worked on in chunks, by as many
-    tasks as there are; only `payload` puts one together, so that its nucleotides must fit in one text there (2 ** 31, of
-    256 MB of payload or more)."""
-    have = list(dict.fromkeys([*keys, *(by or [])]))
-    by = ["_row", *keys] if scope == "doc" else list(by or [])
-    held = chunked(payload_of(docs, have, column), have)
-    # What several frames start from is written once: chunks, their repeats, and the nucleotides.
-    first_segment = F.col("chunk") * CHUNK_SEGMENTS
-    inside = segments.repeats(segments.segments(held, ["_row", *have, "chunk"], "bytes"))
-    reps = inside.select(*have, (first_segment + F.col("seg_id")).alias("seg_id"), "s", "lp", "ls")
-    marked = cut(held.select("_row", *have, "chunks", kernels.chunk_repeats("bytes").alias("r")).select("_row", *have, "chunks", "r.*"))
-    found = marked.select(*by, F.inline("pairs"))
-    if scope == "doc" and marked.where(F.col("chunks") > LONG_CHUNKS).isEmpty():
-        # All that follows groups by the payload: one shuffle serves all of it.
-        freq = segments.frequencies(found.repartition("_row"), by)
-        table = segments.kept_in_place(freq, by)
-    else:
-        freq = segments.frequencies(found, by)
-        table = segments.kept(cut(freq), by)
-    books = cut(codebook.codebooks(table, by))
-    on = ["_row"] if scope == "doc" else by
-    coder = codebook.encoded(held, books.select(*on, "keys", "codes"), on, "bytes")
-    dna = coder.select("_row", *have, "chunk", "chunks", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"), F.array_join("seg_dna", "").alias("dna"))
-    done = cut(dna.withColumn("nt", F.length("dna").cast("bigint")))
-    coded = coder.select(*keys, "chunk", F.posexplode("seg_dna").alias("seg_id", "dna")).select(*keys, (first_segment + F.col("seg_id")).alias("seg_id"), "dna")
-    ordered = F.array_sort(F.collect_list(F.struct("chunk", "dna")))
-    long = done.where("chunks > 1").groupBy("_row", *keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"), ordered.alias("parts"))
-    payload = done.where("chunks = 1").select(*keys, "n_bytes", "segments", "dna").union(long.select(*keys, "n_bytes", "segments", F.array_join(F.col("parts.dna"), "")))
-    tiled = chunk_blocks(done, keys)
-    strands = tiled.select(*keys, "block_id", strand(F.col("block_id"), F.col("block")).alias("strand"))
-    checked = constraints(tiled)
-    sizes = done.groupBy("_row", *keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"))
-    best = marked.groupBy("_row").agg(F.sum("best_sum").alias("best_sum"))
-    bits = F.col("n_bytes") * 8
-    metrics = (
-        sizes.join(block_summary(checked, ["_row"]), "_row").join(best, "_row")
-        .withColumn("avg_best_lsbm_len", F.col("best_sum") / F.col("segments"))
-        .withColumn("n_bits", bits).withColumn("encoding_rate_bits_per_nt", bits / F.greatest(F.lit(1), F.col("nt")))
-        .withColumn("gross_rate_bits_per_nt", bits / (F.col("storage_seq_count") * STRAND_NT))
-        .drop("_row", "best_sum")
-    )
-    return Encoding(reps, freq.drop("_row"), books.drop("_row"), coded, payload, strands, checked.drop("_row"), metrics)
+    tasks as there are; only the frame payload puts one together, so that its nucleotides must fit in one text there (2 ** 31,
+    of 256 MB of payload or more)."""
+    return Encoding(docs, keys, column, scope, list(by or []))
 
 
 def fingerprints(payload: DataFrame, keys: list[str]) -> DataFrame:
