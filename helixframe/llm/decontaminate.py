@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import Vocabulary, Words, cut, map_batches, pieces, without, words_of
+from helixframe.llm.common import Vocabulary, Words, cut, forget, map_batches, pieces, without, words_of
 from helixframe.llm.fmindex import FMIndex
 
 #: Words in a window; benchmark text in a block, about.
@@ -141,6 +141,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     docs = docs if clean else without(docs, *NEW.names)
     blocks = blocks_of(benchmark, window, block_bytes)
     numbers = sorted(r["block"] for r in blocks.select("block").collect()) or [None]  # one for each block_bytes of benchmark
+    made = None
     while True:
         changed = sc.accumulator(0)
         for k, b in enumerate(numbers):
@@ -148,7 +149,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             sent = sc.broadcast(bytes(rows[0]["data"]) if rows else pickle.dumps(block_of([], [], window), 5))
             docs = one_pass(docs, sent, clean, k > 0, changed)
             if len(numbers) > 1:
-                docs = cut(docs)
+                docs, old = cut(docs), made
+                if old is not None:
+                    forget(old)
+                made = docs
         # A cut for one block may bring together a window of another: all blocks are gone through until none finds any.
         if not clean or len(numbers) == 1 or not changed.value:
             return docs

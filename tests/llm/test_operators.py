@@ -88,11 +88,12 @@ def test_decontamination(spark, texts, block):
     assert none.where("n_hit > 0").count() == 0 and decontaminate.find(table(spark, []), bench).count() == 0
 
 
-def test_no_window_is_left_across_cuts(spark):
+@pytest.mark.parametrize("block", [16 << 20, 20])
+def test_no_window_is_left_across_cuts(spark, block):
     item = " ".join(f"w{k}" for k in range(10))
     texts = [f"a w0 w1 w2 w3 w4 {item} w5 w6 w7 w8 w9 b", f"w0 w1 {item} w2 w3 {item}, w4 w5 w6 w7 w8 w9", "w0 w1 clean", f"é{item}é", ""]
     bench = spark.createDataFrame([(1, item), (2, "b c")], "item_id long, text string")
-    clean = decontaminate.find(table(spark, [*texts, "a b b c c d", None]), bench, clean=True)
+    clean = decontaminate.find(table(spark, [*texts, "a b b c c d", None]), bench, block_bytes=block, clean=True)
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean.collect()}
     assert decontaminate.find(clean, bench).where("n_hit > 0").count() == 0
     assert [words(got[k][0]) for k in range(7)] == [["a", "b"], [], ["w0", "w1", "clean"], words(texts[3]), [], ["a", "d"], []]
