@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a few numbers that are broadcast at most (about 50 MB); more are joined by shuffle, and Spark splits a frequent key.
-BROADCAST_ROWS = 500_000
+#: Rows of a few numbers that are broadcast at most (about 10 MB); more are joined by shuffle, and Spark splits a frequent key.
+BROADCAST_ROWS = 100_000
 
 
 def few(table: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, document_key, forget, hashes
+from helixframe.llm.common import cut, document_key, few, forget, hashes
 
 #: A later copy of a run of lines goes if it has so many characters, line breaks between its lines counted.
 MIN_CHARS = 30
@@ -51,6 +51,9 @@ def levels(docs: DataFrame, depth: int | None = None):
     itself, among others of its interval)."""
     every = lines(docs)
     found = intervals(every, "id", "more")
+    if found.isEmpty():
+        forget(found)
+        return
     level, h = every.join(found, ["id", "more"]).select(*HERE, "chars", F.col("copies").alias("n"), F.col("next").alias("rank")), 1
     old = [found]
     while True:
@@ -60,17 +63,15 @@ def levels(docs: DataFrame, depth: int | None = None):
         pairs = level.withColumn("after", after).withColumn("before", F.lag("i").over(own)).where("before is null or before < i")
         pairs = cut(pairs.select(*HERE, "chars", "n", "rank", F.col("after.rank").alias("then"), (F.col("chars") + F.lit(1) + F.col("after.chars")).alias("next_chars")))
         found = intervals(pairs.where("then is not null"), "rank", "then")
+        last = found.isEmpty()
         joined = pairs.join(found, ["rank", "then"], "left")
         alone = F.col("next").isNull()
         stands = alone | (F.struct(*HERE) == F.col("first")) & (F.col("copies") < F.col("n"))
         level = cut(joined.select(*HERE, "chars", "n", "rank", F.when(~alone, F.col("next_chars")).alias("next_chars"), F.col("copies").alias("next_n"), "next", stands.alias("stands")))
         forget(pairs, found, *old)
         old = []
-        if level.isEmpty():
-            forget(level)
-            return
         yield h, level
-        if depth is not None and h >= depth:
+        if last or depth is not None and h >= depth:
             return
         level = level.where("next is not null").select(*HERE, F.col("next_chars").alias("chars"), F.col("next_n").alias("n"), F.col("next").alias("rank"))
         h *= 2
@@ -101,8 +102,8 @@ def longest_runs(docs: DataFrame) -> DataFrame:
         group = fresh if group is None else group.union(fresh)
     group = cut(group)
     forget(*old, *tables.values())
-    first = group.groupBy("grp").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1")
-    return group.join(first, "grp").where(F.struct(*HERE) > F.col("first")).select(*HERE, "n", "chars")
+    first = cut(group.groupBy("grp").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1").drop("copies"))
+    return group.join(few(first), "grp").where(F.struct(*HERE) > F.col("first")).select(*HERE, "n", "chars")
 
 
 def maximal_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
