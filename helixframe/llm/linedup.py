@@ -137,16 +137,19 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, report: bool = False) ->
     old = F.col("d").getField("text")
     none, doc, mark = document_key(F.col("d.doc_id"), old)
     both = rows.join(gone, (none == gone.none) & (doc == gone.doc) & (mark == gone.mark), "left").select("d", "gone", "runs")
-    split, untouched = F.split(old, "\n"), F.col("gone").isNull()
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))  # by hashing
-    text = F.when(untouched, old).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    made = both.select("d", "gone", "runs", F.inline(F.array(F.struct(text.alias("text")))))
+    # Inlined arrays of one bind a text's lines, and its new text, to names: an expression within a lambda, or used twice,
+    # would be worked out anew each time.
+    untouched = F.col("gone").isNull()
+    bound = both.select("d", "gone", "runs", F.inline(F.array(F.struct(F.when(~untouched, F.split(old, "\n")).alias("parts")))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))  # by hashing
+    text = F.when(untouched, old).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("parts", i + 1)), "\n"))
+    made = bound.select("d", "gone", "runs", F.inline(F.array(F.struct(text.alias("text")))))
     own = {c: F.col("d").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in own:
         own["n_chars"] = F.when(untouched, own["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     if report:
         heads = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))  # adjacent numbers are one run
-        own["n_lines"] = F.when(old.isNull(), 0).otherwise(F.size(split)).cast("long")
+        own["n_lines"] = F.when(old.isNull(), 0).otherwise(F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1).cast("long")
         own |= {c: F.when(untouched, 0).otherwise(n).cast("long") for c, n in (("n_dropped", F.size("gone")), ("n_runs", heads), ("n_maximal", F.col("runs")))}
     return made.select(*[x.alias(c) for c, x in own.items()])
 
