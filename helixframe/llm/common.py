@@ -104,6 +104,37 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES)
         row = end
 
 
+def fragments(data: np.ndarray, at: np.ndarray, border: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in runs of about `limit` bytes, longer ones cut before bytes that `border` (by byte) allows: the row of each
+    fragment, bytes, offsets. A stretch without a border stays whole."""
+    cuts = []
+    for row in np.flatnonzero(np.diff(at) > limit).tolist():
+        place, end = int(at[row]) + limit, int(at[row + 1])
+        while place < end:
+            ahead = border[data[place : min(end, place + 4096)]]
+            if not ahead.any():
+                place += 4096
+                continue
+            place += int(ahead.argmax())
+            cuts.append(place)
+            place += limit
+    own = np.sort(np.concatenate((at, np.array(cuts, at.dtype)))) if cuts else at
+    row = np.searchsorted(at, own[:-1], "right") - 1
+    k, n = 0, len(own) - 1
+    while k < n:
+        end = min(n, max(k + 1, int(np.searchsorted(own, own[k] + limit, "right")) - 1))
+        yield row[k:end], data[own[k] : own[end]], own[k : end + 1] - own[k]
+        k = end
+
+
+def spans_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of bytes as an array of strings."""
+    size = ends - starts
+    at = np.concatenate(([0], np.cumsum(size)))
+    gathered = data[np.repeat(starts - at[:-1], size) + np.arange(int(at[-1]))]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(gathered))
+
+
 def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of runs of true; a run never crosses a row border given in `at`."""
     n = len(inside)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, tokencount, topk
+from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, spelling, tokencount, topk
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_linededup": linedup.op10_linededup,
         "op10_linededup_runs": linedup.op10_linededup,
         "op10_linededup_maximal": linedup.op10_linededup_maximal,
+        "op11_spelling": spelling.op11_spelling,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_topk": topk.OP8_SQL,
         "op10_linededup": linedup.OP10_SQL,
         "op10_linededup_runs": linedup.OP10_SQL,
+        "op11_spelling": spelling.OP11_SQL,
     }
