@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, spelling, tokencount, topk
+from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, spelling, tokencount, tokenfile, topk
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_linededup_runs": linedup.op10_linededup,
         "op10_linededup_maximal": linedup.op10_linededup_maximal,
         "op11_spelling": spelling.op11_spelling,
+        "op12_tokenfile": tokenfile.op12_tokenfile,
     }
 
 
