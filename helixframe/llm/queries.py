@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, quality, secrets, simhash, spelling, tokencount, tokenfile, topk
+from helixframe.llm import decontaminate, langid, licenses, linedup, mixing, negatives, quality, secrets, simhash, spelling, tokencount, tokenfile, topk
 
 
 def queries() -> dict:
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op10_linededup_maximal": linedup.op10_linededup_maximal,
         "op11_spelling": spelling.op11_spelling,
         "op12_tokenfile": tokenfile.op12_tokenfile,
+        "op13_negatives": negatives.op13_negatives,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_linededup": linedup.OP10_SQL,
         "op10_linededup_runs": linedup.OP10_SQL,
         "op11_spelling": spelling.OP11_SQL,
+        "op13_negatives": negatives.OP13_SQL,
     }

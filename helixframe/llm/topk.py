@@ -115,14 +115,14 @@ class BallTree:
         return scores, ids
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): components as floor(256 * x) in doubles; rows without an id or a vector, and vectors that hold null or
+def usable(vectors: DataFrame, *more: str) -> DataFrame:
+    """(vec_id, v, more...): components as floor(256 * x) in doubles; rows without an id or a vector, and vectors that hold null or
     non-finite numbers (or such whose product with 256 is), take no part. An empty vector does: its product with another one is 0."""
     scaled = lambda x: F.lit(256.0) * x.cast("double")
     given = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(scaled(x)) < float("inf")) & ~F.isnan(x))
     # floor() gives 64-bit numbers; from 2 ** 52 on a double has no fraction, so that it stands as it is.
     floor = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
-    return vectors.where(given).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: floor(scaled(x))).alias("v"))
+    return vectors.where(given).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: floor(scaled(x))).alias("v"), *more)
 
 
 def by_length(ids: list[int], vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
