@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import LOWER, SOLID_BYTE, cut, distinct_spans, forget, fragments, runs, text_bytes
+from helixframe.llm.common import LOWER, SOLID_BYTE, cut, distinct_spans, forget, fragments, pieces, runs, text_bytes
 from helixframe.sources.shared import _hadoop, shared_folder
 
 #: Text that a shard is made of, about, and how many shards there are at most (then they are larger).
@@ -37,7 +37,7 @@ SHARD_BYTES, SHARDS = 64 << 20, 50_000
 #: Keys in a bucket of the index, about; room for a level's bits, and levels before what is left goes to a sorted list.
 BUCKET_KEYS, ROOM, LEVELS = 1 << 16, 2.0, 40
 #: Parts of texts whose ids a task remembers, and their bytes, about; text that is encoded at once; copies of a doc_id that one row stands for.
-REMEMBERED, REMEMBERED_BYTES, ENCODED_BYTES, COPIES = 1 << 19, 64 << 20, 4 << 20, 1 << 16
+REMEMBERED, REMEMBERED_BYTES, ENCODED_BYTES, COPIES = 1 << 19, 32 << 20, 2 << 20, 1 << 16
 #: Kinds of bytes: ASCII letters, apostrophes, digits and other signs (0: the rest).
 LETTER, APOSTROPHE, DIGIT, SIGN = 1, 2, 3, 4
 KIND = np.zeros(256, np.uint8)
@@ -110,16 +110,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_str(tokenizer), end
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.length, self.flat, self.first, self.each = 0, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.length, self.flat, self.first, self.each, self.uses = 0, np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def forget(self, least: int) -> None:
+        """Keeps the parts that were asked for `least` times."""
+        keep = np.flatnonzero(self.uses >= least)
+        names = list(self.known)  # in order of their numbers
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        each = self.each[keep]
+        first = np.cumsum(each) - each
+        self.flat = self.flat[np.repeat(self.first[keep] - first, each) + np.arange(int(each.sum()))]
+        self.length, self.first, self.each, self.uses = sum(map(len, self.known)), first, each, np.zeros(len(keep), np.int64)
 
     def numbers(self, parts: list[bytes]) -> np.ndarray:
-        """The number of each part among those known; `first` and `each` say where in `flat` its ids begin, and how many they are."""
-        if len(self.known) > REMEMBERED or self.length > REMEMBERED_BYTES:
-            self.forget()
+        """The number of each part among those known; `first` and `each` say where in `flat` its ids begin, and how many they are.
+        parts: each once."""
+        for least in (2, 1 << 62):  # most parts come once only
+            if len(self.known) > REMEMBERED or self.length > REMEMBERED_BYTES:
+                self.forget(least)
         known = self.known
         new = [x for x in parts if x not in known]
         if new:
@@ -133,13 +142,15 @@ class Encoder:
             self.length += sum(map(len, new))
             each = np.array(sizes, np.int64)
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(each) - each))
-            self.flat, self.each = np.concatenate((self.flat, np.array(ids, np.uint32))), np.concatenate((self.each, each))
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            self.flat, self.each, self.uses = np.concatenate((self.flat, np.array(ids, np.uint32))), np.concatenate((self.each, each)), np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        out = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        self.uses[out] += 1
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with the end id, and how many each has."""
         data, at = text_bytes(texts.fill_null("") if texts.null_count else texts)
-        counts, flats, rows = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        counts, flats, rows = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
         for row, own, bounds in fragments(data, at, ~SOLID_BYTE, ENCODED_BYTES):
             own, starts, ends = cut_words(own, bounds)
             if not len(starts):
@@ -151,7 +162,7 @@ class Encoder:
             flats.append(self.flat[np.repeat(first - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))])
             owner = row[np.searchsorted(bounds, starts, "right") - 1]
             counts += np.bincount(owner, each, len(counts)).astype(np.int64)
-            rows.append(np.repeat(owner, each))
+            rows.append(np.repeat(owner.astype(np.int32), each))
         flat, row = np.concatenate(flats), np.concatenate(rows)
         out = np.full(len(flat) + len(counts), self.end, np.uint32)
         out[np.arange(len(flat)) + row] = flat
@@ -275,7 +286,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int, width:
     def write(batches):
         encoder, shard = encoder_of(sent.value, end), TaskContext.get().partitionId()
         file, at, before, copy, first = None, 0, None, -1, True
-        for batch in batches:
+        for batch in (part for whole in batches for part, *_ in pieces(whole, limit=ENCODED_BYTES)):
             if file is None:
                 file = Put(folder, shard_name(shard))
                 file.write(MAGIC + np.array([width, end], "<u4").tobytes())
