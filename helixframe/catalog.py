@@ -96,7 +96,7 @@ def queries() -> dict:
     q["encode_segments"] = lambda s, d: encoding(s, d).coded
     q["payload_dna"] = lambda s, d: encoding(s, d).payload
     q["storage_strands"] = lambda s, d: encoding(s, d).strands
-    q["dna_fingerprint"] = lambda s, d: encode.fingerprints(encoding(s, d).payload, KEY)
+    q["dna_fingerprint"] = lambda s, d: encoding(s, d).fingerprints
     q["encode_metrics"] = encode_metrics
     corpus = lambda s, d: encode.encode(table(s, d, "documents"), KEY, scope="corpus", by=["source"])
     q["encode_corpus"] = lambda s, d: corpus(s, d).payload

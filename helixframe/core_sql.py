@@ -3,7 +3,7 @@ codes by an equi-join of all places with the keys' first bits and a recursive wa
 
 from __future__ import annotations
 
-from helixframe.constants import FALLBACK, PAYLOAD_NT, PRIMER_LEFT, PRIMER_RIGHT, STRAND_NT
+from helixframe.constants import FALLBACK, FNV_PRIME, FNV_SEED, PAYLOAD_NT, PRIMER_LEFT, PRIMER_RIGHT, STRAND_NT
 
 
 def pairs_sql(text: str) -> str:
@@ -53,6 +53,13 @@ b AS (SELECT doc_id, i::INT AS block_id, dna[i * {PAYLOAD_NT} + 1 : i * {PAYLOAD
 CHECKED = """x AS (SELECT doc_id, block_id, block, len(regexp_replace(block, '[AT]', '', 'g'))::INT AS gc, list_max(list_transform(regexp_extract_all(block, 'A+|C+|G+|T+'), lambda z: len(z)))::INT AS rll, len(regexp_replace(right(block, 5), '[AT]', '', 'g'))::INT AS endgc FROM b)"""
 
 
+def fold_sql(text: str) -> str:
+    """The fingerprint of a text, a character at a time."""
+    numbers = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::UHUGEINT)"
+    fold = f"list_reduce(list_prepend({FNV_SEED}::UHUGEINT, {numbers}), lambda h, z: (xor(h, z) * {FNV_PRIME}::UHUGEINT) & 18446744073709551615::UHUGEINT)"
+    return f"lower(lpad(printf('%x', {fold}::UBIGINT), 16, '0'))"
+
+
 def oracle_sql(reps: str, count_sql, digits_sql) -> dict[str, str]:
     o = {}
     start = "WITH RECURSIVE "
@@ -62,6 +69,9 @@ def oracle_sql(reps: str, count_sql, digits_sql) -> dict[str, str]:
     o["payload_dna"] = f"{start}{payload_sql(reps, count_sql, 'doc_id')} SELECT * FROM n"
     o["encode_corpus"] = f"{start}{payload_sql(reps, count_sql, 'source')} SELECT * FROM n"
     o["storage_strands"] = f"{start}{payload_sql(reps, count_sql, 'doc_id')} SELECT doc_id, block_id, '{PRIMER_LEFT}' || {digits_sql('block_id::BIGINT')} || rpad(block, {PAYLOAD_NT}, 'A') || '{PRIMER_RIGHT}' AS strand FROM b"
+    o["dna_fingerprint"] = f"""{start}{payload_sql(reps, count_sql, 'doc_id')},
+y AS (SELECT doc_id, string_agg('{PRIMER_LEFT}' || {digits_sql('block_id::BIGINT')} || rpad(block, {PAYLOAD_NT}, 'A') || '{PRIMER_RIGHT}', '' ORDER BY block_id) AS strands FROM b GROUP BY doc_id)
+SELECT doc_id, {fold_sql('dna')} AS dna_hash_payload, {fold_sql('strands')} AS dna_hash_storage FROM n JOIN y USING (doc_id)"""
     o["encode_metrics"] = f"""{start}{payload_sql(reps, count_sql, 'doc_id')}, {CHECKED},
 y AS (SELECT doc_id, avg(gc / 120.0::DOUBLE) AS gc_mean, var_pop(gc / 120.0::DOUBLE) AS gc_var, max(rll)::BIGINT AS rll_max, count(*) FILTER (WHERE rll > 2) AS rll_violations, count(*) FILTER (WHERE endgc > 3) AS end_violations, count(*) AS strands FROM x GROUP BY doc_id),
 q AS (SELECT doc_id, avg(CASE WHEN len(s) < 4 THEN 0 ELSE greatest(lp, ls) END) AS best FROM r GROUP BY doc_id)

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.constants import MAX_END_GC, MAX_RUN, PAYLOAD_NT, SEGMENT_BITS, STRAND_NT
-from helixframe.functions import kernels
+from helixframe.functions import folds, kernels
 from helixframe.functions.dna import fingerprint, strand
 from helixframe.operators import codebook, segments
-from helixframe.sources.shared import cut
+from helixframe.sources.ranges import FILE_KEYS, FILES, file_chunks
+from helixframe.sources.shared import cut, forget
 
 #: Segments, and so bytes, of a chunk: what one row holds of a payload. An even number of segments ends with a byte.
 CHUNK_SEGMENTS = 1024
 CHUNK_BYTES = CHUNK_SEGMENTS * SEGMENT_BITS // 8
+#: Blocks whose strands are fingerprinted as one part of a payload of several chunks; tables of parts that are joined at once.
+PART_BLOCKS, PARTS = 2048, 256
 #: Payloads of more chunks are ranked by a rank filter before the shuffle, not each by one task.
 LONG_CHUNKS = 64
 
@@ -38,7 +41,7 @@ def chunked(payloads: DataFrame, keys: list[str]) -> DataFrame:
     short = own.where("chunks = 1").select(F.col("_id").alias("_row"), *keys, F.lit(0).alias("chunk"), "chunks", F.col("payload").alias("bytes"))
     long = own.where("chunks > 1").select((F.col("_id") + 1).alias("_row"), *keys, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks", "payload")
     long = long.select("_row", *keys, "chunk", "chunks", F.substring("payload", F.col("chunk") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)).alias("bytes"))
-    return cut(short.union(long.repartition(tasks, "_row", "chunk")))
+    return short.union(long.repartition(tasks, "_row", "chunk"))
 
 
 def tiles(dna) -> F.Column:
@@ -86,10 +89,31 @@ class Encoding:
     """The frames of an encoding, each made when it is first asked for. What several start from is written once: chunks,
     their repeats, code tables and nucleotides."""
 
-    def __init__(self, docs: DataFrame, keys: list[str], column: str, scope: str, by: list[str]):
+    def __init__(self, chunks: DataFrame, keys: list[str], scope: str, by: list[str]):
+        """chunks: _row, keys, by, chunk, chunks, bytes."""
         self.keys, self.scope, self.have = keys, scope, list(dict.fromkeys([*keys, *by]))
         self.by = ["_row", *keys] if scope == "doc" else by
-        self.held = chunked(payload_of(docs, self.have, column), self.have)
+        self._written: list[DataFrame] = []
+        self._chunks = chunks
+
+    def _cut(self, table: DataFrame) -> DataFrame:
+        self._written.append(cut(table))
+        return self._written[-1]
+
+    def close(self) -> None:
+        """Deletes what was written; to be called when nothing that was made from the frames is read any more."""
+        forget(*self._written)
+        self._written.clear()
+
+    def __enter__(self) -> Encoding:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    @cached_property
+    def held(self) -> DataFrame:
+        return self._cut(self._chunks)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -99,7 +123,7 @@ class Encoding:
 
     @cached_property
     def marked(self) -> DataFrame:
-        return cut(self.held.select("_row", *self.have, "chunks", kernels.chunk_repeats("bytes").alias("r")).select("_row", *self.have, "chunks", "r.*"))
+        return self._cut(self.held.select("_row", *self.have, "chunks", kernels.chunk_repeats("bytes").alias("r")).select("_row", *self.have, "chunks", "r.*"))
 
     @cached_property
     def _frequencies(self) -> tuple[DataFrame, bool]:
@@ -108,7 +132,7 @@ class Encoding:
         if self.scope == "doc" and self.marked.where(F.col("chunks") > LONG_CHUNKS).isEmpty():
             # All that follows groups by the payload: one shuffle serves all of it.
             return segments.frequencies(found.repartition("_row"), self.by), True
-        return cut(segments.frequencies(found, self.by)), False
+        return self._cut(segments.frequencies(found, self.by)), False
 
     @property
     def map1(self) -> DataFrame:
@@ -118,7 +142,7 @@ class Encoding:
     @cached_property
     def _books(self) -> DataFrame:
         freq, together = self._frequencies
-        return cut(codebook.codebooks((segments.kept_in_place if together else segments.kept)(freq, self.by), self.by))
+        return self._cut(codebook.codebooks((segments.kept_in_place if together else segments.kept)(freq, self.by), self.by))
 
     @property
     def codebook(self) -> DataFrame:
@@ -134,7 +158,7 @@ class Encoding:
     def done(self) -> DataFrame:
         """(_row, keys, by, chunk, chunks, n_bytes, segments, dna, nt): a chunk's nucleotides."""
         size = (F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"))
-        return cut(self._coder.select("_row", *self.have, "chunk", "chunks", *size, F.array_join("seg_dna", "").alias("dna")).withColumn("nt", F.length("dna").cast("bigint")))
+        return self._cut(self._coder.select("_row", *self.have, "chunk", "chunks", *size, F.array_join("seg_dna", "").alias("dna")).withColumn("nt", F.length("dna").cast("bigint")))
 
     @property
     def coded(self) -> DataFrame:
@@ -158,6 +182,30 @@ class Encoding:
         """(keys, block_id, block, gc, rll, endgc)"""
         return constraints(chunk_blocks(self.done, self.keys)).drop("_row")
 
+    @property
+    def fingerprints(self) -> DataFrame:
+        """(keys, dna_hash_payload, dna_hash_storage): of the nucleotides and of all strands in order. Payloads of several chunks are
+        worked on in parts, by as many tasks as there are, and none is put together."""
+        short = fingerprints(self.done.where("chunks = 1"), self.keys)
+        long = self.done.where("chunks > 1")
+        row = ["_row", *self.keys]
+        strands = chunk_blocks(long, self.keys).select(*row, F.floor(F.col("block_id") / PART_BLOCKS).alias("part"), F.struct("block_id", strand(F.col("block_id"), F.col("block")).alias("s")).alias("s"))
+        texts = strands.groupBy(*row, "part").agg(F.array_sort(F.collect_list("s")).alias("s")).select(*row, "part", F.array_join(F.col("s.s"), "").alias("text"))
+        both = long.select(*row, F.lit("payload").alias("of"), F.col("chunk").cast("long").alias("part"), F.col("dna").alias("text")).union(texts.select(*row, F.lit("storage"), F.col("part").cast("long"), "text"))
+        parts = self._cut(both.select(*row, "of", "part", F.octet_length("text").cast("long").alias("size"), folds.part_table("text").alias("t")))
+        most = parts.agg(F.max("part")).first()[0]
+        if most is None:
+            return short
+        while True:  # each round joins PARTS tables at most
+            own = F.array_sort(F.collect_list(F.struct("part", "size", "t")))
+            parts = parts.groupBy(*row, "of", F.floor(F.col("part") / PARTS).alias("part")).agg(own.alias("own"))
+            parts = parts.select(*row, "of", "part", F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["size"]).alias("size"), folds.joined_tables("own").alias("t"))
+            most //= PARTS
+            if not most:
+                break
+        found = parts.select(*row, "of", folds.end("size", "t").alias("h")).groupBy("_row").agg(*[F.first(k).alias(k) for k in self.keys], *[F.max(F.when(F.col("of") == x, F.col("h"))).alias(f"dna_hash_{x}") for x in ("payload", "storage")])
+        return short.union(found.select(*short.columns))
+
     @property
     def metrics(self) -> DataFrame:
         """A row for each payload."""
@@ -184,7 +232,14 @@ def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str =
     each with its row in every frame. Empty and null payloads are left out. A payload is worked on in chunks, by as many
     tasks as there are; only the frame payload puts one together, so that its nucleotides must fit in one text there (2 ** 31,
     of 256 MB of payload or more)."""
-    return Encoding(docs, keys, column, scope, list(by or []))
+    have = list(dict.fromkeys([*keys, *(by or [])]))
+    return Encoding(chunked(payload_of(docs, have, column), have), keys, scope, list(by or []))
+
+
+def encode_files(spark: SparkSession, path: str, glob: str = FILES, scope: str = "doc", by: list[str] | None = None) -> Encoding:
+    """Encodes the files of a folder, each a payload, by their ranges: no row holds a file, however large. Keys are path, dataset,
+    file_name and file_size_bytes; `by` names some of these."""
+    return Encoding(file_chunks(spark, path, glob, CHUNK_BYTES), list(FILE_KEYS), scope, list(by or []))
 
 
 def fingerprints(payload: DataFrame, keys: list[str]) -> DataFrame:

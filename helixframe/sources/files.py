@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.sources.ranges import FILES, file_listing
+
 _COMMON = "dataset STRING, file_name STRING, file_size_bytes BIGINT, runs INT"
 #: Columns of the two kinds of metric tables, in file order (fixed values). Hashes are text: digits alone, or 1e5, would
 #: be taken for numbers.
@@ -24,7 +28,13 @@ def basename(path):
     return F.regexp_extract(path, r"[^\\/]*$", 0)
 
 
-def payload_files(spark: SparkSession, path: str, glob: str = "*.{txt,pdf,jpg}") -> DataFrame:
+def file_list(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
+    """(path, dataset, file_name, file_size_bytes) of a folder's files, empty ones too; none is read."""
+    name = basename(F.col("path"))
+    return file_listing(spark, path, glob).select("path", F.replace(name, F.lit("-"), F.lit("_")).alias("dataset"), name.alias("file_name"), "file_size_bytes")
+
+
+def payload_files(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
     """(path, dataset, file_name, file_size_bytes, payload) of a folder's files; the tag is the name with _ for -.
     Empty files, which no encoding takes, are left out by Spark's reader."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
@@ -32,19 +42,39 @@ def payload_files(spark: SparkSession, path: str, glob: str = "*.{txt,pdf,jpg}")
     return found.select("path", F.replace(name, F.lit("-"), F.lit("_")).alias("dataset"), name.alias("file_name"), F.col("length").alias("file_size_bytes"), F.col("content").alias("payload"))
 
 
-def rejected_files(spark: SparkSession, path: str, glob: str = "*.{txt,pdf,jpg}") -> DataFrame:
-    """(path, reason) of a folder's files that payload_files() leaves out: those without a byte, which Spark's reader lists
-    but doesn't read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "listed string")  # the reader's own listing
-    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    read = found.select(plain(F.col("path")).alias("read"))
-    return listed.select(plain(F.col("listed")).alias("path")).join(read, F.col("path") == F.col("read"), "left_anti").select("path", F.lit("empty").alias("reason"))
+def rejected_files(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
+    """(path, reason) of a folder's files that payload_files() leaves out: those without a byte."""
+    return file_list(spark, path, glob).where("file_size_bytes = 0").select("path", F.lit("empty").alias("reason"))
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str | T.StructType, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """The CSV files of a folder, a glob or a path, as one table of the schema's columns, whatever the order of their own.
+
+    Each file's columns go by the names in its header. A column that a file lacks is that of `defaults` there, which may name other
+    columns, or null; columns that the schema lacks are left out. Values that don't parse are null. Files without a line
+    have no rows. Files that share a header are read together: there are as many scans as headers.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kinds = {f.name: f.dataType for f in wanted}
+    out = None
+    for header, paths in headers(spark, path):
+        names = next(csv.reader([header]))
+        own = T.StructType([T.StructField(c if names.index(c) == k else f"_{k}_{c}", kinds.get(c, T.StringType())) for k, c in enumerate(names)])
+        rows = spark.read.schema(own).option("header", True).csv(paths)
+        rows = rows.select(*[c for c in dict.fromkeys(names) if c in kinds])
+        given = {c: v.cast(kinds[c]) for c, v in (defaults or {}).items() if c in kinds and c not in rows.columns}
+        rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns and c not in given}).withColumns(given).select(*kinds)
+        out = rows if out is None else out.union(rows)
+    return spark.createDataFrame([], wanted) if out is None else out
 
 
-def read_metrics(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """All CSV files of a folder or glob, with an explicit schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """The first lines of CSV files, and the paths of the files that begin with each; the list of files is as long as the one
+    that Spark's own reader holds."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), F.rtrim("value").alias("value"))
+    first = lines.groupBy("path").agg(F.min_by("value", "n").alias("header")).where("length(header) > 0")
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    return [(r["header"], r["paths"]) for r in found]
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
@@ -52,7 +82,7 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").option("header", True).csv(path)
 
 
-def latest(metrics: DataFrame, key: str, order: str) -> DataFrame:
-    """Each key's row with the largest `order`."""
-    columns = metrics.columns
-    return metrics.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select("r.*")
+def latest(metrics: DataFrame, key: str, *order: str) -> DataFrame:
+    """Each key's row with the largest `order`, by its columns in turn; of rows alike in those, the one of the largest other columns."""
+    rest = [c for c in metrics.columns if c not in order]
+    return metrics.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("r")).select(*[F.col("r").getField(c).alias(c) for c in metrics.columns])

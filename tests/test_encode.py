@@ -160,9 +160,31 @@ def test_files_and_metrics(spark, tmp_path):
     for _ in range(2):
         files.append_metrics(m, str(tmp_path / "m"))
     back = files.read_metrics(spark, str(tmp_path / "m"), m.schema)
+    assert files.read_metrics(spark, str(tmp_path / "f" / "e.pdf"), m.schema).count() == 0
     assert back.count() == 2 and files.latest(back, "dataset", "runs").first()["dna_hash_payload"] == "1e5"
 
 
+def test_metrics_are_read_by_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from helixframe.sources import files
+
+    schema = "dataset string, rll int, endv int, phase_sum_ms double, total_ms double, dna_hash_payload string"
+    for name, text in {
+        "a.csv": "dataset,rll,endv\nx,1,2\n", "b.csv": "dataset,endv,rll\ny,20,10\n", "c.csv": "dataset,endv\nz,7\n", "d.csv": 'more,"total_ms",dataset,phase_sum_ms,dna_hash_payload\n1,2.5,"v, w",oops,1e5\n',
+        "e.csv": "", "f.csv": "dataset,rll\n", "g.csv": "dataset,endv,rll\r\nu,4,3\r\n", "h.csv": "rll,rll,dataset\n5,6,t\n",
+    }.items():
+        (tmp_path / name).write_text(text)
+    rows = {r["dataset"]: tuple(r)[1:] for r in files.read_metrics(spark, str(tmp_path), schema, {"phase_sum_ms": F.col("rll") * 2}).collect()}
+    assert rows == {
+        "x": (1, 2, 2.0, None, None), "y": (10, 20, 20.0, None, None), "z": (None, 7, None, None, None), "v, w": (None, None, None, 2.5, "1e5"), "u": (3, 4, 6.0, None, None), "t": (5, None, 10.0, None, None),
+    }
+    assert files.read_metrics(spark, str(tmp_path / "b.csv"), schema).select("rll", "endv").first() == (10, 20)
+    assert files.read_metrics(spark, str(tmp_path / "[e]*.csv"), schema).count() == 0
+    many = spark.createDataFrame([("d", 1, 5, "b"), ("d", 2, 1, "a"), ("d", 2, 1, "c"), ("e", None, None, None)], "dataset string, runs int, n int, h string")
+    assert {tuple(r) for r in files.latest(many, "dataset", "runs").collect()} == {("d", 2, 1, "c"), ("e", None, None, None)}
+
+
 def test_missing_columns_get_defaults(spark):
     from pyspark.sql import functions as F
 
@@ -181,3 +203,73 @@ def test_functions_in_sql(spark):
     size(dna_blocks(repeat('A', 121))) k, dna_fingerprint('GATC') h, dna_repeats('01100110') r, dna_checks('GGGA') c, dna_encode(X'FF', array('1111'), array('GAG')) d""").first()
     assert tuple(row)[:9] == ("10100101", "AAAAAAAAC", "ACGTTGCATGTCAGTACGTA" + "A" * 9 + "GAT".ljust(120, "A") + "TACGACTGACATGCAACGTT", 2, 0, 2, 0, 2, "01e4f8bfa83ca06e")
     assert (tuple(row["r"]), tuple(row["c"]), row["d"]) == ((4, 4), (3, 3, 3), ["GAGGAG"])
+
+
+def test_fingerprints_in_parts(spark, monkeypatch):
+    """Payloads of one chunk and of many, by tables that are joined over several rounds, against whole texts."""
+    rng = random.Random(11)
+    payloads = [*VECTORS, *[rng.randbytes(n) for n in (124, 125, 126, 1000, 3000)], b"abcabc" * 400]
+    monkeypatch.setattr(encode, "CHUNK_SEGMENTS", 2)
+    monkeypatch.setattr(encode, "CHUNK_BYTES", 125)
+    monkeypatch.setattr(encode, "PART_BLOCKS", 3)
+    monkeypatch.setattr(encode, "PARTS", 3)
+    with encode.encode(frame(spark, [*payloads, b"", None]), ["k"], "payload") as done:
+        got = {r["k"]: (r["dna_hash_payload"], r["dna_hash_storage"]) for r in done.fingerprints.collect()}
+        whole = {r["k"]: (r["dna_hash_payload"], r["dna_hash_storage"]) for r in encode.fingerprints(done.payload, ["k"]).collect()}
+    assert got == whole and [got[k] for k in range(len(VECTORS))] == list(VECTORS.values())
+
+
+def test_fold_tables():
+    from helixframe.constants import FNV_PRIME, FNV_SEED
+    from helixframe.functions import folds
+
+    def fold(raw, h=FNV_SEED):
+        for b in raw:
+            h = (h ^ b) * FNV_PRIME & (1 << 64) - 1
+        return f"{h:016x}"
+
+    rng = random.Random(2)
+    for n in (0, 1, 3, 4, 5, 17, 100, 700, 5003):
+        for letters in (b"ACGT", bytes(range(256)), b"ACGTN"):
+            raw = bytes(rng.choices(letters, k=n))
+            assert folds.finished(folds.table_of(raw), n) == fold(raw)
+            a, b = sorted(rng.choices(range(n + 1), k=2))
+            one, two, three = (folds.table_of(x) for x in (raw[:a], raw[a:b], raw[b:]))
+            left = folds.joined(folds.joined(one, a, two, b - a), b, three, n - b)
+            right = folds.joined(one, a, folds.joined(two, b - a, three, n - b), n - a)
+            assert (left == right).all() and folds.finished(left, n) == fold(raw)
+
+
+def test_files_by_ranges(spark, tmp_path, monkeypatch):
+    """Files read in ranges of chunks and whole files give the same frames; folders, globs, empty files, one file by its path."""
+    from pyspark.sql import functions as F
+
+    from helixframe.sources import files, ranges
+
+    rng = random.Random(5)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    contents = {"a-b.txt": b"hello hello hello " * 60, "c.pdf": rng.randbytes(999), "d.jpg": bytes(125), "e.txt": b"", "no.csv": b"xxx", "f g.txt": b"z"}
+    for name, raw in contents.items():
+        (folder / name).write_bytes(raw)
+    monkeypatch.setattr(encode, "CHUNK_SEGMENTS", 2)
+    monkeypatch.setattr(encode, "CHUNK_BYTES", 125)
+    monkeypatch.setattr(ranges, "RANGE_CHUNKS", 3)
+    read = ranges.file_chunks(spark, str(folder), chunk_bytes=125, range_chunks=3)
+    ranged = [-(-len(x) // (3 * 125)) for n, x in contents.items() if not n.endswith("csv")]
+    assert read.rdd.getNumPartitions() == sum(ranged) > 5
+    rows = read.collect()
+    for name, raw in contents.items():
+        own = sorted((r["chunk"], r["chunks"], bytes(r["bytes"])) for r in rows if r["file_name"] == name)
+        assert b"".join(x for *_, x in own) == (b"" if name.endswith("csv") else raw)
+        assert [(k, n) for k, n, _ in own] == [(k, len(own)) for k in range(len(own))]
+    with encode.encode_files(spark, str(folder)) as done, encode.encode(files.payload_files(spark, str(folder)), ["file_name"], "payload") as whole:
+        columns = ["file_name", "n_bytes", "segments", "nt", "storage_seq_count", "rll_max", "avg_best_lsbm_len", F.round("gc_mean", 9)]
+        assert sorted(map(tuple, done.metrics.select(columns).collect())) == sorted(map(tuple, whole.metrics.select(columns).collect()))
+        assert sorted(map(tuple, done.fingerprints.select("file_name", "dna_hash_payload", "dna_hash_storage").collect())) == sorted(map(tuple, whole.fingerprints.collect()))
+        assert {r["dataset"] for r in done.metrics.collect()} == {"a_b.txt", "c.pdf", "d.jpg", "f g.txt"}
+    one = ranges.file_chunks(spark, str(folder / "no.csv"), chunk_bytes=2)
+    assert [bytes(r["bytes"]) for r in one.orderBy("chunk").collect()] == [b"xx", b"x"]
+    assert ranges.file_chunks(spark, str(folder), "*.none").count() == 0
+    with pytest.raises(Exception, match="FileNotFound"):
+        ranges.file_chunks(spark, str(tmp_path / "gone")).count()
