@@ -28,6 +28,8 @@ from helixframe.llm.fmindex import FMIndex
 WINDOW, BLOCK_BYTES = 10, 16 << 20
 #: Text in a shard, about; windows that are searched side by side.
 SHARD_BYTES, TOGETHER = 2 << 20, 1 << 16
+#: Occurrences, or pairs of rows and items, that are looked at together.
+AT_ONCE = 1 << 20
 NEW = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -36,16 +38,25 @@ NEW = T.StructType([
 
 @dataclass
 class Block:
-    """Some benchmark items: their words as symbols (from 1), and each window's first word, length and item's name (-1: none)."""
+    """Some benchmark items: their words as symbols (from 1), the first word and length of each distinct window, and the numbers of
+    the names of the items that have window w: items[first[w] : first[w + 1]]."""
 
     vocabulary: Vocabulary
     symbols: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
+    first: np.ndarray
     items: np.ndarray
     names: list[str]
 
 
+def padded(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Windows as rows, filled from the left, 0 behind."""
+    column = np.arange(int(lengths.max(initial=1)))
+    inside = column < lengths[:, None]
+    return np.where(inside, symbols[np.where(inside, starts[:, None] + column, 0)] if len(symbols) else 0, 0)
+
+
 def block_of(items: list[str | None], texts: list[str], window: int) -> Block:
     words = words_of(texts)
     names = sorted({x for x in items if x is not None})
@@ -54,7 +65,13 @@ def block_of(items: list[str | None], texts: list[str], window: int) -> Block:
     n = np.where(size > 0, words.counts - size + 1, 0)
     starts = np.repeat(words.first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     vocabulary = Vocabulary(words)
-    return Block(vocabulary, (vocabulary.numbers + 1).astype(np.int32), starts, np.repeat(size, n).astype(np.int32), np.repeat(np.array([number[x] for x in items], np.int32), n), names)
+    symbols, lengths = (vocabulary.numbers + 1).astype(np.int32), np.repeat(size, n).astype(np.int32)
+    item = np.repeat(np.array([number[x] for x in items], np.int64), n)
+    rows = padded(symbols, starts, lengths)
+    _, one, same = np.unique(np.ascontiguousarray(rows).view([("", rows.dtype)] * rows.shape[1]).ravel(), return_index=True, return_inverse=True)
+    top = max(1, len(names))
+    pairs = np.unique(same.ravel()[item >= 0] * top + item[item >= 0])  # a window that an item repeats counts once
+    return Block(vocabulary, symbols, starts[one], lengths[one], np.searchsorted(pairs // top, np.arange(len(one) + 1)), (pairs % top).astype(np.int32), names)
 
 
 def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
@@ -68,7 +85,7 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
         items = [None if pd.isna(x) else x for x in rows["item"]]
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "data": [pickle.dumps(block_of(items, rows["text"].tolist(), window), 5)]})
 
-    dealt = given.withColumn("block", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(blocks)).cast("int"))
+    dealt = given.withColumn("block", F.pmod(F.xxhash64("text", "item", F.lit(3)), F.lit(blocks)).cast("int"))
     return cut(dealt.groupBy("block").applyInPandas(pack, "block int, data binary"))
 
 
@@ -97,20 +114,29 @@ def search_block(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np
     word_at[place] = word
     fm = FMIndex(symbols, len(block.vocabulary))
     pairs, names = [none], max(1, len(block.names))
+    windows: list[np.ndarray] = [none]
     for k in range(0, len(asked), TOGETHER):
         some = asked[k : k + TOGETHER]
         lengths = block.lengths[some]
-        column = np.arange(int(lengths.max()))
-        inside = column < lengths[:, None]
-        patterns = np.where(inside, block.symbols[np.where(inside, block.starts[some][:, None] + column, 0)], 0).astype(np.int64)
-        low, high = fm.search(patterns, lengths)
-        found = high - low
-        pattern = np.repeat(np.arange(len(found)), found)
-        start = word_at[fm.locate(np.arange(int(found.sum())) + np.repeat(low - (np.cumsum(found) - found), found))]
-        np.add.at(marks, start, 1)
-        np.add.at(marks, start + lengths[pattern], -1)
-        item = block.items[some[pattern]].astype(np.int64)
-        pairs.append(np.unique(words.row[start][item >= 0] * names + item[item >= 0]))  # one row and item, however often
+        low, high = fm.search(padded(block.symbols, block.starts[some], lengths).astype(np.int64), lengths)
+        # Distinct windows of a length never begin at the same word, so that all occurrences are WINDOW times the words at most.
+        there = np.flatnonzero(high > low)
+        low, found, some, lengths = low[there], (high - low)[there], some[there], lengths[there]
+        ends = np.cumsum(found)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+            rank = np.arange(a, min(a + AT_ONCE, int(ends[-1])))
+            own = np.searchsorted(ends, rank, "right")
+            start = word_at[fm.locate(low[own] + rank - (ends - found)[own])]
+            marks += np.bincount(start, minlength=len(marks)) - np.bincount(start + lengths[own], minlength=len(marks))
+            windows.append(np.unique(words.row[start] * len(block.starts) + some[own]))
+    # Rows and the windows that they have, once each, to rows and items.
+    row, window = np.divmod(np.unique(np.concatenate(windows)), max(1, len(block.starts)))
+    each = (block.first[1:] - block.first[:-1])[window] if len(window) else none
+    ends = np.cumsum(each)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+        rank = np.arange(a, min(a + AT_ONCE, int(ends[-1])))
+        own = np.searchsorted(ends, rank, "right")
+        pairs.append(np.unique(row[own] * names + block.items[block.first[window[own]] + rank - (ends - each)[own]]))
     return marks, *np.divmod(np.unique(np.concatenate(pairs)), names)
 
 

@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 
 from helixframe.llm.common import HashIndex, map_batches, pieces, remainder, text_bytes, without
 
-#: Longest context; labelled rows that each language learns from at most, and the longest of them, in characters; languages
-#: learned at most, those of most different texts.
-ORDER, SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 4, 300, 20_000, 256
+#: Longest context; labelled rows that each language learns from at most, and the longest of them, in characters; characters of
+#: all languages' samples together, about, shared evenly (a language has one row at least).
+ORDER, SAMPLE_ROWS, SAMPLE_CHARS, ALL_CHARS = 4, 300, 20_000, 24_000_000
+#: Languages that share tables, in which a string that one of them has takes room for all; costs that are held at once.
+TOGETHER, COSTS = 8, 1 << 22
 #: A score weighs a text's mean evidence as that of so many bytes at most, or every long text would score 1.
 EVIDENCE_BYTES = 100
 
@@ -52,6 +54,12 @@ def grams(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return key
 
 
+def train_all(texts: dict[str, list[str]], order: int = ORDER) -> list[Model]:
+    """Models of TOGETHER languages each, in order of their names."""
+    names = sorted(texts)
+    return [train({x: texts[x] for x in names[k : k + TOGETHER]}, order) for k in range(0, len(names), TOGETHER)]
+
+
 def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     languages = sorted(texts)
     counts = []
@@ -87,61 +95,85 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 class Scorer:
-    def __init__(self, model: Model):
-        self.model = model
-        self.strings = [(HashIndex(k), c) for k, c in model.strings]
-        self.escapes = [(HashIndex(k), c) for k, c in model.escapes]
+    def __init__(self, models: list[Model]):
+        self.languages, self.order = [x for m in models for x in m.languages], max((len(m.strings) for m in models), default=1) - 1
+        self.models = [(len(m.languages), [(HashIndex(k), c) for k, c in m.strings], [(HashIndex(k), c) for k, c in m.escapes]) for m in models]
 
     def costs(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Bits of each row (rows x languages)."""
+        """Bits of each row (rows x languages), by slices of positions."""
         data = FOLD[data]
-        order, n = len(self.strings) - 1, len(self.model.languages)
-        key = grams(data, at, order + 1)
-        bits = np.zeros((len(data), n), np.float32)
-        left = np.arange(len(data))
-        for k in range(order, -1, -1):
-            found = self.strings[k][0].find(key[left] & np.uint64((1 << 8 * (k + 1)) - 1))
-            hit = found >= 0
-            bits[left[hit]] += self.strings[k][1][found[hit]]
-            left = left[~hit]
-            if not len(left):
-                break
-            context = self.escapes[k][0].find((key[left] & np.uint64((1 << 8 * (k + 1)) - 1)) >> np.uint64(8))
-            known = context >= 0
-            bits[left[known]] += self.escapes[k][1][context[known]]
-        bits[left] += 8.0  # below order 0 each byte costs the same
-        out = np.zeros((len(at) - 1, n))
-        some = np.flatnonzero(np.diff(at))
-        if len(some):
-            out[some] = np.add.reduceat(bits, at[some], axis=0, dtype=np.float64)
+        out, step = np.zeros((len(at) - 1, len(self.languages))), max(1, COSTS // TOGETHER)
+        for a in range(0, len(data), step):
+            b = min(len(data), a + step)
+            rows = np.arange(np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b, "left"))
+            # A position's cost depends on the bytes before it, which may lie before the slice.
+            lead = max(a - self.order, int(at[rows[0]]))
+            own = np.maximum(at[rows], lead) - lead
+            key = grams(data[lead:b], np.append(own, b - lead), self.order + 1)[a - lead :]
+            starts = np.maximum(at[rows], a) - a
+            some = np.flatnonzero(np.diff(np.append(starts, b - a)))
+            done = 0
+            for n, strings, escapes in self.models:
+                bits = position_costs(key, n, strings, escapes)
+                out[rows[some], done : done + n] += np.add.reduceat(bits, starts[some], axis=0, dtype=np.float64)
+                done += n
         return out
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Model | None:
-    """A model of up to `rows` rows of each language, of at most `chars` characters, first by a hash of the text. A language
-    all of whose texts are longer learns from its shortest ones.
+def position_costs(key: np.ndarray, n: int, strings: list, escapes: list) -> np.ndarray:
+    """Bits of each position in each of n languages."""
+    bits, left = np.zeros((len(key), n), np.float32), np.arange(len(key))
+    for k in range(len(strings) - 1, -1, -1):
+        own = key[left] & np.uint64((1 << 8 * (k + 1)) - 1)
+        found = strings[k][0].find(own)
+        hit = found >= 0
+        bits[left[hit]] += strings[k][1][found[hit]]
+        left, own = left[~hit], own[~hit]
+        if not len(left):
+            break
+        context = escapes[k][0].find(own >> np.uint64(8))
+        known = context >= 0
+        bits[left[known]] += escapes[k][1][context[known]]
+    bits[left] += 8.0  # below order 0 each byte costs the same
+    return bits
+
+
+def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, all_chars: int = ALL_CHARS) -> list[Model] | None:
+    """Models of every language, of up to `rows` rows of each, of at most `chars` characters, first by a hash of the text. A language
+    all of whose texts are longer learns from its shortest ones. Where languages are so many that these may be more than all_chars
+    characters together, each learns from its share of those, rows first by the hash until it is reached.
 
     Only text and lang are read; a text that repeats counts once. None if no row has both. Hashes below a limit are
     taken, which the languages' numbers of different texts give, so that only the sample is shuffled, copies put together
-    first; what reaches the driver is bounded by rows x chars x languages (or a language's shortest text), however many copies a text has.
+    first; what reaches the driver is bounded by all_chars and a row of each language, about, however many copies a text has.
     """
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
     size, seen = F.length("text"), F.xxhash64("text")
-    n = usable.groupBy("lang").agg(F.approx_count_distinct(F.when(size <= chars, seen)).alias("n"), F.min(size).alias("least"))
-    found = n.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    short = F.when(size <= chars, seen)
+    n = usable.groupBy("lang").agg(F.approx_count_distinct(short).alias("n"), F.min(size).alias("least"), F.avg(F.when(size <= chars, size)).alias("mean"))
+    found = n.collect()  # a row for each language
     if not found:
         return None
-    share = lambda n: int(min(1.0, 1.3 * rows / n + 30 / n) * (1 << 30)) if n else 1 << 30
-    limits = labelled.sparkSession.createDataFrame([(r["lang"], share(r["n"]), max(chars, r["least"])) for r in found], "lang string, share long, longest int")
+    share = all_chars / len(found)
+    wanted = {r["lang"]: max(1, min(rows, int(share / max(1.0, r["mean"] or 1.0)))) for r in found}
+    spare = lambda k: 30 if k == rows else 10
+    part = lambda k, n: int(min(1.0, 1.3 * k / n + spare(k) / n) * (1 << 30)) if n else 1 << 30
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], part(wanted[r["lang"]], r["n"]), max(chars, r["least"])) for r in found], "lang string, share long, longest int")
     draw = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)).alias("draw")
     texts: dict[str, list] = {r["lang"]: [] for r in found}
-    sample = usable.join(F.broadcast(limits), "lang").where(size <= F.col("longest")).select("lang", "text", "share", draw).where("draw < share")  # `languages` rows
+    sample = usable.join(F.broadcast(limits), "lang").where(size <= F.col("longest")).select("lang", "text", "share", draw).where("draw < share")  # a row for each language
     for r in sample.drop("share").distinct().toLocalIterator():
         texts[r["lang"]].append((r["draw"], r["text"]))
-    return train({lang: [x for _, x in sorted(x)[:rows]] for lang, x in texts.items() if x})
+    return train_all({lang: within([t for _, t in sorted(x)[: wanted[lang]]], share) for lang, x in texts.items() if x})
+
+
+def within(texts: list[str], chars: float) -> list[str]:
+    """The first texts of `chars` characters together, one at least."""
+    ends = np.cumsum([len(x) for x in texts])
+    return texts[: max(1, int(np.searchsorted(ends, chars, "right")))]
 
 
-def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: list[Model] | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score: the likeliest learned language and its probability.
 
     Null texts and those without a letter are `und` with score 0, as is everything if nothing was learned. Long texts
@@ -167,7 +199,7 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
                     size = np.maximum(1, np.diff(at))
                     gap = (bits - bits.min(1, keepdims=True)) * np.minimum(1, EVIDENCE_BYTES / size)[:, None]
                     score = np.where(has, 1 / np.exp2(-np.minimum(gap, 1000)).sum(1), 0.0)
-                    found = [scorer.model.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+                    found = [scorer.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
                 own = [c for c in part.schema.names if c != letter]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(found, pa.string()), pa.array(score)], [*own, *names])
 

@@ -11,6 +11,8 @@ phrase ends where its state lies on the suffix-link path of the current one.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -192,11 +194,14 @@ class Scanner:
                         new = min(n, b - c, e - f)
                         if best[j] + new > best[k] or best[j] + new == best[k] and first[j] > first[k]:
                             best[k], first[k] = best[j] + new, first[j]
-            spans: list[tuple[int, int]] = []
+            starts: list[int] = []  # of chains taken so far, in order, and their ends
+            ends: list[int] = []
             for k in sorted((k for k in range(len(own)) if best[k] >= need), key=lambda k: (-best[k], own[k][0], -first[k])):
                 a, b = first[k], own[k][0]
-                if all(b <= c or d <= a for c, d in spans):
-                    spans.append((a, b))
+                at = bisect_right(starts, a)
+                if (not at or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
+                    starts.insert(at, a)
+                    ends.insert(at, b)
                     out.append((a, b, o, min(1.0, best[k] / self.sizes[o])))
         return sorted(out)
 

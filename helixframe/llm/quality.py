@@ -21,6 +21,8 @@ STEP, WIDTH, FILTERS = 8, 8, 24
 #: Labelled documents that training reads at most, and the longest of them, in characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 EPOCHS, BATCH, RATE, THRESHOLD = 8, 32, 0.01, 0.7
+#: Blocks of a text that are looked at together; a longer one takes several slices.
+LONG_BLOCKS = 1 << 16
 
 
 @dataclass
@@ -63,6 +65,21 @@ def pooled(net: Network, blocks: np.ndarray, first: np.ndarray, winners: bool =
     return best, np.array([first[i] + act[first[i] : min(first[i + 1], len(act))].argmax(0) for i in range(n)])
 
 
+def pooled_long(net: Network, data: np.ndarray) -> np.ndarray:
+    """pooled() of one text, by slices of LONG_BLOCKS blocks: the maximum of slices' maxima."""
+    count = max(2, -(-len(data) // STEP) + 1)
+    best = None
+    for k in range(0, count - 1, LONG_BLOCKS):
+        end = min(count, k + LONG_BLOCKS + 1)  # the last block of a slice is the next one's first
+        blocks = np.full((end - k) * STEP, 256, np.int16)
+        own = data[k * STEP : end * STEP]
+        blocks[: len(own)] = own
+        x = net.embed[blocks.reshape(-1, STEP)].reshape(end - k, -1)
+        most = (x[:-1] @ net.near + x[1:] @ net.far).max(0)
+        best = most if best is None else np.maximum(best, most)
+    return (best + net.bias)[None]
+
+
 def probability(net: Network, best: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.maximum(best, 0) @ net.out + net.base, -30, 30)))
 
@@ -130,7 +147,10 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
         net = sent.value
         for batch in batches:
             for part, data, at in pieces(batch):
-                p = probability(net, pooled(net, *chunks(data, at))) if net else np.full(part.num_rows, 0.5)
+                if net is None:
+                    p = np.full(part.num_rows, 0.5)
+                else:
+                    p = probability(net, pooled_long(net, data) if part.num_rows == 1 and len(data) > LONG_BLOCKS * STEP else pooled(net, *chunks(data, at)))
                 p = np.round(p.astype(np.float64), 6)  # last digits depend on what else is in the piece
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], [*part.schema.names, "score"])
 

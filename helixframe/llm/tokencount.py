@@ -21,6 +21,8 @@ from helixframe.llm.common import SOLID_BYTE, HashIndex, distinct_spans, map_bat
 
 #: A file of "base64 rank" lines; read on the driver and sent to tasks. Without it count() needs a vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Units that aren't stepped as arrays any more: there a step has a fixed cost of many bytes.
+FEW = 64
 
 
 def load(path: str = VOCABULARY) -> list[bytes]:
@@ -69,16 +71,40 @@ class Automaton:
         keys = np.array([u << 8 | b for u in range(n) for b in children[u]], np.uint64)
         self.moves, self.to = HashIndex(keys), np.array([v for c in children for v in c.values()], np.int32)
         self.fail, self.pops = fail, pops
+        self.plain = None
         self.root = np.array([children[0][b] for b in range(256)], np.int32)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"plain": None}
+
+    def alone(self, unit: bytes, state: int, count: int) -> tuple[int, int]:
+        """State and pieces after `unit`, stepped by itself: a byte costs the same however few units are left."""
+        if self.plain is None:
+            slots = np.flatnonzero(self.moves.values >= 0)
+            self.plain = dict(zip(self.moves.keys[slots].tolist(), self.to[self.moves.values[slots]].tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+        moves, fail, pops = self.plain
+        for b in unit:
+            after = moves.get(state << 8 | b)
+            while after is None:
+                count += pops[state]
+                state = fail[state]
+                after = moves.get(state << 8 | b)
+            state = after
+        return state, count
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Pieces of each unit, all units stepped byte by byte together; longer ones go on when shorter ones are done."""
+        """Pieces of each unit, all units stepped byte by byte together; longer ones go on when shorter ones are done, and
+        the last FEW by themselves."""
         order = np.argsort(starts - ends, kind="stable")
         starts, size = starts[order], (ends - starts)[order]
         state, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         live = len(starts)
         for k in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size[:live], -k, "left"))
+            if live <= FEW:
+                for i in range(live):
+                    state[i], count[i] = self.alone(data[starts[i] + k : starts[i] + size[i]].tobytes(), int(state[i]), int(count[i]))
+                break
             byte = data[starts[:live] + k].astype(np.int64)
             todo = np.arange(live)
             while len(todo):

@@ -314,8 +314,8 @@ def test_language_id(spark):
 def test_languages_of_long_texts_alone_are_learned(spark):
     texts = ["ka ro mi " * 30] * 3 + ["sch üb en " * 40 + "x" * k for k in range(5)]
     docs = table(spark, texts, langs=["xx"] * 3 + ["yy"] * 5)
-    model = langid.fit(docs, chars=300)
-    assert model.languages == ["xx", "yy"] and langid.fit(docs, chars=300, languages=1).languages == ["xx"]
+    (model,) = langid.fit(docs, chars=300)
+    assert model.languages == ["xx", "yy"]
     once = langid.train({"xx": texts[:1], "yy": texts[3:4]})
     assert all((k == k1).all() and c == pytest.approx(c1) for (k, c), (k1, c1) in zip(model.strings, once.strings, strict=True))
 
@@ -324,7 +324,7 @@ def test_copies_do_not_grow_what_training_reads(spark):
     texts = ["ka ro mi"] * 400 + [f"sch üb {k}" for k in range(30)]
     docs = table(spark, texts, ids=[1] * 400 + list(range(2, 32)), langs=["xx"] * 400 + ["yy"] * 30)
     once = langid.train({"xx": texts[:1], "yy": sorted(texts[400:])})
-    model = langid.fit(docs)
+    (model,) = langid.fit(docs)
     for (k, c), (k1, c1) in zip(model.strings, once.strings, strict=True):
         assert (k == k1).all() and c == pytest.approx(c1)
     labels = spark.createDataFrame([(k, k % 2) for k in range(32)], "doc_id long, quality int")
@@ -351,7 +351,7 @@ def test_code_lengths_follow_the_tree():
         return total
 
     for text in ("abac", "zebra", "a", "bab zz"):
-        got = langid.Scorer(model).costs(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+        got = langid.Scorer([model]).costs(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
         assert got == pytest.approx([bits(text, "abab abac"), bits(text, "zz")], rel=1e-5)
 
 
