@@ -15,6 +15,9 @@ from helixframe.constants import FALLBACK, PAYLOAD_NT, QUATERNARY
 from helixframe.functions import bits, dna
 from helixframe.operators import compare, segments
 from helixframe.plans import encode
+from helixframe.plans import runs as timed
+from helixframe.sources import files, publish, ranges, sink
+from helixframe.sources.shared import new_folder
 
 KEY = ["doc_id"]
 
@@ -62,6 +65,91 @@ def pairs(spark, sf: str) -> DataFrame:
     return compare.joined(runs(spark, sf, False), runs(spark, sf, True), ["dataset"], ("_seq", "_cuda"))
 
 
+def parallel(spark, sf: str, *by: str) -> DataFrame:
+    """Runs of the parallel implementation: a phase for each line number, and the last one from returned lines."""
+    lines = table(spark, sf, "lineitem").withColumn("dataset", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
+    of = [F.col("l_linenumber") == k + 1 for k in range(7)] + [F.col("l_returnflag") == "R"]
+    return lines.groupBy("dataset", *by).agg(*[F.coalesce(F.sum(F.when(x, F.col("l_quantity"))), F.lit(0.0)).alias(c) for c, x in zip(compare.PARALLEL_PHASES, of, strict=True)], F.round(F.sum("l_extendedprice"), 2).alias("total_ms"))
+
+
+def metric_tables(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables of runs as an older and a newer version would write them: other columns, in another order."""
+    own = runs(spark, sf, False)
+    return own.select("dataset", "total_ms", "file_size_bytes", "dna_hash_payload"), runs(spark, sf, True).select("dna_hash_payload", "huffman_ms", "dataset", "total_ms", "file_size_bytes")
+
+
+def files_of(spark, sf: str, by: str) -> str:
+    """A folder with a text file of each document, or some for each group of them, in the shared folder."""
+    path = f"{new_folder(spark)}/files"
+    table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("text"), F.col(by).cast("string").alias("name")).repartition("name").write.partitionBy("name").text(path)
+    return path
+
+
+def payload_files(spark, sf: str) -> DataFrame:
+    found = files.payload_files(spark, files_of(spark, sf, "doc_id"))
+    return found.select(F.regexp_extract("path", "name=([0-9]+)/", 1).cast("long").alias("doc_id"), "file_size_bytes", F.sha2("payload", 256).alias("sha"))
+
+
+def file_ranges(spark, sf: str) -> DataFrame:
+    """Bytes of each source's files, counted by ranges of them."""
+    chunks = ranges.file_chunks(spark, files_of(spark, sf, "source"), "*.txt", recursive=True)
+    own = F.octet_length("bytes").cast("long")
+    return chunks.groupBy(F.regexp_extract("path", "name=([^/]*)/", 1).alias("source")).agg(F.sum(own).alias("n_bytes"), F.sum(own - F.length(F.replace(F.hex("bytes"), F.lit("0A"), F.lit(""))) / 2).cast("long").alias("n_breaks"))
+
+
+def metrics_by_name(spark, sf: str) -> DataFrame:
+    path = f"{new_folder(spark)}/metrics"
+    for t in metric_tables(spark, sf):
+        files.append_metrics(t, path)
+    return files.read_metrics(spark, path, METRICS, {"huffman_ms": F.col("total_ms") / 2})
+
+
+def metrics_appended(spark, sf: str) -> DataFrame:
+    path = f"{new_folder(spark)}/metrics"
+    for t, batch in zip(metric_tables(spark, sf) * 2, ("a", "b", "a", "b"), strict=True):  # the second time in place of the first
+        sink.append_rows(t, path, batch)
+    return files.read_metrics(spark, path, METRICS)
+
+
+def published(spark, sf: str) -> DataFrame:
+    path = f"{new_folder(spark)}/sheets"
+    publish.publish({"Sequential": runs(spark, sf, False), "Parallel": runs(spark, sf, True)}, path)
+    return compare.tagged(publish.published(spark, path), "sheet")
+
+
+def phase_pivot(spark, sf: str) -> DataFrame:
+    """Mean phases of each supplier's runs by line status, and one dataset that has none for each nation."""
+    keys = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("dataset")).union(table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))))
+    found = compare.phase_pivot(parallel(spark, sf, "l_linestatus"), "dataset", compare.PARALLEL_PHASES, keys)
+    return found.select("dataset", *[r6(F.col(c)).alias(c) for c in compare.PARALLEL_PHASES])
+
+
+def menu_selection(spark, sf: str) -> DataFrame:
+    """Choices that customers' numbers spell: their segment's first letter, or their key and nation."""
+    text = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("A")).otherwise(F.concat_ws(", ", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment"), (F.col("c_nationkey") % 5).cast("string")))
+    return compare.choices(table(spark, sf, "customer").select("c_custkey", text.alias("menu")), "menu", 4)
+
+
+def sequential(spark, sf: str) -> DataFrame:
+    return runs(spark, sf, False).withColumn("encoding_rate_bits_per_nt", F.col("lsbm_ms") / 100)
+
+
+def parallel_runs(spark, sf: str) -> DataFrame:
+    """parallel() in full: sizes and hashes are those of runs()."""
+    more = runs(spark, sf, True).select("dataset", "file_size_bytes", "dna_hash_payload", F.lit(1.0).alias("encoding_rate_bits_per_nt"))
+    return parallel(spark, sf).join(more, "dataset")
+
+
+def timed_documents(spark, sf: str) -> DataFrame:
+    """What the rows of a timed run say of each document but for times and memory; names are keys."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("dataset"), F.coalesce("source", F.lit("")).alias("file_name"), "text")
+    found = timed.encode_run(lambda: encode.encode(docs, ["dataset", "file_name"]), 1)
+    return found.select("dataset", "file_name", "file_size_bytes", "runs", "segments", "seq_count", "rll_max", "rll_violations", "end_violations", r6(F.col("gc_mean")).alias("gc_mean"), (F.col("total_ms") > 0).alias("timed"))
+
+
+METRICS = "dataset STRING, total_ms DOUBLE, huffman_ms DOUBLE, file_size_bytes BIGINT, dna_hash_payload STRING"
+
+
 def computed(spark, sf: str) -> DataFrame:
     """pairs() with the time that isn't transfer."""
     return pairs(spark, sf).withColumns({f"compute_ms_{x}": F.col(f"lsbm_ms_{x}") + F.col(f"encode_ms_{x}") for x in ("seq", "cuda")})
@@ -109,7 +197,7 @@ def queries() -> dict:
     q["block_constraints"] = lambda s, d: encode.constraints(tiles(s, d)).select("doc_id", "block_id", "gc", "rll", "endgc")
     q["block_summary"] = lambda s, d: encode.block_summary(encode.constraints(tiles(s, d)), KEY).select("doc_id", r6(F.col("gc_mean")).alias("gc_mean"), r6(F.col("gc_var")).alias("gc_var"), "rll_max", "rll_violations", "end_violations", "storage_seq_count", "nt")
     q["fingerprint_plain"] = lambda s, d: table(s, d, "customer").select("c_custkey", dna.fingerprint(F.col("c_name")).alias("h"))
-    q["run_timing_stats"] = lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), r6(F.avg("value")).alias("mean_ms"), r6(F.stddev_pop("value")).alias("std_ms"))
+    q["run_timing_stats"] = lambda s, d: compare.timings(table(s, d, "events"), "event_type", "value").select("event_type", "runs", r6(F.col("mean_ms")).alias("mean_ms"), r6(F.col("std_ms")).alias("std_ms"))
     q["compare_runs"] = pairs
     q["compare_runs_two_keys"] = lambda s, d: compare.joined(*[table(s, d, "lineitem").where(F.col("l_returnflag") == f).groupBy("l_suppkey", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("q")) for f in "RN"], ["l_suppkey", "l_linestatus"], ("_r", "_n"))
     q["speedup_ratios"] = lambda s, d: compare.speedups(computed(s, d), FASTER).select("dataset", *[r6(F.col(c)).alias(c) for c in FASTER])
@@ -118,20 +206,32 @@ def queries() -> dict:
     q["mismatches"] = lambda s, d: compare.mismatches(compare.match_summary(pairs(s, d), "dna_hash_payload_seq", "dna_hash_payload_cuda"))
     q["speedup_summary"] = lambda s, d: compare.speedups(computed(s, d), FASTER).agg(*[r6(F.avg(c)).alias(c) for c in FASTER], F.count_if(compare.parity("dna_hash_payload_seq", "dna_hash_payload_cuda")).alias("matches"))
     q["rounded_summary"] = lambda s, d: pairs(s, d).select("dataset", F.round(F.col("file_size_bytes_seq") / 1024, 1).alias("kb"), F.round("total_ms_seq", 1).alias("seq"), F.format_string("%.2f", "lsbm_ms_cuda").alias("lsbm"))
-    q["phase_breakdown"] = lambda s, d: compare.phases(runs(s, d, False), ["dataset"])
-    q["phase_sum"] = lambda s, d: runs(s, d, False).select("dataset", F.round(sum((F.col(c) for c in compare.PHASES[1:]), F.col(compare.PHASES[0])), 3).alias("phase_sum_ms"))
-    q["phase_means"] = lambda s, d: table(s, d, "lineitem").groupBy("l_shipdate").agg(*[r6(F.avg(c)).alias(c) for c in ("l_quantity", "l_tax", "l_discount")]).orderBy("l_shipdate")
+    q["phase_breakdown"] = lambda s, d: compare.phases(parallel(s, d), ["dataset"], compare.PARALLEL_PHASES)
+    q["phase_sum"] = lambda s, d: parallel(s, d).select("dataset", F.round(compare.total(compare.PARALLEL_PHASES), 3).alias("phase_sum_ms"))
+    q["phase_means"] = lambda s, d: compare.means(table(s, d, "lineitem"), "l_shipdate", ("l_quantity", "l_tax", "l_discount")).select("l_shipdate", *[r6(F.col(c)).alias(c) for c in ("l_quantity", "l_tax", "l_discount")])
     q["bottleneck_phase"] = lambda s, d: compare.bottleneck(runs(s, d, True), ["dataset"]).withColumn("share", r6(F.col("share")))
-    q["common_datasets"] = lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("k")).intersect(table(s, d, "customer").select(F.col("c_custkey").alias("k"))).orderBy("k")
+    q["common_datasets"] = lambda s, d: compare.in_both(table(s, d, "orders").select(F.col("o_custkey").alias("k")), table(s, d, "customer").select(F.col("c_custkey").alias("k")))
     q["tagged_union"] = lambda s, d: compare.tagged({"SEQ": runs(s, d, False), "CUDA": runs(s, d, True).drop("huffman_ms")})
     q["lenient_cast"] = lambda s, d: compare.lenient(table(s, d, "customer").select("c_custkey", F.replace("c_name", F.lit("Customer#0000000"), F.lit("")).alias("x")), ["x"])
     q["label_map"] = lambda s, d: compare.labelled(table(s, d, "events").select("event_id", "event_type"), "event_type", LABELS)
     q["label_last"] = lambda s, d: compare.last_labelled(table(s, d, "events").select("event_id", "event_type", "ts", "user_id"), "event_type", LABELS, ["ts", "event_id"])
-    q["dim_lookup_join"] = lambda s, d: table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "l_quantity")
-    q["grouped_transfer"] = lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("bytes"), F.round(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))), 2).alias("open_bytes"))
+    q["dim_lookup_join"] = lambda s, d: compare.looked_up(table(s, d, "lineitem"), table(s, d, "part"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "p_name", "l_quantity")
+    q["grouped_transfer"] = lambda s, d: compare.sums(table(s, d, "lineitem"), "l_returnflag", {"bytes": ("l_quantity", None), "open_bytes": ("l_quantity", F.col("l_linestatus") == "O")}).select("l_returnflag", *[F.round(c, 2).alias(c) for c in ("bytes", "open_bytes")])
     q["transfer_bandwidth"] = lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", r6(compare.bandwidth(F.col("l_extendedprice") * 1e6, F.col("l_tax") * 1000)).alias("gbs"))
     q["row_wise_least"] = lambda s, d: table(s, d, "part").select("p_partkey", r6(compare.occupancy(F.col("p_size"), (F.col("p_retailprice") * 10).cast("bigint"), F.col("p_size") * 8)).alias("occupancy"))
-    q["first_row"] = lambda s, d: table(s, d, "supplier").orderBy("s_suppkey").limit(1)
+    q["first_row"] = lambda s, d: compare.first(table(s, d, "supplier"), "s_suppkey")
+    q["payload_files"] = payload_files
+    q["file_ranges"] = file_ranges
+    q["basename"] = lambda s, d: table(s, d, "pages").select("page_id", files.basename(F.col("url")).alias("name"))
+    q["metrics_by_name"] = metrics_by_name
+    q["metrics_appended"] = metrics_appended
+    q["latest_run"] = lambda s, d: files.latest(table(s, d, "events").select("event_type", "ts", "event_id", "user_id"), "event_type", "ts")
+    q["missing_columns"] = lambda s, d: compare.older(runs(s, d, True).withColumnRenamed("huffman_ms", "encoding_rate_bits_per_nt").drop("dna_hash_payload"), True)
+    q["published_frames"] = published
+    q["phase_pivot"] = phase_pivot
+    q["menu_selection"] = menu_selection
+    q["compare_summary"] = lambda s, d: compare.summary(compare.compare(sequential(s, d), parallel_runs(s, d))).select("datasets", "matches", *[r6(F.col(c)).alias(c) for c in FASTER])
+    q["timed_documents"] = timed_documents
     return q
 
 
@@ -181,6 +281,12 @@ def runs_sql(returned: bool) -> str:
 count(*) * 1024 AS file_size_bytes, sha256(max(l_linenumber)::VARCHAR) AS dna_hash_payload FROM lineitem WHERE {'' if returned else 'NOT '}(l_returnflag = 'R') GROUP BY l_suppkey"""
 
 
+def parallel_sql(*by: str) -> str:
+    names = [*(f"l_linenumber = {k + 1}" for k in range(7)), "l_returnflag = 'R'"]
+    sums = ", ".join(f"coalesce(sum(l_quantity) FILTER (WHERE {x}), 0) AS {c}" for c, x in zip(compare.PARALLEL_PHASES, names, strict=True))
+    return f"SELECT 's' || l_suppkey AS dataset, {sums}, round(sum(l_extendedprice), 2) AS total_ms FROM lineitem GROUP BY {', '.join(['l_suppkey', *by])}"
+
+
 _RUN = ("total_ms", "lsbm_ms", "huffman_ms", "encode_ms", "file_size_bytes", "dna_hash_payload")
 PAIRS = f"a AS ({runs_sql(False)}), b AS ({runs_sql(True)}), p AS (SELECT dataset, {', '.join(f'a.{c} AS {c}_seq, b.{c} AS {c}_cuda' for c in _RUN)} FROM a JOIN b USING (dataset))"
 
@@ -227,8 +333,24 @@ count(*) FILTER (WHERE endgc > 3) AS end_violations, count(*) AS storage_seq_cou
     o["match_summary"] = f"{match} SELECT * FROM t"
     o["mismatches"] = f"{match} SELECT count(*) AS datasets, count(*) FILTER (WHERE NOT match) AS mismatches FROM t"
     o["rounded_summary"] = f"WITH {PAIRS} SELECT dataset, round(file_size_bytes_seq / 1024, 1) AS kb, round(total_ms_seq, 1) AS seq, printf('%.2f', lsbm_ms_cuda) AS lsbm FROM p"
-    o["phase_breakdown"] = f"WITH a AS ({runs_sql(False)}) SELECT dataset, phase, ms FROM (SELECT dataset, lsbm_ms, huffman_ms, encode_ms FROM a) UNPIVOT (ms FOR phase IN (lsbm_ms, huffman_ms, encode_ms))"
-    o["phase_sum"] = f"WITH a AS ({runs_sql(False)}) SELECT dataset, round(lsbm_ms + huffman_ms + encode_ms, 3) AS phase_sum_ms FROM a"
+    o["phase_breakdown"] = f"WITH a AS ({parallel_sql()}) SELECT dataset, phase, ms FROM (SELECT * EXCLUDE (total_ms) FROM a) UNPIVOT (ms FOR phase IN ({', '.join(compare.PARALLEL_PHASES)}))"
+    o["phase_sum"] = f"WITH a AS ({parallel_sql()}) SELECT dataset, round({' + '.join(compare.PARALLEL_PHASES)}, 3) AS phase_sum_ms FROM a"
+    o["payload_files"] = "SELECT doc_id, octet_length(encode(coalesce(text, '') || chr(10)))::BIGINT AS file_size_bytes, sha256(coalesce(text, '') || chr(10)) AS sha FROM documents"
+    o["file_ranges"] = "SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, sum(len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS n_breaks FROM documents GROUP BY source"
+    o["basename"] = r"SELECT page_id, list_last(string_split(replace(url, '\\', '/'), '/')) AS name FROM pages"
+    older = f"SELECT dataset, total_ms, {{}} AS huffman_ms, file_size_bytes, dna_hash_payload FROM ({runs_sql(False)}) UNION ALL SELECT dataset, total_ms, huffman_ms, file_size_bytes, dna_hash_payload FROM ({runs_sql(True)})"
+    o["metrics_by_name"] = older.format("total_ms / 2")
+    o["metrics_appended"] = older.format("NULL::DOUBLE")
+    o["latest_run"] = "SELECT event_type, ts, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC, user_id DESC) AS k FROM events) WHERE k = 1"
+    o["missing_columns"] = f"SELECT * EXCLUDE (huffman_ms, dna_hash_payload), huffman_ms AS encoding_rate_bits_per_nt, total_ms AS phase_sum_ms, huffman_ms AS gross_rate_bits_per_nt, '' AS dna_hash_payload FROM ({runs_sql(True)})"
+    o["published_frames"] = f"SELECT *, 'Sequential' AS sheet FROM ({runs_sql(False)}) UNION ALL BY NAME SELECT *, 'Parallel' AS sheet FROM ({runs_sql(True)})"
+    means = ", ".join(f"round(avg({c}), 6) AS {c}" for c in compare.PARALLEL_PHASES)
+    o["phase_pivot"] = f"WITH a AS ({parallel_sql('l_linestatus')}), k AS (SELECT 's' || s_suppkey AS dataset FROM supplier UNION SELECT 'n' || n_nationkey FROM nation) SELECT dataset, {means} FROM k LEFT JOIN a USING (dataset) GROUP BY dataset"
+    menu = "CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'A' ELSE c_custkey || ', ' || c_nationkey || ', ' || c_mktsegment || ', ' || c_nationkey % 5 END"
+    o["menu_selection"] = f"SELECT c_custkey, menu, n::INT AS choice FROM (SELECT c_custkey, {menu} AS menu FROM customer), range(1, 5) r(n) WHERE menu = 'A' OR list_contains(string_split(menu, ', '), n::VARCHAR)"
+    o["compare_summary"] = f"""WITH a AS ({runs_sql(False)}), b AS ({parallel_sql()}), h AS ({runs_sql(True)}), p AS (SELECT a.total_ms AS t, b.total_ms AS u, a.lsbm_ms AS l, lsbm_kernel_ms AS m, a.encode_ms AS e, encode_kernel_ms AS f,
+a.lsbm_ms + a.huffman_ms + a.encode_ms AS c, {' + '.join(compare.COMPUTING)} AS d, a.dna_hash_payload = h.dna_hash_payload AS same FROM a JOIN b USING (dataset) JOIN h USING (dataset))
+SELECT count(*) AS datasets, count(*) FILTER (WHERE same) AS matches, {', '.join(f"round(avg(CASE WHEN {y} > 0 THEN {x} / {y} ELSE 0 END), 6) AS {n}" for n, x, y in zip(FASTER, 'tlec', 'umfd'))} FROM p"""
     o["phase_means"] = "SELECT l_shipdate, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_tax), 6) AS l_tax, round(avg(l_discount), 6) AS l_discount FROM lineitem GROUP BY l_shipdate"
     o["bottleneck_phase"] = f"WITH a AS ({runs_sql(True)}), u AS (SELECT dataset, phase, ms FROM (SELECT dataset, lsbm_ms, huffman_ms, encode_ms FROM a) UNPIVOT (ms FOR phase IN (lsbm_ms, huffman_ms, encode_ms))) SELECT dataset, phase, ms, round(ms / total, 6) AS share FROM (SELECT *, sum(ms) OVER (PARTITION BY dataset) AS total, row_number() OVER (PARTITION BY dataset ORDER BY ms DESC, phase) AS k FROM u) WHERE k = 1"
     o["common_datasets"] = "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer"

@@ -72,6 +72,9 @@ def oracle_sql(reps: str, count_sql, digits_sql) -> dict[str, str]:
     o["dna_fingerprint"] = f"""{start}{payload_sql(reps, count_sql, 'doc_id')},
 y AS (SELECT doc_id, string_agg('{PRIMER_LEFT}' || {digits_sql('block_id::BIGINT')} || rpad(block, {PAYLOAD_NT}, 'A') || '{PRIMER_RIGHT}', '' ORDER BY block_id) AS strands FROM b GROUP BY doc_id)
 SELECT doc_id, {fold_sql('dna')} AS dna_hash_payload, {fold_sql('strands')} AS dna_hash_storage FROM n JOIN y USING (doc_id)"""
+    o["timed_documents"] = f"""{start}{payload_sql(reps, count_sql, 'doc_id')}, {CHECKED},
+y AS (SELECT doc_id, round(avg(gc / 120.0::DOUBLE), 6) AS gc_mean, max(rll)::INT AS rll_max, (count(*) FILTER (WHERE rll > 2))::INT AS rll_violations, (count(*) FILTER (WHERE endgc > 3))::INT AS end_violations, count(*)::INT AS seq_count FROM x GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS dataset, coalesce(source, '') AS file_name, n_bytes AS file_size_bytes, 1::INT AS runs, segments::INT AS segments, seq_count, rll_max, rll_violations, end_violations, gc_mean, true AS timed FROM n JOIN y USING (doc_id) JOIN documents USING (doc_id)"""
     o["encode_metrics"] = f"""{start}{payload_sql(reps, count_sql, 'doc_id')}, {CHECKED},
 y AS (SELECT doc_id, avg(gc / 120.0::DOUBLE) AS gc_mean, var_pop(gc / 120.0::DOUBLE) AS gc_var, max(rll)::BIGINT AS rll_max, count(*) FILTER (WHERE rll > 2) AS rll_violations, count(*) FILTER (WHERE endgc > 3) AS end_violations, count(*) AS strands FROM x GROUP BY doc_id),
 q AS (SELECT doc_id, avg(CASE WHEN len(s) < 4 THEN 0 ELSE greatest(lp, ls) END) AS best FROM r GROUP BY doc_id)

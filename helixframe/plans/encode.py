@@ -140,19 +140,20 @@ class Encoding:
         return self._frequencies[0].drop("_row")
 
     @cached_property
-    def _books(self) -> DataFrame:
+    def books(self) -> DataFrame:
+        """(_row and keys, or by; keys, codes): what codebook shows."""
         freq, together = self._frequencies
         return self._cut(codebook.codebooks((segments.kept_in_place if together else segments.kept)(freq, self.by), self.by))
 
     @property
     def codebook(self) -> DataFrame:
         """(keys or by, keys, codes)"""
-        return self._books.drop("_row")
+        return self.books.drop("_row")
 
     @cached_property
     def _coder(self) -> DataFrame:
         on = ["_row"] if self.scope == "doc" else self.by
-        return codebook.encoded(self.held, self._books.select(*on, "keys", "codes"), on, "bytes")
+        return codebook.encoded(self.held, self.books.select(*on, "keys", "codes"), on, "bytes")
 
     @cached_property
     def done(self) -> DataFrame:
@@ -186,7 +187,15 @@ class Encoding:
     def fingerprints(self) -> DataFrame:
         """(keys, dna_hash_payload, dna_hash_storage): of the nucleotides and of all strands in order. Payloads of several chunks are
         worked on in parts, by as many tasks as there are, and none is put together."""
-        short = fingerprints(self.done.where("chunks = 1"), self.keys)
+        return self._fingerprints().drop("_row")
+
+    @property
+    def summary(self) -> DataFrame:
+        """metrics and fingerprints, side by side."""
+        return self._metrics().join(self._fingerprints().drop(*self.keys), "_row").drop("_row")
+
+    def _fingerprints(self) -> DataFrame:
+        short = fingerprints(self.done.where("chunks = 1"), ["_row", *self.keys])
         long = self.done.where("chunks > 1")
         row = ["_row", *self.keys]
         strands = chunk_blocks(long, self.keys).select(*row, F.floor(F.col("block_id") / PART_BLOCKS).alias("part"), F.struct("block_id", strand(F.col("block_id"), F.col("block")).alias("s")).alias("s"))
@@ -209,6 +218,9 @@ class Encoding:
     @property
     def metrics(self) -> DataFrame:
         """A row for each payload."""
+        return self._metrics().drop("_row")
+
+    def _metrics(self) -> DataFrame:
         done, marked = self.done, self.marked
         # Counts of both tables in one shuffle, by the same column as the blocks' own.
         counts = done.select("_row", *self.keys, "n_bytes", "segments", F.lit(0).cast("bigint").alias("best_sum")).union(marked.select("_row", *self.keys, F.lit(0), F.lit(0), "best_sum"))
@@ -217,7 +229,7 @@ class Encoding:
         return (
             sizes.join(block_summary(constraints(chunk_blocks(done, [])), ["_row"]), "_row")
             .withColumns({"avg_best_lsbm_len": F.col("best_sum") / F.col("segments"), "n_bits": bits, "encoding_rate_bits_per_nt": bits / F.greatest(F.lit(1), F.col("nt")), "gross_rate_bits_per_nt": bits / (F.col("storage_seq_count") * STRAND_NT)})
-            .drop("_row", "best_sum")
+            .drop("best_sum")
         )
 
 

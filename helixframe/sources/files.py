@@ -60,7 +60,7 @@ def read_metrics(spark: SparkSession, path: str, schema: str | T.StructType, def
     for header, paths in headers(spark, path):
         names = next(csv.reader([header]))
         own = T.StructType([T.StructField(c if names.index(c) == k else f"_{k}_{c}", kinds.get(c, T.StringType())) for k, c in enumerate(names)])
-        rows = spark.read.schema(own).option("header", True).csv(paths)
+        rows = spark.read.schema(own).option("header", True).option("escape", '"').csv(paths)
         rows = rows.select(*[c for c in dict.fromkeys(names) if c in kinds])
         given = {c: v.cast(kinds[c]) for c, v in (defaults or {}).items() if c in kinds and c not in rows.columns}
         rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns and c not in given}).withColumns(given).select(*kinds)
@@ -79,7 +79,7 @@ def headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Appends to a folder of CSV files, each with its header."""
-    metrics.write.mode("append").option("header", True).csv(path)
+    metrics.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
 def latest(metrics: DataFrame, key: str, *order: str) -> DataFrame:

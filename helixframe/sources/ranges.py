@@ -35,15 +35,15 @@ def patterns(glob: str) -> list[str]:
     return [head + x + tail for x in inside.split(",")]
 
 
-def listed(path: str, glob: str) -> list[tuple[str, int]]:
-    """Files of a folder (or the one file that path names) that fit the glob, by name: path and size."""
+def listed(path: str, glob: str, recursive: bool = False) -> list[tuple[str, int]]:
+    """Files of a folder, and of those below it if asked (or the one file that path names), that fit the glob, by name: path and size."""
     from pyarrow import fs
 
     system, own = file_system(path)
     found = system.get_file_info(own)
     if found.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    files = [found] if found.is_file else [x for x in system.get_file_info(fs.FileSelector(own)) if x.is_file and any(fnmatchcase(x.base_name, p) for p in patterns(glob))]
+    files = [found] if found.is_file else [x for x in system.get_file_info(fs.FileSelector(own, recursive=recursive)) if x.is_file and any(fnmatchcase(x.base_name, p) for p in patterns(glob))]
     return sorted((x.path, x.size) for x in files)
 
 
@@ -72,11 +72,12 @@ class FileChunks(DataSource):
 class FileChunksReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.glob = options["path"], options.get("glob", FILES)
+        self.recursive = options.get("recursive", "false").lower() == "true"
         self.chunk, self.range = int(options["chunk_bytes"]), int(options.get("range_chunks", RANGE_CHUNKS))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for number, (path, size) in enumerate(listed(self.folder, self.glob)):
+        for number, (path, size) in enumerate(listed(self.folder, self.glob, self.recursive)):
             chunks = -(-size // self.chunk)
             out += [Range(number, path, size, k, min(chunks, k + self.range)) for k in range(0, chunks, self.range)]
         return out or [Range(0, "", 0, 0, 0)]
@@ -125,7 +126,7 @@ def file_listing(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame
     return spark.read.format(FileListing.name()).option("path", path).option("glob", glob).load()
 
 
-def file_chunks(spark: SparkSession, path: str, glob: str = FILES, chunk_bytes: int = 64_000, range_chunks: int = RANGE_CHUNKS) -> DataFrame:
+def file_chunks(spark: SparkSession, path: str, glob: str = FILES, chunk_bytes: int = 64_000, range_chunks: int = RANGE_CHUNKS, recursive: bool = False) -> DataFrame:
     """The rows of FileChunks for a folder or a file. The file system is found by the path's scheme (none: local)."""
     spark.dataSource.register(FileChunks)
-    return spark.read.format(FileChunks.name()).option("path", path).option("glob", glob).option("chunk_bytes", chunk_bytes).option("range_chunks", range_chunks).load()
+    return spark.read.format(FileChunks.name()).option("path", path).option("glob", glob).option("chunk_bytes", chunk_bytes).option("range_chunks", range_chunks).option("recursive", recursive).load()

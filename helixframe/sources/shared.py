@@ -18,6 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/cut-{uuid.uuid4().hex}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """An empty folder in the shared folder, for files of other kinds than cut()'s; it goes when the session ends."""
+    path = shared_folder(spark)
+    system, folder = _hadoop(spark, path)
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return path
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The file system of a path and the path: Spark's readers and writers know no deleting."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
