@@ -9,8 +9,8 @@ from helixframe.functions.kernels import encode_bytes
 
 
 def encode_stream(payloads: DataFrame, keys: list[str], codes: list[str], payload: str = "payload") -> DataFrame:
-    """payloads (a stream or a table) with dna. keys and codes: one code table, 512 rows at most."""
-    if len(keys) > 512:
-        raise ValueError("a frozen table has 512 keys at most")
-    book = [F.array(*map(F.lit, x)).cast("array<string>") for x in (keys, codes)]
-    return payloads.where(F.length(payload) > 0).withColumn("dna", F.array_join(encode_bytes(F.col(payload), *book), ""))
+    """payloads (a stream or a table) with dna; null and empty ones are left out. keys and codes: one code table of any number of keys,
+    which goes out as one broadcast row."""
+    book = payloads.sparkSession.createDataFrame([(list(keys), list(codes))], "_keys array<string>, _codes array<string>")
+    joined = payloads.where(F.length(payload) > 0).crossJoin(F.broadcast(book))
+    return joined.withColumn("dna", F.array_join(encode_bytes(F.col(payload), F.col("_keys"), F.col("_codes")), "")).drop("_keys", "_codes")

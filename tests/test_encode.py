@@ -144,6 +144,55 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert {r["k"]: r["dna"] for r in spark.table("dna").collect()} == {r["k"]: r["dna"] for r in batch.collect()}
 
 
+def test_a_stream_with_a_table_of_many_keys(spark, tmp_path):
+    """More than 512 keys, as an encoding keeps them where none is deep."""
+    from helixframe.streaming.encode import encode_stream
+
+    rng = random.Random(4)
+    keys = sorted({f"{rng.getrandbits(11):011b}" for _ in range(900)}, key=lambda x: (-len(x), x))
+    codes = [f"G{''.join(rng.choices('AT', k=10))}" for _ in keys]
+    assert len(keys) > 512
+    payloads = [rng.randbytes(n) for n in (1, 60, 125, 126, 400)]
+    frame(spark, [*payloads, b"", None]).write.parquet(str(tmp_path / "in"))
+    stream = encode_stream(spark.readStream.schema("k long, payload binary").parquet(str(tmp_path / "in")), keys, codes)
+    q = stream.writeStream.format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    book = dict(zip(keys, codes, strict=True))
+    assert {r["k"]: r["dna"] for r in spark.table("many").collect()} == {k: model.encode(model.segments(x), book) for k, x in enumerate(payloads)}
+
+
+def test_edges_of_the_code_table(spark):
+    """More than 512 keys that are all short: the cap is undone; frequencies so skewed that codes are long."""
+    rng = random.Random(9)
+    units, found = [], set()
+    while len(found) <= 520:
+        unit = rng.randbytes(125)  # two segments
+        best = [(s, model.longest(s, True), model.longest(s, False)) for s in model.segments(unit)]
+        if all(max(p, q) < 19 for _, p, q in best):
+            units.append(unit)
+            found |= {s[:p] for s, p, _ in best} | {s[len(s) - q :] for s, _, q in best}
+    raw = b"".join(units)
+    kept = model.table(model.segments(raw))
+    assert len(kept) > 512 and max(len(k) for k, _ in kept) < 19
+    done = encode.encode(frame(spark, [raw]), ["k"], "payload")
+    assert done.payload.first()["dna"] == model.encode(model.segments(raw), model.codes(kept))
+    freqs = [1, 1]
+    while len(freqs) < 30:
+        freqs.append(freqs[-1] + freqs[-2])
+    codes = codebook.tree_codes(freqs)
+    assert max(map(len, codes)) == 29 > 12 and len(set(codes)) == 30 and not any(a != b and b.startswith(a) for a in codes for b in codes)
+
+
+def test_more_blocks_than_addresses(spark):
+    """Addresses begin anew after 4 ** 9 blocks, in strands as in the function."""
+    from pyspark.sql import functions as F
+
+    blocks = spark.range(262140, 262150).select(F.col("id").cast("int").alias("block_id"), F.lit("GAT").alias("block"))
+    got = {r["block_id"]: r["s"][20:29] for r in blocks.select("block_id", dna.strand(F.col("block_id"), F.col("block")).alias("s")).collect()}
+    digits = lambda n: "".join("ACGT"[n >> 2 * k & 3] for k in range(8, -1, -1))
+    assert got == {n: digits(n % 4**9) for n in range(262140, 262150)} and got[262144] == "AAAAAAAAA"
+
+
 def test_files_and_metrics(spark, tmp_path):
     from helixframe.sources import files
 
