@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from helixframe.constants import MAX_END_GC, MAX_RUN, PAYLOAD_NT, SEGMENT_BITS,
 from helixframe.functions import folds, kernels
 from helixframe.functions.dna import fingerprint, strand
 from helixframe.operators import codebook, segments
-from helixframe.sources.ranges import FILE_KEYS, FILES, file_chunks, listed
+from helixframe.sources.ranges import FILE_KEYS, FILES, file_chunks
 from helixframe.sources.shared import cut, forget
 
 #: Segments, and so bytes, of a chunk: what one row holds of a payload. An even number of segments ends with a byte.
@@ -20,8 +19,6 @@ CHUNK_SEGMENTS = 1024
 CHUNK_BYTES = CHUNK_SEGMENTS * SEGMENT_BITS // 8
 #: Blocks whose strands are fingerprinted as one part of a payload of several chunks; tables of parts that are joined at once.
 PART_BLOCKS, PARTS = 2048, 256
-#: Inputs of fewer bytes are held by Spark's cache instead of written tables: a dozen small files would cost more than they save.
-SMALL_BYTES = 8 << 20
 #: Payloads of more chunks are ranked by a rank filter before the shuffle, not each by one task.
 LONG_CHUNKS = 64
 
@@ -92,25 +89,20 @@ class Encoding:
     """The frames of an encoding, each made when it is first asked for. What several start from is written once: chunks,
     their repeats, code tables and nucleotides."""
 
-    def __init__(self, chunks: DataFrame, keys: list[str], scope: str, by: list[str], small: bool = False):
-        """chunks: _row, keys, by, chunk, chunks, bytes. small: what is made from these is cached, not written; where an executor
-        is lost Spark makes its part anew."""
-        self.small, self.tasks = small, chunks.sparkSession.sparkContext.defaultParallelism
+    def __init__(self, chunks: DataFrame, keys: list[str], scope: str, by: list[str]):
+        """chunks: _row, keys, by, chunk, chunks, bytes."""
         self.keys, self.scope, self.have = keys, scope, list(dict.fromkeys([*keys, *by]))
         self.by = ["_row", *keys] if scope == "doc" else by
         self._written: list[DataFrame] = []
         self._chunks = chunks
 
-    def _cut(self, table: DataFrame, small: bool | None = None) -> DataFrame:
-        small = self.small if small is None else small
-        self._written.append(table.coalesce(self.tasks).persist(StorageLevel.MEMORY_AND_DISK) if small else cut(table))
+    def _cut(self, table: DataFrame) -> DataFrame:
+        self._written.append(cut(table))
         return self._written[-1]
 
     def close(self) -> None:
         """Deletes what was written; to be called when nothing that was made from the frames is read any more."""
-        for t in self._written:
-            forget(t)
-            t.unpersist()
+        forget(*self._written)
         self._written.clear()
 
     def __enter__(self) -> Encoding:
@@ -119,19 +111,18 @@ class Encoding:
     def __exit__(self, *_) -> None:
         self.close()
 
-    @cached_property
-    def held(self) -> DataFrame:
-        return self._cut(self._chunks, False)  # always written: the numbers of payloads must not change
-
     @cached_property
     def segments(self) -> DataFrame:
         """(keys, by, seg_id, s, lp, ls)"""
-        inside = segments.repeats(segments.segments(self.held, ["_row", *self.have, "chunk"], "bytes"))
+        inside = segments.repeats(segments.segments(self.marked, ["_row", *self.have, "chunk"], "bytes"))
         return inside.select(*self.have, _number("seg_id"), "s", "lp", "ls")
 
     @cached_property
     def marked(self) -> DataFrame:
-        return self._cut(self.held.select("_row", *self.have, "chunks", kernels.chunk_repeats("bytes").alias("r")).select("_row", *self.have, "chunks", "r.*"))
+        """(_row, keys, by, chunk, chunks, bytes, best_sum, pairs): chunks, and the repeats in each. Written once: all else reads it, and
+        numbers of payloads don't change."""
+        own = ["_row", *self.have, "chunk", "chunks", "bytes"]
+        return self._cut(self._chunks.select(*own, kernels.chunk_repeats("bytes").alias("r")).select(*own, "r.*"))
 
     @cached_property
     def _frequencies(self) -> tuple[DataFrame, bool]:
@@ -151,7 +142,9 @@ class Encoding:
     def books(self) -> DataFrame:
         """(_row and keys, or by; keys, codes): what codebook shows."""
         freq, together = self._frequencies
-        return self._cut(codebook.codebooks((segments.kept_in_place if together else segments.kept)(freq, self.by), self.by))
+        if together:  # made from one shuffle: where they are read they are made in passing
+            return codebook.codebooks(segments.kept_in_place(freq, self.by), self.by)
+        return self._cut(codebook.codebooks(segments.kept(freq, self.by), self.by))
 
     @property
     def codebook(self) -> DataFrame:
@@ -161,7 +154,7 @@ class Encoding:
     @cached_property
     def _coder(self) -> DataFrame:
         on = ["_row"] if self.scope == "doc" else self.by
-        return codebook.encoded(self.held, self.books.select(*on, "keys", "codes"), on, "bytes")
+        return codebook.encoded(self.marked.drop("best_sum", "pairs"), self.books.select(*on, "keys", "codes"), on, "bytes")
 
     @cached_property
     def done(self) -> DataFrame:
@@ -253,16 +246,13 @@ def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str =
     tasks as there are; only the frame payload puts one together, so that its nucleotides must fit in one text there (2 ** 31,
     of 256 MB of payload or more)."""
     have = list(dict.fromkeys([*keys, *(by or [])]))
-    payloads = payload_of(docs, have, column)
-    small = (payloads.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) < SMALL_BYTES
-    return Encoding(chunked(payloads, have), keys, scope, list(by or []), small)
+    return Encoding(chunked(payload_of(docs, have, column), have), keys, scope, list(by or []))
 
 
 def encode_files(spark: SparkSession, path: str, glob: str = FILES, scope: str = "doc", by: list[str] | None = None) -> Encoding:
     """Encodes the files of a folder, each a payload, by their ranges: no row holds a file, however large. Keys are path, dataset,
     file_name and file_size_bytes; `by` names some of these."""
-    small = sum(size for _, size in listed(path, glob)) < SMALL_BYTES
-    return Encoding(file_chunks(spark, path, glob, CHUNK_BYTES), list(FILE_KEYS), scope, list(by or []), small)
+    return Encoding(file_chunks(spark, path, glob, CHUNK_BYTES), list(FILE_KEYS), scope, list(by or []))
 
 
 def fingerprints(payload: DataFrame, keys: list[str]) -> DataFrame:
