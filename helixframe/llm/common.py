@@ -60,7 +60,8 @@ def hashes(column):
 
 def document_key(doc_id, text):
     """(none, doc, mark), none of them null: a document is named by its doc_id and a hash of its text, without an id by two
-    hashes. Rows that repeat both are one document; in order of these keys null ids come last."""
+    hashes. Rows that repeat both are one document; in order of these keys null ids come last. doc_id is a number, or text that
+    spells one: ids of other kinds are to be hashed before."""
     one, two = hashes(text)
     return doc_id.isNull(), F.coalesce(doc_id.cast("long"), two), one
 

@@ -6,7 +6,8 @@ FM-index is built (fmindex.py), every benchmark window whose words the shard has
 wavelet-tree ranks, occurrences are located by sampled suffix positions, and hit words are merged into removal spans.
 Training texts are not shuffled. The benchmark is cut into blocks of bounded size by Spark, each packed by a task and
 written to the shared folder; the driver and the workers hold one block at a time. A benchmark of one block (16 MB of
-text) takes one pass over the texts, a larger one a pass for each block.
+text) takes one pass over the texts. A larger one takes a pass for each block, which writes what it has found, not the
+texts: those are written once, and changed ones once a round when texts are cleaned.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import Vocabulary, Words, cut, forget, map_batches, pieces, without, words_of
+from helixframe.llm.common import Vocabulary, Words, cut, few, forget, map_batches, pieces, runs, without, words_of
 from helixframe.llm.fmindex import FMIndex
 
 #: Words in a window; benchmark text in a block, about.
@@ -161,64 +162,160 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     n_chars, if there, is the new length; the result then has the columns of docs alone. A null text has no words and stays null. An item without words has no
     window; one without an item_id hits words but is named nowhere. Rows that repeat, and doc_ids that do, are each
     judged by their own text. Without items nothing is hit. Other columns pass through; unless texts are cleaned, those that
-    have one of the four new names are replaced.
+    have one of the four new names are replaced. Texts of any length are searched whole, one longer than a shard as a shard of its own.
+    No documents give no rows.
     """
     sc = docs.sparkSession.sparkContext
     docs = docs if clean else without(docs, *NEW.names)
     blocks = blocks_of(benchmark, window, block_bytes)
     numbers = sorted(r["block"] for r in blocks.select("block").collect()) or [None]  # one for each block_bytes of benchmark
-    made = None
+    if len(numbers) > 1:
+        return clean_by_blocks(docs, blocks, numbers, window) if clean else find_by_blocks(docs, blocks, numbers, window)
+    return one_pass(docs, sc.broadcast(packed(blocks, numbers[0], window)), clean)
+
+
+def packed(blocks: DataFrame, number: int | None, window: int) -> bytes:
+    """One block, as it is sent to tasks; without a number one that has no items."""
+    rows = blocks.where(F.col("block") == number).select("data").collect() if number is not None else []  # one block
+    return bytes(rows[0]["data"]) if rows else pickle.dumps(block_of([], [], window), 5)
+
+
+#: A document that was hit, by its row's number: its spans (words, end exclusive), and items.
+ROW = "_helix_row"
+HITS = T.StructType([T.StructField(ROW, T.LongType()), T.StructField("_helix_pairs", T.ArrayType(T.LongType())), T.StructField("_helix_names", T.ArrayType(T.StringType()))])
+
+
+def hits_of(texts: DataFrame, sent) -> DataFrame:
+    """HITS of texts (ROW, text) for one block: only of those that have any, and no text."""
+
+    def scan(batches):
+        block = pickle.loads(sent.value)
+        for batch in batches:
+            for part, data, at in pieces(batch, limit=SHARD_BYTES):
+                words = Words(data, at)
+                marks, rows, found = search_block(words, block)
+                hit = np.concatenate(([False], np.cumsum(marks[:-1]) > 0, [False]))
+                # Runs of hit words, a row's end ending one, as words of the row.
+                starts, ends = runs(hit[1:-1], words.first)
+                row = words.row[starts]
+                some = np.unique(row)
+                first = np.searchsorted(row, np.append(some, len(at)))
+                pairs = np.stack([starts - words.first[row], ends - words.first[row]], 1).ravel()
+                names = [[block.names[i] for i in found[a:b].tolist()] for a, b in zip(np.searchsorted(rows, some).tolist(), np.searchsorted(rows, some, "right").tolist(), strict=True)]
+                columns = [part.column(ROW).take(pa.array(some)), pa.ListArray.from_arrays(pa.array(2 * first, pa.int32()), pa.array(pairs, pa.int64())), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, HITS.names)
+
+    return texts.mapInArrow(scan, HITS)
+
+
+def all_hits(texts: DataFrame, blocks: DataFrame, numbers: list[int], window: int) -> DataFrame:
+    """HITS of all blocks, a row for each document hit; written, and a pass over the texts for each block. Of a document what each
+    block has found is put together: as many entries as there are blocks at most."""
+    sc, parts = texts.sparkSession.sparkContext, []
+    for b in numbers:
+        parts.append(cut(hits_of(texts, sc.broadcast(packed(blocks, b, window)))))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.union(p)
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_helix_names"))))
+    out = cut(both.groupBy(ROW).agg(F.flatten(F.collect_list("_helix_pairs")).alias("_helix_pairs"), names.alias("_helix_names")))
+    forget(*parts)
+    return out
+
+
+def find_by_blocks(docs: DataFrame, blocks: DataFrame, numbers: list[int], window: int) -> DataFrame:
+    """find() for several blocks: texts are written once, and each block's pass writes what it hits."""
+    held = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    hits = all_hits(held.where("text is not null").select(ROW, "text"), blocks, numbers, window)
+    schema, own = T.StructType([*docs.schema.fields, *NEW.fields]), slice(1, 1 + len(docs.columns))  # behind ROW, by which rows were joined
+
+    def fill(batches):
+        for batch in batches:
+            for part, data, at in pieces(batch, limit=SHARD_BYTES):
+                words = Words(data, at)
+                n_hit, row, start, end = spans_of(marks_of(part, words), words, at)
+                spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
+                first = np.searchsorted(row, np.arange(part.num_rows + 1))
+                items = [x or [] for x in part.column("_helix_names").to_pylist()]
+                columns = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans)]
+                yield pa.RecordBatch.from_arrays([*part.columns[own], *columns], [*part.schema.names[own], *NEW.names])
+
+    return map_batches(held.join(few(hits), ROW, "left"), fill, schema)
+
+
+def marks_of(part: pa.RecordBatch, words: Words) -> np.ndarray:
+    """search_block()'s marks again, from the pairs of words in a batch with HITS."""
+    marks = np.zeros(len(words.starts) + 1, np.int64)
+    for r, pairs in enumerate(part.column("_helix_pairs").to_pylist()):
+        if pairs:
+            np.add.at(marks, words.first[r] + np.array(pairs[::2]), 1)
+            np.add.at(marks, words.first[r] + np.array(pairs[1::2]), -1)
+    return marks
+
+
+def clean_by_blocks(docs: DataFrame, blocks: DataFrame, numbers: list[int], window: int) -> DataFrame:
+    """find(clean=True) for several blocks. Each round cuts what any block hits out of the texts that the last round has changed, as a cut
+    may bring a window of another block together; only changed texts are written again."""
+    held = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    texts, changed = held.where("text is not null").select(ROW, "text"), None
     while True:
-        changed = sc.accumulator(0)
-        for k, b in enumerate(numbers):
-            rows = blocks.where(F.col("block") == b).select("data").collect()  # one block
-            sent = sc.broadcast(bytes(rows[0]["data"]) if rows else pickle.dumps(block_of([], [], window), 5))
-            docs = one_pass(docs, sent, clean, k > 0, changed)
-            if len(numbers) > 1:
-                docs, old = cut(docs), made
-                if old is not None:
-                    forget(old)
-                made = docs
-        # A cut for one block may bring together a window of another: all blocks are gone through until none finds any.
-        if not clean or len(numbers) == 1 or not changed.value:
-            return docs
-
-
-def one_pass(docs: DataFrame, sent, clean: bool, again: bool, changed) -> DataFrame:
-    """find() for one block. again: docs has the columns of find() already, and hits are added to those."""
-    schema = docs.schema if clean or again else T.StructType([*docs.schema.fields, *NEW.fields])
+        hits = all_hits(texts, blocks, numbers, window)
+        if hits.isEmpty():
+            forget(hits)
+            break
+
+        def shorten(batches):
+            for batch in batches:
+                for part, data, at in pieces(batch, limit=SHARD_BYTES):
+                    words, once = Words(data, at), [0]
+
+                    def spans(data, at, part=part, words=words, once=once):
+                        once[0] += 1
+                        return spans_of(marks_of(part, words), words, at)[1:] if once[0] == 1 else (np.zeros(0, np.int64),) * 3
+
+                    yield cleaned(part, data, at, spans).select([ROW, "text"])
+
+        newer = cut(texts.join(few(hits), ROW).mapInArrow(shorten, f"{ROW} long, text string"))
+        forget(hits)
+        texts = newer
+        changed = newer if changed is None else cut(changed.join(newer.select(ROW), ROW, "left_anti").union(newer))
+    if changed is None:
+        return held.drop(ROW)
+    other = changed.select(ROW, F.col("text").alias("_helix_text"))
+    both = held.join(other, ROW, "left")
+    gone = F.col("_helix_text").isNotNull()
+    own = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.coalesce("_helix_text", "text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(gone, F.length("_helix_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[x.alias(c) for c, x in own.items()])
+
+
+def one_pass(docs: DataFrame, sent, clean: bool) -> DataFrame:
+    """find() for one block."""
+    schema = docs.schema if clean else T.StructType([*docs.schema.fields, *NEW.fields])
 
     def scan(batches):
         block = pickle.loads(sent.value)
 
-        def search(data, at, before=None):
+        def spans(data, at):
             words = Words(data, at)
-            marks, rows, found = search_block(words, block)
-            items: list[set] = [set() for _ in range(len(at) - 1)]
-            for r, i in zip(rows.tolist(), found.tolist(), strict=True):
-                items[r].add(block.names[i])
-            if before is not None:
-                for r, (spans, names) in enumerate(zip(before.column("spans").to_pylist(), before.column("items").to_pylist(), strict=True)):
-                    items[r] |= set(names)
-                    for s in spans:
-                        marks[np.searchsorted(words.starts, at[r] + s["start"])] += 1
-                        marks[np.searchsorted(words.ends, at[r] + s["end"]) + 1] -= 1
-            return words, items, *spans_of(marks, words, at)
+            return spans_of(search_block(words, block)[0], words, at)[1:]
 
         for batch in batches:
             for part, data, at in pieces(batch, limit=SHARD_BYTES):
                 if clean:
-                    out = cleaned(part, data, at, lambda data, at: search(data, at)[3:])
-                    if out is not part:
-                        changed.add(1)
-                    yield out
+                    yield cleaned(part, data, at, spans)
                     continue
-                words, items, n_hit, row, start, end = search(data, at, part if again else None)
-                spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
+                words = Words(data, at)
+                marks, rows, found = search_block(words, block)
+                items: list[set] = [set() for _ in range(part.num_rows)]
+                for r, i in zip(rows.tolist(), found.tolist(), strict=True):
+                    items[r].add(block.names[i])
+                n_hit, row, start, end = spans_of(marks, words, at)
+                spanned = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                columns = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans)]
-                own = [c for c in part.schema.names if not again or c not in NEW.names]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *columns], [*own, *NEW.names])
+                columns = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), spanned)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *NEW.names])
 
     return map_batches(docs, scan, schema)
 

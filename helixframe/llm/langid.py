@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: list[Model] | None, names: tuple[str, str] =
     Null texts and those without a letter are `und` with score 0, as is everything if nothing was learned. Long texts
     are read whole; evidence is weighed by the byte, so that a score isn't 1 for length alone. Ties go to the language
     first by name. Other columns pass through, but for those that have one of `names`, the two new ones,
-    which are replaced.
+    which are replaced. No documents give no rows.
     """
     docs = without(docs, *names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])

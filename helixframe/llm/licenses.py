@@ -211,7 +211,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     spans, end exclusive) and score (the largest share of a template or phrase that was covered; 0 without any).
 
     Null and empty texts have no words. Rows that repeat are each scanned; other columns pass through, but for
-    those that have one of the four names, which are replaced.
+    those that have one of the four names, which are replaced. Texts of any length are scanned whole, however often a template comes in
+    one. No documents give no rows.
     """
     docs = without(docs, "n_words", "places", "spans", "score")
     place = T.StructType([T.StructField("start", T.LongType()), T.StructField("label", T.StringType())])

@@ -137,7 +137,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with score, the probability of good quality, from the text alone; 0.5 if nothing was learned.
 
     Null and empty texts score as one chunk without bytes. Rows that repeat score alike; other columns pass through, but for
-    one named score, which is replaced.
+    one named score, which is replaced. Texts of any length are read whole, long ones by slices. No documents give no rows.
     """
     docs = without(docs, "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])

@@ -157,6 +157,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Leftmost, non-overlapping matches of each rule, those whose group is too short dropped. Null and empty texts have
     none; rows that repeat are each scanned. Other columns pass through, but for one named spans, which is replaced.
+    Texts of any length are scanned whole. No documents give no rows.
     """
     docs = without(docs, "spans")
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

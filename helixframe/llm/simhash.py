@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), a row for each of docs: component_id is the smallest doc_id that links reach.
 
     A null doc_id names no component unless its whole component has none. Empty and null texts share fingerprint zero.
-    Repeated rows and doc_ids are rows of their own. Other columns of docs are not read.
+    Repeated rows and doc_ids are rows of their own. Other columns of docs are not read. Texts of any length are read whole.
+    No documents give no rows.
     """
     marked = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     named = shared(marked, F.col("doc_id"), "component_id")
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id (nulls last, by hashes of their texts; among rows
-    of that id the one of the smallest text hash; exact repeats of a row count as one). Columns are those of docs. Texts
+    of that id the one of the smallest text hash; exact repeats of a row count as one). Columns are those of docs; no rows give no rows. Texts
     are shuffled only if documents that go are too many to broadcast, or to leave one of exact repeats."""
     key = ("none", "doc", "mark")
     named = [c.alias(n) for c, n in zip(document_key(F.col("doc_id"), F.col("text")), key, strict=True)]

@@ -124,3 +124,28 @@ def test_three_hundred_languages(spark):
         assert [x for m in models for x in m.languages] == [f"l{k:03d}" for k in range(300)]
         got = langid.predict(docs, models).select("lang", "lang_pred").collect()
         assert sum(a == b for a, b in got) > 0.95 * len(got)
+
+
+def test_twenty_blocks_write_hits_only(spark, tmp_path, monkeypatch):
+    """A benchmark of twenty blocks: the same rows as by one, and the texts are written once, whatever the number of blocks."""
+    rng = random.Random(4)
+    pool = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choices(pool, k=14))) for k in range(60)] + [(k, "same words in many items over and over again here now") for k in range(60, 90)]
+    texts = [" ".join(rng.choices(pool, k=80)) for _ in range(60)]
+    texts = [x + " " + items[k][1] + " " + x[:50] if k % 3 == 0 else x for k, x in enumerate(texts)] + [None, "", items[70][1], f"{items[3][1][:40]} {items[61][1]} {items[3][1][40:]}"]
+    docs = spark.createDataFrame([(k, x, len(x or ""), "a", 1) for k, x in enumerate(texts)], "doc_id long, text string, n_chars long, `a.b` string, pairs int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    written = []
+    plain = decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda df: written.append(df.columns) or plain(df))
+    few, many = (decontaminate.find(docs, bench, block_bytes=n) for n in (16 << 20, 300))
+    assert decontaminate.blocks_of(bench, 10, 300).count() >= 15 and few.columns == many.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert sum("text" in c for c in written) == 1
+    one, two = (decontaminate.find(docs, bench, block_bytes=n, clean=True) for n in (16 << 20, 300))
+    assert decontaminate.find(two, bench).where("n_hit > 0").count() == 0 and two.columns == docs.columns
+    cut_ = {r["doc_id"]: r for r in two.collect()}
+    assert all((r["text"] == cut_[r["doc_id"]]["text"]) == (few_hit == 0) or few_hit for r, few_hit in ((r, r["n_hit"]) for r in few.collect()))
+    assert all(r["n_chars"] == len(r["text"] or "") for r in cut_.values()) and cut_[60]["text"] is None
+    same = {r["doc_id"]: r["text"] for r in one.collect()}
+    assert sum(same[k] == r["text"] for k, r in cut_.items()) > 60
