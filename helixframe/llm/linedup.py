@@ -12,8 +12,9 @@ told apart by the ranks of h / 2, h / 4, ..., 1 further lines. At the end all su
 a node of the suffix tree, and each of them but the first, by document and line, is named once: its longest run that has
 an earlier copy. Runs of min_chars characters that no run before them covers are the maximal ones, and go.
 
-Only (document key, line number, rank) is ever shuffled here, and pairs are pre-aggregated before they are, so a line
-of very many copies weighs little; ranks go back by an equi-join that Spark can split. Texts are shuffled once at most,
+Documents with such lines are numbered in their order, and a suffix is one number, document and line, so that the first of
+an interval is a plain minimum, summed by hashing. Only (place, rank) is shuffled here, and pairs are pre-aggregated before they
+are, so a line of very many copies weighs little; ranks go back by an equi-join that Spark can split. Texts are shuffled once at most,
 to meet the numbers of their dropped lines. Tables of a round are deleted once the next one is written.
 """
 
@@ -28,6 +29,8 @@ from helixframe.llm.common import cut, document_key, few, forget, hashes
 MIN_CHARS = 30
 #: What names a line: its document and its number.
 HERE = ("none", "doc", "mark", "i")
+#: Bits of a line's place: its document's number and its own, in one long.
+PLACE_BITS = 62
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -39,77 +42,124 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def intervals(suffixes: DataFrame, *key: str) -> DataFrame:
-    """(key..., copies, first, next) of each interval of two suffixes or more; ranks (next) follow the order of the keys."""
-    many = suffixes.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1")
+    """(key..., copies, first, next) of each interval of two suffixes (p) or more; ranks (next) follow the order of the keys."""
+    many = suffixes.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min("p").alias("first")).where("copies > 1")
     return cut(many.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("next", F.monotonically_increasing_id()))
 
 
+def numbered(names: DataFrame) -> tuple[DataFrame, int]:
+    """(none, doc, mark, d) of documents (none, doc, mark), d from 0 without gaps, in their order; and how many they are. The
+    numbers of rows in partitions, one for each, make partitions' own numbers into one row of numbers."""
+    own = cut(names.distinct().repartitionByRange("none", "doc", "mark").sortWithinPartitions("none", "doc", "mark").withColumn("k", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("k", 33), F.col("k").bitwiseAND((1 << 33) - 1)
+    sizes = own.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = sizes.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("low"))
+    out = cut(own.withColumn("part", part).join(F.broadcast(before), "part").select("none", "doc", "mark", (F.col("low") + inside).alias("d")))  # a row for each partition
+    forget(own)
+    return out, out.count()
+
+
+class Places:
+    """Suffixes by their places: p = d << bits | i, for line i of document d of those that have a line that is somewhere else, too. One
+    number orders them, names their document, and has the line h lines on at p + h."""
+
+    def __init__(self, docs: DataFrame):
+        every = lines(docs)
+        found = cut(every.groupBy("id", "more").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+        held = cut(every.join(found, ["id", "more"]).select(*HERE, "id", "more", "chars"))
+        self.names, n = numbered(held.select("none", "doc", "mark"))
+        self.bits = int(held.agg(F.max("i")).first()[0] or 0).bit_length() or 1
+        if n.bit_length() + self.bits > PLACE_BITS:
+            raise ValueError(f"{n} documents of up to {1 << self.bits} lines are more than {PLACE_BITS} bits can number")
+        place = F.shiftleft("d", self.bits).bitwiseOR(F.col("i").cast("long"))
+        # A document that is there twice has each line twice up to here.
+        self.rows = cut(held.join(self.names, ["none", "doc", "mark"]).select(place.alias("p"), "id", "more", "chars").distinct())
+        forget(found, held)
+
+    def document(self, p: str = "p"):
+        return F.shiftright(p, self.bits)
+
+    def named(self, table: DataFrame) -> DataFrame:
+        """table with none, doc, mark and i in place of p."""
+        lines_ = table.withColumns({"d": self.document(), "i": F.col("p").bitwiseAND((1 << self.bits) - 1).cast("int")}).drop("p")
+        return lines_.join(self.names, "d").select(*HERE, *[c for c in table.columns if c != "p"])
+
+
 def levels(docs: DataFrame, depth: int | None = None):
     """Yields (h, table) for h = 1, 2, 4, ... until no interval is left, or up to depth. A table has the suffixes in
     intervals of h shared lines: none, doc, mark, i, chars (of the h lines), n and rank (of the interval); next_chars,
     next_n and next (of the one of 2 h lines; null if there is none) and stands (whether the suffix stands for it, or for
     itself, among others of its interval)."""
-    every = lines(docs)
-    found = intervals(every, "id", "more")
+    places = Places(docs)
+    for h, table in levels_of(places, depth):
+        yield h, places.named(table)
+
+
+def levels_of(places: Places, depth: int | None = None):
+    """levels() by places: p instead of none, doc, mark and i."""
+    found = intervals(places.rows, "id", "more")
     if found.isEmpty():
-        forget(found)
+        forget(found, places.rows)
         return
-    level, h = every.join(found, ["id", "more"]).select(*HERE, "chars", F.col("copies").alias("n"), F.col("next").alias("rank")), 1
-    old = [found]
+    level, h = places.rows.join(found, ["id", "more"]).select("p", "chars", F.col("copies").alias("n"), F.col("next").alias("rank")), 1
+    old = [found, places.rows]
     while True:
-        own = Window.partitionBy("none", "doc", "mark").orderBy("i")
-        after = F.max(F.struct("rank", "chars")).over(own.rangeBetween(h, h))
-        # A document that is there twice has each line twice up to here.
-        pairs = level.withColumn("after", after).withColumn("before", F.lag("i").over(own)).where("before is null or before < i")
-        pairs = cut(pairs.select(*HERE, "chars", "n", "rank", F.col("after.rank").alias("then"), (F.col("chars") + F.lit(1) + F.col("after.chars")).alias("next_chars")))
+        after = F.max(F.struct("rank", "chars")).over(Window.partitionBy(places.document()).orderBy("p").rangeBetween(h, h))
+        pairs = cut(level.withColumn("after", after).select("p", "chars", "n", "rank", F.col("after.rank").alias("then"), (F.col("chars") + F.lit(1) + F.col("after.chars")).alias("next_chars")))
         found = intervals(pairs.where("then is not null"), "rank", "then")
         last = found.isEmpty()
         joined = pairs.join(found, ["rank", "then"], "left")
         alone = F.col("next").isNull()
-        stands = alone | (F.struct(*HERE) == F.col("first")) & (F.col("copies") < F.col("n"))
-        level = cut(joined.select(*HERE, "chars", "n", "rank", F.when(~alone, F.col("next_chars")).alias("next_chars"), F.col("copies").alias("next_n"), "next", stands.alias("stands")))
+        stands = alone | (F.col("p") == F.col("first")) & (F.col("copies") < F.col("n"))
+        level = cut(joined.select("p", "chars", "n", "rank", F.when(~alone, F.col("next_chars")).alias("next_chars"), F.col("copies").alias("next_n"), "next", stands.alias("stands")))
         forget(pairs, found, *old)
         old = []
         yield h, level
         if last or depth is not None and h >= depth:
             return
-        level = level.where("next is not null").select(*HERE, F.col("next_chars").alias("chars"), F.col("next_n").alias("n"), F.col("next").alias("rank"))
+        level = level.where("next is not null").select("p", F.col("next_chars").alias("chars"), F.col("next_n").alias("n"), F.col("next").alias("rank"))
         h *= 2
 
 
-def longest_runs(docs: DataFrame) -> DataFrame:
-    """(none, doc, mark, i, n, chars): for each line that begins a run with an earlier copy the longest such run, in lines
-    and characters."""
-    tables, group = dict(levels(docs)), None
+def longest_runs(places: Places) -> DataFrame | None:
+    """(p, n, chars): for each line that begins a run with an earlier copy the longest such run, in lines and characters; None if
+    no line is there twice."""
+    tables, group = dict(levels_of(places)), None
     if not tables:
-        return lines(docs).select(*HERE, F.lit(1).alias("n"), "chars").limit(0)
-    entering = lambda h, tag: tables[h].where("stands").select(*HERE, (F.col("rank") * 64 + F.lit(32 + tag)).alias("grp"), F.lit(h).alias("n"), "chars")
+        return None
+    entering = lambda h, tag: tables[h].where("stands").select("p", (F.col("rank") * 64 + F.lit(32 + tag)).alias("grp"), F.lit(h).alias("n"), "chars")
     old = []
     for tag in range(len(tables) - 1, -1, -1):
         h = 1 << tag
         if group is not None:
-            step = tables[h].select("none", "doc", "mark", F.col("i").alias("at"), F.col("rank").alias("then"), F.col("chars").alias("more"))
-            known = cut(group.withColumn("at", F.col("i") + F.col("n")).join(step, ["none", "doc", "mark", "at"], "left").drop("at"))
+            step = tables[h].select(F.col("p").alias("at"), F.col("rank").alias("then"), F.col("chars").alias("more"))
+            # A place behind a document's last line is no line of the next one's: numbers of lines don't fill their bits.
+            inside = F.when(places.document("at") == places.document(), F.col("at"))
+            known = cut(group.withColumn("at", F.col("p") + F.col("n")).withColumn("at", inside).join(step, "at", "left").drop("at"))
             forget(*old)
-            shared = known.where("then is not null").groupBy("grp", "then").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1")
+            shared = known.where("then is not null").groupBy("grp", "then").agg(F.count(F.lit(1)).alias("copies"), F.min("p").alias("first")).where("copies > 1")
             shared = cut(shared.withColumn("into", F.monotonically_increasing_id() * 64 + F.lit(tag)).drop("copies"))
             both = known.join(shared, ["grp", "then"], "left")
             deeper = F.struct(F.col("into").alias("grp"), (F.col("n") + h).alias("n"), (F.col("chars") + F.lit(1) + F.col("more")).alias("chars"))
-            stays = F.when(F.col("into").isNull() | (F.struct(*HERE) == F.col("first")), F.struct("grp", "n", "chars"))
-            group = both.select(*HERE, F.inline(F.array_compact(F.array(F.when(F.col("into").isNotNull(), deeper), stays))))
+            stays = F.when(F.col("into").isNull() | (F.col("p") == F.col("first")), F.struct("grp", "n", "chars"))
+            group = both.select("p", F.inline(F.array_compact(F.array(F.when(F.col("into").isNotNull(), deeper), stays))))
             old = [known, shared]
         fresh = entering(h, tag)
         group = fresh if group is None else group.union(fresh)
     group = cut(group)
     forget(*old, *tables.values())
-    first = cut(group.groupBy("grp").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*HERE)).alias("first")).where("copies > 1").drop("copies"))
-    return group.join(few(first), "grp").where(F.struct(*HERE) > F.col("first")).select(*HERE, "n", "chars")
+    first = cut(group.groupBy("grp").agg(F.count(F.lit(1)).alias("copies"), F.min("p").alias("first")).where("copies > 1").drop("copies"))
+    return group.join(few(first), "grp").where(F.col("p") > F.col("first")).select("p", "n", "chars")
 
 
 def maximal_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(none, doc, mark, i, n, chars, done): runs of min_chars or more with an earlier copy that no such run before
     them covers; done: where the one before ends, which may be behind i."""
-    runs = longest_runs(docs).where(F.col("chars") >= min_chars)
+    places = Places(docs)
+    found = longest_runs(places)
+    if found is None:
+        return lines(docs).select(*HERE, F.lit(1).alias("n"), "chars", F.lit(0).alias("done")).limit(0)
+    runs = places.named(found.where(F.col("chars") >= min_chars))
     before = Window.partitionBy("none", "doc", "mark").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("done", F.coalesce(F.max(F.col("i") + F.col("n")).over(before), F.lit(0))).where("i + n > done")
 
@@ -129,7 +179,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, report: bool = False) ->
 
     The first copy is that of the smallest doc_id (null ids last, by hashes of their texts), then text hash, then line.
     Rows that repeat a doc_id and its text are one document and share its outcome; they don't make each other's lines copies. A null text stays
-    null; an empty text, or one all of whose lines go, is empty. All rows stay. Names in docs may be any.
+    null; an empty text, or one all of whose lines go, is empty. All rows stay; no rows give no rows. Names in docs may be any. A text
+    of any length is taken whole; its lines are rows, and it is one value where it meets the numbers of those that go.
     """
     # Rows travel as one struct, so that no name in docs meets one of ours.
     gone = dropped(docs, min_chars)
