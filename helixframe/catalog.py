@@ -34,6 +34,14 @@ def segs(spark, sf: str) -> DataFrame:
     return segments.segments(payloads(spark, sf), KEY)
 
 
+def chunks(spark, sf: str) -> DataFrame:
+    return encode.chunked(payloads(spark, sf), KEY)
+
+
+def profile(spark, sf: str) -> DataFrame:
+    return segments.chunk_profile(chunks(spark, sf), KEY, encode.CHUNK_SEGMENTS)
+
+
 def reps(spark, sf: str) -> DataFrame:
     return segments.repeats(segs(spark, sf))
 

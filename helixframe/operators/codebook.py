@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.functions.kernels import encode_bytes
+from helixframe.constants import TABLE_CAP
+from helixframe.functions.kernels import coder, encode_bytes
+from helixframe.functions.slices import mapped, slices
 from helixframe.operators.segments import meet
 
 
@@ -48,6 +52,72 @@ def codebooks(table: DataFrame, by: list[str]) -> DataFrame:
     return one.withColumn("pairs", pairs).select(*by, F.col("pairs.substr").alias("keys"), F.col("pairs.code").alias("codes"))
 
 
+def kept_rows(pairs: list[tuple[str, int]], cap: int = TABLE_CAP) -> list[tuple[str, int]]:
+    """What segments.kept() keeps of one payload's table, in its order."""
+    rows = sorted(pairs, key=lambda r: (-len(r[0]), -r[1], r[0]))
+    top = rows[:cap]
+    floor = 2 * (len(top) - 1).bit_length() + 1
+    return top if len(top) < 2 else [r for r in top if len(r[0]) >= floor] or rows
+
+
+def own_books(pairs: pa.Array) -> Iterator[tuple[list[str], list[str]]]:
+    """Keys and codes of payloads each of which has its whole table in one row (lists of substr and hits)."""
+    ends, flat = pairs.offsets.to_pylist(), pairs.values
+    substr, hits = flat.field("substr").to_pylist(), flat.field("hits").to_pylist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        rows = kept_rows(list(zip(substr[a:b], hits[a:b], strict=True)))
+        own = [(k, c) for (k, _), c in zip(rows, tree_codes([f for _, f in rows]), strict=True) if len(c) >= 2]
+        yield [k for k, _ in own], [c for _, c in own]
+
+
+def books_in_place(chunks: DataFrame) -> DataFrame:
+    """chunks of payloads of one chunk, with keys and codes for pairs: a payload's table lies in its row, and nothing moves."""
+
+    def kernel(part: pa.RecordBatch) -> list[pa.Array]:
+        own = list(own_books(part.column("pairs")))
+        return [pa.array([x[k] for x in own], pa.list_(pa.string())) for k in (0, 1)]
+
+    return mapped(chunks, "bytes", kernel, "keys array<string>, codes array<string>", ("pairs", "bytes"))
+
+
+def encoded_in_place(chunks: DataFrame, listed: bool) -> DataFrame:
+    """chunks of payloads of one chunk with dna for bytes and pairs, by each payload's own code table; listed: with seg_dna, the nucleotides of
+    each segment."""
+
+    def kernel(part: pa.RecordBatch) -> list[pa.Array]:
+        rows = [coder(*own)(raw) for raw, own in zip(part.column("bytes").to_pylist(), own_books(part.column("pairs")), strict=True)]
+        return [pa.array(rows, pa.list_(pa.string())) if listed else pa.array(["".join(x) for x in rows], pa.string())]
+
+    return mapped(chunks, "bytes", kernel, "seg_dna array<string>" if listed else "dna string", ("pairs", "bytes"))
+
+
+def encoded_packs(packs: DataFrame, books: DataFrame, by: list[str], few: bool, listed: bool) -> DataFrame:
+    """packs (by, rows: structs with bytes) with a row for each of theirs, and dna (listed: seg_dna) for bytes: a code table meets a pack, not
+    each of its rows. few: the books fit in a broadcast."""
+    joined = meet(packs, F.broadcast(books) if few else books, by, "left")
+    inside = [f for f in packs.schema["rows"].dataType.elementType.fields if f.name != "bytes"]
+    name, kind = ("seg_dna", pa.list_(pa.string())) if listed else ("dna", pa.string())
+    schema = T.StructType([*[packs.schema[c] for c in by], *inside, T.StructField(name, T.ArrayType(T.StringType()) if listed else T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                code = coder(*[batch.column(c)[k].as_py() or [] for c in ("keys", "codes")])
+                held = pa.RecordBatch.from_struct_array(batch.column("rows")[k].values)
+                for part in slices(held, "bytes"):
+                    rows = [code(x) for x in part.column("bytes").to_pylist()]
+                    own = [pa.array([batch.column(c)[k].as_py()] * len(rows), batch.column(c).type) for c in by]
+                    yield pa.RecordBatch.from_arrays([*own, *[part.column(f.name) for f in inside], pa.array(rows if listed else ["".join(x) for x in rows], kind)], schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
+def encoded_plain(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """payloads that aren't empty with dna, two bits a pair of nucleotides, for the payload: what encoded() gives without a code table."""
+    code = lambda part: [pa.array(["".join(coder([], [])(x)) for x in part.column(payload).to_pylist()], pa.string())]
+    return mapped(payloads.where(F.octet_length(payload) > 0), payload, code, "dna string", (payload,))
+
+
 def encoded(payloads: DataFrame, books: DataFrame, by: list[str], payload: str = "payload") -> DataFrame:
     """payloads with seg_dna, the nucleotides of each segment in order. Groups without a code table take pairs of bits.
     Books are joined by `by`, null as a value: Spark broadcasts them if they are few, and splits a frequent group if not."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.constants import MIN_KEY_LEN, SEGMENT_HEX, TABLE_CAP
 from helixframe.functions import kernels
 from helixframe.functions.bits import nonoverlap_count, segment_bits
+from helixframe.functions.slices import mapped
 
 
 def segments(payloads: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
@@ -33,6 +34,33 @@ def repeats(segs: DataFrame) -> DataFrame:
     return segs.withColumn("_found", kernels.repeats("s")).select(*segs.columns, "_found.lp", "_found.ls")
 
 
+def spelled(payloads: DataFrame, payload: str) -> DataFrame:
+    """payloads with bits, '0' and '1', for the payload: what functions.bits.bytes_to_bits() gives."""
+    return mapped(payloads, payload, lambda part: [kernels.spelled(part.column(payload))], "bits string", (payload,))
+
+
+def in_chunks(chunks: DataFrame, keys: list[str], kernel, kind: str) -> DataFrame:
+    """(keys, chunk, found): what a kernel finds in each chunk's segments, a list of structs of `kind`; no segment leaves its chunk."""
+    return mapped(chunks.select(*keys, "chunk", "bytes"), "bytes", lambda part: kernel(part.column("bytes")), f"found array<struct<{kind}>>", ("bytes",))
+
+
+def chunk_profile(chunks: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, seg_id, lp, ls, best_len, best_hits): what repeats() and profile() add to each segment, of chunks of `size` segments."""
+    found = in_chunks(chunks, keys, kernels.chunk_profiles, "lp: int, ls: int, best_len: int, best_hits: bigint")
+    rows = found.select(*keys, "chunk", F.posexplode("found").alias("_at", "f"))
+    return rows.select(*keys, (F.col("chunk") * size + F.col("_at")).alias("seg_id"), "f.*")
+
+
+def chunk_candidates(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, substr, hits): candidates() of chunks."""
+    return in_chunks(chunks, keys, kernels.chunk_entries, "substr: string, hits: bigint").select(*keys, F.inline("found"))
+
+
+def chunk_pairs(chunks: DataFrame) -> DataFrame:
+    """(substr, hits): chunk_candidates() without keys, hits summed in each chunk."""
+    return in_chunks(chunks, [], lambda raw: kernels.chunk_repeats(raw)[1:], "substr: string, hits: bigint").select(F.inline("found"))
+
+
 def profile(reps: DataFrame) -> DataFrame:
     """Adds best_len (the longer of the two) and best_hits (its occurrences); 0 for segments under four bits."""
     best = F.greatest("lp", "ls")

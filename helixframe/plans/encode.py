@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from helixframe.constants import MAX_END_GC, MAX_RUN, PAYLOAD_NT, SEGMENT_BITS, STRAND_NT
 from helixframe.functions import folds, kernels
-from helixframe.functions.dna import fingerprint, strand
+from helixframe.functions.dna import both_fingerprints, strand
+from helixframe.functions.slices import mapped
 from helixframe.operators import codebook, segments
 from helixframe.sources.ranges import FILE_KEYS, FILES, file_chunks
 from helixframe.sources.shared import cut, forget
@@ -21,14 +22,21 @@ CHUNK_BYTES = CHUNK_SEGMENTS * SEGMENT_BITS // 8
 PART_BLOCKS, PARTS = 2048, 256
 #: Payloads of more chunks are ranked by a rank filter before the shuffle, not each by one task.
 LONG_CHUNKS = 64
+#: Places of payloads of one chunk (every second number is one), and chunks of longer ones, that are a pack at most; code tables that are broadcast.
+PACK_ROWS, PACK_CHUNKS, FEW_BOOKS = 2048, 64, 64
+PAIRS = "array<struct<substr: string, hits: bigint>>"
 
 
 def payload_of(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """(keys, payload): a text column's UTF-8 bytes, or a binary column."""
     kind = dict(docs.dtypes)[column]
     own = docs.select(*dict.fromkeys(keys), (F.col(column) if kind == "binary" else F.encode(F.col(column), "UTF-8")).alias("payload"))
-    # A small file is one task: payloads are spread if there are fewer tasks than cores, and stay where they are if not.
-    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return spread(own)
+
+
+def spread(own: DataFrame) -> DataFrame:
+    """A small file is one task: payloads are spread if there are fewer tasks than cores, and stay where they are if not."""
+    cores = own.sparkSession.sparkContext.defaultParallelism
     return own.repartition(cores) if own.rdd.getNumPartitions() < cores else own
 
 
@@ -77,11 +85,13 @@ def constraints(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("_checks", kernels.checks("block")).select(*tiles.columns, "_checks.*")
 
 
-def block_summary(checked: DataFrame, keys: list[str]) -> DataFrame:
+def block_summary(checked: DataFrame, keys: list[str], nt: F.Column | None = None, alike: list[str] | None = None) -> DataFrame:
+    """Counts over blocks; nt: their lengths, if the blocks aren't there; alike: columns that are the same in all rows of a group."""
     share = F.col("gc") / F.lit(float(PAYLOAD_NT))
     return checked.groupBy(*keys).agg(
         F.avg(share).alias("gc_mean"), F.var_pop(share).alias("gc_var"), F.max("rll").cast("bigint").alias("rll_max"), F.count_if(F.col("rll") > MAX_RUN).alias("rll_violations"),
-        F.count_if(F.col("endgc") > MAX_END_GC).alias("end_violations"), F.count(F.lit(1)).alias("storage_seq_count"), F.sum(F.length("block")).alias("nt"),
+        F.count_if(F.col("endgc") > MAX_END_GC).alias("end_violations"), F.count(F.lit(1)).alias("storage_seq_count"), F.sum(F.length("block") if nt is None else nt).cast("bigint").alias("nt"),
+        *[F.first(c).alias(c) for c in alike or []],
     )
 
 
@@ -121,14 +131,19 @@ class Encoding:
     def marked(self) -> DataFrame:
         """(_row, keys, by, chunk, chunks, bytes, best_sum, pairs): chunks, and the repeats in each. Written once: all else reads it, and
         numbers of payloads don't change."""
-        own = ["_row", *self.have, "chunk", "chunks", "bytes"]
-        return self._cut(self._chunks.select(*own, kernels.chunk_repeats("bytes").alias("r")).select(*own, "r.*"))
+        own = self._chunks.select("_row", *self.have, "chunk", "chunks", "bytes")
+        return self._cut(mapped(own, "bytes", lambda part: kernels.chunk_repeats(part.column("bytes")), f"best_sum long, pairs {PAIRS}"))
+
+    def _marked(self, long: bool) -> DataFrame:
+        return self.marked.where("chunks > 1" if long else "chunks = 1")
 
     @cached_property
     def _frequencies(self) -> tuple[DataFrame, bool]:
-        """Occurrences of each repeat, and whether a group's lie together."""
-        found = self.marked.select(*self.by, F.inline("pairs"))
-        if self.scope == "doc" and self.marked.where(F.col("chunks") > LONG_CHUNKS).isEmpty():
+        """Occurrences of each repeat, of payloads of several chunks alone in doc scope, and whether a group's lie together."""
+        if self.scope != "doc":
+            return self._cut(segments.frequencies(self.marked.select(*self.by, F.inline("pairs")), self.by)), False
+        found = self._marked(True).select(*self.by, F.inline("pairs"))
+        if self.marked.where(F.col("chunks") > LONG_CHUNKS).isEmpty():
             # All that follows groups by the payload: one shuffle serves all of it.
             return segments.frequencies(found.repartition("_row"), self.by), True
         return self._cut(segments.frequencies(found, self.by)), False
@@ -136,102 +151,157 @@ class Encoding:
     @property
     def map1(self) -> DataFrame:
         """(keys or by, substr, freq)"""
-        return self._frequencies[0].drop("_row")
+        freq = self._frequencies[0].drop("_row")
+        if self.scope != "doc":
+            return freq
+        return self._marked(False).select(*self.keys, F.inline("pairs")).withColumnRenamed("hits", "freq").union(freq)
 
     @cached_property
-    def books(self) -> DataFrame:
-        """(_row and keys, or by; keys, codes): what codebook shows."""
+    def _long_books(self) -> DataFrame:
+        """Books of groups whose repeats lie in several rows: all in corpus scope, payloads of several chunks in doc scope."""
         freq, together = self._frequencies
         if together:  # made from one shuffle: where they are read they are made in passing
             return codebook.codebooks(segments.kept_in_place(freq, self.by), self.by)
         return self._cut(codebook.codebooks(segments.kept(freq, self.by), self.by))
 
+    @property
+    def books(self) -> DataFrame:
+        """(_row and keys, or by; keys, codes): what codebook shows."""
+        if self.scope != "doc":
+            return self._long_books
+        # As a group of its own each payload has a row if it has repeats.
+        short = codebook.books_in_place(self._marked(False).where(F.size("pairs") > 0).select(*self.by, "bytes", "pairs"))
+        return short.union(self._long_books)
+
     @property
     def codebook(self) -> DataFrame:
         """(keys or by, keys, codes)"""
         return self.books.drop("_row")
 
+    def _encoded(self, long: bool, listed: bool = False) -> DataFrame:
+        """(_row, keys, by, chunk, chunks, n_bytes, segments, best_sum, dna; listed: seg_dna): nucleotides of the chunks of payloads of one chunk, or of
+        several. Each row's code table is made where the row lies, or meets it."""
+        size = F.octet_length("bytes").cast("bigint")
+        own = ("_row", *self.have, "chunk", "chunks")
+        marked = self._marked(long).select(*own, size.alias("n_bytes"), F.ceil(size * 8 / SEGMENT_BITS).cast("bigint").alias("segments"), "best_sum", "bytes", "pairs")
+        if self.scope == "doc" and not long:
+            return codebook.encoded_in_place(marked, listed)
+        if self.scope == "doc":
+            done = codebook.encoded(marked.drop("pairs"), self._long_books.select("_row", "keys", "codes"), ["_row"], "bytes").drop("bytes")
+            return done if listed else done.withColumn("dna", F.array_join("seg_dna", "")).drop("seg_dna")
+        # A table of all groups' keys is far longer than most payloads: payloads of a group are packed, by their places, and a pack meets it once.
+        by = [c for c in self.by if c != "_row"]
+        at = (F.col("_row"), F.floor(F.col("chunk") / PACK_CHUNKS)) if long else (F.floor(F.col("_row") / PACK_ROWS), F.lit(0))
+        inside = [c for c in marked.columns if c not in (*by, "pairs")]
+        packs = marked.groupBy(*by, *[x.alias(f"_at{k}") for k, x in enumerate(at)]).agg(F.collect_list(F.struct(*inside)).alias("rows")).select(*by, "rows")
+        return codebook.encoded_packs(packs, self._long_books, by, self._few_books, listed).select(*[c for c in marked.columns if c not in ("bytes", "pairs")], "seg_dna" if listed else "dna")
+
     @cached_property
-    def _coder(self) -> DataFrame:
-        on = ["_row"] if self.scope == "doc" else self.by
-        return codebook.encoded(self.marked.drop("best_sum", "pairs"), self.books.select(*on, "keys", "codes"), on, "bytes")
+    def _few_books(self) -> bool:
+        return self._long_books.limit(FEW_BOOKS + 1).count() <= FEW_BOOKS
 
     @cached_property
-    def done(self) -> DataFrame:
-        """(_row, keys, by, chunk, chunks, n_bytes, segments, dna, nt): a chunk's nucleotides."""
-        size = (F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.size("seg_dna").cast("bigint").alias("segments"))
-        return self._cut(self._coder.select("_row", *self.have, "chunk", "chunks", *size, F.array_join("seg_dna", "").alias("dna")).withColumn("nt", F.length("dna").cast("bigint")))
+    def _long(self) -> DataFrame:
+        """_encoded(True) with nt, written."""
+        return self._cut(self._encoded(True).withColumn("nt", F.length("dna").cast("bigint")))
 
     @property
     def coded(self) -> DataFrame:
         """(keys, seg_id, dna)"""
-        return self._coder.select(*self.keys, "chunk", F.posexplode("seg_dna").alias("seg_id", "dna")).select(*self.keys, _number("seg_id"), "dna")
+        both = self._encoded(False, True).union(self._encoded(True, True))
+        return both.select(*self.keys, "chunk", F.posexplode("seg_dna").alias("seg_id", "dna")).select(*self.keys, _number("seg_id"), "dna")
 
     @property
     def payload(self) -> DataFrame:
         """(keys, n_bytes, segments, dna)"""
         ordered = F.array_sort(F.collect_list(F.struct("chunk", "dna")))
-        long = self.done.where("chunks > 1").groupBy("_row", *self.keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"), ordered.alias("parts"))
-        return self.done.where("chunks = 1").select(*self.keys, "n_bytes", "segments", "dna").union(long.select(*self.keys, "n_bytes", "segments", F.array_join(F.col("parts.dna"), "")))
+        long = self._encoded(True).groupBy("_row", *self.keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"), ordered.alias("parts"))
+        return self._encoded(False).select(*self.keys, "n_bytes", "segments", "dna").union(long.select(*self.keys, "n_bytes", "segments", F.array_join(F.col("parts.dna"), "")))
+
+    def _blocks(self) -> DataFrame:
+        """(keys, block_id, block)"""
+        tiled = mapped(self._encoded(False).select(*self.keys, "dna"), "dna", lambda part: [kernels.tiles(part.column("dna"))], "tiles array<string>", ("dna",))
+        return tiled.select(*self.keys, F.posexplode("tiles").alias("block_id", "block")).union(chunk_blocks(self._long, self.keys).drop("_row"))
 
     @property
     def strands(self) -> DataFrame:
         """(keys, block_id, strand)"""
-        return chunk_blocks(self.done, self.keys).select(*self.keys, "block_id", strand(F.col("block_id"), F.col("block")).alias("strand"))
+        return self._blocks().select(*self.keys, "block_id", strand(F.col("block_id"), F.col("block")).alias("strand"))
 
     @property
     def block_metrics(self) -> DataFrame:
         """(keys, block_id, block, gc, rll, endgc)"""
-        return constraints(chunk_blocks(self.done, self.keys)).drop("_row")
+        return constraints(self._blocks())
 
     @property
     def fingerprints(self) -> DataFrame:
         """(keys, dna_hash_payload, dna_hash_storage): of the nucleotides and of all strands in order. Payloads of several chunks are
         worked on in parts, by as many tasks as there are, and none is put together."""
-        return self._fingerprints().drop("_row")
+        short = hashed(self._encoded(False).select(*self.keys, "dna"), ("dna",))
+        return short.union(self._long_fingerprints().select(short.columns))
 
     @property
     def summary(self) -> DataFrame:
         """metrics and fingerprints, side by side."""
-        return self._metrics().join(self._fingerprints().drop(*self.keys), "_row").drop("_row")
+        long = self._long_metrics().join(self._long_fingerprints().drop(*self.keys), "_row").drop("_row")
+        short = self._short_metrics(HASHES)
+        return short.union(long.select(short.columns))
 
-    def _fingerprints(self) -> DataFrame:
-        short = fingerprints(self.done.where("chunks = 1"), ["_row", *self.keys])
-        long = self.done.where("chunks > 1")
+    def _long_fingerprints(self) -> DataFrame:
+        """(_row, keys, hashes) of payloads of several chunks."""
+        long = self._long
         row = ["_row", *self.keys]
         strands = chunk_blocks(long, self.keys).select(*row, F.floor(F.col("block_id") / PART_BLOCKS).alias("part"), F.struct("block_id", strand(F.col("block_id"), F.col("block")).alias("s")).alias("s"))
         texts = strands.groupBy(*row, "part").agg(F.array_sort(F.collect_list("s")).alias("s")).select(*row, "part", F.array_join(F.col("s.s"), "").alias("text"))
         both = long.select(*row, F.lit("payload").alias("of"), F.col("chunk").cast("long").alias("part"), F.col("dna").alias("text")).union(texts.select(*row, F.lit("storage"), F.col("part").cast("long"), "text"))
         parts = self._cut(both.select(*row, "of", "part", F.octet_length("text").cast("long").alias("size"), folds.part_table("text").alias("t")))
         most = parts.agg(F.max("part")).first()[0]
-        if most is None:
-            return short
-        while True:  # each round joins PARTS tables at most
+        while most is not None:  # each round joins PARTS tables at most
             own = F.array_sort(F.collect_list(F.struct("part", "size", "t")))
             parts = parts.groupBy(*row, "of", F.floor(F.col("part") / PARTS).alias("part")).agg(own.alias("own"))
             parts = parts.select(*row, "of", "part", F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["size"]).alias("size"), folds.joined_tables("own").alias("t"))
             most //= PARTS
             if not most:
                 break
-        found = parts.select(*row, "of", folds.end("size", "t").alias("h")).groupBy("_row").agg(*[F.first(k).alias(k) for k in self.keys], *[F.max(F.when(F.col("of") == x, F.col("h"))).alias(f"dna_hash_{x}") for x in ("payload", "storage")])
-        return short.union(found.select(*short.columns))
+        return parts.select(*row, "of", folds.end("size", "t").alias("h")).groupBy("_row").agg(*[F.first(k).alias(k) for k in self.keys], *[F.max(F.when(F.col("of") == x, F.col("h"))).alias(f"dna_hash_{x}") for x in ("payload", "storage")])
 
     @property
     def metrics(self) -> DataFrame:
         """A row for each payload."""
-        return self._metrics().drop("_row")
+        short = self._short_metrics(())
+        return short.union(self._long_metrics().select(short.columns))
+
+    def _short_metrics(self, more: tuple[str, ...]) -> DataFrame:
+        """metrics of payloads of one chunk, with HASHES if asked: each is encoded and its blocks are checked where it lies."""
+        done = self._encoded(False).select("_row", *self.keys, "n_bytes", "segments", "best_sum", "dna")
+        done = hashed(done, ()) if more else done
+        checked = mapped(done, "dna", lambda part: [kernels.tile_checks(part.column("dna"))], "checks array<struct<gc: int, rll: int, endgc: int, nt: int>>", ("dna",))
+        own = ["n_bytes", "segments", "best_sum", *more]
+        rows = checked.select("_row", *self.keys, *own, F.inline("checks"))
+        return rates(block_summary(rows, ["_row"], F.col("nt"), [*self.keys, *own])).select(*self.keys, *METRICS, *more)
+
+    def _long_metrics(self) -> DataFrame:
+        sizes = self._long.groupBy("_row").agg(*[F.first(k).alias(k) for k in self.keys], *[F.sum(c).alias(c) for c in ("n_bytes", "segments", "best_sum")])
+        return rates(sizes.join(block_summary(constraints(chunk_blocks(self._long, [])), ["_row"]), "_row")).select("_row", *self.keys, *METRICS)
+
+
+METRICS = (
+    "n_bytes", "segments", "gc_mean", "gc_var", "rll_max", "rll_violations", "end_violations", "storage_seq_count", "nt", "avg_best_lsbm_len", "n_bits", "encoding_rate_bits_per_nt",
+    "gross_rate_bits_per_nt",
+)
+HASHES = ("dna_hash_payload", "dna_hash_storage")
+
+
+def rates(summed: DataFrame) -> DataFrame:
+    """A summary of blocks beside n_bytes, segments and best_sum, with what follows from them."""
+    bits = F.col("n_bytes") * 8
+    own = {"avg_best_lsbm_len": F.col("best_sum") / F.col("segments"), "n_bits": bits, "encoding_rate_bits_per_nt": bits / F.greatest(F.lit(1), F.col("nt")), "gross_rate_bits_per_nt": bits / (F.col("storage_seq_count") * STRAND_NT)}
+    return summed.withColumns(own)
+
 
-    def _metrics(self) -> DataFrame:
-        done, marked = self.done, self.marked
-        # Counts of both tables in one shuffle, by the same column as the blocks' own.
-        counts = done.select("_row", *self.keys, "n_bytes", "segments", F.lit(0).cast("bigint").alias("best_sum")).union(marked.select("_row", *self.keys, F.lit(0), F.lit(0), "best_sum"))
-        sizes = counts.groupBy("_row").agg(*[F.first(k).alias(k) for k in self.keys], *[F.sum(c).alias(c) for c in ("n_bytes", "segments", "best_sum")])
-        bits = F.col("n_bytes") * 8
-        return (
-            sizes.join(block_summary(constraints(chunk_blocks(done, [])), ["_row"]), "_row")
-            .withColumns({"avg_best_lsbm_len": F.col("best_sum") / F.col("segments"), "n_bits": bits, "encoding_rate_bits_per_nt": bits / F.greatest(F.lit(1), F.col("nt")), "gross_rate_bits_per_nt": bits / (F.col("storage_seq_count") * STRAND_NT)})
-            .drop("best_sum")
-        )
+def hashed(done: DataFrame, drop: tuple[str, ...]) -> DataFrame:
+    """Payloads' nucleotides (dna), each whole, with their HASHES."""
+    return mapped(done, "dna", lambda part: both_fingerprints(part.column("dna")), ", ".join(f"{h} string" for h in HASHES), drop)
 
 
 def _number(inside: str) -> F.Column:
@@ -257,5 +327,4 @@ def encode_files(spark: SparkSession, path: str, glob: str = FILES, scope: str =
 
 def fingerprints(payload: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, dna_hash_payload, dna_hash_storage): of the nucleotides and of all strands in order."""
-    storage = F.array_join(F.transform(tiles(F.col("dna")), lambda x, i: strand(i, x)), "")
-    return payload.select(*keys, fingerprint("dna").alias("dna_hash_payload"), fingerprint(storage).alias("dna_hash_storage"))
+    return hashed(payload.select(*keys, "dna"), ("dna",))
