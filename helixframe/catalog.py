@@ -181,9 +181,9 @@ def queries() -> dict:
     q["bytes_to_bits"] = lambda s, d: payloads(s, d).select("doc_id", bits.bytes_to_bits(F.col("payload")).alias("bits"))
     q["segments"] = lambda s, d: segs(s, d)
     q["nonoverlap_count"] = lambda s, d: segs(s, d).select("doc_id", "seg_id", bits.nonoverlap_count(F.col("s"), F.left("s", F.lit(5))).alias("n"))
-    q["lsbm_prefix"] = lambda s, d: reps(s, d).select("doc_id", "seg_id", "lp")
-    q["lsbm_suffix"] = lambda s, d: reps(s, d).select("doc_id", "seg_id", "ls")
-    q["lsbm_profile"] = lambda s, d: segments.profile(reps(s, d)).select("doc_id", "seg_id", "best_len", "best_hits")
+    q["lsbm_prefix"] = lambda s, d: profile(s, d).select("doc_id", "seg_id", "lp")
+    q["lsbm_suffix"] = lambda s, d: profile(s, d).select("doc_id", "seg_id", "ls")
+    q["lsbm_profile"] = lambda s, d: profile(s, d).select("doc_id", "seg_id", "best_len", "best_hits")
     q["map1_candidates"] = lambda s, d: segments.candidates(reps(s, d), KEY)
     q["map1_freq"] = freq
     q["map1_ranked"] = lambda s, d: segments.ranked(freq(s, d), [])
