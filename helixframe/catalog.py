@@ -42,12 +42,9 @@ def profile(spark, sf: str) -> DataFrame:
     return segments.chunk_profile(chunks(spark, sf), KEY, encode.CHUNK_SEGMENTS)
 
 
-def reps(spark, sf: str) -> DataFrame:
-    return segments.repeats(segs(spark, sf))
-
-
 def freq(spark, sf: str) -> DataFrame:
-    return segments.frequencies(segments.candidates(reps(spark, sf), []), [])
+    """Summed in each chunk before anything is shuffled."""
+    return segments.frequencies(segments.chunk_pairs(chunks(spark, sf)), [])
 
 
 def encoding(spark, sf: str) -> encode.Encoding:
@@ -184,7 +181,7 @@ def queries() -> dict:
     q["lsbm_prefix"] = lambda s, d: profile(s, d).select("doc_id", "seg_id", "lp")
     q["lsbm_suffix"] = lambda s, d: profile(s, d).select("doc_id", "seg_id", "ls")
     q["lsbm_profile"] = lambda s, d: profile(s, d).select("doc_id", "seg_id", "best_len", "best_hits")
-    q["map1_candidates"] = lambda s, d: segments.candidates(reps(s, d), KEY)
+    q["map1_candidates"] = lambda s, d: segments.chunk_candidates(chunks(s, d), KEY)
     q["map1_freq"] = freq
     q["map1_ranked"] = lambda s, d: segments.ranked(freq(s, d), [])
     q["map1_kept"] = lambda s, d: segments.kept(freq(s, d), [])
