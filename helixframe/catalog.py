@@ -194,7 +194,7 @@ def queries() -> dict:
     corpus = lambda s, d: encode.encode(table(s, d, "documents"), KEY, scope="corpus", by=["source"])
     q["encode_corpus"] = lambda s, d: corpus(s, d).payload
     q["corpus_codes"] = lambda s, d: corpus(s, d).codebook.select("source", F.inline(F.arrays_zip("keys", "codes")))
-    q["fallback_encode"] = lambda s, d: encode.codebook.encoded(payloads(s, d).withColumn("keys", F.lit(None).cast("array<string>")).drop("keys"), s.createDataFrame([], "doc_id long, keys array<string>, codes array<string>"), KEY).select("doc_id", F.array_join("seg_dna", "").alias("dna"))
+    q["fallback_encode"] = lambda s, d: encode.codebook.encoded_plain(payloads(s, d))
     q["quaternary_dna"] = lambda s, d: payloads(s, d).select("doc_id", bits.quaternary(F.col("payload")).alias("dna"))
     q["payload_blocks"] = lambda s, d: tiles(s, d)
     q["strand_address"] = lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", dna.address(F.col("l_orderkey") * 7).alias("address"))
