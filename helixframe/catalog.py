@@ -91,8 +91,14 @@ def files_of(spark, sf: str, by: str) -> str:
 
 
 def payload_files(spark, sf: str) -> DataFrame:
-    found = files.payload_files(spark, files_of(spark, sf, "doc_id"))
-    return found.select(F.regexp_extract("path", "name=([0-9]+)/", 1).cast("long").alias("doc_id"), "file_size_bytes", F.sha2("payload", 256).alias("sha"))
+    """A file of each document, written and read back; a number after its id keeps rows of one id apart."""
+    path = f"{new_folder(spark)}/files"
+    docs = table(spark, sf, "documents")
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("_"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    content = F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")), "UTF-8")
+    files.write_files(encode.spread(docs.select("doc_id", "text")).select(name.alias("name"), content.alias("content")), path)
+    found = files.payload_files_below(spark, path)
+    return found.select(F.regexp_extract("file_name", "^(-?[0-9]*)_", 1).try_cast("long").alias("doc_id"), "file_size_bytes", F.sha2("payload", 256).alias("sha"))
 
 
 def file_ranges(spark, sf: str) -> DataFrame:

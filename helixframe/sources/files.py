@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.sources.ranges import FILES, file_listing
+from helixframe.sources.ranges import FILES, file_listing, file_system, system_files
 
 _COMMON = "dataset STRING, file_name STRING, file_size_bytes BIGINT, runs INT"
 #: Columns of the two kinds of metric tables, in file order (fixed values). Hashes are text: digits alone, or 1e5, would
@@ -42,6 +45,52 @@ def payload_files(spark: SparkSession, path: str, glob: str = FILES) -> DataFram
     return found.select("path", F.replace(name, F.lit("-"), F.lit("_")).alias("dataset"), name.alias("file_name"), F.col("length").alias("file_size_bytes"), F.col("content").alias("payload"))
 
 
+def write_files(contents: DataFrame, path: str) -> None:
+    """A file for each row of contents (name, content): path/<task>/<name>, whose names must differ within a task. Each task writes its own, so
+    that no commit goes through them one by one; a task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, own = file_system(f"{path}/{TaskContext.get().partitionId():06d}")
+        system.create_dir(own, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                with system.open_output_stream(f"{own}/{name}") as f:
+                    f.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    contents.select("name", "content").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def payload_files_below(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
+    """payload_files() of the folders in a folder. Tasks list them, a folder each, and read the files, which are dealt out anew: neither
+    the driver nor one task knows them all."""
+    from pyarrow import fs
+
+    system, own = file_system(path)
+    folders = [x.path for x in system.get_file_info(fs.FileSelector(own)) if x.type == fs.FileType.Directory]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not folders:
+        return payload_files(spark, path, glob)
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = [x for x in system_files(path, folder, glob) if x[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.int64()))], ["path", "file_size_bytes"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(path)
+        for batch in batches:
+            for name, size in zip(batch.column("path").to_pylist(), batch.column("file_size_bytes").to_pylist(), strict=True):
+                with system.open_input_stream(name) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([f.read()], pa.binary())], ["path", "file_size_bytes", "payload"])
+
+    names = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(min(len(folders), tasks))
+    found = names.mapInArrow(listing, "path string, file_size_bytes long").repartition(tasks).mapInArrow(read, "path string, file_size_bytes long, payload binary")
+    name = basename(F.col("path"))
+    return found.select("path", F.replace(name, F.lit("-"), F.lit("_")).alias("dataset"), name.alias("file_name"), "file_size_bytes", "payload")
+
+
 def rejected_files(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
     """(path, reason) of a folder's files that payload_files() leaves out: those without a byte."""
     return file_list(spark, path, glob).where("file_size_bytes = 0").select("path", F.lit("empty").alias("reason"))

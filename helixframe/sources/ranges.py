@@ -47,6 +47,14 @@ def listed(path: str, glob: str, recursive: bool = False) -> list[tuple[str, int
     return sorted((x.path, x.size) for x in files)
 
 
+def system_files(path: str, folder: str, glob: str) -> list[tuple[str, int]]:
+    """listed() of a folder that a file system's own path names; path: any URI of that file system."""
+    from pyarrow import fs
+
+    system, _ = file_system(path)
+    return [(x.path, x.size) for x in system.get_file_info(fs.FileSelector(folder)) if x.is_file and any(fnmatchcase(x.base_name, p) for p in patterns(glob))]
+
+
 class Range(InputPartition):
     """Chunks first to last (exclusive) of a file, which is the number-th."""
 
