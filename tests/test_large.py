@@ -51,10 +51,11 @@ def test_books_in_place_equal_books_of_groups():
 def test_folds_of_any_length():
     rng = random.Random(4)
     for n in (0, 1, 499, 500, 501, 32768, 32769, 70001):
-        raw, h = rng.randbytes(n), dna.FNV_SEED
-        for b in raw:
-            h = (h ^ b) * dna.FNV_PRIME & (1 << 64) - 1
-        assert dna.fold(np.frombuffer(raw, np.uint8)) == h
+        for raw in (rng.randbytes(n), bytes(rng.choices(b"ACGT", k=n)), bytes(rng.choices(b"ACGT", k=n)) + b"N"):
+            h = dna.FNV_SEED
+            for b in raw:
+                h = (h ^ b) * dna.FNV_PRIME & (1 << 64) - 1
+            assert dna.fold(np.frombuffer(raw, np.uint8)) == h
     assert dna.strands_of(b"GAT").tobytes().decode() == "ACGTTGCATGTCAGTACGTA" + "A" * 9 + "GAT".ljust(120, "A") + "TACGACTGACATGCAACGTT"
 
 
