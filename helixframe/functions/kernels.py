@@ -3,10 +3,12 @@ repeats, greedy codes, runs of a base. Each is a row-local column; none holds mo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,9 @@ _PROFILE = {"lp": pa.int32(), "ls": pa.int32(), "best_len": pa.int32(), "best_hi
 _HEAD, _MORE = 16, 60
 #: Segments that are searched side by side, so that their words stay in a core's cache.
 _SIDE = 4096
+#: Bytes of chunks that are encoded side by side (more if one alone has more).
+_SIDE_BYTES = 1 << 14
+_NONE = np.zeros(0, np.int64)
 
 
 def _by_byte(words: list[tuple[str, str]]) -> np.ndarray:
@@ -32,6 +37,11 @@ _SPELLED = _by_byte([("0", "1")])
 _PLAIN = (_by_byte([("G", "C"), ("A", "T")]), _by_byte([("A", "T"), ("G", "C")]))
 
 
+def _eights(rows: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The row of 8 letters of each byte, one after the other."""
+    return rows.view(np.uint64)[:, 0][data].view(np.uint8)
+
+
 def _struct(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in kinds.items()])
 
@@ -55,65 +65,140 @@ def repeats_of(s: str) -> tuple[int, int]:
     return longest_repeat(s), longest_repeat(s[::-1])
 
 
-def _longest_prefixes(bits: np.ndarray) -> np.ndarray:
-    """longest_repeat() of texts of one length, a row of bits each, side by side. At each distance the first 64 bits of a text are
-    held against those that stand there; the place of the first that differs is the length, which neither the distance nor the
-    text's end may exceed. Where all 64 are alike somewhere the text is searched by itself."""
+def _rooms(size: int) -> np.ndarray:
+    """For a place in words and one in their bits: ones from the bit on that a repeat at that distance may not reach, all where there is none."""
+    at = np.arange(64)[:, None] + 64 * np.arange(size // 64 + 1)
+    room = np.minimum(at, size - at)
+    beyond = np.uint64((1 << 64) - 1) >> np.clip(room, 0, 63).astype(np.uint64)
+    return np.where(room < MIN_KEY_LEN, np.uint64((1 << 64) - 1), np.where(room > 63, np.uint64(0), beyond))
+
+
+def _apart(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """At each place in a word, for all words of each text side by side: what differs there from the text's first 64 bits, all ones for nothing."""
+    here, more = np.empty_like(words[:-1]), np.empty_like(words[:-1])
+    for r in range(64):
+        np.left_shift(words[:-1], np.uint64(r), out=here)
+        if r:
+            np.right_shift(words[1:], np.uint64(64 - r), out=more)
+            here |= more
+        here ^= words[0]
+        yield r, here
+
+
+def _longest_prefixes(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """longest_repeat() of texts of one length, a row of bits each, side by side, and how often it occurs without overlap (-1: not counted here).
+    At each distance the first 64 bits of a text are held against those that stand there; the place of the first that differs is the length,
+    which neither the distance nor the text's end may exceed. Where all 64 are alike somewhere the text is searched by itself."""
     n, size = bits.shape
     padded = np.zeros((n, (size // 64 + 2) * 64), np.uint8)
     padded[:, :size] = bits
     words = np.ascontiguousarray(np.packbits(padded, axis=1).view(">u8").T.astype(np.uint64))
-    least = np.full(n, np.iinfo(np.uint64).max)
-    more = np.empty(n, np.uint64)
-    here = np.empty(n, np.uint64)
-    for d in range(MIN_KEY_LEN, size - MIN_KEY_LEN + 1):
-        q, r = divmod(d, 64)
-        np.left_shift(words[q], np.uint64(r), out=here)
-        if r:
-            np.right_shift(words[q + 1], np.uint64(64 - r), out=more)
-            here |= more
-        here ^= words[0]
-        room = min(d, size - d)
-        if room < 64:
-            here |= np.uint64(1 << 63 - room)
-        np.minimum(least, here, out=least)
+    all_least = np.full((len(words) - 1, n), np.iinfo(np.uint64).max)
+    rooms = _rooms(size)
+    for r, here in _apart(words):
+        here |= rooms[r, :, None]
+        np.minimum(all_least, here, out=all_least)
+    least = all_least.min(axis=0)
     high = least >> np.uint64(32)
     length = np.where(high > 0, 32 - np.frexp(high.astype(float))[1], 64 - np.frexp((least & np.uint64(0xFFFFFFFF)).astype(float))[1])
     length[length < MIN_KEY_LEN] = 0
-    for k in np.flatnonzero(least == 0).tolist():
-        length[k] = longest_repeat((bits[k] + 48).tobytes().decode(), 64)
-    return length
+    alike = np.flatnonzero(least == 0)
+    slid = np.packbits(np.lib.stride_tricks.sliding_window_view(bits[alike], 8, axis=1), axis=2)[:, :, 0]
+    for k, own in zip(alike.tolist(), slid, strict=True):
+        length[k] = _longest_slid(own.tobytes().decode("latin-1"))
+    hits = np.where(length > 0, -1, 0)
+    counted = np.flatnonzero((length > 0) & (length <= 64))
+    if len(counted):
+        hits[counted] = _occurrences(np.ascontiguousarray(words[:, counted]), length[counted], size)
+    return length, hits
+
+
+def _occurrences(words: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """How often the first bits of each text, 64 at most, occur in it, left to right without overlap."""
+    stands = np.empty((64, len(words) - 1, words.shape[1]), bool)
+    drop = (64 - length).astype(np.uint64)
+    for r, here in _apart(words):
+        np.right_shift(here, drop, out=here)
+        np.equal(here, 0, out=stands[r])
+    wide = 64 * (len(words) - 1)
+    at, text = np.divmod(np.flatnonzero(stands), words.shape[1])
+    at = at // (len(words) - 1) + at % (len(words) - 1) * 64
+    fits = at + length[text] <= size
+    place = np.sort((text * wide + at)[fits])
+    text = place // wide
+    after = np.searchsorted(place, place + length[text])  # the next that may stand beside each
+    here = np.searchsorted(place, np.arange(len(length)) * wide)
+    count, own = np.zeros(len(length), np.int64), np.arange(len(length))
+    while len(own):
+        inside = here < len(place)
+        own, here = own[inside], here[inside]
+        inside = text[here] == own
+        own, here = own[inside], here[inside]
+        count[own] += 1
+        here = after[here]
+    return count
+
+
+def _longest_slid(slid: str) -> int:
+    """longest_repeat() of a text of which the first 64 bits recur, by its sliding bytes."""
+    low, high = 64, (len(slid) + 7) // 2
+    while low < high:  # what holds of a length holds of all shorter ones
+        n = (low + high + 1) // 2
+        low, high = (n, high) if slid.find(slid[: n - 7], n) >= 0 else (low, n - 1)
+    return low
 
 
 def repeats_side_by_side(bits: np.ndarray) -> tuple[list[int], list[int]]:
     """repeats_of() of texts of one length, a row of bits each."""
-    lp, ls = [], []
+    return tuple(_counted_side_by_side(bits)[:2])
+
+
+def _counted_side_by_side(bits: np.ndarray) -> list[list[int]]:
+    """repeats_of() of texts of one length, a row of bits each, and how often each repeat occurs (-1: not counted here)."""
+    found: list[list[int]] = [[], [], [], []]
     for a in range(0, len(bits), _SIDE):
         own = bits[a : a + _SIDE]
-        lp += _longest_prefixes(own).tolist()
-        ls += _longest_prefixes(own[:, ::-1]).tolist()
-    return lp, ls
+        lp, np_hits = _longest_prefixes(own)
+        ls, ns_hits = _longest_prefixes(own[:, ::-1])  # as many of a suffix fit from the right as from the left
+        for into, x in zip(found, (lp, ls, np_hits, ns_hits), strict=True):
+            into += x.tolist()
+    return found
 
 
-def found_in(raws: list[bytes]) -> Iterator[list[tuple[str, str, int, int]]]:
-    """(segment, its sliding bytes, longest repeating prefix, suffix) of each segment of each chunk of whole segments."""
+def found_in(raws: list[bytes]) -> Iterator[list[tuple[str, int, int, int, int]]]:
+    """(segment, longest repeating prefix, suffix, occurrences of each) of each segment of each chunk of whole segments."""
     bits = [bits_of(x) for x in raws]
     whole = [len(b) // SEGMENT_BITS for b, _ in bits]
-    lp, ls = repeats_side_by_side(np.concatenate([np.zeros((0, SEGMENT_BITS), np.uint8), *[b[: n * SEGMENT_BITS].reshape(n, SEGMENT_BITS) for (b, _), n in zip(bits, whole, strict=True)]]))
-    at = 0
+    found = _counted_side_by_side(np.concatenate([np.zeros((0, SEGMENT_BITS), np.uint8), *[b[: n * SEGMENT_BITS].reshape(n, SEGMENT_BITS) for (b, _), n in zip(bits, whole, strict=True)]]))
+    rows = iter(zip(*found, strict=True))
     for raw, (_, text), n in zip(raws, bits, whole, strict=True):
-        slid = sliding(raw)
-        own = [(text[a : a + SEGMENT_BITS], slid[a : a + SEGMENT_BITS - 7], p, q) for a, p, q in zip(range(0, n * SEGMENT_BITS, SEGMENT_BITS), lp[at : at + n], ls[at : at + n], strict=True)]
+        own = [(text[a : a + SEGMENT_BITS], *x) for a, x in zip(range(0, n * SEGMENT_BITS, SEGMENT_BITS), itertools.islice(rows, n), strict=True)]
         rest = text[n * SEGMENT_BITS :]
-        yield [*own, (rest, slid[n * SEGMENT_BITS : len(text) - 7], *repeats_of(rest))] if rest else own
-        at += n
+        if rest:
+            own.append((rest, *repeats_of(rest), -1, -1))
+        missing = [k for k, x in enumerate(own) if x[3] < 0 or x[4] < 0]
+        slid = sliding(raw) if missing else ""
+        for k in missing:
+            s, lp, ls, first, last = own[k]
+            here = slid[k * SEGMENT_BITS : k * SEGMENT_BITS + len(s) - 7]
+            own[k] = (s, lp, ls, first if first >= 0 else count_of(s, here, 0, lp) if lp else 0, last if last >= 0 else count_of(s, here, len(s) - ls, ls) if ls else 0)
+        yield own
+
+
+def sliding_bits(s: str) -> str:
+    """sliding() of a text of bits, without places that have fewer than eight."""
+    bits = np.frombuffer(s.encode("ascii"), np.uint8) & 1
+    return np.packbits(np.lib.stride_tricks.sliding_window_view(bits, 8), axis=1).tobytes().decode("latin-1") if len(bits) > 7 else ""
 
 
 def sliding(raw: bytes) -> str:
     """At each bit the byte that begins there, as a letter: texts of 256 letters are searched several times as fast as texts of two."""
     wide = np.frombuffer(raw + b"\0", np.uint8).astype(np.uint16)
     wide = wide[:-1] << 8 | wide[1:]
-    return (wide[:, None] >> np.arange(8, 0, -1, dtype=np.uint16)).astype(np.uint8).tobytes().decode("latin-1")
+    out = np.empty((len(wide), 8), np.uint8)
+    for r in range(8):
+        out[:, r] = wide >> np.uint16(8 - r)
+    return out.tobytes().decode("latin-1")
 
 
 def count_of(s: str, slid: str, at: int, size: int) -> int:
@@ -126,14 +211,13 @@ def count_of(s: str, slid: str, at: int, size: int) -> int:
     return n
 
 
-def entries(s: str, slid: str, lp: int, ls: int) -> list[tuple[str, int]]:
+def entries(s: str, lp: int, ls: int, first: int, last: int) -> list[tuple[str, int]]:
     """(substr, hits) of a segment: its repeating prefix, and suffix unless it is a prefix no longer than that."""
     if len(s) <= MIN_KEY_LEN:
         return []
-    out = [(s[:lp], count_of(s, slid, 0, lp))] if lp >= MIN_KEY_LEN else []
-    suffix = s[len(s) - ls :]
-    if ls >= MIN_KEY_LEN and not (ls <= lp and suffix == s[:ls]):
-        out.append((suffix, count_of(s, slid, len(s) - ls, ls)))
+    out = [(s[:lp], first)] if lp >= MIN_KEY_LEN else []
+    if ls >= MIN_KEY_LEN and not (ls <= lp and s.endswith(s[:ls])):
+        out.append((s[len(s) - ls :], last))
     return out
 
 
@@ -144,7 +228,7 @@ def bits_of(raw: bytes) -> tuple[np.ndarray, str]:
 
 def spelled(raws: pa.Array) -> pa.Array:
     """Binaries as '0' and '1', most significant bit first; null for null."""
-    return pa.array([None if x is None else _SPELLED[np.frombuffer(x, np.uint8)].tobytes().decode() for x in raws.to_pylist()], pa.string())
+    return pa.array([None if x is None else _eights(_SPELLED, np.frombuffer(x, np.uint8)).tobytes().decode() for x in raws.to_pylist()], pa.string())
 
 
 def segments_of(text: str) -> list[str]:
@@ -170,18 +254,24 @@ def _lists(rows: list[list], kinds: dict[str, pa.DataType]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array([x[k] for x in flat], kind) for k, kind in enumerate(kinds.values())], list(kinds)))
 
 
-def chunk_repeats(chunks: pa.Array) -> list[pa.Array]:
+def chunk_tables(raws: list[bytes]) -> tuple[list[int], list[dict[str, int]]]:
     """Of chunks of whole segments: the sum of their best lengths, and their entries, hits summed."""
-    sums, pairs = [], []
-    for own in found_in(chunks.to_pylist()):
+    sums, tables = [], []
+    for own in found_in(raws):
         total, hits = 0, {}
-        for s, slid, lp, ls in own:
-            total += max(lp, ls) if len(s) > MIN_KEY_LEN else 0
-            for x, n in entries(s, slid, lp, ls):
+        for row in own:
+            total += max(row[1:3]) if len(row[0]) > MIN_KEY_LEN else 0
+            for x, n in entries(*row):
                 hits[x] = hits.get(x, 0) + n
         sums.append(total)
-        pairs.append(list(hits.items()))
-    return [pa.array(sums, pa.int64()), _lists(pairs, _PAIR)]
+        tables.append(hits)
+    return sums, tables
+
+
+def chunk_repeats(chunks: pa.Array) -> list[pa.Array]:
+    """chunk_tables() as columns."""
+    sums, tables = chunk_tables(chunks.to_pylist())
+    return [pa.array(sums, pa.int64()), _lists([list(x.items()) for x in tables], _PAIR)]
 
 
 def chunk_profiles(chunks: pa.Array) -> list[pa.Array]:
@@ -189,9 +279,11 @@ def chunk_profiles(chunks: pa.Array) -> list[pa.Array]:
     rows = []
     for own in found_in(chunks.to_pylist()):
         row = []
-        for s, slid, lp, ls in own:
+        for s, lp, ls, first, last in own:
             best = max(lp, ls) if len(s) > MIN_KEY_LEN else 0
-            row.append((lp, ls, best, max(count_of(s, slid, 0, best), count_of(s, slid, len(s) - best, best)) if best else 0))
+            slid = sliding_bits(s) if best and lp != ls else ""
+            ends = (first if lp == best else count_of(s, slid, 0, best), last if ls == best else count_of(s, slid, len(s) - best, best)) if best else (0, 0)
+            row.append((lp, ls, best, max(ends)))
         rows.append(row)
     return [_lists(rows, _PROFILE)]
 
@@ -201,60 +293,197 @@ def chunk_entries(chunks: pa.Array) -> list[pa.Array]:
     return [_lists([[e for x in own for e in entries(*x)] for own in found_in(chunks.to_pylist())], _PAIR)]
 
 
-def coder(keys: list[str], codes: list[str]) -> Callable[[bytes], list[str]]:
-    """A function from bytes to the nucleotides of each of their segments: at each place the longest key that fits in the
-    segment, else two bits. Places where the first bits of a key stand are found for all bits at once; between matches the
-    two-bit code of either alignment is cut out whole."""
-    more = min([_MORE, *map(len, keys)])
-    starts: dict[str, list[tuple[str, str]]] = {}
-    for k, c in sorted(zip(keys, codes, strict=True), key=lambda x: -len(x[0])):
-        starts.setdefault(k[:more], []).append((k, c))
-    # A key is a range of the numbers that the next _MORE bits spell; ranges lie within each other or apart, and the outermost are kept.
-    known, low, high = np.zeros(1 << _HEAD, bool), [], []
-    for k in sorted({x[:_MORE] for x in keys}):
-        if low and k.startswith(outer):
-            continue
-        outer = k
-        low.append(int(k, 2) << _MORE - len(k))
-        high.append(low[-1] + (1 << _MORE - len(k)))
-        known[low[-1] >> _MORE - _HEAD : (high[-1] - 1 >> _MORE - _HEAD) + 1] = True
-    first, beyond = np.array(low, np.uint64), np.array(high, np.uint64)
-    shifts = np.arange(24 - _HEAD, 16 - _HEAD, -1, dtype=np.uint32)
-
-    def run(raw: bytes) -> list[str]:
-        data, n = np.frombuffer(raw, np.uint8), 8 * len(raw)
-        text = _SPELLED[data].tobytes().decode()
-        plain = [_PLAIN[odd][data].tobytes().decode() for odd in (0, 1)]  # the pair that begins at an even place, or at an odd one
-        found: list[int] = []
-        if starts and n >= more:
-            padded = np.frombuffer(raw + bytes(9), np.uint8)
-            wide = padded.astype(np.uint32)
-            wide = (wide[:-9] << 16) | (wide[1:-8] << 8) | wide[2:-7]
-            place = np.flatnonzero(known[(wide[:, None] >> shifts).astype(np.uint16).ravel()[: n - more + 1]])
-            at, by = place >> 3, (place & 7).astype(np.uint64)
-            eight = np.ndarray(len(raw) + 1, ">u8", padded, strides=(1,))
-            bits = (eight[at].astype(np.uint64) << by | padded[at + 8].astype(np.uint64) >> (np.uint64(8) - by)) >> np.uint64(64 - _MORE)
-            own = np.searchsorted(first, bits, "right") - 1
-            found = place[(own >= 0) & (bits < beyond[own])].tolist()
-        out, c, end = [], 0, len(found)
-        for a in range(0, n, SEGMENT_BITS):
-            b, at, parts = min(n, a + SEGMENT_BITS), a, []
-            while c < end and (p := found[c]) < b:
-                c += 1
-                if p < at or (p - at) & 1:
-                    continue
-                for key, code in starts[text[p : p + more]]:
-                    if p + len(key) <= b and text.startswith(key, p):
-                        parts += (plain[at & 1][at:p], code)
-                        at = p + len(key)
-                        break
-            parts.append(plain[at & 1][at:b])
-            if (b - at) & 1:  # a lone last bit stands as if a 0 followed
-                parts.append("A")
-            out.append("".join(parts))
+class Book:
+    """Keys and codes of a code table, sorted so that the longest key that stands at a place is found for all places at once. A key of
+    up to _MORE bits is a range of the numbers that so many bits spell; ranges lie within each other or apart, so that the innermost one around a
+    number is the last that begins before it, or one around that. Longer keys with the same first bits are one range, and are told apart by
+    all their bits, the same way."""
+
+    def __init__(self, keys: list[str], codes: list[str]):
+        self.least = min(map(len, keys), default=0)
+        nodes: list[tuple[str, int]] = []  # first bits, and the key's number; -1: longer keys begin with them
+        longer: list[tuple[str, int]] = []
+        for key, k in sorted(zip(keys, range(len(keys)), strict=True)):
+            if len(key) <= _MORE:
+                nodes.append((key, k))
+                continue
+            if not nodes or nodes[-1] != (key[:_MORE], -1):
+                nodes.append((key[:_MORE], -1))
+            longer.append((key, k))
+        self.known = np.zeros(1 << _HEAD, bool)
+        self.number = np.array([k for _, k in nodes], np.int64)
+        self.low = np.array([int(x, 2) << _MORE - len(x) for x, _ in nodes], np.uint64)
+        self.width = np.array([1 << _MORE - len(x) for x, _ in nodes], np.uint64)
+        self.around = np.array(_around([x for x, _ in nodes]), np.int64)
+        for a, n, top in zip(self.low.tolist(), self.width.tolist(), self.around.tolist(), strict=True):
+            if top < 0:
+                self.known[a >> _MORE - _HEAD : (a + n - 1 >> _MORE - _HEAD) + 1] = True
+        self.size = np.array([*map(len, keys), 0], np.int64)  # the last one: of no key
+        self.bytes = -(-max((len(x) for x, _ in longer), default=0) // 8)
+        edge = lambda bit: np.array([int(x.ljust(8 * self.bytes, bit), 2).to_bytes(self.bytes) for x, _ in longer], f"S{self.bytes or 1}")
+        self.first, self.last = edge("0"), edge("1")
+        self.long_number = np.array([k for _, k in longer], np.int64)
+        self.long_around = np.array(_around([x for x, _ in longer]), np.int64)
+        self.code_size = np.array([*map(len, codes), 0], np.int64)
+        self.letters = "".join(codes).encode("ascii")
+
+    def matches(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places (bits) of a chunk at which a key stands that fits in the place's segment, and the longest such key's number."""
+        n = 8 * len(raw)
+        if not len(self.low) or n < self.least:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        padded = np.frombuffer(raw + bytes(9), np.uint8)
+        wide = padded.astype(np.uint32)
+        wide = (wide[:-9] << 16) | (wide[1:-8] << 8) | wide[2:-7]
+        stands = np.empty((len(raw), 8), bool)
+        for r in range(8):
+            stands[:, r] = self.known[(wide >> np.uint32(24 - _HEAD - r)).astype(np.uint16)]
+        place = np.flatnonzero(stands.ravel()[: n - self.least + 1])
+        at, by = place >> 3, (place & 7).astype(np.uint64)
+        eight = np.ndarray(len(raw) + 1, ">u8", padded, strides=(1,))
+        bits = (eight[at].astype(np.uint64) << by | padded[at + 8].astype(np.uint64) >> (np.uint64(8) - by)) >> np.uint64(64 - _MORE)
+        room = np.minimum(n, (place // SEGMENT_BITS + 1) * SEGMENT_BITS) - place
+        node = np.searchsorted(self.low, bits, "right") - 1
+        key = self.number[node]
+        inside = (node >= 0) & (bits - self.low[node] < self.width[node])
+        found = np.where(inside & (key >= 0) & (self.size[key] <= room), key, -1)
+        if self.bytes and (many := np.flatnonzero(inside & (key < 0))).size:
+            found[many] = self._longer(padded, place[many], room[many])
+        # Where none stands or fits, one around it may.
+        left = np.flatnonzero((found < 0) & (node >= 0))
+        node = self.around[node[left]]
+        while len(left := left[node >= 0]):
+            node = node[node >= 0]
+            key = self.number[node]  # longer keys have no others around them but shorter ones
+            fits = (bits[left] - self.low[node] < self.width[node]) & (self.size[key] <= room[left])
+            found[left[fits]] = key[fits]
+            left, node = left[~fits], self.around[node[~fits]]
+        some = np.flatnonzero(found >= 0)
+        return place[some], found[some]
+
+    def _longer(self, padded: np.ndarray, place: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Numbers of the longest keys of more than _MORE bits at places, -1 where none stands."""
+        out = np.full(len(place), -1)
+        data = np.concatenate((padded, np.zeros(self.bytes, np.uint8)))
+        for a in range(0, len(place), _SIDE):
+            own = place[a : a + _SIDE]
+            rows = data[(own >> 3)[:, None] + np.arange(self.bytes + 1)].astype(np.uint16)
+            rows = (((rows[:, :-1] << 8 | rows[:, 1:]) << (own & 7).astype(np.uint16)[:, None]) >> 8).astype(np.uint8).view(self.first.dtype).ravel()
+            node = np.searchsorted(self.first, rows, "right") - 1
+            left = np.flatnonzero(node >= 0)
+            while len(left):
+                here = node[left]
+                fits = (rows[left] <= self.last[here]) & (self.size[self.long_number[here]] <= room[a + left])
+                out[a + left[fits]] = self.long_number[here[fits]]
+                node[left] = self.long_around[here]
+                left = left[~fits & (node[left] >= 0)]
         return out
 
-    return run
+
+def _around(texts: list[str]) -> list[int]:
+    """For each of sorted texts the number of the longest other one that it begins with, -1 if none."""
+    out, above = [], []
+    for k, x in enumerate(texts):
+        while above and not x.startswith(texts[above[-1]]):
+            above.pop()
+        out.append(above[-1] if above else -1)
+        above.append(k)
+    return out
+
+
+def greedy(raws: list[bytes], books: list[Book]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nucleotides of chunks, each by its book, one after the other; the end of each segment's among them, and the number of segments
+    before each chunk's end. At each place stands the longest key that fits in the segment, else two bits. The walk from key to key takes a step
+    in all segments at once; what lies between keys is cut out of the two-bit code of either alignment."""
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    sizes = np.array([8 * len(x) for x in raws], np.int64)
+    base = np.cumsum(sizes) - sizes
+    count = -(-sizes // SEGMENT_BITS)
+    last = np.cumsum(count)
+    ends = np.repeat(base, count) + np.minimum((np.arange(count.sum()) - np.repeat(last - count, count) + 1) * SEGMENT_BITS, np.repeat(sizes, count))
+    places, segments, lengths, codes, code_sizes, letters, drawn = [_NONE], [_NONE], [_NONE], [_NONE], [_NONE], [], 2 * len(data) * 8
+    seen: dict[int, tuple[int, np.ndarray]] = {}
+    for raw, book, begin, segment in zip(raws, books, base.tolist(), (last - count).tolist(), strict=True):
+        place, key = book.matches(raw)
+        segments.append(place // SEGMENT_BITS + segment)
+        if id(book) not in seen:
+            seen[id(book)] = drawn, np.cumsum(book.code_size) - book.code_size
+            letters.append(book.letters)
+            drawn += len(book.letters)
+        begins, inside = seen[id(book)]
+        places.append(place + begin)
+        lengths.append(book.size[key])
+        codes.append(begins + inside[key])
+        code_sizes.append(book.code_size[key])
+    place, of, length, code, code_size = (np.concatenate(x) for x in (places, segments, lengths, codes, code_sizes))
+    source = np.concatenate([*(_eights(x, data) for x in _PLAIN), np.frombuffer(b"".join(letters) + b"A", np.uint8)])
+    taken = _walked(place, place + length, of, ends)
+    place, of, length, code, code_size = (x[taken] for x in (place, of, length, code, code_size))
+    # What follows each other: a key with the plain bits before it, and the plain bits at the end of a segment, with an A if there is a lone one.
+    total = len(place) + len(ends)
+    keys_at, ends_at = np.arange(len(place)) + of, np.searchsorted(place, ends) + np.arange(len(ends))
+    begin, stop = np.empty(total, np.int64), np.zeros(total + 1, np.int64)
+    begin[keys_at], begin[ends_at] = place, ends
+    stop[keys_at + 1], stop[ends_at + 1] = place + length, ends
+    stop = stop[:-1]  # where the one before ended
+    source_at, size = np.empty((total, 2), np.int64), np.empty((total, 2), np.int64)
+    source_at[:, 0], size[:, 0] = stop + (stop & 1) * (len(data) * 8), begin - stop
+    source_at[keys_at, 1], size[keys_at, 1] = code, code_size
+    source_at[ends_at, 1], size[ends_at, 1] = len(source) - 1, (begin - stop)[ends_at] & 1
+    size, source_at = size.ravel(), source_at.ravel()
+    done = np.cumsum(size)
+    index = np.repeat((source_at - done + size).astype(np.int32), size)
+    index += np.arange(len(index), dtype=np.int32)
+    return source[index], done[1::2][ends_at], last
+
+
+def _walked(place: np.ndarray, stop: np.ndarray, of: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the keys that stand at places, in order, are taken: from a segment's beginning, or a key's end, the next one at an even distance. of:
+    places' segments."""
+    if not len(place):
+        return _NONE
+    # For each place the next key at an even distance from it, by those at even places and at odd ones.
+    n, following = int(ends[-1]) + 1, []
+    for odd in (0, 1):
+        side = np.flatnonzero((place & 1) == odd)
+        following.append(np.repeat(np.append(side, -1).astype(np.int32), np.diff(place[side], prepend=-1, append=n - 1)))
+    following = np.concatenate(following)
+    after = following[stop + (stop & 1) * n]
+    after[of[after] != of] = -1
+    begin = np.concatenate(([0], ends[:-1]))  # segments begin at even places
+    here = following[begin]
+    here[of[here] != np.arange(len(ends))] = -1
+    taken = np.zeros(len(place), bool)
+    while len(here := here[here >= 0]):
+        taken[here] = True
+        here = after[here]
+    return np.flatnonzero(taken)
+
+
+def encoded_rows(raws: list[bytes], books: Iterable[Book], listed: bool) -> pa.Array:
+    """The nucleotides of each chunk, by its book; listed: a list of those of each segment. A few chunks are worked on side by side."""
+    parts, held, size = [], [], 0
+    for raw, book in itertools.chain(zip(raws, books, strict=True), [(None, None)]):
+        if held and (raw is None or size + len(raw) > _SIDE_BYTES):
+            letters, ends, last = greedy(*map(list, zip(*held, strict=True)))
+            cuts = np.concatenate(([0], ends)).astype(np.int32)
+            last = np.concatenate(([0], last)).astype(np.int32)
+            own = pa.py_buffer(np.ascontiguousarray(letters))
+            if listed:
+                parts.append(pa.ListArray.from_arrays(pa.array(last), pa.StringArray.from_buffers(len(ends), pa.py_buffer(cuts), own)))
+            else:
+                parts.append(pa.StringArray.from_buffers(len(held), pa.py_buffer(np.ascontiguousarray(cuts[last])), own))
+            held, size = [], 0
+        if raw is not None:
+            held.append((raw, book))
+            size += len(raw)
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()) if listed else pa.string())
+
+
+def coder(keys: list[str], codes: list[str]) -> Callable[[bytes], list[str]]:
+    """A function from bytes to the nucleotides of each of their segments."""
+    book = Book(keys, codes)
+    return lambda raw: encoded_rows([raw], [book], True)[0].as_py()
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -278,36 +507,47 @@ def checks(block: pa.Array) -> pa.Array:
 def check_columns(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """gc, rll and endgc of checks()."""
     data = np.frombuffer("".join(x or "" for x in texts).encode("ascii", "replace"), np.uint8)
-    size = np.array([len(x or "") for x in texts], np.int64)
-    ends = np.cumsum(size)
-    at = ends - size
-    strong = np.concatenate(([0], np.cumsum((data == ord("G")) | (data == ord("C")))))
-    rll = np.ones(len(texts), np.int64)
-    some = np.flatnonzero(size)
+    return checks_of(data, np.cumsum([len(x or "") for x in texts], dtype=np.int64))
+
+
+def checks_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gc, rll and endgc of texts that lie one after the other, each up to its end."""
+    at = np.concatenate(([0], ends))[:-1]
+    strong = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data == ord("G")) | (data == ord("C")), out=strong[1:])
+    rll = np.ones(len(ends), np.int64)
+    some = np.flatnonzero(ends > at)
     if len(some):
-        new = np.concatenate(([True], data[1:] != data[:-1]))
+        new = np.empty(len(data), bool)
+        np.not_equal(data[1:], data[:-1], out=new[1:])
         new[at[some]] = True
         runs = np.flatnonzero(new)
-        lengths = np.diff(np.concatenate((runs, [len(data)])))
+        lengths = np.diff(runs, append=len(data))
         rll[some] = np.maximum.reduceat(lengths, np.searchsorted(runs, at[some]))
     return strong[ends] - strong[at], rll, strong[ends] - strong[np.maximum(at, ends - END_NT)]
 
 
-def tiles(dna: pa.Array) -> pa.Array:
-    """Pieces of 120 nucleotides in order, the last one may be short: a list a text, cut out of all texts' bytes at once."""
-    texts = [x or "" for x in dna.to_pylist()]
-    size = np.array([len(x) for x in texts], np.int64)
+def _cuts(dna: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts, one after the other; where pieces of 120 of them begin, with the end of all; and the number of pieces before each text,
+    with that of all. A null has none."""
+    size = pc.fill_null(pc.binary_length(dna), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = pc.fill_null(dna, "").cast(pa.string())
+    offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int32)
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(own) else np.zeros(0, np.uint8)
     count = -(-size // PAYLOAD_NT)
     first = np.cumsum(size) - size
     begin = np.repeat(first - (np.cumsum(count) - count) * PAYLOAD_NT, count) + np.arange(count.sum()) * PAYLOAD_NT
-    cuts = np.concatenate((begin, [size.sum()])).astype(np.int32)
-    inside = pa.StringArray.from_buffers(int(count.sum()), pa.py_buffer(cuts.tobytes()), pa.py_buffer("".join(texts).encode("ascii")))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), inside)
+    return data, np.concatenate((begin, [size.sum()])), np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+
+
+def tiles(dna: pa.Array) -> pa.Array:
+    """Pieces of 120 nucleotides in order, the last one may be short: a list a text, cut out of all texts' bytes at once."""
+    data, cuts, before = _cuts(dna)
+    return pa.ListArray.from_arrays(pa.array(before), pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))))
 
 
 def tile_checks(dna: pa.Array) -> pa.Array:
     """What checks() finds, and the length, of each of tiles()."""
-    own = tiles(dna)
-    found = check_columns(own.values.to_pylist())
-    size = pa.array([len(x) for x in own.values.to_pylist()], pa.int32())
-    return pa.ListArray.from_arrays(own.offsets, pa.StructArray.from_arrays([*[pa.array(c, pa.int32()) for c in found], size], ["gc", "rll", "endgc", "nt"]))
+    data, cuts, before = _cuts(dna)
+    found = [*checks_of(data, cuts[1:]), np.diff(cuts)]
+    return pa.ListArray.from_arrays(pa.array(before), pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in found], ["gc", "rll", "endgc", "nt"]))

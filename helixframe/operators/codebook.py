@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.constants import TABLE_CAP
-from helixframe.functions.kernels import coder, encode_bytes
+from helixframe.functions.kernels import Book, chunk_tables, encode_bytes, encoded_rows
 from helixframe.functions.slices import mapped, slices
 from helixframe.operators.segments import meet
 
@@ -22,15 +21,23 @@ def tree_codes(freqs: list[int]) -> list[str]:
     levels and A or T on even ones."""
     if len(freqs) < 2:
         return [""] * len(freqs)
-    heap = [(f, k) for k, f in enumerate(freqs)]
-    heapq.heapify(heap)
+    leaves = sorted(zip(freqs, range(len(freqs))))
+    made: list[tuple[int, int]] = []  # inner nodes weigh no less than those before them, and are younger than leaves
     above: dict[int, tuple[int, int]] = {}
-    fresh = len(freqs)
-    while len(heap) > 1:
-        (f, a), (g, b) = heapq.heappop(heap), heapq.heappop(heap)
-        above[a], above[b] = (fresh, 0), (fresh, 1)
-        heapq.heappush(heap, (f + g, fresh))
-        fresh += 1
+    a, b, n = 0, 0, len(leaves)
+    for fresh in range(n, 2 * n - 1):
+        weight = 0
+        for side in (0, 1):
+            if a < n and (b == len(made) or leaves[a] < made[b]):
+                f, k = leaves[a]
+                a += 1
+            else:
+                f, k = made[b]
+                b += 1
+            above[k] = (fresh, side)
+            weight += f
+        made.append((weight, fresh))
+    fresh += 1
     sides: dict[int, str] = {fresh - 1: ""}
     for node in range(fresh - 2, -1, -1):  # parents are younger than their children
         parent, side = above[node]
@@ -54,41 +61,61 @@ def codebooks(table: DataFrame, by: list[str]) -> DataFrame:
 
 def kept_rows(pairs: list[tuple[str, int]], cap: int = TABLE_CAP) -> list[tuple[str, int]]:
     """What segments.kept() keeps of one payload's table, in its order."""
-    rows = sorted(pairs, key=lambda r: (-len(r[0]), -r[1], r[0]))
+    rows = [(s, -n) for _, n, s in sorted([(-len(s), -n, s) for s, n in pairs])]
     top = rows[:cap]
     floor = 2 * (len(top) - 1).bit_length() + 1
     return top if len(top) < 2 else [r for r in top if len(r[0]) >= floor] or rows
 
 
+def own_book(pairs: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
+    """Keys and codes of a payload's whole table."""
+    rows = kept_rows(pairs)
+    own = [(k, c) for (k, _), c in zip(rows, tree_codes([f for _, f in rows]), strict=True) if len(c) >= 2]
+    return [k for k, _ in own], [c for _, c in own]
+
+
 def own_books(pairs: pa.Array) -> Iterator[tuple[list[str], list[str]]]:
-    """Keys and codes of payloads each of which has its whole table in one row (lists of substr and hits)."""
+    """own_book() of payloads each of which has its table in one row (lists of substr and hits)."""
     ends, flat = pairs.offsets.to_pylist(), pairs.values
     substr, hits = flat.field("substr").to_pylist(), flat.field("hits").to_pylist()
     for a, b in zip(ends[:-1], ends[1:], strict=True):
-        rows = kept_rows(list(zip(substr[a:b], hits[a:b], strict=True)))
-        own = [(k, c) for (k, _), c in zip(rows, tree_codes([f for _, f in rows]), strict=True) if len(c) >= 2]
-        yield [k for k, _ in own], [c for _, c in own]
+        yield own_book(list(zip(substr[a:b], hits[a:b], strict=True)))
+
+
+def _in_place(part: pa.RecordBatch) -> tuple[list[pa.Array], Iterator[tuple[list[str], list[str]]]]:
+    """best_sum, if the chunks' repeats aren't there yet, and each payload's book."""
+    if "pairs" in part.schema.names:
+        return [], own_books(part.column("pairs"))
+    sums, tables = chunk_tables(part.column("bytes").to_pylist())
+    return [pa.array(sums, pa.int64())], (own_book(list(x.items())) for x in tables)
+
+
+def _with_sums(chunks: DataFrame, more: str) -> tuple[str, tuple[str, ...]]:
+    """The columns that _in_place() and `more` add, and those that go."""
+    return (more, ("pairs", "bytes")) if "pairs" in chunks.columns else (f"best_sum long, {more}", ("bytes",))
 
 
 def books_in_place(chunks: DataFrame) -> DataFrame:
-    """chunks of payloads of one chunk, with keys and codes for pairs: a payload's table lies in its row, and nothing moves."""
+    """chunks of payloads of one chunk, with keys and codes for bytes and pairs: a payload's table lies in its row, or is made there, and nothing moves."""
 
     def kernel(part: pa.RecordBatch) -> list[pa.Array]:
-        own = list(own_books(part.column("pairs")))
-        return [pa.array([x[k] for x in own], pa.list_(pa.string())) for k in (0, 1)]
+        sums, books = _in_place(part)
+        own = list(books)
+        return [*sums, *[pa.array([x[k] for x in own], pa.list_(pa.string())) for k in (0, 1)]]
 
-    return mapped(chunks, "bytes", kernel, "keys array<string>, codes array<string>", ("pairs", "bytes"))
+    return mapped(chunks, "bytes", kernel, *_with_sums(chunks, "keys array<string>, codes array<string>"))
 
 
-def encoded_in_place(chunks: DataFrame, listed: bool) -> DataFrame:
-    """chunks of payloads of one chunk with dna for bytes and pairs, by each payload's own code table; listed: with seg_dna, the nucleotides of
-    each segment."""
+def encoded_in_place(chunks: DataFrame, more: str = "dna string", then: Callable[[pa.Array], list[pa.Array]] = lambda dna: [dna], listed: bool = False) -> DataFrame:
+    """chunks of payloads of one chunk with best_sum, and with what `then` makes of their nucleotides for bytes and pairs, by each payload's own
+    code table; listed: of the nucleotides of each segment. A payload's repeats (unless they are there), its table, its nucleotides and what is
+    made of them take one pass over it, and no more than that leaves the task."""
 
     def kernel(part: pa.RecordBatch) -> list[pa.Array]:
-        rows = [coder(*own)(raw) for raw, own in zip(part.column("bytes").to_pylist(), own_books(part.column("pairs")), strict=True)]
-        return [pa.array(rows, pa.list_(pa.string())) if listed else pa.array(["".join(x) for x in rows], pa.string())]
+        sums, books = _in_place(part)
+        return [*sums, *then(encoded_rows(part.column("bytes").to_pylist(), (Book(*own) for own in books), listed))]
 
-    return mapped(chunks, "bytes", kernel, "seg_dna array<string>" if listed else "dna string", ("pairs", "bytes"))
+    return mapped(chunks, "bytes", kernel, *_with_sums(chunks, more))
 
 
 def encoded_packs(packs: DataFrame, books: DataFrame, by: list[str], few: bool, listed: bool) -> DataFrame:
@@ -96,25 +123,25 @@ def encoded_packs(packs: DataFrame, books: DataFrame, by: list[str], few: bool,
     each of its rows. few: the books fit in a broadcast."""
     joined = meet(packs, F.broadcast(books) if few else books, by, "left")
     inside = [f for f in packs.schema["rows"].dataType.elementType.fields if f.name != "bytes"]
-    name, kind = ("seg_dna", pa.list_(pa.string())) if listed else ("dna", pa.string())
-    schema = T.StructType([*[packs.schema[c] for c in by], *inside, T.StructField(name, T.ArrayType(T.StringType()) if listed else T.StringType())])
+    schema = T.StructType([*[packs.schema[c] for c in by], *inside, T.StructField("seg_dna" if listed else "dna", T.ArrayType(T.StringType()) if listed else T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                code = coder(*[batch.column(c)[k].as_py() or [] for c in ("keys", "codes")])
+                book = Book(*[batch.column(c)[k].as_py() or [] for c in ("keys", "codes")])
                 held = pa.RecordBatch.from_struct_array(batch.column("rows")[k].values)
                 for part in slices(held, "bytes"):
-                    rows = [code(x) for x in part.column("bytes").to_pylist()]
+                    rows = encoded_rows(part.column("bytes").to_pylist(), [book] * part.num_rows, listed)
                     own = [pa.array([batch.column(c)[k].as_py()] * len(rows), batch.column(c).type) for c in by]
-                    yield pa.RecordBatch.from_arrays([*own, *[part.column(f.name) for f in inside], pa.array(rows if listed else ["".join(x) for x in rows], kind)], schema.names)
+                    yield pa.RecordBatch.from_arrays([*own, *[part.column(f.name) for f in inside], rows], schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
 def encoded_plain(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """payloads that aren't empty with dna, two bits a pair of nucleotides, for the payload: what encoded() gives without a code table."""
-    code = lambda part: [pa.array(["".join(coder([], [])(x)) for x in part.column(payload).to_pylist()], pa.string())]
+    book = Book([], [])
+    code = lambda part: [encoded_rows(part.column(payload).to_pylist(), [book] * part.num_rows, False)]
     return mapped(payloads.where(F.octet_length(payload) > 0), payload, code, "dna string", (payload,))
 
 

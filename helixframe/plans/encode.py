@@ -129,13 +129,32 @@ class Encoding:
 
     @cached_property
     def marked(self) -> DataFrame:
-        """(_row, keys, by, chunk, chunks, bytes, best_sum, pairs): chunks, and the repeats in each. Written once: all else reads it, and
-        numbers of payloads don't change."""
-        own = self._chunks.select("_row", *self.have, "chunk", "chunks", "bytes")
-        return self._cut(mapped(own, "bytes", lambda part: kernels.chunk_repeats(part.column("bytes")), f"best_sum long, pairs {PAIRS}"))
+        """(_row, keys, by, chunk, chunks, bytes, best_sum, pairs): chunks, and the repeats in each. Written once, where all of them are asked for
+        or payloads share a table: numbers of payloads don't change then. In doc scope what is made of payloads of one chunk takes one pass and
+        needs no more than the payloads, so that without it only the others are written."""
+        return self._cut(self._repeats(self._chunks))
+
+    @cached_property
+    def _marked_long(self) -> DataFrame:
+        return self._cut(self._repeats(self._chunks.where("chunks > 1")))
+
+    def _repeats(self, chunks: DataFrame) -> DataFrame:
+        own = chunks.select("_row", *self.have, "chunk", "chunks", "bytes")
+        return mapped(own, "bytes", lambda part: kernels.chunk_repeats(part.column("bytes")), f"best_sum long, pairs {PAIRS}")
 
     def _marked(self, long: bool) -> DataFrame:
-        return self.marked.where("chunks > 1" if long else "chunks = 1")
+        if self.scope != "doc" or "marked" in self.__dict__ and not (long and "_marked_long" in self.__dict__):
+            return self.marked.where("chunks > 1" if long else "chunks = 1")
+        return self._marked_long if long else self._repeats(self._chunks.where("chunks = 1"))
+
+    def _short(self) -> DataFrame:
+        """(_row, keys, by, chunk, chunks, n_bytes, segments, bytes): payloads of one chunk, with best_sum and pairs if these are written already."""
+        written = "marked" in self.__dict__
+        return self._sized(self._marked(False) if written else self._chunks.where("chunks = 1"), ("best_sum", "bytes", "pairs") if written else ("bytes",))
+
+    def _sized(self, chunks: DataFrame, more: tuple[str, ...]) -> DataFrame:
+        size = F.octet_length("bytes").cast("bigint")
+        return chunks.select("_row", *self.have, "chunk", "chunks", size.alias("n_bytes"), F.ceil(size * 8 / SEGMENT_BITS).cast("bigint").alias("segments"), *more)
 
     @cached_property
     def _frequencies(self) -> tuple[DataFrame, bool]:
@@ -143,7 +162,7 @@ class Encoding:
         if self.scope != "doc":
             return self._cut(segments.frequencies(self.marked.select(*self.by, F.inline("pairs")), self.by)), False
         found = self._marked(True).select(*self.by, F.inline("pairs"))
-        if self.marked.where(F.col("chunks") > LONG_CHUNKS).isEmpty():
+        if self._marked(True).where(F.col("chunks") > LONG_CHUNKS).isEmpty():
             # All that follows groups by the payload: one shuffle serves all of it.
             return segments.frequencies(found.repartition("_row"), self.by), True
         return self._cut(segments.frequencies(found, self.by)), False
@@ -181,11 +200,9 @@ class Encoding:
     def _encoded(self, long: bool, listed: bool = False) -> DataFrame:
         """(_row, keys, by, chunk, chunks, n_bytes, segments, best_sum, dna; listed: seg_dna): nucleotides of the chunks of payloads of one chunk, or of
         several. Each row's code table is made where the row lies, or meets it."""
-        size = F.octet_length("bytes").cast("bigint")
-        own = ("_row", *self.have, "chunk", "chunks")
-        marked = self._marked(long).select(*own, size.alias("n_bytes"), F.ceil(size * 8 / SEGMENT_BITS).cast("bigint").alias("segments"), "best_sum", "bytes", "pairs")
         if self.scope == "doc" and not long:
-            return codebook.encoded_in_place(marked, listed)
+            return codebook.encoded_in_place(self._short(), "seg_dna array<string>" if listed else "dna string", listed=listed)
+        marked = self._sized(self._marked(long), ("best_sum", "bytes", "pairs"))
         if self.scope == "doc":
             done = codebook.encoded(marked.drop("pairs"), self._long_books.select("_row", "keys", "codes"), ["_row"], "bytes").drop("bytes")
             return done if listed else done.withColumn("dna", F.array_join("seg_dna", "")).drop("seg_dna")
@@ -218,9 +235,15 @@ class Encoding:
         long = self._encoded(True).groupBy("_row", *self.keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"), ordered.alias("parts"))
         return self._encoded(False).select(*self.keys, "n_bytes", "segments", "dna").union(long.select(*self.keys, "n_bytes", "segments", F.array_join(F.col("parts.dna"), "")))
 
+    def _from_short(self, more: str, then) -> DataFrame:
+        """(_row, keys, by, chunk, chunks, n_bytes, segments, best_sum, more): what `then` makes of the nucleotides of payloads of one chunk."""
+        if self.scope == "doc":
+            return codebook.encoded_in_place(self._short(), more, then)
+        return mapped(self._encoded(False), "dna", lambda part: then(part.column("dna")), more, ("dna",))
+
     def _blocks(self) -> DataFrame:
         """(keys, block_id, block)"""
-        tiled = mapped(self._encoded(False).select(*self.keys, "dna"), "dna", lambda part: [kernels.tiles(part.column("dna"))], "tiles array<string>", ("dna",))
+        tiled = self._from_short("tiles array<string>", lambda dna: [kernels.tiles(dna)])
         return tiled.select(*self.keys, F.posexplode("tiles").alias("block_id", "block")).union(chunk_blocks(self._long, self.keys).drop("_row"))
 
     @property
@@ -237,9 +260,14 @@ class Encoding:
     def fingerprints(self) -> DataFrame:
         """(keys, dna_hash_payload, dna_hash_storage): of the nucleotides and of all strands in order. Payloads of several chunks are
         worked on in parts, by as many tasks as there are, and none is put together."""
-        short = hashed(self._encoded(False).select(*self.keys, "dna"), ("dna",))
+        short = self._from_short(_HASHES, both_fingerprints).select(*self.keys, *HASHES)
         return short.union(self._long_fingerprints().select(short.columns))
 
+    @cached_property
+    def summed(self) -> DataFrame:
+        """summary, written."""
+        return self._cut(self.summary)
+
     @property
     def summary(self) -> DataFrame:
         """metrics and fingerprints, side by side."""
@@ -273,9 +301,8 @@ class Encoding:
 
     def _short_metrics(self, more: tuple[str, ...]) -> DataFrame:
         """metrics of payloads of one chunk, with HASHES if asked: each is encoded and its blocks are checked where it lies."""
-        done = self._encoded(False).select("_row", *self.keys, "n_bytes", "segments", "best_sum", "dna")
-        done = hashed(done, ()) if more else done
-        checked = mapped(done, "dna", lambda part: [kernels.tile_checks(part.column("dna"))], "checks array<struct<gc: int, rll: int, endgc: int, nt: int>>", ("dna",))
+        found = "checks array<struct<gc: int, rll: int, endgc: int, nt: int>>"
+        checked = self._from_short(f"{found}, {_HASHES}", lambda dna: [kernels.tile_checks(dna), *both_fingerprints(dna)]) if more else self._from_short(found, lambda dna: [kernels.tile_checks(dna)])
         own = ["n_bytes", "segments", "best_sum", *more]
         rows = checked.select("_row", *self.keys, *own, F.inline("checks"))
         return rates(block_summary(rows, ["_row"], F.col("nt"), [*self.keys, *own])).select(*self.keys, *METRICS, *more)
@@ -290,6 +317,7 @@ METRICS = (
     "gross_rate_bits_per_nt",
 )
 HASHES = ("dna_hash_payload", "dna_hash_storage")
+_HASHES = ", ".join(f"{h} string" for h in HASHES)
 
 
 def rates(summed: DataFrame) -> DataFrame:
@@ -301,7 +329,7 @@ def rates(summed: DataFrame) -> DataFrame:
 
 def hashed(done: DataFrame, drop: tuple[str, ...]) -> DataFrame:
     """Payloads' nucleotides (dna), each whole, with their HASHES."""
-    return mapped(done, "dna", lambda part: both_fingerprints(part.column("dna")), ", ".join(f"{h} string" for h in HASHES), drop)
+    return mapped(done, "dna", lambda part: both_fingerprints(part.column("dna")), _HASHES, drop)
 
 
 def _number(inside: str) -> F.Column:
