@@ -69,10 +69,10 @@ def task_seconds(spark: SparkSession) -> tuple[float, int]:
 
 def once(encoding: Encoding) -> list[float]:
     """Seconds at the beginning of a run and after each of its phases, each of which is written: repeats; frequencies and codes;
-    nucleotides, strands and their constraints. Reading the files is part of the first."""
+    nucleotides, strands, their constraints and fingerprints, of which a row a payload is kept. Reading the files is part of the first."""
     noop = lambda frame: frame.write.format("noop").mode("overwrite").save()
     marks = [time.perf_counter()]
-    for phase in (lambda: encoding.marked, lambda: noop(encoding.books), lambda: noop(encoding.block_metrics)):
+    for phase in (lambda: encoding.marked, lambda: noop(encoding.books), lambda: encoding.summed):
         phase()
         marks.append(time.perf_counter())
     return marks
@@ -96,7 +96,7 @@ def encode_run(make: Callable[[], Encoding], runs: int = 5) -> DataFrame:
     share = 100 * (after - busy) / (wall * cores) if cores and after > busy else UNKNOWN
     schema = T.StructType.fromDDL(SEQUENTIAL)
     own = {"file_size_bytes": F.col("n_bytes"), "runs": F.lit(max(1, runs)), "seq_count": F.col("storage_seq_count"), "peak_ram_mb": F.lit(peak_memory_mb(spark)), "cpu_percent": F.lit(share)} | times.columns()
-    return last.summary.select(*[own.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+    return last.summed.select(*[own.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def run_files(spark: SparkSession, path: str, runs: int = 5, glob: str = FILES, dataset: str | None = None) -> DataFrame:
