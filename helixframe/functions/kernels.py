@@ -3,6 +3,7 @@ repeats, greedy codes, runs of a base. Each is a row-local column; none holds mo
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,16 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.constants import END_NT, MIN_KEY_LEN, PAYLOAD_NT, SEGMENT_BITS
+from helixframe.constants import END_NT, MAX_END_GC, MAX_RUN, MIN_KEY_LEN, PAYLOAD_NT, SEGMENT_BITS
 
 _PAIR = {"substr": pa.string(), "hits": pa.int64()}
 _PROFILE = {"lp": pa.int32(), "ls": pa.int32(), "best_len": pa.int32(), "best_hits": pa.int64()}
 #: Bits that are looked up in a table of all such numbers, and bits that are then sought among the keys' ranges.
-_HEAD, _MORE = 16, 60
-#: Segments that are searched side by side, so that their words stay in a core's cache.
-_SIDE = 4096
-#: Bytes of chunks that are encoded side by side (more if one alone has more).
-_SIDE_BYTES = 1 << 14
+_HEAD, _MORE = 15, 56
+#: Segments that are searched side by side, so that their bits stay in a core's cache.
+_SIDE = 512
+#: Bytes of chunks that are encoded side by side, whole segments that begin and end with a byte; code tables that are told apart there.
+_PIECE, _SIDE_BOOKS = 262 * 125, 1 << 64 - _MORE
 _NONE = np.zeros(0, np.int64)
 
 
@@ -65,69 +66,83 @@ def repeats_of(s: str) -> tuple[int, int]:
     return longest_repeat(s), longest_repeat(s[::-1])
 
 
-def _rooms(size: int) -> np.ndarray:
-    """For a place in words and one in their bits: ones from the bit on that a repeat at that distance may not reach, all where there is none."""
-    at = np.arange(64)[:, None] + 64 * np.arange(size // 64 + 1)
+@functools.lru_cache(16)
+def _rooms(size: int, wide: int) -> np.ndarray:
+    """For each distance ones from the bit on that a repeat at it may not reach, of `wide` bits; all where there is none."""
+    at = np.arange(size)
     room = np.minimum(at, size - at)
-    beyond = np.uint64((1 << 64) - 1) >> np.clip(room, 0, 63).astype(np.uint64)
-    return np.where(room < MIN_KEY_LEN, np.uint64((1 << 64) - 1), np.where(room > 63, np.uint64(0), beyond))
+    ones = (1 << wide) - 1
+    return np.array([ones if n < MIN_KEY_LEN else ones >> min(n, wide) for n in room.tolist()], f"u{wide // 8}")
 
 
-def _apart(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """At each place in a word, for all words of each text side by side: what differs there from the text's first 64 bits, all ones for nothing."""
-    here, more = np.empty_like(words[:-1]), np.empty_like(words[:-1])
-    for r in range(64):
-        np.left_shift(words[:-1], np.uint64(r), out=here)
-        if r:
-            np.right_shift(words[1:], np.uint64(64 - r), out=more)
-            here |= more
-        here ^= words[0]
-        yield r, here
+def _leading(least: np.ndarray, wide: int) -> np.ndarray:
+    """Zeros before the first one of numbers of `wide` bits."""
+    return wide - np.bitwise_count(_filled(least, wide)).astype(np.int64)
+
+
+def _filled(x: np.ndarray, wide: int) -> np.ndarray:
+    """Ones from the first one on."""
+    k = 1
+    while k < wide:
+        x = x | x >> x.dtype.type(k)
+        k *= 2
+    return x
 
 
 def _longest_prefixes(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """longest_repeat() of texts of one length, a row of bits each, side by side, and how often it occurs without overlap (-1: not counted here).
-    At each distance the first 64 bits of a text are held against those that stand there; the place of the first that differs is the length,
-    which neither the distance nor the text's end may exceed. Where all 64 are alike somewhere the text is searched by itself."""
-    n, size = bits.shape
-    padded = np.zeros((n, (size // 64 + 2) * 64), np.uint8)
-    padded[:, :size] = bits
-    words = np.ascontiguousarray(np.packbits(padded, axis=1).view(">u8").T.astype(np.uint64))
-    all_least = np.full((len(words) - 1, n), np.iinfo(np.uint64).max)
-    rooms = _rooms(size)
-    for r, here in _apart(words):
-        here |= rooms[r, :, None]
-        np.minimum(all_least, here, out=all_least)
-    least = all_least.min(axis=0)
-    high = least >> np.uint64(32)
-    length = np.where(high > 0, 32 - np.frexp(high.astype(float))[1], 64 - np.frexp((least & np.uint64(0xFFFFFFFF)).astype(float))[1])
+    """longest_repeat() of texts of one length, side by side (a row for each place), and how often it occurs without overlap (-1: not counted here).
+    At each distance the first 16 bits of a text are held against those that stand there; the place of the first that differs is the length,
+    which neither the distance nor the text's end may exceed. Only where all 16 recur, more are looked at: 64 first, and if these recur as well the
+    text is searched by itself."""
+    size, n = bits.shape
+    eight, other = np.zeros((2, size + 64, n), np.uint8)  # the byte that begins at each place
+    eight[:size] = bits
+    for k in (1, 2, 4):
+        np.multiply(eight, np.uint8(1 << k), out=other)
+        other[:-k] |= eight[k:]
+        eight, other = other, eight
+    apart = eight[:size].astype(np.uint16)
+    apart *= np.uint16(256)
+    apart |= eight[8 : size + 8]
+    apart ^= apart[0].copy()
+    edge = min(16, size)
+    rooms = _rooms(size, 16)[:, None]
+    least = np.minimum((apart[:edge] | rooms[:edge]).min(axis=0), (apart[-edge:] | rooms[-edge:]).min(axis=0))
+    if size > 2 * edge:
+        np.minimum(least, apart[edge:-edge].min(axis=0), out=least)
+    length = _leading(least, 16)
     length[length < MIN_KEY_LEN] = 0
-    alike = np.flatnonzero(least == 0)
-    slid = np.packbits(np.lib.stride_tricks.sliding_window_view(bits[alike], 8, axis=1), axis=2)[:, :, 0]
-    for k, own in zip(alike.tolist(), slid, strict=True):
-        length[k] = _longest_slid(own.tobytes().decode("latin-1"))
-    hits = np.where(length > 0, -1, 0)
-    counted = np.flatnonzero((length > 0) & (length <= 64))
-    if len(counted):
-        hits[counted] = _occurrences(np.ascontiguousarray(words[:, counted]), length[counted], size)
-    return length, hits
-
-
-def _occurrences(words: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
-    """How often the first bits of each text, 64 at most, occur in it, left to right without overlap."""
-    stands = np.empty((64, len(words) - 1, words.shape[1]), bool)
-    drop = (64 - length).astype(np.uint64)
-    for r, here in _apart(words):
-        np.right_shift(here, drop, out=here)
-        np.equal(here, 0, out=stands[r])
-    wide = 64 * (len(words) - 1)
-    at, text = np.divmod(np.flatnonzero(stands), words.shape[1])
-    at = at // (len(words) - 1) + at % (len(words) - 1) * 64
+    # Places at which as many bits stand, 16 at most, text by text.
+    found = np.flatnonzero(apart < np.where(length > 0, 1 << 16 - length, 0).astype(np.uint16))
+    at, text = np.divmod(found, n)
+    place = np.sort(text * size + at)
+    text, at = np.divmod(place, size)
+    many = least == 0
+    more = np.flatnonzero(many[text])
+    if len(more):
+        own, inside = text[more], at[more]
+        first, here = np.zeros(len(more), np.uint64), np.zeros(len(more), np.uint64)
+        for k in range(0, 64, 8):
+            first = first << np.uint64(8) | eight[k, own]
+            here = here << np.uint64(8) | eight[inside + k, own]
+        here ^= first
+        texts = np.flatnonzero(many)
+        least = np.minimum.reduceat(here | _rooms(size, 64)[inside], np.searchsorted(own, texts))
+        length[texts] = _leading(least, 64)
+        for k in texts[least == 0].tolist():
+            length[k] = _longest_slid(eight[: size - 7, k].tobytes().decode("latin-1"))
+        alike = np.ones(len(text), bool)
+        alike[more] = here >> np.maximum(64 - length[own], 0).astype(np.uint64) == 0
+        place, text, at = place[alike], text[alike], at[alike]
     fits = at + length[text] <= size
-    place = np.sort((text * wide + at)[fits])
-    text = place // wide
+    place, text = place[fits], text[fits]
+    return length, np.where(length > 64, -1, _without_overlap(place, text, length, size))
+
+
+def _without_overlap(place: np.ndarray, text: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """How many of the places of each text are taken, in order, if those that begin within the one before are left out."""
     after = np.searchsorted(place, place + length[text])  # the next that may stand beside each
-    here = np.searchsorted(place, np.arange(len(length)) * wide)
+    here = np.searchsorted(place, np.arange(len(length)) * size)
     count, own = np.zeros(len(length), np.int64), np.arange(len(length))
     while len(own):
         inside = here < len(place)
@@ -157,32 +172,39 @@ def _counted_side_by_side(bits: np.ndarray) -> list[list[int]]:
     """repeats_of() of texts of one length, a row of bits each, and how often each repeat occurs (-1: not counted here)."""
     found: list[list[int]] = [[], [], [], []]
     for a in range(0, len(bits), _SIDE):
-        own = bits[a : a + _SIDE]
+        own = np.ascontiguousarray(bits[a : a + _SIDE].T)
         lp, np_hits = _longest_prefixes(own)
-        ls, ns_hits = _longest_prefixes(own[:, ::-1])  # as many of a suffix fit from the right as from the left
+        ls, ns_hits = _longest_prefixes(own[::-1])  # as many of a suffix fit from the right as from the left
         for into, x in zip(found, (lp, ls, np_hits, ns_hits), strict=True):
             into += x.tolist()
     return found
 
 
-def found_in(raws: list[bytes]) -> Iterator[list[tuple[str, int, int, int, int]]]:
-    """(segment, longest repeating prefix, suffix, occurrences of each) of each segment of each chunk of whole segments."""
+def _found(raws: list[bytes]) -> Iterator[tuple[str, list[int], list[int], list[int], list[int]]]:
+    """Bits of each chunk of whole segments, and of each of its segments the longest repeating prefix, suffix, and occurrences of each."""
     bits = [bits_of(x) for x in raws]
     whole = [len(b) // SEGMENT_BITS for b, _ in bits]
     found = _counted_side_by_side(np.concatenate([np.zeros((0, SEGMENT_BITS), np.uint8), *[b[: n * SEGMENT_BITS].reshape(n, SEGMENT_BITS) for (b, _), n in zip(bits, whole, strict=True)]]))
-    rows = iter(zip(*found, strict=True))
-    for raw, (_, text), n in zip(raws, bits, whole, strict=True):
-        own = [(text[a : a + SEGMENT_BITS], *x) for a, x in zip(range(0, n * SEGMENT_BITS, SEGMENT_BITS), itertools.islice(rows, n), strict=True)]
+    end = 0
+    for (_, text), n in zip(bits, whole, strict=True):
+        begin, end = end, end + n
+        lp, ls, first, last = (x[begin:end] for x in found)
         rest = text[n * SEGMENT_BITS :]
         if rest:
-            own.append((rest, *repeats_of(rest), -1, -1))
-        missing = [k for k, x in enumerate(own) if x[3] < 0 or x[4] < 0]
-        slid = sliding(raw) if missing else ""
-        for k in missing:
-            s, lp, ls, first, last = own[k]
-            here = slid[k * SEGMENT_BITS : k * SEGMENT_BITS + len(s) - 7]
-            own[k] = (s, lp, ls, first if first >= 0 else count_of(s, here, 0, lp) if lp else 0, last if last >= 0 else count_of(s, here, len(s) - ls, ls) if ls else 0)
-        yield own
+            for into, x in zip((lp, ls, first, last), (*repeats_of(rest), -1, -1), strict=True):
+                into.append(x)
+        for k in {k for own in (first, last) for k, x in enumerate(own) if x < 0}:
+            s = text[k * SEGMENT_BITS : (k + 1) * SEGMENT_BITS]
+            for into, size, sought in ((first, lp[k], s[: lp[k]]), (last, ls[k], s[len(s) - ls[k] :])):
+                if into[k] < 0:
+                    into[k] = s.count(sought) if size else 0
+        yield text, lp, ls, first, last
+
+
+def found_in(raws: list[bytes]) -> Iterator[list[tuple[str, int, int, int, int]]]:
+    """(segment, longest repeating prefix, suffix, occurrences of each) of each segment of each chunk of whole segments."""
+    for text, *own in _found(raws):
+        yield list(zip(segments_of(text), *own, strict=True))
 
 
 def sliding_bits(s: str) -> str:
@@ -255,15 +277,20 @@ def _lists(rows: list[list], kinds: dict[str, pa.DataType]) -> pa.Array:
 
 
 def chunk_tables(raws: list[bytes]) -> tuple[list[int], list[dict[str, int]]]:
-    """Of chunks of whole segments: the sum of their best lengths, and their entries, hits summed."""
+    """Of chunks of whole segments: the sum of their best lengths, and their entries(), hits summed."""
     sums, tables = [], []
-    for own in found_in(raws):
-        total, hits = 0, {}
-        for row in own:
-            total += max(row[1:3]) if len(row[0]) > MIN_KEY_LEN else 0
-            for x, n in entries(*row):
+    for text, lp, ls, first, last in _found(raws):
+        hits: dict[str, int] = {}
+        for at, p, q, n, m in zip(range(0, len(text), SEGMENT_BITS), lp, ls, first, last, strict=True):
+            if p:
+                x = text[at : at + p]
                 hits[x] = hits.get(x, 0) + n
-        sums.append(total)
+            if q:
+                end = min(at + SEGMENT_BITS, len(text))
+                x = text[end - q : end]
+                if q > p or not text.startswith(x, at):
+                    hits[x] = hits.get(x, 0) + m
+        sums.append(sum(map(max, lp, ls)))
         tables.append(hits)
     return sums, tables
 
@@ -300,7 +327,6 @@ class Book:
     all their bits, the same way."""
 
     def __init__(self, keys: list[str], codes: list[str]):
-        self.least = min(map(len, keys), default=0)
         nodes: list[tuple[str, int]] = []  # first bits, and the key's number; -1: longer keys begin with them
         longer: list[tuple[str, int]] = []
         for key, k in sorted(zip(keys, range(len(keys)), strict=True)):
@@ -310,14 +336,14 @@ class Book:
             if not nodes or nodes[-1] != (key[:_MORE], -1):
                 nodes.append((key[:_MORE], -1))
             longer.append((key, k))
-        self.known = np.zeros(1 << _HEAD, bool)
         self.number = np.array([k for _, k in nodes], np.int64)
         self.low = np.array([int(x, 2) << _MORE - len(x) for x, _ in nodes], np.uint64)
         self.width = np.array([1 << _MORE - len(x) for x, _ in nodes], np.uint64)
-        self.around = np.array(_around([x for x, _ in nodes]), np.int64)
-        for a, n, top in zip(self.low.tolist(), self.width.tolist(), self.around.tolist(), strict=True):
-            if top < 0:
-                self.known[a >> _MORE - _HEAD : (a + n - 1 >> _MORE - _HEAD) + 1] = True
+        around = _around([x for x, _ in nodes])
+        self.around = np.array(around, np.int64)
+        heads = [(a >> _MORE - _HEAD, (a + n - 1 >> _MORE - _HEAD) + 1) for a, n, top in zip(self.low.tolist(), self.width.tolist(), around, strict=True) if top < 0]
+        self.single = np.array([a for a, z in heads if z == a + 1], np.int64)  # first bits that all begin a key, one by one or in runs
+        self.runs = [x for x in heads if x[1] > x[0] + 1]
         self.size = np.array([*map(len, keys), 0], np.int64)  # the last one: of no key
         self.bytes = -(-max((len(x) for x, _ in longer), default=0) // 8)
         edge = lambda bit: np.array([int(x.ljust(8 * self.bytes, bit), 2).to_bytes(self.bytes) for x, _ in longer], f"S{self.bytes or 1}")
@@ -327,40 +353,6 @@ class Book:
         self.code_size = np.array([*map(len, codes), 0], np.int64)
         self.letters = "".join(codes).encode("ascii")
 
-    def matches(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Places (bits) of a chunk at which a key stands that fits in the place's segment, and the longest such key's number."""
-        n = 8 * len(raw)
-        if not len(self.low) or n < self.least:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        padded = np.frombuffer(raw + bytes(9), np.uint8)
-        wide = padded.astype(np.uint32)
-        wide = (wide[:-9] << 16) | (wide[1:-8] << 8) | wide[2:-7]
-        stands = np.empty((len(raw), 8), bool)
-        for r in range(8):
-            stands[:, r] = self.known[(wide >> np.uint32(24 - _HEAD - r)).astype(np.uint16)]
-        place = np.flatnonzero(stands.ravel()[: n - self.least + 1])
-        at, by = place >> 3, (place & 7).astype(np.uint64)
-        eight = np.ndarray(len(raw) + 1, ">u8", padded, strides=(1,))
-        bits = (eight[at].astype(np.uint64) << by | padded[at + 8].astype(np.uint64) >> (np.uint64(8) - by)) >> np.uint64(64 - _MORE)
-        room = np.minimum(n, (place // SEGMENT_BITS + 1) * SEGMENT_BITS) - place
-        node = np.searchsorted(self.low, bits, "right") - 1
-        key = self.number[node]
-        inside = (node >= 0) & (bits - self.low[node] < self.width[node])
-        found = np.where(inside & (key >= 0) & (self.size[key] <= room), key, -1)
-        if self.bytes and (many := np.flatnonzero(inside & (key < 0))).size:
-            found[many] = self._longer(padded, place[many], room[many])
-        # Where none stands or fits, one around it may.
-        left = np.flatnonzero((found < 0) & (node >= 0))
-        node = self.around[node[left]]
-        while len(left := left[node >= 0]):
-            node = node[node >= 0]
-            key = self.number[node]  # longer keys have no others around them but shorter ones
-            fits = (bits[left] - self.low[node] < self.width[node]) & (self.size[key] <= room[left])
-            found[left[fits]] = key[fits]
-            left, node = left[~fits], self.around[node[~fits]]
-        some = np.flatnonzero(found >= 0)
-        return place[some], found[some]
-
     def _longer(self, padded: np.ndarray, place: np.ndarray, room: np.ndarray) -> np.ndarray:
         """Numbers of the longest keys of more than _MORE bits at places, -1 where none stands."""
         out = np.full(len(place), -1)
@@ -380,6 +372,79 @@ class Book:
         return out
 
 
+def _numbered(books: list[Book]) -> tuple[list[Book], np.ndarray]:
+    """Books, each once, and the number of each given one among them."""
+    own = list({id(x): x for x in books}.values())
+    number = {id(x): k for k, x in enumerate(own)}
+    return own, np.array([number[id(x)] for x in books], np.int64)
+
+
+def _before(sizes) -> np.ndarray:
+    """Sums of what comes before each."""
+    return np.cumsum(sizes) - sizes
+
+
+def matches(raws: list[bytes], books: list[Book]) -> tuple[np.ndarray, ...]:
+    """Places (bits, of all chunks one after the other) at which a key of the chunk's book stands that fits in its segment, the number of the place's chunk, and
+    the longest such key's number in its book. All chunks are looked at side by side: a book's nodes stand in a table of all books' nodes, by its number."""
+    own, book = _numbered(books)
+    nodes = [len(x.low) for x in own]
+    if not any(nodes):
+        return _NONE, _NONE, _NONE
+    known = np.zeros((len(own), 1 << _HEAD), bool)
+    for k, x in enumerate(own):
+        known[k, x.single] = True
+        for a, z in x.runs:
+            known[k, a:z] = True
+    known = known.ravel()
+    joined = lambda c: np.concatenate([getattr(x, c) for x in own])
+    node_book = np.repeat(np.arange(len(own)), nodes)
+    first_node = _before(nodes)
+    low, width, node_key, around = joined("low") + (node_book.astype(np.uint64) << np.uint64(_MORE)), joined("width"), joined("number"), joined("around")
+    around = np.where(around < 0, -1, around + first_node[node_book])
+    size = joined("size")  # of a book's keys and of none
+    first_key = _before([len(x.size) for x in own])
+    node_size = np.where(node_key < 0, 0, size[first_key[node_book] + node_key])
+    sizes = np.array([len(x) for x in raws], np.int64)
+    begin = _before(sizes)
+    data = np.frombuffer(b"".join(raws) + bytes(9), np.uint8)
+    wide = data.astype(np.uint32)
+    wide = (wide[:-9] << np.uint32(16)) | (wide[1:-8] << np.uint32(8)) | wide[2:-7]
+    at_book = np.repeat((book << _HEAD).astype(np.uint32), sizes)
+    stands, mask = np.empty((len(wide), 8), bool), np.uint32((1 << _HEAD) - 1)
+    for r in range(8):
+        stands[:, r] = np.take(known, (wide >> np.uint32(24 - _HEAD - r) & mask) + at_book, mode="clip")
+    place = np.flatnonzero(stands)
+    at, by = place >> 3, (place & 7).astype(np.uint64)
+    chunk = np.repeat(np.arange(len(raws)), sizes)[at]
+    inside = place - 8 * begin[chunk]
+    room = np.minimum(8 * sizes[chunk], (inside // SEGMENT_BITS + 1) * SEGMENT_BITS) - inside
+    eight = np.ndarray(len(wide) + 1, ">u8", data, strides=(1,))
+    bits = (eight[at].astype(np.uint64) << by | data[at + 8].astype(np.uint64) >> (np.uint64(8) - by)) >> np.uint64(64 - _MORE)
+    bits |= book[chunk].astype(np.uint64) << np.uint64(_MORE)
+    node = np.searchsorted(low, bits, "right") - 1
+    here = (node >= 0) & (bits - low[node] < width[node])
+    key = node_key[node]
+    found = np.where(here & (key >= 0) & (node_size[node] <= room), key, -1)
+    many = np.flatnonzero(here & (key < 0))
+    if len(many):
+        cuts = np.searchsorted(many, np.searchsorted(chunk, np.arange(len(raws) + 1)))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            some = many[cuts[k] : cuts[k + 1]]
+            found[some] = books[k]._longer(data[begin[k] : begin[k] + sizes[k] + 9], place[some] - 8 * begin[k], room[some])
+    # Where none stands or fits, one around it may.
+    left = np.flatnonzero((found < 0) & (node >= 0))
+    node = around[node[left]]
+    while len(left := left[node >= 0]):
+        node = node[node >= 0]
+        key = node_key[node]  # longer keys have no others around them but shorter ones
+        fits = (bits[left] - low[node] < width[node]) & (node_size[node] <= room[left])
+        found[left[fits]] = key[fits]
+        left, node = left[~fits], around[node[~fits]]
+    some = np.flatnonzero(found >= 0)
+    return place[some], chunk[some], found[some]
+
+
 def _around(texts: list[str]) -> list[int]:
     """For each of sorted texts the number of the longest other one that it begins with, -1 if none."""
     out, above = [], []
@@ -391,9 +456,8 @@ def _around(texts: list[str]) -> list[int]:
     return out
 
 
-def greedy(raws: list[bytes], books: list[Book]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nucleotides of chunks, each by its book, one after the other; the end of each segment's among them, and the number of segments
-    before each chunk's end. At each place stands the longest key that fits in the segment, else two bits. The walk from key to key takes a step
+def greedy(raws: list[bytes], books: list[Book]) -> tuple[np.ndarray, np.ndarray]:
+    """Nucleotides of chunks, each by its book, one after the other, and the end of each segment's among them. At each place stands the longest key that fits in the segment, else two bits. The walk from key to key takes a step
     in all segments at once; what lies between keys is cut out of the two-bit code of either alignment."""
     data = np.frombuffer(b"".join(raws), np.uint8)
     sizes = np.array([8 * len(x) for x in raws], np.int64)
@@ -401,22 +465,13 @@ def greedy(raws: list[bytes], books: list[Book]) -> tuple[np.ndarray, np.ndarray
     count = -(-sizes // SEGMENT_BITS)
     last = np.cumsum(count)
     ends = np.repeat(base, count) + np.minimum((np.arange(count.sum()) - np.repeat(last - count, count) + 1) * SEGMENT_BITS, np.repeat(sizes, count))
-    places, segments, lengths, codes, code_sizes, letters, drawn = [_NONE], [_NONE], [_NONE], [_NONE], [_NONE], [], 2 * len(data) * 8
-    seen: dict[int, tuple[int, np.ndarray]] = {}
-    for raw, book, begin, segment in zip(raws, books, base.tolist(), (last - count).tolist(), strict=True):
-        place, key = book.matches(raw)
-        segments.append(place // SEGMENT_BITS + segment)
-        if id(book) not in seen:
-            seen[id(book)] = drawn, np.cumsum(book.code_size) - book.code_size
-            letters.append(book.letters)
-            drawn += len(book.letters)
-        begins, inside = seen[id(book)]
-        places.append(place + begin)
-        lengths.append(book.size[key])
-        codes.append(begins + inside[key])
-        code_sizes.append(book.code_size[key])
-    place, of, length, code, code_size = (np.concatenate(x) for x in (places, segments, lengths, codes, code_sizes))
-    source = np.concatenate([*(_eights(x, data) for x in _PLAIN), np.frombuffer(b"".join(letters) + b"A", np.uint8)])
+    place, chunk, key = matches(raws, books)
+    of = (place - base[chunk]) // SEGMENT_BITS + (last - count)[chunk]
+    own, book = _numbered(books)
+    key = key + _before([len(x.size) for x in own])[book][chunk]
+    length, code_size = (np.concatenate([getattr(x, c) for x in own]) for c in ("size", "code_size"))
+    length, code, code_size = length[key], (2 * len(data) * 8 + _before(code_size))[key], code_size[key]
+    source = np.concatenate([*(_eights(x, data) for x in _PLAIN), np.frombuffer(b"".join(x.letters for x in own) + b"A", np.uint8)])
     taken = _walked(place, place + length, of, ends)
     place, of, length, code, code_size = (x[taken] for x in (place, of, length, code, code_size))
     # What follows each other: a key with the plain bits before it, and the plain bits at the end of a segment, with an A if there is a lone one.
@@ -434,7 +489,7 @@ def greedy(raws: list[bytes], books: list[Book]) -> tuple[np.ndarray, np.ndarray
     done = np.cumsum(size)
     index = np.repeat((source_at - done + size).astype(np.int32), size)
     index += np.arange(len(index), dtype=np.int32)
-    return source[index], done[1::2][ends_at], last
+    return source[index], done[1::2][ends_at]
 
 
 def _walked(place: np.ndarray, stop: np.ndarray, of: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -461,23 +516,26 @@ def _walked(place: np.ndarray, stop: np.ndarray, of: np.ndarray, ends: np.ndarra
 
 
 def encoded_rows(raws: list[bytes], books: Iterable[Book], listed: bool) -> pa.Array:
-    """The nucleotides of each chunk, by its book; listed: a list of those of each segment. A few chunks are worked on side by side."""
-    parts, held, size = [], [], 0
+    """The nucleotides of each chunk, by its book; listed: a list of those of each segment. Some chunks, or pieces of whole segments of a long one,
+    are worked on side by side."""
+    letters, cuts, held, size, drawn = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], [], 0, 0
     for raw, book in itertools.chain(zip(raws, books, strict=True), [(None, None)]):
-        if held and (raw is None or size + len(raw) > _SIDE_BYTES):
-            letters, ends, last = greedy(*map(list, zip(*held, strict=True)))
-            cuts = np.concatenate(([0], ends)).astype(np.int32)
-            last = np.concatenate(([0], last)).astype(np.int32)
-            own = pa.py_buffer(np.ascontiguousarray(letters))
-            if listed:
-                parts.append(pa.ListArray.from_arrays(pa.array(last), pa.StringArray.from_buffers(len(ends), pa.py_buffer(cuts), own)))
-            else:
-                parts.append(pa.StringArray.from_buffers(len(held), pa.py_buffer(np.ascontiguousarray(cuts[last])), own))
-            held, size = [], 0
-        if raw is not None:
-            held.append((raw, book))
-            size += len(raw)
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()) if listed else pa.string())
+        for a in range(0, len(raw), _PIECE) if raw is not None else [0]:
+            piece = None if raw is None else raw[a : a + _PIECE]
+            if held and (piece is None or size + len(piece) > _PIECE or len(held) == _SIDE_BOOKS):
+                own, ends = greedy(*map(list, zip(*held, strict=True)))
+                letters.append(own)
+                cuts.append(ends + drawn)
+                held, size, drawn = [], 0, drawn + len(own)
+            if piece is not None:
+                held.append((piece, book))
+                size += len(piece)
+    cuts = np.concatenate(cuts).astype(np.int32)
+    rows = np.cumsum([0, *[-(-8 * len(x) // SEGMENT_BITS) for x in raws]]).astype(np.int32)
+    own = pa.py_buffer(np.concatenate(letters))
+    if listed:
+        return pa.ListArray.from_arrays(pa.array(rows), pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), own))
+    return pa.StringArray.from_buffers(len(raws), pa.py_buffer(np.ascontiguousarray(cuts[rows])), own)
 
 
 def coder(keys: list[str], codes: list[str]) -> Callable[[bytes], list[str]]:
@@ -546,8 +604,39 @@ def tiles(dna: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(before), pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))))
 
 
-def tile_checks(dna: pa.Array) -> pa.Array:
-    """What checks() finds, and the length, of each of tiles()."""
+#: What block_sums() says of a text, with its types.
+BLOCK_SUMS = "gc_mean double, gc_var double, rll_max long, rll_violations long, end_violations long, storage_seq_count long, nt long"
+
+
+def block_sums(dna: pa.Array) -> list[pa.Array]:
+    """Of texts of bases, none of them empty, what a summary of the checks() of tiles() says of each: 64 bases' bits are a number, so that a block is two of them."""
     data, cuts, before = _cuts(dna)
-    found = [*checks_of(data, cuts[1:]), np.diff(cuts)]
-    return pa.ListArray.from_arrays(pa.array(before), pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in found], ["gc", "rll", "endgc", "nt"]))
+    n, ends = len(cuts) - 1, cuts[before[1:]].tolist()
+    size, rows = np.diff(cuts), np.full((n, 128), ord("A"), np.uint8)
+    for a, z, begin, end in zip(before[:-1].tolist(), before[1:].tolist(), [0, *ends[:-1]], ends, strict=True):
+        whole = (end - begin) // PAYLOAD_NT
+        rows[a : a + whole, :PAYLOAD_NT] = data[begin : begin + whole * PAYLOAD_NT].reshape(whole, PAYLOAD_NT)
+        if a + whole < z:
+            rows[z - 1, : end - begin - whole * PAYLOAD_NT] = data[begin + whole * PAYLOAD_NT : end]
+    one, ones = np.uint64(1), ~np.uint64(0)
+    inside = [np.where(size > a, ones >> np.clip(a + 64 - size, 0, 63).astype(np.uint64), ones ^ ones) for a in (0, 64)]
+    strong, other = (np.ascontiguousarray(np.packbits(rows & np.uint8(b), axis=1, bitorder="little").view("<u8").T) for b in (2, 4))  # C and G; G and T
+    gc = (np.bitwise_count(strong[0]).astype(np.int64) + np.bitwise_count(strong[1])).astype(np.int64)
+    tail = np.maximum(size - END_NT, 0).astype(np.uint64)
+    last = np.where(tail < 64, strong[0] >> np.minimum(tail, 63) | strong[1] << one << (np.uint64(63) - np.minimum(tail, 63)), strong[1] >> (np.maximum(tail, 64) - np.uint64(64)))
+    endgc = np.bitwise_count(last & np.uint64((1 << END_NT) - 1))
+    turned = lambda x: (x[0] ^ x[0] << one, x[1] ^ (x[1] << one | x[0] >> np.uint64(63)))
+    alike = [~(x | y) & z for x, y, z in zip(turned(strong), turned(other), inside, strict=True)]  # bases that are as the one before them
+    alike[0] &= ~one
+    rll, own = np.ones(n, np.int64), np.arange(n)
+    while len(own):
+        some = np.flatnonzero(alike[0] | alike[1])
+        own, low, high = own[some], alike[0][some], alike[1][some]
+        rll[own] += 1
+        alike = [low & low << one, high & (high << one | low >> np.uint64(63))]
+    first, count = before[:-1], np.diff(before).astype(np.int64)
+    share = np.bincount(np.repeat(np.arange(len(count)), count), gc / float(PAYLOAD_NT), len(count))
+    sums = np.add.reduceat(gc, first), np.add.reduceat(gc * gc, first)
+    spread = (count * sums[1] - sums[0] ** 2) / (count * count * float(PAYLOAD_NT * PAYLOAD_NT))
+    over = lambda x, most: np.add.reduceat((x > most).astype(np.int64), first)
+    return [pa.array(x) for x in (share / count, spread, np.maximum.reduceat(rll, first), over(rll, MAX_RUN), over(endgc, MAX_END_GC), count, np.add.reduceat(size, first))]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,10 @@ from helixframe.functions.kernels import Book, chunk_tables, encode_bytes, encod
 from helixframe.functions.slices import mapped, slices
 from helixframe.operators.segments import meet
 
+#: Phases of an encoding, and their columns of seconds where they are taken in one pass.
+PHASES = ("lsbm", "huffman", "encode")
+SPENT = tuple(f"{p}_s" for p in PHASES)
+
 
 def tree_codes(freqs: list[int]) -> list[str]:
     """Codes of leaves given in table order: a Huffman tree whose ties go by age, read from the root with G or C on odd
@@ -106,16 +113,25 @@ def books_in_place(chunks: DataFrame) -> DataFrame:
     return mapped(chunks, "bytes", kernel, *_with_sums(chunks, "keys array<string>, codes array<string>"))
 
 
-def encoded_in_place(chunks: DataFrame, more: str = "dna string", then: Callable[[pa.Array], list[pa.Array]] = lambda dna: [dna], listed: bool = False) -> DataFrame:
+def encoded_in_place(chunks: DataFrame, more: str = "dna string", then: Callable[[pa.Array], list[pa.Array]] = lambda dna: [dna], listed: bool = False, spent: bool = False) -> DataFrame:
     """chunks of payloads of one chunk with best_sum, and with what `then` makes of their nucleotides for bytes and pairs, by each payload's own
     code table; listed: of the nucleotides of each segment. A payload's repeats (unless they are there), its table, its nucleotides and what is
-    made of them take one pass over it, and no more than that leaves the task."""
+    made of them take one pass over it, and no more than that leaves the task. spent: with the seconds (SPENT) of each phase, a slice's dealt out
+    to its rows by their bytes."""
 
     def kernel(part: pa.RecordBatch) -> list[pa.Array]:
+        marks = [time.perf_counter()]
         sums, books = _in_place(part)
-        return [*sums, *then(encoded_rows(part.column("bytes").to_pylist(), (Book(*own) for own in books), listed))]
-
-    return mapped(chunks, "bytes", kernel, *_with_sums(chunks, more))
+        marks.append(time.perf_counter())
+        if spent:
+            books = list(books)
+            marks.append(time.perf_counter())
+        out = then(encoded_rows(part.column("bytes").to_pylist(), (Book(*own) for own in books), listed))
+        marks.append(time.perf_counter())
+        size = pc.binary_length(part.column("bytes")).to_numpy(zero_copy_only=False)
+        return [*sums, *out, *[pa.array(size * ((b - a) / size.sum())) for a, b in itertools.pairwise(marks) if spent]]
+
+    return mapped(chunks, "bytes", kernel, *_with_sums(chunks, ", ".join([more, *[f"{c} double" for c in SPENT if spent]])))
 
 
 def encoded_packs(packs: DataFrame, books: DataFrame, by: list[str], few: bool, listed: bool) -> DataFrame:

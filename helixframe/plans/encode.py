@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import time
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,14 +19,16 @@ from helixframe.sources.ranges import FILE_KEYS, FILES, file_chunks
 from helixframe.sources.shared import cut, forget
 
 #: Segments, and so bytes, of a chunk: what one row holds of a payload. An even number of segments ends with a byte.
-CHUNK_SEGMENTS = 1024
+CHUNK_SEGMENTS = 4096
 CHUNK_BYTES = CHUNK_SEGMENTS * SEGMENT_BITS // 8
 #: Blocks whose strands are fingerprinted as one part of a payload of several chunks; tables of parts that are joined at once.
 PART_BLOCKS, PARTS = 2048, 256
+#: Chunks of a file that one task reads.
+READ_CHUNKS = 16
 #: Payloads of more chunks are ranked by a rank filter before the shuffle, not each by one task.
-LONG_CHUNKS = 64
+LONG_CHUNKS = 16
 #: Places of payloads of one chunk (every second number is one), and chunks of longer ones, that are a pack at most; code tables that are broadcast.
-PACK_ROWS, PACK_CHUNKS, FEW_BOOKS = 2048, 64, 64
+PACK_ROWS, PACK_CHUNKS, FEW_BOOKS = 512, 16, 64
 PAIRS = "array<struct<substr: string, hits: bigint>>"
 
 
@@ -85,13 +90,12 @@ def constraints(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("_checks", kernels.checks("block")).select(*tiles.columns, "_checks.*")
 
 
-def block_summary(checked: DataFrame, keys: list[str], nt: F.Column | None = None, alike: list[str] | None = None) -> DataFrame:
-    """Counts over blocks; nt: their lengths, if the blocks aren't there; alike: columns that are the same in all rows of a group."""
+def block_summary(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts over blocks."""
     share = F.col("gc") / F.lit(float(PAYLOAD_NT))
     return checked.groupBy(*keys).agg(
         F.avg(share).alias("gc_mean"), F.var_pop(share).alias("gc_var"), F.max("rll").cast("bigint").alias("rll_max"), F.count_if(F.col("rll") > MAX_RUN).alias("rll_violations"),
-        F.count_if(F.col("endgc") > MAX_END_GC).alias("end_violations"), F.count(F.lit(1)).alias("storage_seq_count"), F.sum(F.length("block") if nt is None else nt).cast("bigint").alias("nt"),
-        *[F.first(c).alias(c) for c in alike or []],
+        F.count_if(F.col("endgc") > MAX_END_GC).alias("end_violations"), F.count(F.lit(1)).alias("storage_seq_count"), F.sum(F.length("block")).cast("bigint").alias("nt"),
     )
 
 
@@ -235,10 +239,11 @@ class Encoding:
         long = self._encoded(True).groupBy("_row", *self.keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("segments").alias("segments"), ordered.alias("parts"))
         return self._encoded(False).select(*self.keys, "n_bytes", "segments", "dna").union(long.select(*self.keys, "n_bytes", "segments", F.array_join(F.col("parts.dna"), "")))
 
-    def _from_short(self, more: str, then) -> DataFrame:
-        """(_row, keys, by, chunk, chunks, n_bytes, segments, best_sum, more): what `then` makes of the nucleotides of payloads of one chunk."""
+    def _from_short(self, more: str, then, spent: bool = False) -> DataFrame:
+        """(_row, keys, by, chunk, chunks, n_bytes, segments, best_sum, more): what `then` makes of the nucleotides of payloads of one chunk; spent,
+        in doc scope alone: with the seconds of each phase."""
         if self.scope == "doc":
-            return codebook.encoded_in_place(self._short(), more, then)
+            return codebook.encoded_in_place(self._short(), more, then, spent=spent)
         return mapped(self._encoded(False), "dna", lambda part: then(part.column("dna")), more, ("dna",))
 
     def _blocks(self) -> DataFrame:
@@ -263,17 +268,37 @@ class Encoding:
         short = self._from_short(_HASHES, both_fingerprints).select(*self.keys, *HASHES)
         return short.union(self._long_fingerprints().select(short.columns))
 
-    @cached_property
-    def summed(self) -> DataFrame:
-        """summary, written."""
-        return self._cut(self.summary)
-
     @property
     def summary(self) -> DataFrame:
         """metrics and fingerprints, side by side."""
-        long = self._long_metrics().join(self._long_fingerprints().drop(*self.keys), "_row").drop("_row")
         short = self._short_metrics(HASHES)
-        return short.union(long.select(short.columns))
+        return short.union(self._long_summary().select(short.columns))
+
+    def _long_summary(self) -> DataFrame:
+        return self._long_metrics().join(self._long_fingerprints().drop(*self.keys), "_row").drop("_row")
+
+    def timed(self) -> tuple[DataFrame, list[float]]:
+        """summary, written, and the seconds of each of codebook.PHASES. Where payloads share a table, and for payloads of several chunks, each phase is a
+        job that writes: repeats; frequencies and codes; nucleotides and all that is said of them. In doc scope payloads of one chunk take all phases
+        in one pass; its time is dealt out as the seconds of its tasks are, which say how long each slice was in each phase."""
+        doc, columns, clock = self.scope == "doc", [*self.keys, *METRICS, *HASHES], time.perf_counter
+        marks, tables, spent = [clock()], [], [0.0] * len(codebook.PHASES)
+        if not doc or not self._marked_long.isEmpty():
+            self._marked(True)
+            marks.append(clock())
+            self._long_books.write.format("noop").mode("overwrite").save()
+            marks.append(clock())
+            tables.append(self._cut((self._long_summary() if doc else self.summary).select(columns)))
+            marks.append(clock())
+            spent = [z - a for a, z in itertools.pairwise(marks)]
+        if doc:
+            begin = clock() if tables else marks[0]
+            short = self._cut(self._short_metrics(HASHES, True))
+            own = [x or 0.0 for x in short.agg(*[F.sum(c) for c in codebook.SPENT]).first()]
+            took, every = clock() - begin, sum(own)
+            spent = [x + took * (y / every if every else 1 / len(own)) for x, y in zip(spent, own, strict=True)]
+            tables.append(short.select(columns))
+        return functools.reduce(DataFrame.union, tables), spent
 
     def _long_fingerprints(self) -> DataFrame:
         """(_row, keys, hashes) of payloads of several chunks."""
@@ -299,13 +324,12 @@ class Encoding:
         short = self._short_metrics(())
         return short.union(self._long_metrics().select(short.columns))
 
-    def _short_metrics(self, more: tuple[str, ...]) -> DataFrame:
-        """metrics of payloads of one chunk, with HASHES if asked: each is encoded and its blocks are checked where it lies."""
-        found = "checks array<struct<gc: int, rll: int, endgc: int, nt: int>>"
-        checked = self._from_short(f"{found}, {_HASHES}", lambda dna: [kernels.tile_checks(dna), *both_fingerprints(dna)]) if more else self._from_short(found, lambda dna: [kernels.tile_checks(dna)])
-        own = ["n_bytes", "segments", "best_sum", *more]
-        rows = checked.select("_row", *self.keys, *own, F.inline("checks"))
-        return rates(block_summary(rows, ["_row"], F.col("nt"), [*self.keys, *own])).select(*self.keys, *METRICS, *more)
+    def _short_metrics(self, more: tuple[str, ...], spent: bool = False) -> DataFrame:
+        """metrics of payloads of one chunk, with HASHES if asked, and with the seconds of each phase: each is encoded and its blocks are checked and summed
+        where it lies."""
+        found = kernels.BLOCK_SUMS
+        checked = self._from_short(f"{found}, {_HASHES}", lambda dna: [*kernels.block_sums(dna), *both_fingerprints(dna)], spent) if more else self._from_short(found, kernels.block_sums, spent)
+        return rates(checked).select(*self.keys, *METRICS, *more, *[c for c in codebook.SPENT if spent])
 
     def _long_metrics(self) -> DataFrame:
         sizes = self._long.groupBy("_row").agg(*[F.first(k).alias(k) for k in self.keys], *[F.sum(c).alias(c) for c in ("n_bytes", "segments", "best_sum")])
@@ -350,7 +374,7 @@ def encode(docs: DataFrame, keys: list[str], column: str = "text", scope: str =
 def encode_files(spark: SparkSession, path: str, glob: str = FILES, scope: str = "doc", by: list[str] | None = None) -> Encoding:
     """Encodes the files of a folder, each a payload, by their ranges: no row holds a file, however large. Keys are path, dataset,
     file_name and file_size_bytes; `by` names some of these."""
-    return Encoding(file_chunks(spark, path, glob, CHUNK_BYTES), list(FILE_KEYS), scope, list(by or []))
+    return Encoding(file_chunks(spark, path, glob, CHUNK_BYTES, READ_CHUNKS), list(FILE_KEYS), scope, list(by or []))
 
 
 def fingerprints(payload: DataFrame, keys: list[str]) -> DataFrame:

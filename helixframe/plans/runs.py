@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import statistics
 import time
 from collections.abc import Callable
@@ -67,36 +68,26 @@ def task_seconds(spark: SparkSession) -> tuple[float, int]:
     return sum(x.totalDuration() for x in own) / 1e3, sum(x.totalCores() for x in own)
 
 
-def once(encoding: Encoding) -> list[float]:
-    """Seconds at the beginning of a run and after each of its phases, each of which is written: repeats; frequencies and codes;
-    nucleotides, strands, their constraints and fingerprints, of which a row a payload is kept. Reading the files is part of the first."""
-    noop = lambda frame: frame.write.format("noop").mode("overwrite").save()
-    marks = [time.perf_counter()]
-    for phase in (lambda: encoding.marked, lambda: noop(encoding.books), lambda: encoding.summed):
-        phase()
-        marks.append(time.perf_counter())
-    return marks
-
-
 def encode_run(make: Callable[[], Encoding], runs: int = 5) -> DataFrame:
     """A row of the metrics table (the columns of SEQUENTIAL) for each payload of an encoding that `make` makes anew for each of
     `runs` runs, one at least. Its keys must be dataset and file_name, or more.
 
-    Times are those of the whole job: encodings of several payloads share them. peak_ram_mb is the largest an executor has had, and
-    cpu_percent the share of all cores' time that tasks took in the runs, -1 where Spark doesn't tell. The frame's tables stay until the
-    session ends."""
-    spark, times, last = SparkSession.getActiveSession(), Times(), None
+    Times are those of the whole job: encodings of several payloads share them; Encoding.timed() says how phases of one pass are told apart.
+    peak_ram_mb is the largest an executor has had, and cpu_percent the share of all cores' time that tasks took in the runs, -1 where Spark
+    doesn't tell. The frame's tables stay until the session ends."""
+    spark, times, last, found = SparkSession.getActiveSession(), Times(), None, None
     busy, wall = task_seconds(spark)[0], time.perf_counter()
     for _ in range(max(1, runs)):
         if last is not None:
             last.close()
         last = make()
-        times.add(once(last))
+        found, spent = last.timed()
+        times.add([0.0, *itertools.accumulate(spent)])
     (after, cores), wall = task_seconds(spark), time.perf_counter() - wall
     share = 100 * (after - busy) / (wall * cores) if cores and after > busy else UNKNOWN
     schema = T.StructType.fromDDL(SEQUENTIAL)
     own = {"file_size_bytes": F.col("n_bytes"), "runs": F.lit(max(1, runs)), "seq_count": F.col("storage_seq_count"), "peak_ram_mb": F.lit(peak_memory_mb(spark)), "cpu_percent": F.lit(share)} | times.columns()
-    return last.summed.select(*[own.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+    return found.select(*[own.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def run_files(spark: SparkSession, path: str, runs: int = 5, glob: str = FILES, dataset: str | None = None) -> DataFrame:
