@@ -487,8 +487,8 @@ def greedy(raws: list[bytes], books: list[Book]) -> tuple[np.ndarray, np.ndarray
     source_at[ends_at, 1], size[ends_at, 1] = len(source) - 1, (begin - stop)[ends_at] & 1
     size, source_at = size.ravel(), source_at.ravel()
     done = np.cumsum(size)
-    index = np.repeat((source_at - done + size).astype(np.int32), size)
-    index += np.arange(len(index), dtype=np.int32)
+    index = np.repeat(source_at - done + size, size)
+    index += np.arange(len(index))
     return source[index], done[1::2][ends_at]
 
 

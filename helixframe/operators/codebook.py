@@ -68,10 +68,12 @@ def codebooks(table: DataFrame, by: list[str]) -> DataFrame:
 
 def kept_rows(pairs: list[tuple[str, int]], cap: int = TABLE_CAP) -> list[tuple[str, int]]:
     """What segments.kept() keeps of one payload's table, in its order."""
-    rows = [(s, -n) for _, n, s in sorted([(-len(s), -n, s) for s, n in pairs])]
-    top = rows[:cap]
-    floor = 2 * (len(top) - 1).bit_length() + 1
-    return top if len(top) < 2 else [r for r in top if len(r[0]) >= floor] or rows
+    ordered = lambda own: [(s, -n) for _, n, s in sorted([(-len(s), -n, s) for s, n in own])]
+    most = min(len(pairs), cap)
+    if most < 2:
+        return ordered(pairs)[:cap]
+    floor = 2 * (most - 1).bit_length() + 1  # none of the longest `cap` that is shorter stays, if any is as long
+    return ordered([x for x in pairs if len(x[0]) >= floor])[:cap] or ordered(pairs)
 
 
 def own_book(pairs: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
