@@ -604,6 +604,18 @@ def tiles(dna: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(before), pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))))
 
 
+def var_pop(numbers: list[float]) -> float:
+    """Variance by the steps that Spark's var_pop takes, so that it is rounded alike where its digits end in a five."""
+    n = mean = squares = 0.0
+    for x in numbers:
+        n += 1.0
+        apart = x - mean
+        step = apart / n
+        mean += step
+        squares += apart * (apart - step)
+    return squares / n
+
+
 #: What block_sums() says of a text, with its types.
 BLOCK_SUMS = "gc_mean double, gc_var double, rll_max long, rll_violations long, end_violations long, storage_seq_count long, nt long"
 
@@ -635,8 +647,9 @@ def block_sums(dna: pa.Array) -> list[pa.Array]:
         rll[own] += 1
         alike = [low & low << one, high & (high << one | low >> np.uint64(63))]
     first, count = before[:-1], np.diff(before).astype(np.int64)
-    share = np.bincount(np.repeat(np.arange(len(count)), count), gc / float(PAYLOAD_NT), len(count))
-    sums = np.add.reduceat(gc, first), np.add.reduceat(gc * gc, first)
-    spread = (count * sums[1] - sums[0] ** 2) / (count * count * float(PAYLOAD_NT * PAYLOAD_NT))
+    share = gc / float(PAYLOAD_NT)
+    mean = np.bincount(np.repeat(np.arange(len(count)), count), share, len(count)) / count
+    share = share.tolist()
+    spread = [var_pop(share[a:z]) for a, z in itertools.pairwise(before.tolist())]
     over = lambda x, most: np.add.reduceat((x > most).astype(np.int64), first)
-    return [pa.array(x) for x in (share / count, spread, np.maximum.reduceat(rll, first), over(rll, MAX_RUN), over(endgc, MAX_END_GC), count, np.add.reduceat(size, first))]
+    return [pa.array(x) for x in (mean, spread, np.maximum.reduceat(rll, first), over(rll, MAX_RUN), over(endgc, MAX_END_GC), count, np.add.reduceat(size, first))]
